@@ -133,8 +133,7 @@ def _solve(moments: pd.Series, products: pd.Series) -> pd.Series:
     m = np.stack(moments.to_numpy())
     size = (m.shape[1] + 1) // 2
     matrices = m[:, np.add.outer(np.arange(size), np.arange(size))]
-    coefficients = np.einsum("nij,nj->ni", np.linalg.pinv(matrices), np.stack(products.to_numpy()))
-    return pd.Series(list(coefficients))
+    return pd.Series(list(np.linalg.solve(matrices, np.stack(products.to_numpy())[..., None])[..., 0]))
 
 
 def polynomial_trend(
@@ -165,9 +164,14 @@ def polynomial_trend(
         F.first("centre").alias("centre"),
         F.first("half").alias("half"),
         F.max("date_taken").alias("last_date"),
+        F.count("*").alias("months"),
     )
     solve = F.pandas_udf(_solve, "array<double>")
-    fitted = sums.withColumn("beta", solve("moments", "products"))
+    # Fewer months than coefficients leave the curve open: such a key gets NULL forecasts.
+    solvable, open_keys = F.col("months") > degree, F.col("months") <= degree
+    solved = sums.filter(solvable).withColumn("beta", solve("moments", "products"))
+    unsolved = sums.filter(open_keys).withColumn("beta", F.lit(None).cast("array<double>"))
+    fitted = solved.unionByName(unsolved)
     future = fitted.withColumn("date_taken", F.explode(_future(horizon, first))).withColumn(
         "u", (_months(F.col("date_taken")) - F.col("centre")) / F.col("half")
     )

@@ -12,12 +12,17 @@ from pyspark.sql.types import StructType
 from deedscope.functions.scalars import square
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_batch: int | None = None) -> DataFrame:
-    """A stream over a folder (or glob) of parquet files."""
+def file_stream(
+    spark: SparkSession, folder: str, schema: StructType, *, pattern: str | None = None,
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """A stream over the parquet files of a folder, optionally those with matching names."""
     reader = spark.readStream.schema(schema)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def with_square(stream: DataFrame, value: str, output: str = "value_squared") -> DataFrame:

@@ -11,7 +11,7 @@ from deedscope.operators import cleaning, joins, reports, sampling
 from deedscope.workload.ledger import _STANDARD_SQL
 from deedscope.workload.profiles import TEXTS
 from deedscope.workload.registry import query
-from deedscope.workload.tables import price_index, read, registry, with_views
+from deedscope.workload.tables import price_index, read, registry, rounded, rounded_sql, with_views
 
 # --- filters ---------------------------------------------------------------------------------------
 
@@ -24,7 +24,7 @@ def rogue_filter(spark, sf):
 @query(
     "range_filter",
     with_views(
-        """SELECT region_name, date_taken, round(flat_price, 2) AS flat_price FROM price_index
+        f"""SELECT region_name, date_taken, {rounded_sql("flat_price")} AS flat_price FROM price_index
         WHERE region_name = 'NATION_7' AND date_taken BETWEEN DATE '1996-03-01' AND DATE '1999-10-01'
           AND flat_price IS NOT NULL""",
         "price_index",
@@ -35,7 +35,7 @@ def range_filter(spark, sf):
     rows = cleaning.in_period(
         price_index(spark, sf), "region_name", "NATION_7", "date_taken", start, end, ["flat_price"]
     )
-    return rows.select("region_name", "date_taken", F.round("flat_price", 2).alias("flat_price"))
+    return rows.select("region_name", "date_taken", rounded("flat_price").alias("flat_price"))
 
 
 @query(
@@ -69,14 +69,14 @@ def allow_list(spark, sf):
     "allow_list_table",
     with_views(
         """SELECT title_number, district FROM registry WHERE district IN
-        (SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 0)""",
+        (SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 1000)""",
         "registry",
     ),
 )
 def allow_list_table(spark, sf):
     indebted = (
         read(spark, sf, "supplier")
-        .filter(F.col("s_acctbal") < 0)
+        .filter(F.col("s_acctbal") < 1000)
         .join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select("n_name")
     )
@@ -93,12 +93,12 @@ def deny_list_table(spark, sf):
 
 
 @query(
-    "customers_without_orders",
-    "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "unlabelled_documents",
+    "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
 )
-def customers_without_orders(spark, sf):
-    orders = read(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    return joins.rows_without_match(read(spark, sf, "customer"), orders, "c_custkey").select("c_custkey")
+def unlabelled_documents(spark, sf):
+    rest = joins.rows_without_match(read(spark, sf, "documents"), read(spark, sf, "labels"), "doc_id")
+    return rest.select("doc_id")
 
 
 @query(
@@ -285,7 +285,7 @@ def date_fns(spark, sf):
 
 @query(
     "math_fns",
-    """SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 1) AS ratio, floor(l_extendedprice)::BIGINT AS floored,
+    f"""SELECT l_orderkey, l_linenumber, {rounded_sql("l_extendedprice / l_quantity")} AS ratio, floor(l_extendedprice)::BIGINT AS floored,
       CASE WHEN l_tax > 0.04 THEN 'high' WHEN l_tax > 0 THEN 'low' ELSE 'none' END AS band, (l_returnflag = 'R')::INT AS returned,
       greatest(10.0, least(l_quantity, 40.0)) AS clipped, CAST(l_orderkey * l_orderkey AS BIGINT) AS squared,
       CASE l_linestatus WHEN 'F' THEN 'filled' ELSE l_linestatus END AS status FROM lineitem""",
@@ -294,7 +294,7 @@ def math_fns(spark, sf):
     return read(spark, sf, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 1).alias("ratio"),
+        rounded(F.col("l_extendedprice") / F.col("l_quantity")).alias("ratio"),
         F.floor("l_extendedprice").alias("floored"),
         F.when(F.col("l_tax") > 0.04, "high").when(F.col("l_tax") > 0, "low").otherwise("none").alias("band"),
         (F.col("l_returnflag") == "R").cast("int").alias("returned"),
@@ -306,7 +306,7 @@ def math_fns(spark, sf):
 
 @query(
     "array_fns",
-    """SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], x -> x / 255)), 9) AS scaled_sum,
+    """SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / 255)), 9) AS scaled_sum,
       round(embedding[3]::DOUBLE, 6) AS third, embedding[1000]::DOUBLE AS beyond,
       round(list_aggregate(embedding::DOUBLE[], 'stddev_pop'), 6) AS spread FROM embeddings""",
 )
@@ -409,8 +409,8 @@ def release_sizes(spark, sf):
 
 @query(
     "conform_schema",
-    with_views("SELECT title_number, price_paid::BIGINT AS price_paid, TRY_CAST(tenure AS INT) AS tenure FROM registry", "registry"),
+    with_views("SELECT title_number, floor(price_paid)::BIGINT AS price_paid, TRY_CAST(tenure AS INT) AS tenure FROM registry", "registry"),
 )
 def conform_schema(spark, sf):
-    rows = registry(spark, sf).withColumn("price_paid", F.round("price_paid", 0))
+    rows = registry(spark, sf).withColumn("price_paid", F.floor("price_paid"))
     return cleaning.conform(rows, "title_number STRING, price_paid BIGINT, tenure INT")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from deedscope.operators import joins, labelling, reports
 from deedscope.workload.registry import query
 from deedscope.workload.tables import (
-    AVERAGE_PRICE_LIMIT, HIGH_PRICE, price_index, read, registry, with_views,
+    AVERAGE_PRICE_LIMIT, HIGH_PRICE, price_index, read, registry, rounded, rounded_sql, with_views,
 )
 
 COUNTY, LEFT_OUT, DISTRICT = "EUROPE", "NATION_3", "NATION_8"
@@ -344,8 +344,8 @@ def raw_vs_label(spark, sf):
 @query(
     "all_columns_join",
     with_views(
-        """WITH groups AS (SELECT DISTINCT tenure, district, county, country, category FROM registry),
-          prices AS (SELECT tenure, district, county, country, category, round(avg(price_paid), 2) AS mean_price
+        f"""WITH groups AS (SELECT DISTINCT tenure, district, county, country, category FROM registry),
+          prices AS (SELECT tenure, district, county, country, category, {rounded_sql("avg(price_paid)")} AS mean_price
                      FROM registry GROUP BY ALL)
         SELECT tenure, district, county, country, category, mean_price FROM prices
         JOIN groups USING (tenure, district, county, country, category)""",
@@ -355,7 +355,7 @@ def raw_vs_label(spark, sf):
 def all_columns_join(spark, sf):
     keys = ["tenure", "district", "county", "country", "category"]
     rows = registry(spark, sf)
-    prices = rows.groupBy(*keys).agg(F.round(F.avg("price_paid"), 2).alias("mean_price"))
+    prices = rows.groupBy(*keys).agg(rounded(F.avg("price_paid")).alias("mean_price"))
     return joins.join_on_shared_text(prices, rows.select(*keys).distinct(), ["mean_price"])
 
 
@@ -363,7 +363,7 @@ def all_columns_join(spark, sf):
     "distinct_left_join",
     with_views(
         f"""SELECT DISTINCT coalesce(lower(bd.district), lower(gd.region_name)) AS region_name,
-          gd.region_name AS gd_region_name, gd.date_taken AS gd_date_taken, round(gd.average_price, 2) AS gd_average_price,
+          gd.region_name AS gd_region_name, gd.date_taken AS gd_date_taken, {rounded_sql("gd.average_price")} AS gd_average_price,
           bd.district AS bd_district, bd.county AS bd_county, bd.owned AS bd_owned
         FROM price_index gd LEFT JOIN (SELECT district, county, count(*) AS owned FROM registry GROUP BY ALL) bd
           ON lower(gd.region_name) = lower(bd.district) WHERE upper(bd.county) = '{COUNTY}'""",
@@ -372,7 +372,7 @@ def all_columns_join(spark, sf):
 )
 def distinct_left_join(spark, sf):
     good = price_index(spark, sf).select(
-        "region_name", "date_taken", F.round("average_price", 2).alias("average_price")
+        "region_name", "date_taken", rounded("average_price").alias("average_price")
     )
     bad = (
         registry(spark, sf)

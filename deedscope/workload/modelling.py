@@ -26,7 +26,9 @@ def _positions_sql(column: str, order: str) -> str:
 )
 def string_index(spark, sf):
     rows = registry(spark, sf).select("title_number", "country", "proprietor1")
-    indexed = features.string_index(features.string_index(rows, "country"), "proprietor1")
+    indexed = rows
+    for column in ("country", "proprietor1"):
+        indexed = features.string_index(indexed, column, positions=features.label_positions(rows, column))
     return indexed.drop("proprietor1")
 
 

@@ -8,9 +8,6 @@ from deedscope.operators import retrieval, text
 from deedscope.workload.registry import query
 from deedscope.workload.tables import read
 
-_DISTANCE = "list_sum(list_transform(list_zip(q.v, d.v), p -> (p[1] - p[2]) * (p[1] - p[2])))"
-
-
 @query(
     "knn_l2_top3",
     """WITH vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
@@ -65,7 +62,7 @@ def retrieve_context(spark, sf):
 
 @query(
     "chunk_words",
-    """WITH tokens AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), w -> w <> '') AS words FROM documents),
+    """WITH tokens AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS words FROM documents),
       numbered AS (SELECT doc_id, words, unnest(range((len(words) + 511) // 512)) AS chunk_no FROM tokens)
     SELECT doc_id, chunk_no::INT AS chunk_no, array_to_string(words[chunk_no * 512 + 1 : chunk_no * 512 + 512], ' ') AS chunk FROM numbered""",
 )
@@ -83,7 +80,7 @@ _WEIGHTS_SQL = "(VALUES " + ", ".join(f"('{w}', {x}::DOUBLE)" for w, x in WEIGHT
 def _polarity_sql(keys: str, table: str) -> str:
     return f"""SELECT {keys}, coalesce(round(list_sum(s) / nullif(len(s), 0), 6), 0.0) AS polarity FROM (
       SELECT {keys}, list_filter(list_transform(string_split_regex(lower(text), '[^\\p{{L}}]+'),
-        w -> map({list(WEIGHTS)}, {list(WEIGHTS.values())}::DOUBLE[])[w]), x -> x IS NOT NULL) AS s FROM {table})"""
+        lambda w: map({list(WEIGHTS)}, {list(WEIGHTS.values())}::DOUBLE[])[w]), lambda x: x IS NOT NULL) AS s FROM {table})"""
 
 
 @query("polarity_turns", _polarity_sql("conv_id, turn", "conversations"))

@@ -11,7 +11,7 @@ from deedscope.functions import scalars
 from deedscope.operators import lorentz, series
 from deedscope.workload.profiles import MEASURES
 from deedscope.workload.registry import query
-from deedscope.workload.tables import price_index, read, with_views
+from deedscope.workload.tables import price_index, read, rounded, rounded_sql, with_views
 
 KEYS = ["region_name", "measure"]
 
@@ -30,7 +30,7 @@ def long_series(spark, sf):
 
 
 def _money(df, *columns):
-    return df.withColumns({c: F.round(c, 2) for c in columns or ("forecast",)})
+    return df.withColumns({c: rounded(c) for c in columns or ("forecast",)})
 
 
 @query(
@@ -51,7 +51,7 @@ _REGION_SQL = """SELECT date_taken, {measures}, year(date_taken) * 100 + month(d
 
 @query(
     "region_series",
-    with_views(_REGION_SQL.format(measures=", ".join(f"round({m}, 2) AS {m}" for m in MEASURES)), "price_index"),
+    with_views(_REGION_SQL.format(measures=", ".join(f"{rounded_sql(m)} AS {m}" for m in MEASURES)), "price_index"),
 )
 def region_series(spark, sf):
     rows = series.region_series(price_index(spark, sf), "NATION_11", *_PERIOD, MEASURES)
@@ -112,7 +112,7 @@ _FUTURE = """(SELECT f.*, unnest(generate_series(CAST(last_date + INTERVAL 1 MON
         f"""fitted AS (SELECT region_name, measure, regr_slope(price, t) AS slope, regr_intercept(price, t) AS base,
           max(date_taken) AS last_date FROM long GROUP BY 1, 2)
         SELECT region_name, measure, date_taken,
-          round(base + slope * (year(date_taken) * 12 + month(date_taken) - 1), 2) AS forecast FROM {_FUTURE}"""
+          {rounded_sql("base + slope * (year(date_taken) * 12 + month(date_taken) - 1)")} AS forecast FROM {_FUTURE}"""
     ),
 )
 def linear_trend(spark, sf):
@@ -125,7 +125,7 @@ def linear_trend(spark, sf):
         f"""fitted AS (SELECT region_name, measure, regr_slope(price, year(date_taken) * 100 + month(date_taken)) AS slope,
           regr_intercept(price, year(date_taken) * 100 + month(date_taken)) AS base, max(date_taken) AS last_date FROM long GROUP BY 1, 2)
         SELECT region_name, measure, date_taken,
-          round(base + slope * (year(date_taken) * 100 + month(date_taken)), 2) AS forecast FROM {_FUTURE}"""
+          {rounded_sql("base + slope * (year(date_taken) * 100 + month(date_taken))")} AS forecast FROM {_FUTURE}"""
     ),
 )
 def linear_trend_yyyymm(spark, sf):
@@ -150,11 +150,11 @@ def _cubic_sql() -> str:
     betas = ", ".join(f"{_determinant(r)} / {_determinant(moments)} AS b{k}" for k, r in enumerate(replaced))
     return f"""scaled AS (SELECT *, (t - (lo + hi) / 2.0::DOUBLE) / greatest((hi - lo) / 2.0::DOUBLE, 0.5) AS u FROM
         (SELECT *, min(t) OVER w AS lo, max(t) OVER w AS hi FROM long WINDOW w AS (PARTITION BY region_name, measure))),
-      sums AS (SELECT region_name, measure, any_value(lo) AS lo, any_value(hi) AS hi, max(date_taken) AS last_date,
+      sums AS (SELECT region_name, measure, any_value(lo) AS lo, any_value(hi) AS hi, max(date_taken) AS last_date, count(*) AS months,
         {", ".join(f"sum(power(u, {k})) AS m{k}" for k in range(7))},
         {", ".join(f"sum(power(u, {k}) * price) AS p{k}" for k in range(4))} FROM scaled GROUP BY 1, 2),
-      fitted AS (SELECT region_name, measure, lo, hi, last_date, {betas} FROM sums)
-    SELECT region_name, measure, date_taken, round(b0 + b1 * u + b2 * u * u + b3 * u * u * u, 2) AS forecast FROM
+      fitted AS (SELECT region_name, measure, lo, hi, last_date, {betas} FROM (SELECT * REPLACE (CASE WHEN months > 3 THEN m0 END AS m0) FROM sums))
+    SELECT region_name, measure, date_taken, {rounded_sql("b0 + b1 * u + b2 * u * u + b3 * u * u * u")} AS forecast FROM
       (SELECT *, (year(date_taken) * 12 + month(date_taken) - 1 - (lo + hi) / 2.0::DOUBLE)
         / greatest((hi - lo) / 2.0::DOUBLE, 0.5) AS u FROM {_FUTURE})"""
 
@@ -167,13 +167,13 @@ def cubic_trend(spark, sf):
 @query(
     "seasonal_naive",
     _with_long(
-        """changes AS (SELECT a.*, a.price - b.price AS change FROM long a LEFT JOIN long b
+        f"""changes AS (SELECT a.*, a.price - b.price AS change FROM long a LEFT JOIN long b
           ON a.region_name = b.region_name AND a.measure = b.measure AND a.t = b.t + 12),
         stats AS (SELECT region_name, measure, avg(change) AS drift, stddev_samp(change) AS spread, max(t) AS last_t
           FROM changes GROUP BY 1, 2)
         SELECT region_name, measure, CAST(date_taken + INTERVAL 12 MONTH AS DATE) AS date_taken,
-          round(price + drift, 2) AS forecast, round(price + drift - 1.96 * spread, 2) AS lower,
-          round(price + drift + 1.96 * spread, 2) AS upper
+          {rounded_sql("price + drift")} AS forecast, {rounded_sql("price + drift - 1.96 * spread")} AS lower,
+          {rounded_sql("price + drift + 1.96 * spread")} AS upper
         FROM long JOIN stats USING (region_name, measure) WHERE t > last_t - 12"""
     ),
 )

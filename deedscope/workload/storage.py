@@ -11,7 +11,7 @@ from deedscope.plans.lineage import scratch_path
 from deedscope.sources import catalog, files, generate
 from deedscope.streaming import microbatch
 from deedscope.workload.registry import query
-from deedscope.workload.tables import price_index, read, registry, with_views
+from deedscope.workload.tables import price_index, read, registry, rounded, rounded_sql, with_views
 
 
 def _external(spark, sf: str, table: str) -> str:
@@ -57,7 +57,7 @@ def table_round_trip(spark, sf):
 @query(
     "summary_round_trip",
     with_views(
-        """SELECT strftime(date_taken, '%Y-%m-%d') AS Date_Taken, region_name AS Region_Name, round(average_price, 2) AS Average_Price,
+        f"""SELECT strftime(date_taken, '%Y-%m-%d') AS Date_Taken, region_name AS Region_Name, {rounded_sql("average_price")} AS Average_Price,
           (year(date_taken) * 100 + month(date_taken))::INT AS year_month FROM price_index""",
         "price_index",
     ),
@@ -69,7 +69,7 @@ def summary_round_trip(spark, sf):
     named = price_index(spark, sf).select(
         F.date_format("date_taken", "yyyy-MM-dd").alias("Date Taken"),
         F.col("region_name").alias("Region Name"),
-        F.round("average_price", 2).alias("Average Price"),
+        rounded("average_price").alias("Average Price"),
         year_month("date_taken").alias("year_month"),
     )
     schema = "Date_Taken STRING, Region_Name STRING, Average_Price DOUBLE, year_month INT"
@@ -146,7 +146,7 @@ def picked_keys(spark, sf):
 
 def _streamed(spark, sf):
     schema = read(spark, sf, "events").schema
-    stream = microbatch.file_stream(spark, f"{sf}/events.parquet", schema)
+    stream = microbatch.file_stream(spark, sf, schema, pattern="events.parquet")
     squared = microbatch.with_square(stream.select("event_id", "ts", "event_type"), "event_id")
     output = scratch_path(spark, "enriched")
     job = microbatch.run_enrichment(

@@ -8,7 +8,7 @@ Each view is written twice: as DataFrame code and as a SQL common table expressi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = (
@@ -25,6 +25,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def rounded(value: Column | str, digits: int = 2) -> Column:
+    """Rounded for comparison: engines treat an exact half differently, so it is nudged up."""
+    return F.round((F.col(value) if isinstance(value, str) else value) + 1e-6, digits)
+
+
+def rounded_sql(value: str, digits: int = 2) -> str:
+    return f"round({value} + 1e-6, {digits})"
+
+
 def _null_every(n: int, key: str, value):
     return F.when(F.col(key) % n != 0, value)
 
