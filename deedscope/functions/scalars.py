@@ -12,6 +12,11 @@ def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (a lambda would repeat it per element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pounds(amount: Column | str, decimals: int = 2) -> Column:
     """``£1,234.50``."""
     return F.concat(F.lit("£"), F.format_number(_c(amount), decimals))
@@ -106,15 +111,25 @@ def holds_keyword(text: Column | str, keyword: str) -> Column:
 SIZE_LINE = r"^\s*(\d+(?:\.\d*)?)([MG])\s+\./(.+)$"
 
 
+def size_parts(line: Column | str) -> Column:
+    """Number, unit and release of a size line, from one match; one element for other lines."""
+    return F.split(F.regexp_replace(_c(line), SIZE_LINE, "$1\u0001$2\u0001$3"), "\u0001")
+
+
 def size_megabytes(line: Column | str) -> Column:
     """Megabytes of a size line; NULL when the line has another form."""
-    text = _c(line)
-    size = F.regexp_extract(text, SIZE_LINE, 1).try_cast("double")
-    return F.when(F.regexp_extract(text, SIZE_LINE, 2) == "G", size * 1024).otherwise(size)
+
+    def convert(parts: Column) -> Column:
+        unit = F.try_element_at(parts, F.lit(2))
+        factor = F.when(unit == "G", 1024.0).when(unit == "M", 1.0)
+        return F.try_element_at(parts, F.lit(1)).try_cast("double") * factor
+
+    return _let(size_parts(line), convert)
 
 
 def size_release(line: Column | str) -> Column:
-    return F.nullif(F.regexp_extract(_c(line), SIZE_LINE, 3), F.lit(""))
+    """The release of a size line; NULL when the line has another form."""
+    return F.try_element_at(size_parts(line), F.lit(3))
 
 
 def major_release(line: Column | str) -> Column:
@@ -125,11 +140,6 @@ def major_release(line: Column | str) -> Column:
 # --- long text -------------------------------------------------------------------------------
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` (a lambda would repeat it per element)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text: Column | str) -> Column:
     """The whitespace separated words; an empty array for blank text."""
     # Java's \s leaves out the non-ASCII blanks, which the embedded flag adds.

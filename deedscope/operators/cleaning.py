@@ -50,7 +50,7 @@ def without_listed(df: DataFrame, column: str, values: Iterable | DataFrame) ->
 
 def only_listed(df: DataFrame, column: str, values: Iterable | DataFrame) -> DataFrame:
     if isinstance(values, DataFrame):
-        keys = values.select(F.col(values.columns[0]).alias(column))
+        keys = values.select(F.col(values.columns[0]).alias(column)).distinct()
         return df.join(keys, column, "left_semi")
     return df.filter(F.col(column).isin(list(values)))
 
@@ -75,7 +75,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-PUNCTUATION = r"[.,;:!?()\[\]]"
+# The punctuation that is stripped from text.
+PUNCTUATION = ".,;:!?()[]"
 
 
 def clean_strings(df: DataFrame, missing: str = "unknown") -> DataFrame:
@@ -86,7 +87,7 @@ def clean_strings(df: DataFrame, missing: str = "unknown") -> DataFrame:
     texts = set(string_columns(df))
     return df.select(
         *[
-            F.coalesce(F.trim(F.lower(F.regexp_replace(c, PUNCTUATION, ""))), F.lit(missing)).alias(c)
+            F.coalesce(F.trim(F.lower(F.translate(c, PUNCTUATION, ""))), F.lit(missing)).alias(c)
             if c in texts
             else F.col(c)
             for c in df.columns

@@ -25,7 +25,8 @@ def labels_beside_source(
 
 def rows_without_match(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in ``other``; a NULL key has no match and stays."""
-    return df.join(other.select(key), key, "left_anti")
+    # Distinct keys: a key repeated many times on the other side is summed up before the shuffle.
+    return df.join(other.select(key).distinct(), key, "left_anti")
 
 
 def join_on_shared_text(left: DataFrame, right: DataFrame, numeric: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deedscope.operators.joins import rows_without_match
+
 
 def label_by_owner(
     df: DataFrame, *, high_price: float = 1_000_000, home_country: str = "UK",
@@ -59,5 +61,5 @@ def split_scorable(
     NULLs are dropped directly. The rest are rows whose key is not among the labelled ones.
     """
     labelled = label_by_gaps(df.dropna(subset=list(required)), **rules)
-    rest = df.join(labelled.select(key), key, "left_anti")
+    rest = rows_without_match(df, labelled, key)
     return labelled, rest

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from deedscope.functions.scalars import _let
 from deedscope.plans.lineage import cut_lineage
+from deedscope.plans.sizing import has_at_most
 
 _PARAMETERS = ["h", "c", "w"]
 _SUMS = ["s", "hh", "hc", "hw", "cc", "cw", "ww", "rh", "rc", "rw"]
@@ -60,47 +61,64 @@ def _step(best: Column, damping: Column) -> Column:
 
 
 def fit_lorentzian(
-    df: DataFrame, keys: Sequence[str], x: str, y: str, *, iterations: int = 30, cut_every: int = 6
+    df: DataFrame, keys: Sequence[str], x: str, y: str, *, iterations: int = 30, cut_every: int = 3,
+    tolerance: float = 1e-8, broadcast_keys: int = 100_000,
 ) -> DataFrame:
-    """Height, centre, half width and amplitude of one peak per key, with the squared error."""
+    """Height, centre, half width and amplitude of one peak per key, with the squared error.
+
+    After every ``cut_every`` iterations the parameters are checkpointed, and the fit ends early
+    when no key's error fell by more than ``tolerance`` of itself. While the keys are few, as
+    counted, the parameters travel to the points; otherwise both are joined by key.
+    """
     value, at = F.col(y).cast("double"), F.col(x).cast("double")
     points = cut_lineage(
         df.filter(value.isNotNull() & at.isNotNull())
         .groupBy(*keys, at.alias("x"))
         .agg(F.count("*").cast("double").alias("n"), F.avg(value).alias("y"))
-        .repartition(*keys)
     )
     width = F.max("x") - F.min("x")
-    state = points.groupBy(*keys).agg(
-        F.struct(
-            F.max("y").alias("h"),
-            F.max_by("x", "y").alias("c"),
-            F.when(width > 0, width / 6).otherwise(1.0).alias("w"),
-        ).alias("trial"),
-        F.lit(0.01).alias("damping"),
-        F.lit(None).cast(
-            "struct<" + ",".join(f"{f}:double" for f in _PARAMETERS + _SUMS) + ">"
-        ).alias("best"),
+    unfitted = "struct<" + ",".join(f"{f}:double" for f in _PARAMETERS + _SUMS) + ">"
+    state = cut_lineage(
+        points.groupBy(*keys).agg(
+            F.struct(
+                F.max("y").alias("h"),
+                F.max_by("x", "y").alias("c"),
+                F.when(width > 0, width / 6).otherwise(1.0).alias("w"),
+            ).alias("trial"),
+            F.lit(0.01).alias("damping"),
+            F.lit(None).cast(unfitted).alias("best"),
+            F.lit(None).cast("double").alias("error_before"),
+        )
+    )
+    # The number of keys stays the same in every iteration, and with it the size of the state.
+    few_keys = has_at_most(state, broadcast_keys)
+
+    # Built once and used in every iteration: they refer to columns by name.
+    carried = [F.first(c).alias(c) for c in ("trial", "best", "damping", "error_before")]
+    sums = [*_equations(), *carried]
+    better = F.col("best").isNull() | (F.col("s") < F.col("best.s"))
+    tried = F.struct(*[F.col(f"trial.{p}").alias(p) for p in _PARAMETERS], *_SUMS)
+    judged = [
+        *[F.col(k) for k in keys],
+        F.when(better, tried).otherwise(F.col("best")).alias("best"),
+        F.when(better, F.col("damping") / 5)
+        .otherwise(F.least(F.col("damping") * 4, F.lit(1e12)))
+        .alias("damping"),
+        F.col("error_before"),
+    ]
+    next_trial = _let(F.col("best"), lambda b: _step(b, F.col("damping")))
+    improving = F.col("error_before").isNull() | (
+        F.col("error_before") - F.col("best.s") > tolerance * F.col("error_before")
     )
     for i in range(1, iterations + 1):
-        summed = points.join(state, list(keys)).groupBy(*keys).agg(
-            *_equations(), F.first("trial").alias("trial"), F.first("best").alias("best"),
-            F.first("damping").alias("damping"),
-        )
-        better = F.col("best").isNull() | (F.col("s") < F.col("best.s"))
-        tried = F.struct(*[F.col(f"trial.{p}").alias(p) for p in _PARAMETERS], *_SUMS)
-        judged = summed.select(
-            *keys,
-            F.when(better, tried).otherwise(F.col("best")).alias("best"),
-            F.when(better, F.col("damping") / 5)
-            .otherwise(F.least(F.col("damping") * 4, F.lit(1e12)))
-            .alias("damping"),
-        )
-        state = judged.select(
-            *keys, "best", "damping", _let(F.col("best"), lambda b: _step(b, F.col("damping"))).alias("trial")
-        )
-        if i % cut_every == 0:
+        side = F.broadcast(state) if few_keys else state
+        summed = points.join(side, list(keys)).groupBy(*keys).agg(*sums)
+        state = summed.select(*judged).withColumn("trial", next_trial)
+        if i % cut_every == 0 and i < iterations:
             state = cut_lineage(state)
+            if state.filter(improving).isEmpty():
+                break
+            state = state.withColumn("error_before", F.col("best.s"))
     # The sign of the width is arbitrary: only its square enters the curve.
     half_width = F.abs("best.w")
     return state.select(

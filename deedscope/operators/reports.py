@@ -307,12 +307,15 @@ def offshore_comparison(
 
 def size_totals(lines: DataFrame, column: str = "value") -> DataFrame:
     """Megabytes per major release, and the grand total, of size lines."""
-    parsed = lines.select(
-        size_megabytes(column).alias("megabytes"), major_release(column).alias("major_release")
+    # No filter on the parsed lines, which would parse each of them twice: a group without a
+    # release or without a size is dropped after the sums.
+    totals = (
+        lines.groupBy(major_release(column).alias("major_release"))
+        .agg(F.sum(size_megabytes(column)).alias("megabytes"))
+        .filter(F.col("major_release").isNotNull() & F.col("megabytes").isNotNull())
     )
-    known = parsed.filter(F.col("megabytes").isNotNull() & F.col("major_release").isNotNull())
     return (
-        known.rollup("major_release")
+        totals.rollup("major_release")
         .agg(F.round(F.sum("megabytes"), 2).alias("total_megabytes"))
         .select(F.coalesce("major_release", F.lit("Total")).alias("major_release"), "total_megabytes")
     )

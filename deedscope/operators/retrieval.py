@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from deedscope.plans.sizing import has_at_most
 from deedscope.plans.skew import spread_salt
 
 _BLOCK_VALUES = 4_000_000
@@ -135,11 +136,17 @@ def _meet_in_blocks(
 
 def retrieve_context(
     neighbours: DataFrame, documents: DataFrame, queries: DataFrame, *, doc_id: str, doc_text: str,
-    query_id: str, query_text: str,
+    query_id: str, query_text: str, k: int = 3, max_broadcast_rows: int = 100_000,
 ) -> DataFrame:
-    """Per query the texts of its nearest documents in rank order, then the query, as one text."""
+    """Per query the texts of its nearest documents in rank order, then the query, as one text.
+
+    There are at most ``k`` neighbours per query. While the queries, as counted, keep them few,
+    they are broadcast, and the corpus is read without being shuffled.
+    """
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("doc_text"))
-    found = neighbours.join(texts, "doc_id")
+    kept = neighbours.filter(F.col("rank") <= k)
+    few = has_at_most(queries, max_broadcast_rows // k)
+    found = texts.join(F.broadcast(kept) if few else kept, "doc_id")
     # At most k texts per query are gathered.
     joined = found.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "doc_text"))).alias("ranked")

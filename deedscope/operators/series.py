@@ -128,19 +128,27 @@ def linear_trend(
     )
 
 
-def _solve(moments: pd.Series, products: pd.Series) -> pd.Series:
-    """Solve one small symmetric system per row: power sums against product sums."""
-    m = np.stack(moments.to_numpy())
-    size = (m.shape[1] + 1) // 2
-    matrices = m[:, np.add.outer(np.arange(size), np.arange(size))]
-    return pd.Series(list(np.linalg.solve(matrices, np.stack(products.to_numpy())[..., None])[..., 0]))
+def _solve(moments: pd.Series, products: pd.Series, months: pd.Series) -> pd.Series:
+    """Solve one small symmetric system per row: power sums against product sums.
+
+    A row with fewer months than coefficients has no single solution and yields None.
+    """
+    result = pd.Series([None] * len(months), dtype=object)
+    if len(months) == 0:
+        return result
+    m, p = np.stack(moments.to_numpy()), np.stack(products.to_numpy())
+    size = p.shape[1]
+    known = months.to_numpy() >= size
+    matrices = m[known][:, np.add.outer(np.arange(size), np.arange(size))]
+    result[known] = list(np.linalg.solve(matrices, p[known][..., None])[..., 0])
+    return result
 
 
 def polynomial_trend(
     series: DataFrame, keys: Sequence[str], *, degree: int = 3, horizon: int = 12,
     first: datetime.date | None = None,
 ) -> DataFrame:
-    """Least-squares polynomial forecast per key.
+    """Least-squares polynomial forecast per key; NULL where a key has too few months.
 
     Time is centred and scaled per key to [-1, 1] before the power sums are taken, which keeps
     the small systems well conditioned.
@@ -167,11 +175,7 @@ def polynomial_trend(
         F.count("*").alias("months"),
     )
     solve = F.pandas_udf(_solve, "array<double>")
-    # Fewer months than coefficients leave the curve open: such a key gets NULL forecasts.
-    solvable, open_keys = F.col("months") > degree, F.col("months") <= degree
-    solved = sums.filter(solvable).withColumn("beta", solve("moments", "products"))
-    unsolved = sums.filter(open_keys).withColumn("beta", F.lit(None).cast("array<double>"))
-    fitted = solved.unionByName(unsolved)
+    fitted = sums.withColumn("beta", solve("moments", "products", "months"))
     future = fitted.withColumn("date_taken", F.explode(_future(horizon, first))).withColumn(
         "u", (_months(F.col("date_taken")) - F.col("centre")) / F.col("half")
     )

@@ -9,19 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedscope.plans.sizing import bounded_rows, broadcast_if_small
+from deedscope.plans.sizing import broadcast_if_small
 
 
 def hot_keys(df: DataFrame, key: str, share: float) -> list:
-    """Keys that hold more than ``share`` of the rows; at most ``1/share`` of them exist."""
-    total = df.agg(F.count("*").alias("n")).scalar()
-    heavy = (
-        df.groupBy(key)
-        .agg(F.count("*").alias("__n"))
-        .filter((F.col("__n") > total * F.lit(share)) & F.col(key).isNotNull())
-        .select(key)
-    )
-    return [row[0] for row in bounded_rows(heavy, int(1 / share) + 1, "hot keys")]
+    """Keys that hold about ``share`` of the rows or more.
+
+    A frequent-items sketch finds them in one pass without shuffling the keys. Its counts are
+    off by a small part of the rows at most, which does not matter here: the keys only decide
+    how rows are spread, never which rows there are.
+    """
+    wanted = min(int(2 / share) + 1, 1_000)
+    row = df.agg(
+        F.expr(f"approx_top_k(`{key}`, {wanted}, {max(10_000, 10 * wanted)})").alias("top"),
+        F.count("*").alias("n"),
+    ).first()
+    return [t["item"] for t in row["top"] if t["item"] is not None and t["count"] >= share * row["n"]]
 
 
 def spread_salt(salts: int) -> Column:
@@ -38,6 +41,7 @@ def join_split_hot(
     *,
     share: float = 0.05,
     salts: int = 64,
+    max_broadcast_rows: int = 100_000,
 ) -> DataFrame:
     """Inner or left join whose hot left keys are spread over ``salts`` tasks each.
 
@@ -54,7 +58,7 @@ def join_split_hot(
     plain = left.filter(~is_hot | F.col(left_key).isNull()).join(right, condition, how)
 
     hot_right = right.filter(F.col(right_key).isin(hot))
-    small = broadcast_if_small(hot_right)
+    small = broadcast_if_small(hot_right, max_broadcast_rows)
     if small is not hot_right:
         spread = left.filter(is_hot).join(small, condition, how)
     else:

@@ -241,11 +241,12 @@ def _index_points(spark, sf):
 
 @query("lorentz_fit")
 def lorentz_fit(spark, sf):
-    return lorentz.fit_lorentzian(_index_points(spark, sf), ["region_name"], "month_no", "average_price")
+    points = _index_points(spark, sf)
+    return lorentz.fit_lorentzian(points, ["region_name"], "month_no", "average_price", iterations=15)
 
 
 @query("lorentz_curve")
 def lorentz_curve(spark, sf):
     points = _index_points(spark, sf).select("region_name", "month_no", "average_price")
-    fits = lorentz.fit_lorentzian(points, ["region_name"], "month_no", "average_price", iterations=12)
+    fits = lorentz.fit_lorentzian(points, ["region_name"], "month_no", "average_price", iterations=6)
     return lorentz.fitted_values(points, fits, ["region_name"], "month_no")
