@@ -133,15 +133,14 @@ def _solve(moments: pd.Series, products: pd.Series, months: pd.Series) -> pd.Ser
 
     A row with fewer months than coefficients has no single solution and yields None.
     """
-    result = pd.Series([None] * len(months), dtype=object)
     if len(months) == 0:
-        return result
+        return pd.Series([], dtype=object)
     m, p = np.stack(moments.to_numpy()), np.stack(products.to_numpy())
     size = p.shape[1]
     known = months.to_numpy() >= size
     matrices = m[known][:, np.add.outer(np.arange(size), np.arange(size))]
-    result[known] = list(np.linalg.solve(matrices, p[known][..., None])[..., 0])
-    return result
+    solved = iter(np.linalg.solve(matrices, p[known][..., None])[..., 0])
+    return pd.Series([next(solved) if ok else None for ok in known], dtype=object)
 
 
 def polynomial_trend(
