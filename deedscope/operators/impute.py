@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deedscope.operators.cleaning import fill_means
 from deedscope.operators.features import Scaling
 
 
@@ -31,17 +32,23 @@ def _reconstruct(scores: list[Column], loadings, row: int) -> Column:
 
 
 def reconstruct_missing(
-    df: DataFrame, columns: Sequence[str], *, k: int = 2,
+    df: DataFrame, columns: Sequence[str], *, k: int = 2, initial: str = "zero",
     bounds: dict[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
     """Replace missing numbers by their reconstruction from ``k`` components.
 
-    Missing cells count as 0 while the components are found. ``bounds`` limits a column, such
-    as an encoded label, to its known range. Present values are left alone.
+    While the components are found, missing cells count as 0 or, with ``initial`` "mean", as
+    their column's mean, which draws the components less. ``bounds`` limits a column, such as
+    an encoded label, to its known range. Present values are left alone.
     """
+    if initial not in ("zero", "mean"):
+        raise ValueError("initial is zero or mean")
     columns, bounds = list(columns), bounds or {}
     marked = df.withColumns({f"__was_{c}": F.col(c).cast("double") for c in columns})
-    filled = marked.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
+    if initial == "mean":
+        filled = fill_means(marked.withColumns({c: F.col(c).cast("double") for c in columns}), columns)
+    else:
+        filled = marked.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
     scaling = Scaling(filled, columns)
     assembled, model = _components(scaling.apply(filled), columns, k)
     projected = model.transform(assembled).withColumn("__z", vector_to_array("__scores"))
