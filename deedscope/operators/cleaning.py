@@ -184,10 +184,8 @@ def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 def fill_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill missing numbers with their column's mean, computed in one pass for all columns."""
-    means = df.agg(
-        F.struct(*[F.avg(_finite(df, c)).alias(c) for c in columns]).alias("m")
-    ).scalar()
-    return df.withColumns({c: F.coalesce(_finite(df, c), means.getField(c)) for c in columns})
+    means = df.agg(*[F.avg(_finite(df, c)).alias(c) for c in columns]).first()
+    return df.withColumns({c: F.coalesce(_finite(df, c), F.lit(means[c])) for c in columns})
 
 
 def conform(df: DataFrame, schema: T.StructType | str) -> DataFrame:

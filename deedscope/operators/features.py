@@ -87,27 +87,24 @@ def encode_table(
     return dummies(df, [c for c in columns if c not in wide])
 
 
+_MOMENTS = {"mean": F.avg, "std": F.stddev_pop}
+
+
 class Scaling:
-    """Mean and population standard deviation per column, as one scalar row; 0 scales by 1."""
+    """Mean and population standard deviation per column, fitted in one pass; 0 scales by 1."""
 
     def __init__(self, df: DataFrame, columns: Sequence[str]):
         self.columns = list(columns)
-        spread = {c: F.stddev_pop(c) for c in columns}
-        self._stats = df.agg(
-            F.struct(
-                *[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(columns)],
-                *[
-                    F.when(spread[c] > 0, spread[c]).otherwise(1.0).alias(f"std_{i}")
-                    for i, c in enumerate(columns)
-                ],
-            ).alias("s")
-        ).scalar()
+        statistics = [f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in _MOMENTS.items()]
+        row = df.agg(*statistics).first()
+        self._mean = {c: row[f"mean_{i}"] for i, c in enumerate(columns)}
+        self._deviation = {c: row[f"std_{i}"] or 1.0 for i, c in enumerate(columns)}
 
     def mean(self, column: str) -> Column:
-        return self._stats.getField(f"mean_{self.columns.index(column)}")
+        return F.lit(self._mean[column])
 
     def deviation(self, column: str) -> Column:
-        return self._stats.getField(f"std_{self.columns.index(column)}")
+        return F.lit(self._deviation[column])
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.withColumns(

@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deedscope.operators.cleaning import fill_means
-from deedscope.operators.features import Scaling
+from deedscope.operators.features import Scaling, categories, label_positions
+from deedscope.operators.profiling import distinct_widths
+from deedscope.plans.lineage import cut_lineage
+from deedscope.plans.sizing import broadcast_if_small
 
 
 def _components(scaled: DataFrame, columns: Sequence[str], k: int):
@@ -65,6 +68,57 @@ def reconstruct_missing(
     return projected.select(*[done.get(c, F.col(c)) for c in df.columns])
 
 
+def impute_table(
+    df: DataFrame, *, numeric: Sequence[str], text: Sequence[str], k: int = 2, label_above: int = 100,
+    initial: str = "zero",
+) -> DataFrame:
+    """Fill the gaps of numeric and text columns together; the columns stay as they are.
+
+    Text with more than ``label_above`` values is encoded by its place in the alphabet, other
+    text by one 0/1 column per value. A missing label is decoded from its reconstructed code,
+    limited to the known labels; a missing category is the one whose 0/1 column comes out
+    highest.
+    """
+    widths = {r["column_name"]: r["distinct_values"] for r in distinct_widths(df, text).collect()}
+    wide = [c for c in text if widths[c] > label_above]
+    narrow = categories(df, [c for c in text if c not in wide])
+    positions = {c: label_positions(df, c, order="alphabet") for c in wide}
+
+    encoded = df
+    for c in wide:
+        codes = positions[c].select(
+            F.col("label").alias("__label"), F.col("position").cast("double").alias(f"__code_{c}")
+        )
+        encoded = encoded.join(
+            broadcast_if_small(codes), F.col(c) == F.col("__label"), "left"
+        ).drop("__label")
+    flags = {c: [f"__flag_{c}_{i}" for i in range(len(values))] for c, values in narrow.items()}
+    encoded = encoded.withColumns(
+        {
+            name: (F.col(c) == value).cast("double")
+            for c, values in narrow.items()
+            for name, value in zip(flags[c], values)
+        }
+    )
+    inputs = [*numeric, *[f"__code_{c}" for c in wide], *[f for names in flags.values() for f in names]]
+    bounds = {f"__code_{c}": (0, widths[c] - 1) for c in wide}
+    # The fits below read the encoded rows several times.
+    done = reconstruct_missing(cut_lineage(encoded), inputs, k=k, initial=initial, bounds=bounds)
+
+    for c in wide:
+        labels = positions[c].select(F.col("label").alias("__label"), F.col("position").alias("__position"))
+        code = F.col(f"__code_{c}").cast("bigint")
+        done = done.join(broadcast_if_small(labels), code == F.col("__position"), "left")
+        done = done.withColumn(c, F.coalesce(c, "__label")).drop("__label", "__position")
+    for c, values in narrow.items():
+        if values:
+            scored = F.array(
+                *[F.struct(F.col(f).alias("flag"), F.lit(v).alias("value")) for f, v in zip(flags[c], values)]
+            )
+            done = done.withColumn(c, F.coalesce(F.col(c), F.array_max(scored)["value"]))
+    return done.select(*df.columns)
+
+
 def draw_rows(df: DataFrame, columns: Sequence[str], n: int, *, k: int = 2, seed: int = 42) -> DataFrame:
     """``n`` synthetic rows: normal scores along ``k`` components of the complete rows of ``df``."""
     columns = list(columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from deedscope.operators import cleaning, features, impute, models, profiling, reports, sampling
@@ -45,6 +47,32 @@ def string_index_keep(spark, sf):
     return features.string_index(rows, "country", invalid="keep").drop("country")
 
 
+def _flags_sql(column: str) -> str:
+    """The one-hot places of a column by falling frequency, the last one left out."""
+    return f"list_transform(range((SELECT count(DISTINCT {column}) FROM registry) - 1), lambda i: (i = {column}_at.position)::INT)"
+
+
+@query(
+    "feature_vectors",
+    with_views(
+        f"""SELECT title_number, array_to_string(list_concat({_flags_sql('tenure')}, {_flags_sql('country')}), '') AS flags, price_paid
+        FROM registry JOIN ({_positions_sql('tenure', 'count(*) DESC, tenure')}) tenure_at ON tenure = tenure_at.label
+        JOIN ({_positions_sql('country', 'count(*) DESC, country')}) country_at ON country = country_at.label
+        WHERE price_paid IS NOT NULL""",
+        "registry",
+    ),
+)
+def feature_vectors(spark, sf):
+    rows = registry(spark, sf).select("title_number", "tenure", "country", "price_paid")
+    stages = models.feature_stages(["tenure", "country"], ["price_paid"])
+    assembled = Pipeline(stages=stages).fit(rows).transform(rows)
+    values = vector_to_array("features")
+    flags = F.transform(F.slice(values, 1, F.size(values) - 1), lambda x: x.cast("int").cast("string"))
+    return assembled.select(
+        "title_number", F.array_join(flags, "").alias("flags"), "price_paid"
+    )
+
+
 # The categories the given tables hold in these two columns.
 _SEGMENTS = ["AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY", "UK"]
 _TENURES = ["93347", "Commonhold", "Freehold", "Leasehold"]
@@ -143,6 +171,12 @@ def pca_impute(spark, sf):
     return impute.reconstruct_missing(gaps, NUMBERS)
 
 
+@query("imputed_ledger")
+def imputed_ledger(spark, sf):
+    rows = registry(spark, sf).select("title_number", "price_paid", "tenure", "country", "proprietor1")
+    return impute.impute_table(rows, numeric=["price_paid"], text=["tenure", "country", "proprietor1"])
+
+
 @query("latent_samples")
 def latent_samples(spark, sf):
     rows = read(spark, sf, "lineitem").select(*NUMBERS)

@@ -397,6 +397,18 @@ def test_reconstruction_improves_with_components(spark):
     assert limited.join(gaps.filter("a is null").select("id"), "id").filter("a > 1 or a < 0").count() == 0
 
 
+def test_impute_table_fills_text_too(spark):
+    rows = [(i, float(i % 2) * 10 + i % 3, "hi" if i % 2 else "lo", f"name{i % 2}{i % 7}") for i in range(200)]
+    rows += [(900, 11.0, None, "name10"), (901, None, "lo", "name00"), (902, 0.0, "lo", None)]
+    df = spark.createDataFrame(rows, "id int, x double, level string, name string")
+    done = impute.impute_table(df, numeric=["x"], text=["level", "name"], label_above=5, initial="mean")
+    got = {r["id"]: r for r in done.collect()}
+    assert done.columns == df.columns and len(got) == 203
+    assert all(tuple(got[r[0]]) == r for r in rows[:200])
+    assert got[900]["level"] == "hi" and got[901]["x"] < 6
+    assert got[902]["name"] in {r[3] for r in rows}
+
+
 def test_drawn_rows_keep_the_moments(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(500, 1)) * [4.0, -2.0, 1.0] + [10.0, 20.0, 30.0]
