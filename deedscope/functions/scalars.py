@@ -106,37 +106,6 @@ def holds_keyword(text: Column | str, keyword: str) -> Column:
     return F.contains(F.lower(_c(text)), F.lit(keyword.lower()))
 
 
-# --- size lines such as "9.9M ./2.4.0" ------------------------------------------------------
-
-SIZE_LINE = r"^\s*(\d+(?:\.\d*)?)([MG])\s+\./(.+)$"
-
-
-def size_parts(line: Column | str) -> Column:
-    """Number, unit and release of a size line, from one match; one element for other lines."""
-    return F.split(F.regexp_replace(_c(line), SIZE_LINE, "$1\u0001$2\u0001$3"), "\u0001")
-
-
-def size_megabytes(line: Column | str) -> Column:
-    """Megabytes of a size line; NULL when the line has another form."""
-
-    def convert(parts: Column) -> Column:
-        unit = F.try_element_at(parts, F.lit(2))
-        factor = F.when(unit == "G", 1024.0).when(unit == "M", 1.0)
-        return F.try_element_at(parts, F.lit(1)).try_cast("double") * factor
-
-    return _let(size_parts(line), convert)
-
-
-def size_release(line: Column | str) -> Column:
-    """The release of a size line; NULL when the line has another form."""
-    return F.try_element_at(size_parts(line), F.lit(3))
-
-
-def major_release(line: Column | str) -> Column:
-    """The release up to its first dot; NULL when there is none."""
-    return F.nullif(F.regexp_extract(size_release(line), r"^(\d+)\.", 1), F.lit(""))
-
-
 # --- long text -------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deedscope.functions.scalars import holds_keyword, major_release, percent_of, pounds, size_megabytes
+from deedscope.functions.scalars import holds_keyword, percent_of, pounds
 from deedscope.operators.cleaning import in_price_band, standard_address
 from deedscope.operators.profiling import histogram
 
@@ -305,14 +305,40 @@ def offshore_comparison(
     }
 
 
+def parse_size_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Megabytes, release and major release of lines such as ``9.9M ./2.4.0``.
+
+    A part that does not have this form is NULL. The words are cut out in a step of their own:
+    written as one expression they would be cut again wherever they are used.
+    """
+    text = F.trim(F.translate(F.col(column), "\t", " "))
+    words = lines.select(text.alias("__line")).select(
+        F.substring_index("__line", " ", 1).alias("__size"),
+        F.substring_index("__line", " ./", -1).alias("__release"),
+        F.contains("__line", F.lit(" ./")).alias("__has_release"),
+    )
+    number = F.substr("__size", F.lit(1), F.length("__size") - 1)
+    factor = F.when(F.endswith("__size", F.lit("G")), 1024.0).when(F.endswith("__size", F.lit("M")), 1.0)
+    is_size = F.col("__size").rlike(r"^\d+(\.\d*)?[MG]$")
+    major = F.substring_index("__release", ".", 1)
+    is_major = F.col("__has_release") & F.col("__release").rlike(r"^\d+\.")
+    return words.select(
+        F.when(is_size, number.try_cast("double") * factor).alias("megabytes"),
+        F.when(F.col("__has_release"), F.col("__release")).alias("release"),
+        F.when(is_major, major).alias("major_release"),
+    )
+
+
 def size_totals(lines: DataFrame, column: str = "value") -> DataFrame:
     """Megabytes per major release, and the grand total, of size lines."""
-    # No filter on the parsed lines, which would parse each of them twice: a group without a
-    # release or without a size is dropped after the sums.
+    # Lines without a release add nothing to their group, which is dropped by its empty sum. A
+    # filter on the release itself would be pushed to the scan and parse every line twice.
+    known = F.when(F.col("major_release").isNotNull(), F.col("megabytes"))
     totals = (
-        lines.groupBy(major_release(column).alias("major_release"))
-        .agg(F.sum(size_megabytes(column)).alias("megabytes"))
-        .filter(F.col("major_release").isNotNull() & F.col("megabytes").isNotNull())
+        parse_size_lines(lines, column)
+        .groupBy("major_release")
+        .agg(F.sum(known).alias("megabytes"))
+        .filter(F.col("megabytes").isNotNull())
     )
     return (
         totals.rollup("major_release")
