@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deedscope.operators.features import categories
+from deedscope.plans.lineage import cut_lineage
 from deedscope.plans.ordinal import with_running_totals
 
 
@@ -45,9 +46,14 @@ def train_forest(
     df: DataFrame, *, label: str, categorical: Sequence[str], numeric: Sequence[str],
     trees: int = 100, depth: int = 5, share: float = 0.8, seed: int = 42, max_categories: int = 1_000,
 ) -> tuple[PipelineModel, DataFrame]:
-    """A random forest, and one row with its train and test AUC."""
-    categories(df, categorical, max_categories)
-    train, test = df.randomSplit([share, 1 - share], seed)
+    """A random forest, and one row with its train and test AUC.
+
+    The needed columns are checkpointed first: they are read many times, and a split by random
+    numbers only stays the same when the rows are not computed anew.
+    """
+    rows = cut_lineage(df.select(*categorical, *numeric, label))
+    categories(rows, categorical, max_categories)
+    train, test = rows.randomSplit([share, 1 - share], seed)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed
     )

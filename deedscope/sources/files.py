@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from deedscope.plans.sizing import TooManyRows, has_at_most
 
+# The layout of card transaction files.
 CARD_TRANSACTIONS = (
     "transaction_id INT, amount DOUBLE, merchant STRING, category STRING, is_fraud BOOLEAN"
 )

@@ -30,14 +30,16 @@ def with_square(stream: DataFrame, value: str, output: str = "value_squared") ->
     return stream.withColumn(output, square(value))
 
 
+# Fixed value: the wording of the question.
+PROMPT = (
+    "The value is %s and its square is %s. "
+    "Provide some interesting insights or context about these numbers."
+)
+
+
 def insight_prompt(value: Column, squared: Column) -> Column:
     """The question about a number and its square that a later service call would ask."""
-    return F.format_string(
-        "The value is %s and its square is %s. Provide some interesting insights or context "
-        "about these numbers.",
-        value.cast("string"),
-        squared.cast("string"),
-    )
+    return F.format_string(PROMPT, value.cast("string"), squared.cast("string"))
 
 
 def with_prompt(batch: DataFrame, value: str, squared: str = "value_squared") -> DataFrame:

@@ -11,13 +11,15 @@ from deedscope.plans.lineage import scratch_path
 from deedscope.sources import catalog, files, generate
 from deedscope.streaming import microbatch
 from deedscope.workload.registry import query
-from deedscope.workload.tables import price_index, read, registry, rounded, rounded_sql, with_views
+from deedscope.workload.tables import SCHEMAS, price_index, read, registry, rounded, rounded_sql, with_views
 
 
 def _external(spark, sf: str, table: str) -> str:
     """Declare a given table in the catalog, over its own file; nothing is copied."""
     name = f"given_{table}_{hashlib.md5(sf.encode()).hexdigest()[:8]}"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{sf}/{table}.parquet'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({SCHEMAS[table]}) USING parquet LOCATION '{sf}/{table}.parquet'"
+    )
     return name
 
 

@@ -13,7 +13,7 @@ from deedscope.plans.sizing import TooManyRows, bounded_rows, has_at_most
 from deedscope.plans.skew import hot_keys, join_split_hot
 from deedscope.sources import catalog
 from deedscope.workload import QUERIES
-from deedscope.workload.tables import read
+from deedscope.workload.tables import SCHEMAS, read
 
 
 def final_plan(df) -> str:
@@ -162,6 +162,11 @@ def test_histogram_edges(spark):
     assert profiling.histogram(df.filter("x > 9"), "x", 3).collect() == []
 
 
+def test_declared_schemas_are_those_of_the_files(spark, sf):
+    for table in SCHEMAS:
+        assert read(spark, sf, table).dtypes == spark.read.parquet(f"{sf}/{table}.parquet").dtypes
+
+
 def test_dates_survive(spark):
     df = spark.createDataFrame([(datetime.date(2024, 2, 29),)], "d date")
     assert profiling.profile_columns(df).first()["data_type"] == "date"

@@ -20,6 +20,19 @@ def test_query(spark, con, name):
     assert mismatch(spark, con, name, SF) is None
 
 
+# How DuckDB names the Spark types the queries return.
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+    "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP",
+}
+
+
+@pytest.mark.parametrize("name", [n for n in ORACLE_SQL if n not in SLOW])
+def test_types(spark, con, name):
+    want = {row[0]: row[1] for row in con.execute(f"DESCRIBE {ORACLE_SQL[name]}").fetchall()}
+    assert {c: TYPES[t] for c, t in QUERIES[name](spark, SF).dtypes} == want
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert driver.queries().keys() == QUERIES.keys()
