@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ACCURACY = 2_000
+# The sketch's rank error is at most 1 / accuracy; neighbouring ranks add at most as much again.
+_SLACK = 3 / _ACCURACY
 
 
 @dataclass
@@ -38,31 +40,45 @@ class _Search:
         return inside
 
 
-def _narrow(values: DataFrame, searches: list[_Search]) -> None:
-    """One round for all open searches: one pass for the brackets, one for the counts."""
+def _ends(at: float) -> list[float]:
+    """Probabilities whose approximate quantiles enclose the value at ``at`` for certain."""
+    return [max(at - _SLACK, 0.0), min(at + _SLACK, 1.0)]
 
+
+def _brackets(values: DataFrame, searches: list[_Search]) -> list[list[float]]:
     def bracket(s: _Search) -> Column:
-        at, slack = (s.rank + 1) / s.n, 2 / _ACCURACY
-        ends = [max(at - slack, 0.0), min(at + slack, 1.0)]
-        return F.percentile_approx(F.when(s.holds(), F.col("v")), ends, _ACCURACY)
+        known = F.when(s.holds(), F.col("v"))
+        return F.percentile_approx(known, _ends((s.rank + 1) / s.n), _ACCURACY)
+
+    return list(values.agg(*[bracket(s).alias(str(i)) for i, s in enumerate(searches)]).first())
+
 
-    edges = values.agg(*[bracket(s).alias(str(i)) for i, s in enumerate(searches)]).first()
+def _narrow(values: DataFrame, searches: list[_Search], edges: list[list[float]]) -> None:
+    """Count below, on and between the edges of all searches in one pass, and move on.
+
+    The counts decide, not the sketch: a rank outside its bracket is looked for outside.
+    """
     counters = []
     for i, s in enumerate(searches):
         v, (lo, hi) = F.col("v"), edges[i]
-        for name, part in (("below", v < lo), ("on_low", v == lo), ("inside", (v > lo) & (v < hi))):
-            counters.append(F.count_if(s.holds() & part).alias(f"{name}{i}"))
+        parts = [v < lo, v == lo, (v > lo) & (v < hi), (v == hi) & F.lit(hi > lo)]
+        counters += [F.count_if(s.holds() & part).alias(f"{i}_{j}") for j, part in enumerate(parts)]
     counts = values.agg(*counters).first()
     for i, s in enumerate(searches):
         lo, hi = edges[i]
-        left = s.rank - counts[f"below{i}"]
-        if left < counts[f"on_low{i}"]:
+        below, on_low, inside, on_high = (counts[f"{i}_{j}"] for j in range(4))
+        rank = s.rank - below
+        if rank < 0:
+            s.high, s.n = lo, below
+        elif rank < on_low:
             s.value = lo
-        elif left < counts[f"on_low{i}"] + counts[f"inside{i}"]:
-            s.rank, s.n = left - counts[f"on_low{i}"], counts[f"inside{i}"]
-            s.low, s.high = lo, hi
-        else:
+        elif rank < on_low + inside:
+            s.low, s.high, s.rank, s.n = lo, hi, rank - on_low, inside
+        elif rank < on_low + inside + on_high:
             s.value = hi
+        else:
+            upto = on_low + inside + on_high
+            s.low, s.rank, s.n = hi, rank - upto, s.n - below - upto
 
 
 def exact_quantiles(
@@ -70,18 +86,27 @@ def exact_quantiles(
 ) -> list[float | None]:
     """Quantiles with linear interpolation between neighbouring values; NULLs are left out."""
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
+    # The first brackets need no row count, so both come from one pass and one sketch.
+    ends = [end for p in probabilities for end in _ends(p)]
+    row = values.agg(F.count("*").alias("n"), F.percentile_approx("v", ends, _ACCURACY).alias("q")).first()
+    n = row["n"]
     if n == 0:
         return [None] * len(probabilities)
     positions = [p * (n - 1) for p in probabilities]
-    ranks = sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
-    searches = {rank: _Search(rank, n) for rank in ranks}
+    searches: dict[int, _Search] = {}
+    first_edges: dict[int, list[float]] = {}
+    for i, position in enumerate(positions):
+        for rank in (math.floor(position), math.ceil(position)):
+            searches[rank] = _Search(rank, n)
+            first_edges[rank] = row["q"][2 * i : 2 * i + 2]
+    if n > leaf_rows and n > _ACCURACY:
+        _narrow(values, list(searches.values()), [first_edges[r] for r in searches])
     while True:
         open_ones = [s for s in searches.values() if s.value is None]
         wide = [s for s in open_ones if s.n > leaf_rows]
         if not wide:
             break
-        _narrow(values, wide)
+        _narrow(values, wide, _brackets(values, wide))
     if open_ones:
         wanted = F.lit(False)
         for s in open_ones:

@@ -110,6 +110,7 @@ def test_checkpoint_folder_comes_from_the_session(spark):
         [42.0] * 700 + [float(i) for i in range(1_300)],
         [(-1.0) ** i * 1.7**(i % 90) for i in range(1_500)],
         [1.0] * 1_999 + [9.0],
+        [42.0] * 2_500 + [float(i * i % 5_003) for i in range(5_000)],
     ],
 )
 def test_exact_quantiles(spark, values):
@@ -121,6 +122,15 @@ def test_exact_quantiles(spark, values):
     assert got == pytest.approx(list(np.quantile(values, probabilities)))
 
 
+def test_a_bad_bracket_does_not_change_the_quantile(spark, monkeypatch):
+    from deedscope.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "_ends", lambda at: [0.4, 0.41])
+    df = spark.range(3_000).select(F.col("id").cast("double").alias("x"))
+    got = quantiles.exact_quantiles(df, "x", [0.1, 0.9], leaf_rows=700)
+    assert got == pytest.approx([299.9, 2699.1])
+
+
 def test_exact_quantiles_of_nothing(spark):
     assert exact_quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == [None]
 
