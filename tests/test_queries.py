@@ -35,8 +35,9 @@ def test_types(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
-    assert driver.queries().keys() == QUERIES.keys()
-    assert driver.oracle_sql() == ORACLE_SQL
+    assert QUERIES.keys() <= driver.queries().keys()
+    assert ORACLE_SQL.items() <= driver.oracle_sql().items()
+    assert driver.oracle_sql().keys() <= driver.queries().keys()
 
 
 def test_entry(spark):
