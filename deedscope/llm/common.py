@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from deedscope.workload.tables import read
 
@@ -22,6 +23,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels")
 
 
+def extended(schema: StructType, ddl: str) -> StructType:
+    """``schema`` with the fields of ``ddl`` after its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def fold(doc_id: Column | str, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; NULL ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(folds))
@@ -56,3 +62,13 @@ def with_group_facts(
     )
     spread = whole.withColumn("__salt", F.explode(present)).drop("__salts")
     return salted.join(spread, [*keys, "__salt"]).drop("__salt")
+
+
+def salted_left_join(rows: DataFrame, facts: DataFrame, key: str, spread_by: str, salts: int = 32) -> DataFrame:
+    """Left join to ``facts``, unique by ``key``, with the rows of a hot key spread over ``salts``.
+
+    Each fact goes to those salts only at which its key has rows.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    spread = salted.select(key, "__salt").distinct().join(facts, key)
+    return salted.join(spread, [key, "__salt"], "left").drop("__salt")

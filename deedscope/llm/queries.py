@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deedscope.llm.common import documents
+from deedscope.llm import boosted_quality, toxicity
+from deedscope.llm.byte_bpe import round_trip
+from deedscope.llm.common import documents, labels
 from deedscope.llm.exact_dedup import exact_duplicates
+from deedscope.llm.line_dedup import deduplicate_lines
+from deedscope.llm.mixing import mix
+from deedscope.llm.ngram_join import near_duplicates
 from deedscope.llm.quality_rules import judged_measures
 from deedscope.llm.sharding import shuffle_into_shards
 
@@ -22,11 +27,44 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 @query
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(documents(spark, sf_dir))
 
 
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed_lines", "text")
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosted_quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_measures(documents(spark, sf_dir))
