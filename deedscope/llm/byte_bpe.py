@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 The bytes of a pre-token form a linked list. Adjacent parts whose joined bytes have a rank wait in
-that rank's bucket, a heap of list positions. A three-level bitmap of the non-empty buckets gives
+that rank's bucket, a heap of list positions. A two-level bitmap of the non-empty buckets gives
 the least rank by find-first-set; entries that a merge has made stale are skipped. Each merge
 costs a few operations whatever the length, so a pre-token of a whole document is no problem.
 """
@@ -20,84 +20,70 @@ from pyspark.sql import functions as F
 from deedscope.llm.common import extended
 
 
-class RankQueue:
-    """Positions by rank; ``pop`` gives the least rank's least position."""
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}  # 64 ranks a word
-        self.mid: dict[int, int] = {}  # 64 words a word
-        self.top = 0  # 4,096 ranks a bit, of any number
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank >> 6
-            group = word >> 6
-            self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-            self.mid[group] = self.mid.get(group, 0) | 1 << (word & 63)
-            self.top |= 1 << group
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        top = self.top
-        group = (top & -top).bit_length() - 1
-        bits = self.mid[group]
-        word = group << 6 | (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = word << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] ^= 1 << (rank & 63)
-            if not self.low[word]:
-                self.mid[group] ^= 1 << (word & 63)
-                if not self.mid[group]:
-                    self.top ^= 1 << group
-        return rank, position
-
-
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: the least rank is merged first, the leftmost of equal ones."""
-    whole = ranks.get(piece)
+    """Token ids of one pre-token: the least rank is merged first, the leftmost of equal ones.
+
+    ``buckets`` holds the positions of each waiting rank as a heap, ``low`` a bit for each waiting
+    rank of a group of 256, ``top`` a bit for each group that has one.
+    """
+    find = ranks.get
+    whole = find(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    end = list(range(1, n + 1))
+    wanted = [find(piece[i : i + 2], -1) for i in range(n)]
+    wanted[-1] = -1
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    wanted = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)]
-    wanted.append(-1)
-    queue = RankQueue()
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    top = 0
     for i, rank in enumerate(wanted):
-        if rank >= 0:
-            queue.push(rank, i)
-    while queue.top:
-        rank, i = queue.pop()
-        if wanted[i] != rank:
+        if rank < 0:
             continue
+        if rank in buckets:
+            buckets[rank].append(i)  # ascending, so a heap
+        else:
+            buckets[rank] = [i]
+            low[rank >> 8] = low.get(rank >> 8, 0) | 1 << (rank & 255)
+            top |= 1 << (rank >> 8)
+    while top:
+        group = (top & -top).bit_length() - 1
+        bits = low[group]
+        rank = group << 8 | (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        i = heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            low[group] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
+        if wanted[i] != rank:
+            continue  # stale: a neighbour has been merged since
         gone = after[i]
-        end[i] = end[gone]
         wanted[gone] = -1
-        k = after[i] = after[gone]
-        if k < n:
-            before[k] = i
-            wanted[i] = ranks.get(piece[i : end[k]], -1)
-            if wanted[i] >= 0:
-                queue.push(wanted[i], i)
+        stop = after[i] = after[gone]
+        if stop < n:
+            before[stop] = i
+            changed = ((before[i], stop), (i, after[stop]))
         else:
             wanted[i] = -1
-        j = before[i]
-        if j >= 0:
-            wanted[j] = ranks.get(piece[j : end[i]], -1)
-            if wanted[j] >= 0:
-                queue.push(wanted[j], j)
+            changed = ((before[i], stop),)
+        for j, end in changed:
+            if j < 0:
+                continue
+            wanted[j] = rank = find(piece[j:end], -1)
+            if rank < 0:
+                continue
+            if rank in buckets:
+                heappush(buckets[rank], j)
+            else:
+                buckets[rank] = [j]
+                low[rank >> 8] = low.get(rank >> 8, 0) | 1 << (rank & 255)
+                top |= 1 << (rank >> 8)
     ids, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : end[i]]])
+        ids.append(ranks[piece[i : after[i]]])
         i = after[i]
     return ids
 
