@@ -86,7 +86,7 @@ def mix(
     """
     columns = [c for c in docs.columns if c not in ("copy", "copies", "shuffle_key")]
     rates = source_rates(docs, weights=weights, power=power, total=total, source_column=source_column)
-    distributions = cut_lineage(_distributions(rates).withColumnsRenamed({"source": "__source"}))
+    distributions = cut_lineage(_distributions(rates).withColumnsRenamed({c: f"__{c}" for c in ("source", "draws", "cdf")}))
     key = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], key.alias("__key"))
     same = F.col(f"`{source_column}`").eqNullSafe(F.col("__source"))
@@ -97,16 +97,16 @@ def mix(
         salted = rows.withColumn("__at", F.pmod(F.xxhash64("__key"), F.lit(salts)).cast("int"))
         found = salted.join(spread, same & (F.col("__at") == F.col("__salt")))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("draws")),
+        F.sequence(F.lit(1), F.col("__draws")),
         F.lit(0),
-        lambda n, j: n + F.size(F.filter("cdf", lambda c: c < F.element_at(F.col("__u"), j))),
+        lambda n, j: n + F.size(F.filter("__cdf", lambda c: c < F.element_at(F.col("__u"), j))),
     )
     uniforms = F.transform(
-        F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(F.lit(seed), F.lit("count"), F.col("__key"), j)
+        F.sequence(F.lit(1), F.col("__draws")), lambda j: uniform(F.lit(seed), F.lit("count"), F.col("__key"), j)
     )
-    counted = found.withColumn("__u", uniforms).withColumn("copies", drawn).filter("copies > 0")
+    counted = found.withColumn("__u", uniforms).withColumn("__n", drawn).filter("__n > 0")
     copied = counted.select(
-        *[F.col(f"`{c}`") for c in columns], "__key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "copies"
+        *[F.col(f"`{c}`") for c in columns], "__key", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"), F.col("__n").alias("copies")
     )
     order = F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), "__key", F.col("copy").cast("string")), "UTF-8"))
     keyed = copied.withColumn("shuffle_key", order).drop("__key")
