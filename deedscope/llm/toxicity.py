@@ -1,7 +1,8 @@
 """Toxicity: maximum-scoring segment search over token log-odds.
 
-Tokens get log-odds of toxic against other labelled text under an informative Dirichlet prior
-(the counts of all labelled text together). A linear scan finds every maximal scoring run of
+Words and beginnings of words get log-odds of toxic against other labelled documents under an
+informative Dirichlet prior (the counts of all labelled documents together). A token scores by its
+word where that is known, else by its longest telling beginning. A linear scan finds every maximal scoring run of
 tokens of a text. Scores are calibrated by extreme-value statistics: the expected number of runs
 that a text of n ordinary tokens has at a score S is K n exp(-lambda S).
 """
@@ -13,6 +14,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,36 @@ from deedscope.llm.common import extended, fold
 from deedscope.plans.lineage import cut_lineage
 
 TOKEN = r"\w+"
+# Lengths of the beginnings of words that count as terms; in tables they are marked by a caret.
+BEGINNINGS = range(4, 9)
+
+
+def terms_of(tokens: set[str]) -> set[str]:
+    """The terms of a text: its words, and the beginnings of its longer words."""
+    return tokens | {"^" + t[:n] for t in tokens for n in BEGINNINGS if len(t) > n}
+
+
+class _Scores(dict):
+    """Token to score (None: not telling), looked up once while it stays in this bounded cache."""
+
+    def __init__(self, terms: dict[str, float]) -> None:
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, token: str) -> float | None:
+        found = self.terms.get(token)
+        if found is None:
+            parts = ("^" + token[:n] for n in reversed(BEGINNINGS) if len(token) > n)
+            found = next((self.terms[p] for p in parts if p in self.terms), None)
+        if len(self) >= 500_000:
+            self.clear()
+        self[token] = found = found if found else None
+        return found
 
 
 @dataclass
 class Lexicon:
-    """Scores above 0 of telling tokens; all others cost ``drift``."""
+    """Scores above 0 of telling terms, 0 of known words that are not; all others cost ``drift``."""
 
     scores: dict[str, float] = field(default_factory=dict)
     drift: float = 1.0
@@ -66,10 +94,10 @@ def maximal_segments(places: list[int], gains: list[float], drift: float) -> lis
     return [(int(r[0]), int(r[1]), r[3] - r[2]) for r in runs]
 
 
-def text_segments(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, int, float]]]:
+def text_segments(text: str, scores: _Scores, lexicon: Lexicon) -> tuple[int, list[tuple[int, int, float]]]:
     """Number of tokens of a text, and its maximal scoring runs."""
     tokens = re.findall(TOKEN, text.lower())
-    found = list(map(lexicon.scores.get, tokens))
+    found = list(map(scores.__getitem__, tokens))
     places = [i for i, s in enumerate(found) if s is not None] if any(found) else []
     return len(tokens), maximal_segments(places, [found[i] for i in places], lexicon.drift)
 
@@ -95,10 +123,15 @@ def sampled_labels(labels: DataFrame, label: str, max_labelled: int) -> DataFram
 
 def fit_lexicon(
     docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_labelled: int = 200_000, max_terms: int = 20_000,
-    least_z: float = 3.0, least_odds: float = 1.0, prior_weight: float = 500.0, drift: float = 1.0,
+    least_z: float = 3.0, least_odds: float = 1.0, prior_weight: float = 500.0, least_prior: float = 0.5,
+    known_documents: int = 8, drift: float = 1.0,
 ) -> Lexicon:
     """Learn scores and calibration from labelled training rows.
 
+    A term counts once per document, so that a word repeated all through one text tells no more
+    than in any other. The prior of a term is its share of all terms times ``prior_weight``, plus
+    ``least_prior``. A word in ``known_documents`` or more stands for itself, not its beginning.
+
     ``max_labelled`` bounds the labelled rows that the classifier is fitted on (their ids are
     broadcast), ``max_terms`` the terms that it has, those of the greatest z first. Without
     toxic rows the lexicon is empty and every text scores the smoothed share of toxic rows.
@@ -111,7 +144,7 @@ def fit_lexicon(
         seen = Counter(), Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[toxic].update(re.findall(TOKEN, text.lower()))
+                seen[toxic].update(terms_of(set(re.findall(TOKEN, text.lower()))))
         tokens = list(seen[0].keys() | seen[1].keys())
         columns = [pa.array(tokens, pa.string()), *[pa.array([c[t] for t in tokens], pa.int64()) for c in seen]]
         yield pa.RecordBatch.from_arrays(columns, names=["token", "other", "toxic"])
@@ -129,8 +162,8 @@ def fit_lexicon(
     if not n_toxic or not n_other:
         return lexicon
 
-    alpha = F.lit(prior_weight) * (F.col("toxic") + F.col("other")) / F.lit(float(n_toxic + n_other))
-    log_odds = lambda y, n: F.log((y + alpha) / (F.lit(n + prior_weight) - y - alpha))
+    alpha = F.lit(prior_weight / (n_toxic + n_other)) * (F.col("toxic") + F.col("other")) + F.lit(least_prior)
+    log_odds = lambda y, n: F.log((y + alpha) / (F.lit(n + prior_weight) - y))
     delta = log_odds(F.col("toxic"), n_toxic) - log_odds(F.col("other"), n_other)
     spread = F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("other") + alpha))
     terms = (
@@ -144,6 +177,13 @@ def fit_lexicon(
     if not terms:
         return lexicon
     lexicon.scores = {r["token"]: r["delta"] for r in terms}
+    starts = sorted({t[1:] for t in lexicon.scores if t[0] == "^"})
+    if starts:
+        own = F.col("toxic") + F.col("other") >= known_documents
+        begins = [F.substring("token", 1, n).isin([x for x in starts if len(x) == n]) for n in BEGINNINGS]
+        plain = counts.filter(own & reduce(or_, begins)).orderBy(F.desc(F.col("toxic") + F.col("other")), "token")
+        for row in plain.select("token").limit(max_terms).collect():
+            lexicon.scores.setdefault(row["token"], 0.0)
 
     # lambda: the positive root of sum p(w) exp(lambda s(w)) = 1 over ordinary tokens.
     gains = np.array([r["delta"] for r in terms])
@@ -172,8 +212,9 @@ def fit_lexicon(
 
 def _segment_rows(train: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Scores(lexicon.scores)
         for batch in batches:
-            found = [text_segments(x, lexicon) for x in batch.column(0).to_pylist()]
+            found = [text_segments(x, known, lexicon) for x in batch.column(0).to_pylist()]
             scores = pa.array([[s for _, _, s in segments] for _, segments in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([n for n, _ in found], pa.int64()), scores], names=["label", "tokens", "scores"]
@@ -231,10 +272,11 @@ def toxic_passages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, c = lexicon.weights
+        known = _Scores(lexicon.scores)
         for batch in batches:
             tokens, scores, passages = [], [], []
             for text in batch.column(1).to_pylist():
-                n, segments = text_segments(text, lexicon)
+                n, segments = text_segments(text, known, lexicon)
                 x1, x2 = evidence(n, segments, lexicon)
                 tokens.append(n)
                 scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * x1 + c * x2)))))
