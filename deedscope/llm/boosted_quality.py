@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deedscope.llm.common import extended, fold
+from deedscope.llm.common import extended, fold, parts
 from deedscope.plans.lineage import cut_lineage
 
 STATISTICS = [
@@ -56,7 +56,7 @@ def statistics(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             stats = [text_statistics(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(stats, pa.list_(pa.float32()))], names=["doc_id", "stats"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deedscope.llm.common import extended
+from deedscope.llm.common import extended, parts
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -116,7 +116,7 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
 
 def encode(
     docs: DataFrame, rank_file: str, pattern: str, *, text_column: str = "text", ids_column: str = "ids",
-    cache_entries: int = 500_000,
+    cache_entries: int = 400_000,
 ) -> DataFrame:
     """``docs`` with its text replaced by the ids of its tokens, an array of int.
 
@@ -134,7 +134,7 @@ def encode(
 
         find = regex.compile(pattern).findall
         pieces = Pieces(parse_ranks(ranks.value), cache_entries)
-        for batch in batches:
+        for batch in parts(batches):
             ids = pa.array(
                 (list(chain.from_iterable(map(pieces.__getitem__, find(text)))) for text in batch.column(len(kept)).to_pylist()),
                 pa.list_(pa.int32()),
@@ -154,7 +154,7 @@ def decode(tokens: DataFrame, rank_file: str, *, ids_column: str = "ids", bytes_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed = parse_ranks(ranks.value)
         vocabulary = dict(zip(parsed.values(), parsed)).__getitem__
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column(at)
             texts = pa.array((b"".join(map(vocabulary, row)) if row else b"" for row in ids.to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*names, bytes_column])

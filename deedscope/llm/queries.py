@@ -11,6 +11,7 @@ from deedscope.llm.byte_bpe import round_trip
 from deedscope.llm.common import documents, labels
 from deedscope.llm.exact_dedup import exact_duplicates
 from deedscope.llm.line_dedup import deduplicate_lines
+from deedscope.llm.lm_score import score_documents
 from deedscope.llm.mixing import mix
 from deedscope.llm.ngram_join import near_duplicates
 from deedscope.llm.quality_rules import judged_measures
@@ -52,6 +53,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deedscope.llm.boosted_quality import train_labels
-from deedscope.llm.common import extended, fold
+from deedscope.llm.common import extended, fold, parts
 from deedscope.plans.lineage import cut_lineage
 
 TOKEN = r"\w+"
@@ -48,7 +48,7 @@ class _Scores(dict):
         if found is None:
             parts = ("^" + token[:n] for n in reversed(BEGINNINGS) if len(token) > n)
             found = next((self.terms[p] for p in parts if p in self.terms), None)
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[token] = found = found if found else None
         return found
@@ -142,7 +142,7 @@ def fit_lexicon(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter(), Counter()
-        for batch in batches:
+        for batch in parts(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[toxic].update(terms_of(set(re.findall(TOKEN, text.lower()))))
         tokens = list(seen[0].keys() | seen[1].keys())
@@ -213,7 +213,7 @@ def fit_lexicon(
 def _segment_rows(train: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Scores(lexicon.scores)
-        for batch in batches:
+        for batch in parts(batches):
             found = [text_segments(x, known, lexicon) for x in batch.column(0).to_pylist()]
             scores = pa.array([[s for _, _, s in segments] for _, segments in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
@@ -273,7 +273,7 @@ def toxic_passages(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, c = lexicon.weights
         known = _Scores(lexicon.scores)
-        for batch in batches:
+        for batch in parts(batches):
             tokens, scores, passages = [], [], []
             for text in batch.column(1).to_pylist():
                 n, segments = text_segments(text, known, lexicon)
