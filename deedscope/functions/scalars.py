@@ -124,3 +124,9 @@ def word_chunks(text: Column | str, size: int = 512) -> Column:
         return F.when(F.size(tokens) > 0, pieces).otherwise(F.array().cast("array<string>"))
 
     return _let(words(text), cut)
+
+
+def hashed_unit(*parts: Column) -> Column:
+    """A number in [0, 1) that any engine gets from the same parts: 52 bits of the md5 of their text."""
+    digest = F.md5(F.encode(F.concat_ws("|", *[p.cast("string") for p in parts]), "UTF-8"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))

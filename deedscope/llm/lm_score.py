@@ -291,7 +291,7 @@ def _unknown_words(texts: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in parts(batches):
-            found = [Counter(w for w in words_of(text) if w not in known) for text in batch.column(2).to_pylist()]
+            found = [Counter(w for w in (*words_of(text), END) if w not in known) for text in batch.column(2).to_pylist()]
             at = np.repeat(np.arange(len(found)), [len(x) for x in found])
             words = pa.array([w for x in found for w in x], pa.binary())
             times = pa.array([n for x in found for n in x.values()], pa.int64())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deedscope.functions.scalars import map_values
+from deedscope.functions.scalars import hashed_unit, map_values
 
 # --- filters ---------------------------------------------------------------------------------
 
@@ -218,5 +218,4 @@ def decode_table(
 
 def blank_share(df: DataFrame, column: str, key: Column, share: float, seed: int = 42) -> DataFrame:
     """Blank a share of a column's values; which ones depends only on the key and the seed."""
-    slot = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn(column, F.when(slot >= int(share * 1_000_000), F.col(column)))
+    return df.withColumn(column, F.when(hashed_unit(F.lit(seed), key) >= share, F.col(column)))

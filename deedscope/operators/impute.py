@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deedscope.operators.cleaning import fill_means
-from deedscope.operators.features import Scaling, categories, label_positions
-from deedscope.operators.profiling import distinct_widths
+from deedscope.operators.features import Scaling, categories, label_positions, widths_of
+from deedscope.operators.profiling import value_counts
 from deedscope.plans.lineage import cut_lineage
 from deedscope.plans.sizing import broadcast_if_small
 
@@ -79,10 +79,11 @@ def impute_table(
     limited to the known labels; a missing category is the one whose 0/1 column comes out
     highest.
     """
-    widths = {r["column_name"]: r["distinct_values"] for r in distinct_widths(df, text).collect()}
-    wide = [c for c in text if widths[c] > label_above]
-    narrow = categories(df, [c for c in text if c not in wide])
-    positions = {c: label_positions(df, c, order="alphabet") for c in wide}
+    counts = cut_lineage(value_counts(df, text))
+    widths = widths_of(counts)
+    wide = [c for c in text if widths.get(c, 0) > label_above]
+    narrow = categories(df, [c for c in text if c not in wide], counts=counts)
+    positions = {c: cut_lineage(label_positions(df, c, order="alphabet", counts=counts)) for c in wide}
 
     encoded = df
     for c in wide:

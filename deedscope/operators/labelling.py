@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,15 +13,13 @@ from deedscope.operators.joins import rows_without_match
 
 
 def label_by_owner(
-    df: DataFrame, *, high_price: float = 1_000_000, home_country: str = "UK",
-    leasehold: str = "Leasehold",
+    df: DataFrame, *, high_price: float = 1_000_000, home_country: str = "UK"
 ) -> DataFrame:
     """Flag high prices, a missing first owner, or an owner from abroad."""
     missing = F.col("proprietor1").isNull()
     flagged = (
         (F.col("price_paid") > high_price)
         | missing
-        | (missing & (F.col("tenure") == leasehold))
         | (F.col("country") != home_country)
     )
     return df.withColumn("is_fraud", F.when(flagged, 1).otherwise(0))
@@ -53,13 +53,15 @@ def label_by_average(
 
 
 def split_scorable(
-    df: DataFrame, *, key: str, required: Sequence[str], **rules
+    df: DataFrame, *, required: Sequence[str], key: str | None = None, **rules
 ) -> tuple[DataFrame, DataFrame]:
     """Label the complete rows; return them and the rows left out for a missing value.
 
     Indexing and assembling with "skip" only drops rows with a NULL among ``required``, so the
-    NULLs are dropped directly. The rest are rows whose key is not among the labelled ones.
+    NULLs are dropped directly. The rest are the other rows, found in the same scan. Where a key
+    has several rows, name it: the rest are then the rows whose key is not among the labelled.
     """
     labelled = label_by_gaps(df.dropna(subset=list(required)), **rules)
-    rest = rows_without_match(df, labelled, key)
-    return labelled, rest
+    if key is not None:
+        return labelled, rows_without_match(df, labelled, key)
+    return labelled, df.filter(reduce(or_, [F.col(c).isNull() for c in required]))

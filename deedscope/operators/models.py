@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -42,26 +41,42 @@ def feature_stages(
     return stages
 
 
-def train_forest(
+def fit_forest(
     df: DataFrame, *, label: str, categorical: Sequence[str], numeric: Sequence[str],
-    trees: int = 100, depth: int = 5, share: float = 0.8, seed: int = 42, max_categories: int = 1_000,
+    trees: int = 100, depth: int = 5, seed: int = 42, max_categories: int = 1_000,
+) -> PipelineModel:
+    """A random forest. Keep ``df`` first: it is read many times."""
+    categories(df, categorical, max_categories)
+    forest = RandomForestClassifier(
+        featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed
+    )
+    return Pipeline(stages=[*feature_stages(categorical, numeric), forest]).fit(df)
+
+
+def train_forest(
+    df: DataFrame, *, label: str, categorical: Sequence[str], numeric: Sequence[str], share: float = 0.8,
+    seed: int = 42, **options,
 ) -> tuple[PipelineModel, DataFrame]:
-    """A random forest, and one row with its train and test AUC.
+    """A random forest of a share of the rows, and one row with its train and test AUC.
 
-    The needed columns are checkpointed first: they are read many times, and a split by random
-    numbers only stays the same when the rows are not computed anew.
+    The needed columns are checkpointed first: a split by random numbers only stays the same when
+    the rows are not computed anew. The areas are exact, over all distinct scores.
     """
     rows = cut_lineage(df.select(*categorical, *numeric, label))
-    categories(rows, categorical, max_categories)
     train, test = rows.randomSplit([share, 1 - share], seed)
-    forest = RandomForestClassifier(
-        featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed
-    )
-    model = Pipeline(stages=[*feature_stages(categorical, numeric), forest]).fit(train)
-    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    scores = [(float(evaluator.evaluate(model.transform(part))),) for part in (train, test)]
-    row = [(scores[0][0], scores[1][0])]
-    return model, df.sparkSession.createDataFrame(row, "train_auc double, test_auc double")
+    model = fit_forest(train, label=label, categorical=categorical, numeric=numeric, seed=seed, **options)
+    areas = [
+        area_under_roc(scored_table(model, part, [], label), label, "probability").select(F.col("auc").alias(name))
+        for part, name in ((train, "train_auc"), (test, "test_auc"))
+    ]
+    # One row each.
+    values = [area.first()[0] for area in areas]
+    return model, df.sparkSession.createDataFrame([tuple(values)], "train_auc double, test_auc double")
+
+
+def forest_auc(df: DataFrame, **options) -> DataFrame:
+    """One row: the areas under the ROC curve of a forest on its own rows and on those held out."""
+    return train_forest(df, **options)[1]
 
 
 def scored_table(model: PipelineModel, df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from deedscope.operators.cleaning import numeric_columns, string_columns
 from deedscope.operators.quantiles import exact_quantiles
+from deedscope.plans.lineage import cut_lineage
 
 
 def _rows_from_struct(one_row: DataFrame, columns: Sequence[str], fields: dict[str, str]) -> DataFrame:
@@ -62,7 +63,11 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     value reaches the shuffle once per task.
     """
     columns = list(columns or string_columns(df))
-    as_text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    # Adding zero makes -0.0 and 0.0 one value, as they are in comparisons.
+    fractional = {c for c in columns if isinstance(df.schema[c].dataType, T.FractionalType)}
+    as_text = df.select(
+        *[(F.col(c) + F.lit(0).cast(df.schema[c].dataType) if c in fractional else F.col(c)).cast("string").alias(c) for c in columns]
+    )
     return (
         as_text.unpivot([], columns, "column_name", "value")
         .groupBy("column_name", "value")
@@ -97,17 +102,19 @@ def _is_empty(df: DataFrame, column: str) -> Column:
 
 
 def profile_columns(
-    df: DataFrame, columns: Sequence[str] | None = None, *, approximate: bool = False
+    df: DataFrame, columns: Sequence[str] | None = None, *, approximate: bool = False, bins: int = 10
 ) -> DataFrame:
-    """One row per column: type, empty and distinct counts and shares, min, max, average.
+    """One row per column: type, empty and distinct counts and shares, min, max, average, and an
+    equal-width histogram of each numeric column as an array of (left edge, right edge, rows).
 
     A name the table does not have yields a row with ``column_exists`` false. The distinct share leaves
     the empty cells out of the distinct count, as the report always did, so it can be negative.
-    Exact distinct counts shuffle the distinct values; ``approximate`` needs the one pass only.
+    Exact distinct counts shuffle the distinct values, which also give the histogram: two scans.
+    ``approximate`` needs one scan and leaves the histogram out.
     """
     wanted = list(columns or df.columns)
     known = [c for c in wanted if c in df.columns]
-    numeric = {c for c in known if isinstance(df.schema[c].dataType, (T.IntegerType, T.DoubleType))}
+    numeric = {c for c in known if isinstance(df.schema[c].dataType, T.NumericType)}
 
     def number(fn, column: str) -> Column:
         return fn(F.col(column)).cast("double") if column in numeric else F.lit(None).cast("double")
@@ -127,7 +134,12 @@ def profile_columns(
         fields["distinct_count"] = "distinct"
     profile = _rows_from_struct(df.agg(*aggregates), known, fields)
     if not approximate:
-        profile = profile.join(null_and_distinct(df, known).drop("null_percentage"), "column_name", "left")
+        profile = cut_lineage(profile)
+        counts = cut_lineage(value_counts(df, known))
+        distinct = counts.groupBy("column_name").agg(F.count("*").alias("distinct_count"))
+        profile = profile.join(distinct, "column_name", "left").join(
+            _histograms(counts, profile, sorted(numeric), bins), "column_name", "left"
+        )
 
     kinds = F.create_map(*[F.lit(x) for c in known for x in (c, df.schema[c].dataType.simpleString())])
     rows = F.col("rows")
@@ -147,6 +159,7 @@ def profile_columns(
         "min_value",
         "max_value",
         F.round("avg_value", 2).alias("avg_value"),
+        *([] if approximate else ["histogram"]),
     )
     unknown = [(c, False) for c in wanted if c not in df.columns]
     if unknown:
@@ -155,6 +168,64 @@ def profile_columns(
     return profile
 
 
+def _histograms(counts: DataFrame, profile: DataFrame, numeric: list[str], bins: int) -> DataFrame:
+    """``column_name`` and ``histogram`` of the numeric columns, from the counts of their values.
+
+    A single value is centred in a range of width one; a column without values has none.
+    """
+    flat = F.col("min_value") == F.col("max_value")
+    edges = profile.filter(F.col("column_name").isin(numeric) & F.col("min_value").isNotNull()).select(
+        "column_name",
+        F.when(flat, F.col("min_value") - 0.5).otherwise(F.col("min_value")).alias("lo"),
+        F.when(flat, F.col("max_value") + 0.5).otherwise(F.col("max_value")).alias("hi"),
+    )
+    value = F.col("value").try_cast("double")
+    slot = F.least(F.floor((value - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
+    # ``edges`` has a row for each numeric column of the table at most.
+    filled = (
+        counts.filter(F.col("value").isNotNull())
+        .join(F.broadcast(edges), "column_name")
+        .groupBy("column_name", slot.alias("bin"))
+        .agg(F.sum("num_rows").alias("n"))
+        .groupBy("column_name")
+        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("filled"))
+    )
+    step = (F.col("hi") - F.col("lo")) / bins
+    one_bin = lambda b: F.struct(
+        (F.col("lo") + b * step).alias("left_edge"),
+        F.when(b == bins - 1, F.col("hi")).otherwise(F.col("lo") + (b + 1) * step).alias("right_edge"),
+        F.coalesce(F.try_element_at("filled", b), F.lit(0)).cast("bigint").alias("num_rows"),
+    )
+    return edges.join(filled, "column_name").select(
+        "column_name", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), one_bin).alias("histogram")
+    )
+
+
+def explore(df: DataFrame, numbers: Sequence[str], pairs: Sequence[tuple[str, str]], texts: Sequence[str]) -> DataFrame:
+    """Means, missing shares, correlations and distinct counts as (section, item, amount) rows.
+
+    One scan for all that an aggregate gives, one for the distinct counts.
+    """
+    columns = df.columns
+    wide = df.agg(
+        F.count("*").alias("rows"),
+        *[F.count(F.col(c)).alias(f"n_{i}") for i, c in enumerate(columns)],
+        *[F.avg(F.col(c).cast("double")).alias(f"mean_{i}") for i, c in enumerate(numbers)],
+        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)],
+    )
+    missing = lambda i: F.when(F.col("rows") > 0, F.round((F.col("rows") - F.col(f"n_{i}")) / F.col("rows") * 100, 1)).otherwise(0.0)
+    cells = [
+        *[("describe", c, F.round(f"mean_{i}", 6)) for i, c in enumerate(numbers)],
+        *[("missing", c, missing(i)) for i, c in enumerate(columns)],
+        *[("correlation", ",".join(pair), F.round(f"r_{i}", 6)) for i, pair in enumerate(pairs)],
+    ]
+    entries = [F.struct(F.lit(s).alias("section"), F.lit(c).alias("item"), v.cast("double").alias("amount")) for s, c, v in cells]
+    distinct = null_and_distinct(df, texts).select(
+        F.lit("distinct").alias("section"), F.col("column_name").alias("item"), F.col("distinct_count").cast("double").alias("amount")
+    )
+    return wide.select(F.inline(F.array(*entries))).unionByName(distinct)
+
+
 def profile_json(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
     """The profile as one JSON document per column."""
     return profile_columns(df, columns, **options).select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from deedscope.functions.scalars import holds_keyword, percent_of, pounds
 from deedscope.operators.cleaning import in_price_band, standard_address
 from deedscope.operators.profiling import histogram
+from deedscope.plans.lineage import cut_lineage
 
 # --- rankings and totals -----------------------------------------------------------------------
 
@@ -165,8 +166,9 @@ def most_expensive(df: DataFrame, *, ranks: int = 10) -> DataFrame:
 
     The maximum belongs to a district and county; it is matched back on the district alone.
     """
-    per_district = df.groupBy("district", "county").agg(
-        F.count("district").alias("owned"), F.max("price_paid").alias("highest")
+    # Kept, for it is ranked and then joined: the ledger is read once for it and once for the rows.
+    per_district = cut_lineage(
+        df.groupBy("district", "county").agg(F.count("district").alias("owned"), F.max("price_paid").alias("highest"))
     )
     # Rank, then match: the ranked side has few rows, yet ties make its size unknown, so the
     # join is left to the optimiser's own size estimate.
@@ -289,7 +291,11 @@ def offshore_comparison(
     flagged: DataFrame, index: DataFrame, *, county: str, excluded_district: str, bins: int = 20,
     divisor: float = 1e9, decimals: int = 1,
 ) -> dict[str, DataFrame]:
-    """The tables of the flagged-against-ordinary report."""
+    """The tables of the flagged-against-ordinary report.
+
+    They need few columns of the flagged rows, which are kept, so the ledger is read once.
+    """
+    flagged = cut_lineage(flagged.select("region", "country", "district", "county", "price_paid"))
     return {
         "regions": region_totals(flagged),
         "jurisdictions": jurisdiction_ranking(flagged, divisor=divisor, decimals=decimals),

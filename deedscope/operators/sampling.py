@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deedscope.functions.scalars import hashed_unit
+
 
 def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
     """All rows in random order, by a distributed sort."""
     return df.orderBy(F.rand(seed))
 
 
-def bootstrap(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Sample with replacement; ``fraction`` of the rows is the expected size."""
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+def poisson_count(unit: Column, mean: float) -> Column:
+    """The Poisson number of a mean at a number in [0, 1), by inverting the distribution."""
+    term = total = math.exp(-mean)
+    steps = [total]
+    while len(steps) < mean + 12 * math.sqrt(mean) + 20:
+        term *= mean / len(steps)
+        total += term
+        steps.append(total)
+    return F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda c: c < unit))
+
+
+def bootstrap(df: DataFrame, fraction: float, seed: int = 42, *, key: Sequence[str] | None = None) -> DataFrame:
+    """Sample with replacement; ``fraction`` of the rows is the expected size.
+
+    How often a row is drawn depends on the seed and its ``key`` (by default all its columns)
+    only, so partitions and reruns don't change the sample. Rows of equal key are drawn alike.
+    """
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in key or df.columns]
+    drawn = df.withColumn("__n", poisson_count(hashed_unit(F.lit(seed), *parts), fraction))
+    copies = F.explode(F.sequence(F.lit(1), F.col("__n")))
+    return drawn.filter("__n > 0").select(*[F.col(f"`{c}`") for c in df.columns], copies.alias("__copy")).drop("__copy")
 
 
-def augment(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+def augment(df: DataFrame, fraction: float, seed: int = 42, *, key: Sequence[str] | None = None) -> DataFrame:
     """The rows and a bootstrap sample of them, shuffled."""
-    return shuffle_rows(df.unionByName(bootstrap(df, fraction, seed)), seed)
+    return shuffle_rows(df.unionByName(bootstrap(df, fraction, seed, key=key)), seed)
 
 
 def random_split(df: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -31,7 +54,7 @@ def hash_split(
 ) -> tuple[DataFrame, DataFrame]:
     """A split that depends on the key only: the same rows on every run and every cluster."""
     column = F.col(key) if isinstance(key, str) else key
-    first = F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+    first = hashed_unit(F.lit(seed), column) < share
     return df.filter(first), df.filter(~first)
 
 

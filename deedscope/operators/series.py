@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deedscope.functions.scalars import month_starts, year_month
+from deedscope.functions.scalars import hashed_unit, month_starts, year_month
 from deedscope.operators.cleaning import in_period
 from deedscope.operators.profiling import measure_means
+from deedscope.plans.lineage import cut_lineage
 
 # --- extraction --------------------------------------------------------------------------------
 
@@ -101,31 +102,42 @@ def _future(horizon: int, first: datetime.date | None) -> Column:
 # --- trends --------------------------------------------------------------------------------------
 
 
+# Subtracted from the month numbers before they are squared: differences stay small and exact.
+_ORIGIN = {"month": 24_000, "year_month": 200_000}
+_AXES = {"month": _months, "year_month": year_month}
+
+
 def linear_trend(
     series: DataFrame, keys: Sequence[str], *, horizon: int = 12, first: datetime.date | None = None,
     axis: str = "month",
 ) -> DataFrame:
     """Straight-line forecast per key. ``axis`` is "month" (linear time) or "year_month" (yyyymm).
 
-    Scaling the axis before the fit would not change the line, so none is done.
+    Scaling the axis before the fit would not change the line, so none is done. A key with one
+    month has no line and forecasts NULL.
     """
-    axes = {"month": _months, "year_month": year_month}
-    at = axes[axis]
-    x = at(F.col("date_taken")).cast("double")
-    fitted = (
-        series.filter(F.col("price").isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.regr_slope("price", x).alias("slope"),
-            F.regr_intercept("price", x).alias("intercept"),
-            F.max(F.trunc("date_taken", "month")).alias("last_date"),
-        )
-    )
-    future = fitted.withColumn("date_taken", F.explode(_future(horizon, first)))
-    return future.select(
-        *keys, "date_taken",
-        (F.col("intercept") + F.col("slope") * at(F.col("date_taken"))).alias("forecast"),
-    )
+    return _linear(_monthly(series, keys), keys, horizon, first, axis)
+
+
+def _line(months: DataFrame, keys: Sequence[str], axis: str = "month") -> DataFrame:
+    """Slope, intercept (at the axis' origin) and last month per key, each month with its weight."""
+    x, n, y = _AXES[axis](F.col("date_taken")) - _ORIGIN[axis], F.col("n"), F.col("price")
+    sums = months.groupBy(*keys).agg(
+        F.sum("n").alias("w"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"),
+        F.sum(n * x * y).alias("xy"), F.max("date_taken").alias("last_date"),
+    )
+    spread = F.col("w") * F.col("xx") - F.col("x") * F.col("x")
+    slope = F.when(spread > 0, (F.col("w") * F.col("xy") - F.col("x") * F.col("y")) / spread)
+    return sums.withColumn("slope", slope).select(
+        *keys, "slope", ((F.col("y") - F.col("slope") * F.col("x")) / F.col("w")).alias("intercept"), "last_date",
+        (F.col("y") / F.col("w")).alias("mean"),
+    )
+
+
+def _linear(months: DataFrame, keys: Sequence[str], horizon: int, first: datetime.date | None, axis: str = "month") -> DataFrame:
+    future = _line(months, keys, axis).withColumn("date_taken", F.explode(_future(horizon, first)))
+    at = _AXES[axis](F.col("date_taken")) - _ORIGIN[axis]
+    return future.select(*keys, "date_taken", (F.col("intercept") + F.col("slope") * at).alias("forecast"))
 
 
 def _solve(moments: pd.Series, products: pd.Series, months: pd.Series) -> pd.Series:
@@ -185,45 +197,67 @@ def polynomial_trend(
 
 
 def seasonal_forecast(
-    series: DataFrame, keys: Sequence[str], *, period: int = 12, z: float = 1.96
+    series: DataFrame, keys: Sequence[str], *, horizon: int = 12, period: int = 12, z: float = 1.96
 ) -> DataFrame:
-    """The value one period earlier plus the mean change over a period, with an interval.
+    """The newest value of the same season plus the mean change for each period passed since.
 
-    The earlier value is looked up by calendar month, so a missing month does not shift it.
+    One row for each of ``horizon`` months after the key's last. The season's value is looked up
+    by calendar month, so a missing month shifts nothing and drops nothing: an older value stands
+    in, and where the season was never seen, the trend line (the mean, if there is no line). The
+    interval widens with the square root of the periods passed; it is NULL while no change over
+    a period is known twice.
     """
-    months = _monthly(series, keys)
+    return _seasonal(_monthly(series, keys), keys, horizon, period, z)
+
+
+def _seasonal(months: DataFrame, keys: Sequence[str], horizon: int, period: int = 12, z: float = 1.96) -> DataFrame:
     same_month = Window.partitionBy(*keys).orderBy("t").rangeBetween(-period, -period)
-    per_key = Window.partitionBy(*keys)
     changes = months.withColumn("change", F.col("price") - F.first("price").over(same_month))
-    known = changes.select(
-        *keys, "date_taken", "t", "price",
-        F.avg("change").over(per_key).alias("drift"),
-        F.stddev_samp("change").over(per_key).alias("spread"),
-        F.max("t").over(per_key).alias("last_t"),
+    stats = changes.groupBy(*keys).agg(
+        F.avg("change").alias("drift"), F.stddev_samp("change").alias("spread"), F.max("t").alias("last_t")
     )
-    forecast = F.col("price") + F.col("drift")
-    return known.filter(F.col("t") > F.col("last_t") - period).select(
-        *keys,
-        F.add_months("date_taken", period).alias("date_taken"),
-        forecast.alias("forecast"),
-        (forecast - z * F.col("spread")).alias("lower"),
-        (forecast + z * F.col("spread")).alias("upper"),
+    newest = months.groupBy(*keys, (F.col("t") % period).alias("season")).agg(
+        F.max("t").alias("seen"), F.max_by("price", "t").alias("price")
     )
+    steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
+    future = (
+        stats.join(_line(months, keys), list(keys))
+        .select("*", steps)
+        .withColumn("t", F.col("last_t") + F.col("step"))
+        .withColumn("season", F.col("t") % period)
+        .join(newest, [*keys, "season"], "left")
+    )
+    on_line = F.coalesce(F.col("intercept") + F.col("slope") * (F.col("t") - _ORIGIN["month"]), F.col("mean"))
+    drift = F.coalesce("drift", F.col("slope") * period, F.lit(0.0))
+    forecast = F.coalesce(F.col("price") + drift * (F.col("t") - F.col("seen")) / period, on_line)
+    passed = F.coalesce((F.col("t") - F.col("seen")) / period, F.ceil(F.col("step") / period))
+    reach = z * F.col("spread") * F.sqrt(passed)
+    return future.select(
+        *keys, F.expr("add_months(trunc(last_date, 'month'), step)").alias("date_taken"),
+        forecast.alias("forecast"), (forecast - reach).alias("lower"), (forecast + reach).alias("upper"),
+    )
 
 
 def boosted_trend(
     series: DataFrame, keys: Sequence[str], *, horizon: int = 12, first: datetime.date | None = None,
-    trees: int = 20, depth: int = 3, seed: int = 42,
+    trees: int = 100, depth: int = 3, seed: int = 42,
 ) -> DataFrame:
     """Boosted-tree forecast: one model over all series, from the key's mean and the month.
 
     A tree cannot use a key's name, so each key is described by its own mean price; the model
-    learns the price relative to it.
+    learns the price relative to it. Trees are added until the error on a fifth of the months,
+    chosen by hash, no longer falls, ``trees`` at most.
     """
+    return _boosted(cut_lineage(_monthly(series, keys)), keys, horizon, first, trees, depth, seed)
+
+
+def _boosted(
+    months: DataFrame, keys: Sequence[str], horizon: int, first: datetime.date | None = None, trees: int = 100,
+    depth: int = 3, seed: int = 42,
+) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    months = _monthly(series, keys)
     per_key = Window.partitionBy(*keys)
     rows = months.select(
         *keys, "date_taken", F.col("t").cast("double").alias("t"), "price",
@@ -231,10 +265,16 @@ def boosted_trend(
     ).withColumn("relative", F.col("price") / F.col("level"))
     season = F.month("date_taken").cast("double").alias("season")
     assembler = VectorAssembler(inputCols=["t", "season", "level"], outputCol="features")
-    training = assembler.transform(rows.select("t", season, "level", "relative"))
-    model = GBTRegressor(
+    checked = (F.pmod(F.xxhash64(*keys, "t", F.lit(seed)), F.lit(5)) == 0).alias("checked")
+    # Read by every tree.
+    training = cut_lineage(assembler.transform(rows.select("t", season, "level", "relative", checked)))
+    boosting = GBTRegressor(
         featuresCol="features", labelCol="relative", maxIter=trees, maxDepth=depth, seed=seed
-    ).fit(training)
+    )
+    kinds = training.agg(F.count_if("checked").alias("held"), F.count_if(~F.col("checked")).alias("used")).first()
+    if kinds["held"] and kinds["used"]:
+        boosting = boosting.setValidationIndicatorCol("checked")
+    model = boosting.fit(training)
     last = rows.groupBy(*keys).agg(F.max("date_taken").alias("last_date"), F.first("level").alias("level"))
     future = last.withColumn("date_taken", F.explode(_future(horizon, first))).withColumn(
         "t", _months(F.col("date_taken")).cast("double")
@@ -244,19 +284,54 @@ def boosted_trend(
 
 
 def combined_forecast(series: DataFrame, keys: Sequence[str], *, horizon: int = 12) -> DataFrame:
-    """Linear, boosted and seasonal forecasts side by side with their mean."""
+    """Linear, boosted and seasonal forecasts side by side with the mean of those that are known.
+
+    Every key has a row for each of the ``horizon`` months after its last. The monthly table is
+    computed once and handed to all three.
+    """
     on = [*keys, "date_taken"]
-    linear = linear_trend(series, keys, horizon=horizon).withColumnRenamed("forecast", "linear")
-    boosted = boosted_trend(series, keys, horizon=horizon).withColumnRenamed("forecast", "boosted")
-    seasonal = seasonal_forecast(series, keys).select(*on, F.col("forecast").alias("seasonal"))
-    return linear.join(boosted, on).join(seasonal, on).withColumn(
-        "combined", (F.col("linear") + F.col("boosted") + F.col("seasonal")) / 3
-    )
+    months = cut_lineage(_monthly(series, keys))
+    last = months.groupBy(*keys).agg(F.max("date_taken").alias("last_date"))
+    calendar = last.select(*keys, F.explode(_future(horizon, None)).alias("date_taken"))
+    kinds = ["linear", "boosted", "seasonal"]
+    parts = (_linear(months, keys, horizon, None), _boosted(months, keys, horizon), _seasonal(months, keys, horizon))
+    joined = calendar
+    for name, part in zip(kinds, parts):
+        joined = joined.join(part.select(*on, F.col("forecast").alias(name)), on, "left")
+    known = F.filter(F.array(*kinds), lambda v: v.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, v: a + v)
+    return joined.withColumn("combined", F.when(F.size(known) > 0, total / F.size(known)))
 
 
 # --- calendar --------------------------------------------------------------------------------------
 
 
+def calendar_gaps_per_key(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
+    """Days without a row between each key's first and last day.
+
+    The days observed are made distinct first; a gap is what lies between one and the next.
+    """
+    days = df.select(*keys, F.col(date).cast("date").alias(date)).filter(F.col(date).isNotNull()).distinct()
+    following = F.lead(date).over(Window.partitionBy(*keys).orderBy(date))
+    spans = days.withColumn("__next", following).filter(F.date_diff("__next", date) > 1)
+    between = F.sequence(F.date_add(date, 1), F.date_sub("__next", 1), F.expr("interval 1 day"))
+    return spans.select(*keys, F.explode(between).alias(date))
+
+
+def fill_gaps_per_key(
+    df: DataFrame, keys: Sequence[str], date: str, value: str, *, low: float = 67.5, high: float = 72.3, seed: int = 42
+) -> DataFrame:
+    """Rows of ``df`` and one for each missing day of a key, its value drawn evenly from a range.
+
+    The draw, to one decimal, depends on seed, key and day only.
+    """
+    unit = hashed_unit(F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.col(date))
+    drawn = F.round(F.lit(low) + (high - low) * unit, 1)
+    observed = df.select(*keys, F.col(date).cast("date").alias(date), F.col(value).cast("double").alias(value), F.lit(False).alias("filled"))
+    missing = calendar_gaps_per_key(df, keys, date).select(*keys, date, drawn.alias(value), F.lit(True).alias("filled"))
+    return observed.unionByName(missing)
+
+
 def calendar_gaps(df: DataFrame, date: str, start: datetime.date, end: datetime.date) -> DataFrame:
     """Days of the period without a row."""
     days = df.sparkSession.range(1).select(
@@ -273,8 +348,7 @@ def fill_gaps(
 
     The draw depends on the day and the seed only.
     """
-    unit = F.pmod(F.xxhash64(date, F.lit(seed)), F.lit(1_000_003)) / 1_000_003
-    drawn = F.round(F.lit(low) + (high - low) * unit, 1)
+    drawn = F.round(F.lit(low) + (high - low) * hashed_unit(F.lit(seed), F.col(date).cast("date")), 1)
     observed = df.select(date, F.col(value).cast("double").alias(value), F.lit(False).alias("filled"))
     missing = calendar_gaps(df, date, start, end).select(
         date, drawn.alias(value), F.lit(True).alias("filled")

@@ -16,7 +16,7 @@ from deedscope.workload.tables import (
 COUNTY, LEFT_OUT, DISTRICT = "EUROPE", "NATION_3", "NATION_8"
 
 _OWNER_RULE = f"""CASE WHEN price_paid > {HIGH_PRICE} OR proprietor1 IS NULL
-  OR (proprietor1 IS NULL AND tenure = 'Leasehold') OR country <> 'UK' THEN 1 ELSE 0 END"""
+  OR country <> 'UK' THEN 1 ELSE 0 END"""
 _GAP_RULE = f"""CASE WHEN price_paid > {HIGH_PRICE} THEN 1
   WHEN proprietor1 IS NULL OR proprietor2 IS NULL OR address1 IS NULL THEN 1
   WHEN country <> 'UK' THEN 1 ELSE 0 END"""
@@ -84,7 +84,7 @@ def label_rule_c(spark, sf):
 )
 def labelled_registry(spark, sf):
     labelled, _ = labelling.split_scorable(
-        registry(spark, sf), key="title_number", required=_REQUIRED, high_price=HIGH_PRICE
+        registry(spark, sf), required=_REQUIRED, high_price=HIGH_PRICE
     )
     return labelled.select("title_number", "is_fraud", "price_paid")
 
@@ -100,7 +100,7 @@ def labelled_registry(spark, sf):
 )
 def unscorable_anti(spark, sf):
     _, rest = labelling.split_scorable(
-        registry(spark, sf), key="title_number", required=_REQUIRED, high_price=HIGH_PRICE
+        registry(spark, sf), required=_REQUIRED, high_price=HIGH_PRICE
     )
     return rest.select("title_number", "district", "price_paid")
 
@@ -362,11 +362,13 @@ def all_columns_join(spark, sf):
 @query(
     "distinct_left_join",
     with_views(
-        f"""SELECT DISTINCT coalesce(lower(bd.district), lower(gd.region_name)) AS region_name,
-          gd.region_name AS gd_region_name, gd.date_taken AS gd_date_taken, {rounded_sql("gd.average_price")} AS gd_average_price,
-          bd.district AS bd_district, bd.county AS bd_county, bd.owned AS bd_owned
-        FROM price_index gd LEFT JOIN (SELECT district, county, count(*) AS owned FROM registry GROUP BY ALL) bd
-          ON lower(gd.region_name) = lower(bd.district) WHERE upper(bd.county) = '{COUNTY}'""",
+        f"""WITH owned AS (SELECT district, county, count(*) AS titles FROM registry
+            WHERE upper(county) = '{COUNTY}' AND district IS NOT NULL GROUP BY district, county),
+          months AS (SELECT region_name, date_taken, {rounded_sql("average_price")} AS price FROM price_index
+            GROUP BY region_name, date_taken, average_price)
+        SELECT lower(o.district) AS region_name, m.region_name AS gd_region_name, m.date_taken AS gd_date_taken,
+          m.price AS gd_average_price, o.district AS bd_district, o.county AS bd_county, o.titles AS bd_owned
+        FROM owned o JOIN months m ON lower(m.region_name) = lower(o.district)""",
         "registry", "price_index",
     ),
 )
@@ -396,12 +398,13 @@ def width_cross_join(spark, sf):
     return joins.with_width_columns(registry(spark, sf), ["title_number", "address1"])
 
 
-_RATIO_SQL = f"""SELECT bd.county, bd.district, round(avg(bd.price_paid)) AS average_owned,
-  round(avg(gd.average_price)) AS average_index,
-  CAST(floor(round(round(avg(bd.price_paid)) / round(avg(gd.average_price)))) AS BIGINT) AS price_ratio
-FROM price_index gd
-LEFT JOIN flagged bd ON lower(gd.region_name) = lower(bd.district)
-WHERE coalesce(bd.district, 'NULL') <> 'NULL' GROUP BY bd.county, gd.region_name, bd.district"""
+# Districts that have flagged titles and an index under the same name, letter case aside: each
+# side's mean by itself, both rounded, and how often the one holds the other.
+_RATIO_SQL = """SELECT o.county, o.district, round(o.mean_price) AS average_owned, round(i.mean_price) AS average_index,
+  floor(round(round(o.mean_price) / round(i.mean_price)))::BIGINT AS price_ratio
+FROM (SELECT county, district, avg(price_paid) AS mean_price FROM flagged GROUP BY county, district) o,
+  (SELECT region_name, avg(average_price) AS mean_price FROM price_index GROUP BY region_name) i
+WHERE lower(o.district) = lower(i.region_name) AND o.district <> 'NULL'"""
 
 
 def _with_flagged(body: str) -> str:
@@ -510,10 +513,13 @@ def overseas_report(spark, sf):
     _with_flagged(
         f"""SELECT 'regions' AS section, region AS item, round(sum(price_paid) / 1e6, 1) AS amount
           FROM flagged WHERE region IS NOT NULL GROUP BY region
-        UNION ALL SELECT 'jurisdictions', country, round(sum(price_paid) / 1e6, 1) FROM flagged GROUP BY country
-        UNION ALL SELECT 'districts', district, average_price FROM ({_DISTRICT_SQL.replace('FROM registry', 'FROM flagged')})
-        UNION ALL SELECT 'comparison', district, price_ratio FROM ({_RATIO_SQL})
-          WHERE upper(county) = '{COUNTY}' AND district <> '{LEFT_OUT}'
+        UNION ALL SELECT * FROM (SELECT 'jurisdictions', country, round(sum(price_paid) / 1e6, 1) AS total FROM flagged GROUP BY country
+          ORDER BY total DESC NULLS LAST, country NULLS LAST LIMIT 15)
+        UNION ALL SELECT 'districts', district, average_price FROM (
+          {_DISTRICT_SQL.replace('FROM registry', 'FROM flagged')} ORDER BY total_price DESC, district LIMIT 15)
+        UNION ALL SELECT 'comparison', district, price_ratio FROM (SELECT r.*, n FROM ({_RATIO_SQL}) r
+          JOIN (SELECT district, count(*) AS n FROM flagged GROUP BY district) o USING (district)
+          WHERE upper(county) = '{COUNTY}' AND district <> '{LEFT_OUT}' ORDER BY n DESC, district, county LIMIT 15)
         UNION ALL SELECT 'price_distribution', bin::VARCHAR, num_rows
           FROM ({histogram_sql('SELECT price_paid FROM flagged', 'price_paid', 20)})"""
     ),

@@ -6,13 +6,19 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from deedscope.functions.scalars import hashed_unit
 from deedscope.operators import cleaning, features, impute, models, profiling, reports, sampling
-from deedscope.workload.ledger import owner_labelled
+from deedscope.plans.lineage import cut_lineage
+from deedscope.workload.ledger import _OWNER_RULE, owner_labelled
 from deedscope.workload.profiles import NUMBERS
 from deedscope.workload.registry import query
 from deedscope.workload.tables import price_index, read, registry, with_views
 
 
+def _unit_sql(key: str, seed: int = 42) -> str:
+    return f"(('0x' || substr(md5('{seed}|' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
 def _positions_sql(column: str, order: str) -> str:
     return f"SELECT {column} AS label, row_number() OVER (ORDER BY {order}) - 1 AS position FROM registry WHERE {column} IS NOT NULL GROUP BY {column}"
 
@@ -152,15 +158,33 @@ _FOREST = {"categorical": ["tenure", "country", "category"], "numeric": ["price_
 
 @query("forest_auc")
 def forest_auc(spark, sf):
-    _, scores = models.train_forest(owner_labelled(spark, sf), trees=10, **_FOREST)
-    return scores
+    return models.forest_auc(owner_labelled(spark, sf), **_FOREST)
 
 
 @query("forest_scores")
 def forest_scores(spark, sf):
     labelled = owner_labelled(spark, sf)
-    model, _ = models.train_forest(labelled, trees=5, **_FOREST)
-    return models.scored_table(model, labelled, ["title_number"], "is_fraud")
+    # Fitted and scored from one kept copy.
+    rows = cut_lineage(labelled.select("title_number", "is_fraud", *_FOREST["categorical"], *_FOREST["numeric"]))
+    return models.scored_table(models.fit_forest(rows, **_FOREST), rows, ["title_number"], "is_fraud")
+
+
+@query(
+    "forest_rows",
+    with_views(
+        f"""SELECT count(*) AS num_rows, sum({_OWNER_RULE})::BIGINT AS flagged, true AS probabilities, true AS separates
+        FROM registry WHERE tenure IS NOT NULL AND country IS NOT NULL AND category IS NOT NULL AND price_paid IS NOT NULL""",
+        "registry",
+    ),
+)
+def forest_rows(spark, sf):
+    """What a scored table must be: every complete row, and flagged rows scored above the others."""
+    scored = forest_scores(spark, sf)
+    mean = lambda label: F.avg(F.when(F.col("is_fraud") == label, F.col("probability")))
+    return scored.agg(
+        F.count("*").alias("num_rows"), F.sum("is_fraud").alias("flagged"),
+        F.every(F.col("probability").between(0, 1)).alias("probabilities"), (mean(1) > mean(0)).alias("separates"),
+    )
 
 
 @query("pca_impute")
@@ -177,27 +201,91 @@ def imputed_ledger(spark, sf):
     return impute.impute_table(rows, numeric=["price_paid"], text=["tenure", "country", "proprietor1"])
 
 
+@query(
+    "pca_impute_facts",
+    f"""SELECT count(*) AS num_rows, 0::BIGINT AS missing, count(*) FILTER (kept) AS present, true AS unchanged FROM
+      (SELECT {_unit_sql("l_orderkey || '-' || l_linenumber")} >= 0.1 AS kept FROM lineitem)""",
+)
+def pca_impute_facts(spark, sf):
+    """Every gap is filled and no present value is changed."""
+    rows = read(spark, sf, "lineitem").withColumn("was", F.col("l_extendedprice"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    done = impute.reconstruct_missing(cleaning.blank_share(rows, "l_extendedprice", key, 0.1), NUMBERS)
+    kept = hashed_unit(F.lit(42), key) >= 0.1
+    return done.agg(
+        F.count("*").alias("num_rows"), F.count_if(F.col("l_extendedprice").isNull()).alias("missing"),
+        F.count_if(kept).alias("present"), F.every(~kept | (F.col("l_extendedprice") == F.col("was"))).alias("unchanged"),
+    )
+
+
+@query(
+    "imputed_ledger_facts",
+    with_views(
+        """SELECT count(*) AS num_rows, 0::BIGINT AS missing, count(price_paid) AS prices, count(country) AS countries FROM registry""",
+        "registry",
+    ),
+)
+def imputed_ledger_facts(spark, sf):
+    """No gap is left, and what was known is as it was."""
+    columns = ["price_paid", "tenure", "country", "proprietor1"]
+    done = imputed_ledger(spark, sf)
+    was = registry(spark, sf).select("title_number", F.col("price_paid").alias("p"), F.col("country").alias("c"))
+    missing = sum(F.col(c).isNull().cast("int") for c in columns)
+    return done.join(was, "title_number").agg(
+        F.count("*").alias("num_rows"), F.sum(missing).alias("missing"),
+        F.count_if(F.col("price_paid") == F.col("p")).alias("prices"), F.count_if(F.col("country") == F.col("c")).alias("countries"),
+    )
+
+
 @query("latent_samples")
 def latent_samples(spark, sf):
     rows = read(spark, sf, "lineitem").select(*NUMBERS)
     return impute.draw_rows(rows, NUMBERS, rows.count())
 
 
-@query("blanked_column")
+@query(
+    "blanked_column",
+    f"SELECT * REPLACE (CASE WHEN {_unit_sql('o_orderkey')} >= 0.25 THEN o_totalprice END AS o_totalprice) FROM orders",
+)
 def blanked_column(spark, sf):
     return cleaning.blank_share(read(spark, sf, "orders"), "o_totalprice", F.col("o_orderkey"), 0.25)
 
 
-@query("bootstrap_sample")
+def _drawn_sql(key: str, mean: str) -> str:
+    """How often a key is drawn: the steps of the distribution function that its number passes."""
+    cdf = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(-({mean})) * pow({mean}, i) / factorial(i::INTEGER)::DOUBLE))"
+    return f"len(list_filter(range(0, 21), lambda k: {cdf} < {_unit_sql(key)}))"
+
+
+@query(
+    "bootstrap_sample",
+    with_views(
+        f"""WITH flagged AS (SELECT * FROM registry WHERE {_OWNER_RULE} = 1),
+          share AS (SELECT round((SELECT count(*) FROM flagged) / count(*) * 100, 4) / 100 AS mean FROM registry)
+        SELECT title_number, price_paid, unnest(range(1, n + 1)) AS copy FROM
+          (SELECT title_number, price_paid, {_drawn_sql('title_number', 'mean')} AS n FROM flagged, share) WHERE n > 0""",
+        "registry",
+    ),
+)
 def bootstrap_sample(spark, sf):
     labelled = owner_labelled(spark, sf)
     share = reports.class_share(labelled).first()["flagged_percentage"] / 100
-    return sampling.bootstrap(labelled.filter("is_fraud = 1"), share)
+    drawn = sampling.bootstrap(labelled.filter("is_fraud = 1"), share, key=["title_number"])
+    copies = drawn.groupBy("title_number", "price_paid").agg(F.count("*").alias("n"))
+    return copies.select("title_number", "price_paid", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
 
 
-@query("augment_shuffle")
+@query(
+    "augment_shuffle",
+    with_views(
+        f"""SELECT region_name, date_taken, 1 + {_drawn_sql("region_name || '|' || date_taken", '0.5::DOUBLE')} AS num_rows
+        FROM price_index""",
+        "price_index",
+    ),
+)
 def augment_shuffle(spark, sf):
-    return sampling.augment(price_index(spark, sf), 0.5)
+    grown = sampling.augment(price_index(spark, sf), 0.5, key=["region_name", "date_taken"])
+    return grown.groupBy("region_name", "date_taken").agg(F.count("*").alias("num_rows"))
 
 
 @query("augmented_quality")
@@ -206,7 +294,11 @@ def augmented_quality(spark, sf):
     return profiling.compare_tables(rows, sampling.augment(rows, 0.5))
 
 
-@query("train_test_split")
+@query(
+    "train_test_split",
+    f"""SELECT part, count(*) AS num_rows FROM
+      (SELECT CASE WHEN {_unit_sql('o_orderkey')} < 0.8 THEN 'train' ELSE 'test' END AS part FROM orders) GROUP BY part""",
+)
 def train_test_split(spark, sf):
     first, second = sampling.hash_split(read(spark, sf, "orders"), "o_orderkey")
     parts = first.withColumn("part", F.lit("train")).unionByName(second.withColumn("part", F.lit("test")))

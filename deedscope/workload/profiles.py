@@ -85,17 +85,7 @@ _ABSENT_SQL = """SELECT 'no_such_column', false, NULL, NULL, NULL, NULL, NULL, N
 
 @query("column_profile", with_views(_union([*map(_profile_sql, COLUMNS), _ABSENT_SQL]), "registry"))
 def column_profile(spark, sf):
-    return profiling.profile_columns(registry(spark, sf), [*COLUMNS, "no_such_column"])
-
-
-@query("hll_profile")
-def hll_profile(spark, sf):
-    return profiling.profile_columns(registry(spark, sf), approximate=True)
-
-
-@query("profile_as_json")
-def profile_as_json(spark, sf):
-    return profiling.profile_json(registry(spark, sf))
+    return profiling.profile_columns(registry(spark, sf), [*COLUMNS, "no_such_column"]).drop("histogram")
 
 
 def _edges_sql(source: str, value: str, bins: int) -> str:
@@ -109,6 +99,65 @@ def _rounded_edges(df):
     return df.withColumns({c: F.round(c, 6) for c in ("left_edge", "right_edge")})
 
 
+def _profile_edges(c: str) -> str:
+    return _edges_sql(f"SELECT {c}::DOUBLE AS {c} FROM lineitem", c, 10)
+
+
+_LINE_NUMBERS = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount"]
+
+
+@query(
+    "profile_histograms",
+    _union(
+        f"SELECT '{c}' AS column_name, * FROM ({{}})".format(sql)
+        for c, sql in ((c, _profile_edges(c)) for c in _LINE_NUMBERS)
+    ),
+)
+def profile_histograms(spark, sf):
+    """The histograms of a whole profile: ints, bigints and doubles."""
+    profile = profiling.profile_columns(read(spark, sf, "lineitem").select(*_LINE_NUMBERS, "l_returnflag"))
+    bins = profile.select("column_name", F.posexplode("histogram").alias("bin", "h")).select("column_name", "bin", "h.*")
+    return _rounded_edges(bins)
+
+
+_MOMENT_SQL = """SELECT '{c}' AS column_name, '{t}' AS data_type, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value,
+  round(avg({c}), 2) AS avg_value, count(DISTINCT {c}) AS distinct_count FROM lineitem"""
+
+
+@query(
+    "profile_number_types",
+    _union(_MOMENT_SQL.format(c=c, t=t) for c, t in zip(_LINE_NUMBERS, ("bigint", "int", "double", "double"))),
+)
+def profile_number_types(spark, sf):
+    profile = profiling.profile_columns(read(spark, sf, "lineitem").select(*_LINE_NUMBERS))
+    return profile.select("column_name", "data_type", "min_value", "max_value", "avg_value", "distinct_count")
+
+
+@query("hll_profile")
+def hll_profile(spark, sf):
+    return profiling.profile_columns(registry(spark, sf), approximate=True)
+
+
+@query(
+    "profile_as_json",
+    with_views(
+        "SELECT column_name, data_type, num_rows, null_count, distinct_count, min_value, avg_value, CASE WHEN data_type = 'double' THEN 10 ELSE -1 END AS bins FROM ("
+        + _union(map(_profile_sql, COLUMNS))
+        + ")",
+        "registry",
+    ),
+)
+def profile_as_json(spark, sf):
+    """The JSON documents, read back."""
+    documents = profiling.profile_json(registry(spark, sf))
+    schema = """column_name string, data_type string, num_rows bigint, null_count bigint, distinct_count bigint,
+      min_value double, avg_value double, histogram array<struct<left_edge: double, right_edge: double, num_rows: bigint>>"""
+    return documents.select(F.from_json("profile", schema).alias("p")).select(
+        *[f"p.{c}" for c in ("column_name", "data_type", "num_rows", "null_count", "distinct_count", "min_value", "avg_value")],
+        F.coalesce(F.size("p.histogram"), F.lit(-1)).alias("bins"),
+    )
+
+
 @query("histogram_equal_width", _edges_sql("SELECT l_extendedprice FROM lineitem", "l_extendedprice", 33))
 def histogram_equal_width(spark, sf):
     return _rounded_edges(profiling.histogram(read(spark, sf, "lineitem"), "l_extendedprice", 33))
@@ -131,9 +180,16 @@ def fd_bins_ledger(spark, sf):
     return result.withColumns({c: F.round(c, 6) for c in ("q1", "q3")})
 
 
-@query("histogram_auto")
+@query(
+    "histogram_auto",
+    f"""WITH f AS ({_FD_SQL.format(value="value", source="events")}), e AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
+      c AS (SELECT least(floor((value - lo) / (hi - lo) * bins)::BIGINT, bins - 1) AS bin, count(*) AS n FROM events, e, f WHERE value IS NOT NULL GROUP BY 1)
+    SELECT b.bin::INT AS bin, round(lo + b.bin * (hi - lo) / bins, 6) AS left_edge,
+      round(CASE WHEN b.bin = bins - 1 THEN hi ELSE lo + (b.bin + 1) * (hi - lo) / bins END, 6) AS right_edge, coalesce(n, 0) AS num_rows
+    FROM (SELECT unnest(range(bins)) AS bin, bins FROM f) b CROSS JOIN e LEFT JOIN c ON c.bin = b.bin""",
+)
 def histogram_auto(spark, sf):
-    return profiling.histogram_auto(read(spark, sf, "events"), "value")
+    return _rounded_edges(profiling.histogram_auto(read(spark, sf, "events"), "value"))
 
 
 def _describe_sql(c: str, source: str) -> str:
@@ -331,25 +387,9 @@ def stddev_pop(spark, sf):
     ),
 )
 def explore(spark, sf):
-    rows = registry(spark, sf)
-    dated = rows.select("price_paid", F.year("date_added").alias("year"))
-    numeric = cleaning.coerce_numeric(dated, ["price_paid", "year"])
-    pair = (F.col("column_a") == "price_paid") & (F.col("column_b") == "year")
-    parts = {
-        "describe": _rounded_moments(profiling.describe_numeric(rows, ["price_paid"])).select("column_name", "mean"),
-        "missing": profiling.null_percentages(rows).select("column_name", "null_percentage"),
-        "distinct": profiling.null_and_distinct(rows, TEXTS).select("column_name", "distinct_count"),
-        "correlation": profiling.correlations(numeric, ["price_paid", "year"])
-        .filter(pair)
-        .select(F.concat_ws(",", "column_a", "column_b"), F.round("correlation", 6)),
-    }
-    stacked = None
-    for section, part in parts.items():
-        rows_of = part.toDF("item", "amount").select(
-            F.lit(section).alias("section"), "item", F.col("amount").cast("double").alias("amount")
-        )
-        stacked = rows_of if stacked is None else stacked.unionByName(rows_of)
-    return stacked
+    rows = registry(spark, sf).withColumn("year", F.year("date_added"))
+    found = profiling.explore(rows, ["price_paid"], [("price_paid", "year")], TEXTS)
+    return found.filter("NOT (section = 'missing' AND item = 'year')")
 
 
 @query(

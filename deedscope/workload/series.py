@@ -169,12 +169,17 @@ def cubic_trend(spark, sf):
     _with_long(
         f"""changes AS (SELECT a.*, a.price - b.price AS change FROM long a LEFT JOIN long b
           ON a.region_name = b.region_name AND a.measure = b.measure AND a.t = b.t + 12),
-        stats AS (SELECT region_name, measure, avg(change) AS drift, stddev_samp(change) AS spread, max(t) AS last_t
-          FROM changes GROUP BY 1, 2)
-        SELECT region_name, measure, CAST(date_taken + INTERVAL 12 MONTH AS DATE) AS date_taken,
-          {rounded_sql("price + drift")} AS forecast, {rounded_sql("price + drift - 1.96 * spread")} AS lower,
-          {rounded_sql("price + drift + 1.96 * spread")} AS upper
-        FROM long JOIN stats USING (region_name, measure) WHERE t > last_t - 12"""
+        stats AS (SELECT region_name, measure, avg(change) AS drift, stddev_samp(change) AS spread, max(t) AS last_t,
+            max(date_taken) AS last_date, regr_slope(price, t) AS slope, regr_intercept(price, t) AS base, avg(price) AS mean
+          FROM changes GROUP BY 1, 2),
+        newest AS (SELECT region_name, measure, t % 12 AS season, max(t) AS seen, arg_max(price, t) AS price FROM long GROUP BY 1, 2, 3),
+        future AS (SELECT *, last_t + step AS t FROM (SELECT *, unnest(range(1, 13)) AS step FROM stats)),
+        told AS (SELECT f.*, coalesce(n.price + coalesce(drift, slope * 12, 0) * (f.t - seen) / 12.0::DOUBLE, base + slope * f.t, mean) AS forecast,
+            1.96 * spread * sqrt(coalesce((f.t - seen) / 12.0::DOUBLE, 1)) AS reach
+          FROM future f LEFT JOIN newest n ON f.region_name = n.region_name AND f.measure = n.measure AND f.t % 12 = n.season)
+        SELECT region_name, measure, CAST(last_date + INTERVAL (step) MONTH AS DATE) AS date_taken,
+          {rounded_sql("forecast")} AS forecast, {rounded_sql("forecast - reach")} AS lower, {rounded_sql("forecast + reach")} AS upper
+        FROM told"""
     ),
 )
 def seasonal_naive(spark, sf):
@@ -186,6 +191,21 @@ def gbt_trend(spark, sf):
     return series.boosted_trend(long_series(spark, sf), KEYS)
 
 
+@query(
+    "forecast_months",
+    _with_long(
+        f"""fitted AS (SELECT region_name, measure, max(date_taken) AS last_date FROM long GROUP BY 1, 2)
+        SELECT region_name, measure, date_taken, true AS has_linear, true AS has_seasonal, true AS has_boosted, true AS has_combined
+        FROM {_FUTURE}"""
+    ),
+)
+def forecast_months(spark, sf):
+    """Which months the combined forecast covers, and that no forecaster is missing."""
+    found = series.combined_forecast(long_series(spark, sf), KEYS)
+    has = [F.col(c).isNotNull().alias(f"has_{c}") for c in ("linear", "seasonal", "boosted", "combined")]
+    return found.select(*KEYS, "date_taken", *has)
+
+
 @query("combined_forecast")
 def combined_forecast(spark, sf):
     return series.combined_forecast(long_series(spark, sf), KEYS)
@@ -204,34 +224,50 @@ def month_calendar(spark, sf):
     return last.select("region_name", F.explode(scalars.month_starts(F.col("last"), 12)).alias("month_start"))
 
 
-def _dear_days(spark, sf):
-    orders = read(spark, sf, "orders").filter(F.col("o_totalprice") > 480_000)
-    return orders.select(F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+def _order_days(spark, sf):
+    """All orders, with their days and the nation they come from."""
+    nations = read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    orders = read(spark, sf, "orders").join(nations, "o_custkey")
+    return orders.select("c_nationkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
 
 
-_GAP_PERIOD = (datetime.date(1994, 12, 15), datetime.date(2001, 9, 15))
-_GAPS_SQL = """SELECT d::DATE AS day FROM (SELECT unnest(generate_series(TIMESTAMP '1994-12-15', TIMESTAMP '2001-09-15', INTERVAL 1 DAY)) AS d)
-  WHERE d::DATE NOT IN (SELECT o_orderdate::DATE FROM orders WHERE o_totalprice > 480000)"""
+_ORDER_DAYS = "(SELECT c_nationkey, o_orderdate::DATE AS day, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey)"
+_GAPS_SQL = f"""SELECT c_nationkey, unnest(generate_series(CAST(day + INTERVAL 1 DAY AS TIMESTAMP), CAST(next_day - INTERVAL 1 DAY AS TIMESTAMP), INTERVAL 1 DAY))::DATE AS day
+  FROM (SELECT *, lead(day) OVER (PARTITION BY c_nationkey ORDER BY day) AS next_day FROM (SELECT DISTINCT c_nationkey, day FROM {_ORDER_DAYS}))
+  WHERE date_diff('day', day, next_day) > 1"""
 
 
 @query("calendar_gaps", _GAPS_SQL)
 def calendar_gaps(spark, sf):
-    return series.calendar_gaps(_dear_days(spark, sf), "day", *_GAP_PERIOD)
+    return series.calendar_gaps_per_key(_order_days(spark, sf), ["c_nationkey"], "day")
 
 
 @query(
     "filled_days",
-    f"""SELECT day, true AS filled, 1::BIGINT AS num_rows FROM ({_GAPS_SQL})
-    UNION ALL SELECT o_orderdate::DATE, false, count(*) FROM orders WHERE o_totalprice > 480000 GROUP BY 1""",
+    f"""SELECT c_nationkey, true AS filled, count(*) AS num_rows FROM ({_GAPS_SQL}) GROUP BY 1
+    UNION ALL SELECT c_nationkey, false, count(*) FROM {_ORDER_DAYS} GROUP BY 1""",
 )
 def filled_days(spark, sf):
-    filled = series.fill_gaps(_dear_days(spark, sf), "day", "o_totalprice", *_GAP_PERIOD)
-    return filled.groupBy("day", "filled").agg(F.count("o_totalprice").alias("num_rows"))
+    filled = series.fill_gaps_per_key(_order_days(spark, sf), ["c_nationkey"], "day", "o_totalprice")
+    return filled.groupBy("c_nationkey", "filled").agg(F.count("*").alias("num_rows"))
 
 
-@query("gap_fill")
+@query(
+    "gap_fill",
+    f"""SELECT c_nationkey, day, round(67.5::DOUBLE + (72.3::DOUBLE - 67.5::DOUBLE) * (('0x' || substr(md5('42|' || c_nationkey || '|' || day), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE), 1) AS o_totalprice, true AS filled
+    FROM ({_GAPS_SQL}) UNION ALL SELECT c_nationkey, day, o_totalprice, false FROM {_ORDER_DAYS}""",
+)
 def gap_fill(spark, sf):
-    return series.fill_gaps(_dear_days(spark, sf), "day", "o_totalprice", *_GAP_PERIOD)
+    return series.fill_gaps_per_key(_order_days(spark, sf), ["c_nationkey"], "day", "o_totalprice")
+
+
+@query(
+    "whole_calendar",
+    """SELECT d::DATE AS day FROM (SELECT unnest(generate_series(TIMESTAMP '1990-01-01', TIMESTAMP '2005-12-31', INTERVAL 1 DAY)) AS d)
+    WHERE d::DATE NOT IN (SELECT o_orderdate::DATE FROM orders)""",
+)
+def whole_calendar(spark, sf):
+    return series.calendar_gaps(_order_days(spark, sf), "day", datetime.date(1990, 1, 1), datetime.date(2005, 12, 31))
 
 
 def _index_points(spark, sf):
@@ -242,11 +278,11 @@ def _index_points(spark, sf):
 @query("lorentz_fit")
 def lorentz_fit(spark, sf):
     points = _index_points(spark, sf)
-    return lorentz.fit_lorentzian(points, ["region_name"], "month_no", "average_price", iterations=15)
+    return lorentz.fit_lorentzian(points, ["region_name"], "month_no", "average_price")
 
 
 @query("lorentz_curve")
 def lorentz_curve(spark, sf):
     points = _index_points(spark, sf).select("region_name", "month_no", "average_price")
-    fits = lorentz.fit_lorentzian(points, ["region_name"], "month_no", "average_price", iterations=6)
+    fits = lorentz.fit_lorentzian(points, ["region_name"], "month_no", "average_price")
     return lorentz.fitted_values(points, fits, ["region_name"], "month_no")

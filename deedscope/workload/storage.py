@@ -141,7 +141,16 @@ def hourly_columns(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", *generate.hourly_columns(F.col("o_orderkey")))
 
 
-@query("picked_keys")
+_UNIT_SQL = "(('0x' || substr(md5('{seed}|' || o_orderkey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query(
+    "picked_keys",
+    f"""SELECT o_orderkey AS id2, 'place-' || (floor(h * 1e6)::BIGINT % 1000) AS small_feature_1, {_UNIT_SQL.format(seed=43)} * 50 AS small_feature_2,
+      strftime(TIMESTAMP '2024-01-01' + to_hours(n::INT), '%Y-%m-%d') AS dt, strftime(TIMESTAMP '2024-01-01' + to_hours(n::INT), '%H') AS hr
+    FROM (SELECT o_orderkey, h, row_number() OVER (ORDER BY h, o_orderkey) - 1 AS n
+      FROM (SELECT o_orderkey, {_UNIT_SQL.format(seed=42)} AS h FROM orders)) WHERE n < 500""",
+)
 def picked_keys(spark, sf):
     return generate.small_table(read(spark, sf, "orders"), 500, "o_orderkey")
 

@@ -270,6 +270,85 @@ def test_seasonal_forecast_skips_missing_months(spark):
     assert got[datetime.date(2023, 5, 1)]["lower"] == pytest.approx(530.0)
 
 
+@pytest.mark.parametrize("horizon", [6, 12, 24])
+def test_forecasts_are_whole(spark, horizon):
+    """A row for each key and month of the horizon, whatever months are missing."""
+    months = [(k, m) for k in ("a", "b", "c") for m in range(48 if k == "a" else 3) if (k, m % 12) != ("a", 7)]
+    rows = [(k, datetime.date(2018 + m // 12, m % 12 + 1, 1), 100.0 + m) for k, m in months]
+    rows.append(("d", datetime.date(2020, 1, 1), 5.0))
+    df = spark.createDataFrame(rows, "s string, date_taken date, price double")
+    for found in (
+        series.seasonal_forecast(df, ["s"], horizon=horizon), series.combined_forecast(df, ["s"], horizon=horizon),
+    ):
+        got = found.collect()
+        assert len({(r["s"], r["date_taken"]) for r in got}) == len(got) == 4 * horizon
+    by = {(r["s"], r["date_taken"]): r["forecast"] for r in series.seasonal_forecast(df, ["s"], horizon=horizon).collect()}
+    assert by["a", datetime.date(2022, 3, 1)] == pytest.approx(150.0)  # a year earlier plus a year's change
+    assert by["b", datetime.date(2018, 4, 1)] == pytest.approx(103.0)  # no such month yet: the line
+    assert by["d", datetime.date(2020, 2, 1)] == 5.0
+    if horizon >= 8:
+        assert by["a", datetime.date(2022, 8, 1)] == pytest.approx(155.0)  # never seen: the line
+    combined = series.combined_forecast(df, ["s"], horizon=horizon).filter("s = 'd'").collect()
+    assert all(r["linear"] is None and r["combined"] is not None for r in combined)
+
+
+def test_weighted_line_is_that_of_the_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [("k", datetime.date(2015 + m // 12, m % 12 + 1, 1 + i), float(rng.normal(m))) for m in range(40) for i in range(1 + m % 3)]
+    df = spark.createDataFrame(rows, "s string, date_taken date, price double")
+    x = np.array([d.year * 12 + d.month - 1 for _, d, _ in rows], float)
+    slope, base = np.polyfit(x - 24000, [p for *_, p in rows], 1)
+    got = series.linear_trend(df, ["s"], horizon=3).orderBy("date_taken").collect()
+    for r in got:
+        t = r["date_taken"].year * 12 + r["date_taken"].month - 1 - 24000
+        assert r["forecast"] == pytest.approx(slope * t + base)
+
+
+def test_gaps_per_key(spark):
+    day = lambda n: datetime.date(2024, 1, n)
+    rows = [("a", day(1), 1.0), ("a", day(1), 2.0), ("a", day(4), 3.0), ("b", day(9), 4.0), (None, day(1), 5.0), (None, day(3), 6.0), ("a", None, 7.0)]
+    df = spark.createDataFrame(rows, "k string, day date, v double")
+    gaps = {(r["k"], r["day"].day) for r in series.calendar_gaps_per_key(df, ["k"], "day").collect()}
+    assert gaps == {("a", 2), ("a", 3), (None, 2)}
+    filled = series.fill_gaps_per_key(df, ["k"], "day", "v").collect()
+    assert len(filled) == len(rows) + 3 and all(67.5 <= r["v"] <= 72.3 for r in filled if r["filled"])
+
+
+def test_bootstrap_is_the_same_on_any_partitions(spark):
+    from collections import Counter
+
+    from deedscope.operators import sampling
+
+    df = spark.range(5_000).select("id", (F.col("id") % 7).alias("x"))
+    runs = [Counter(r["id"] for r in sampling.bootstrap(df.repartition(n), 0.8, key=["id"]).collect()) for n in (3, 5)]
+    assert runs[0] == runs[1]
+    assert abs(sum(runs[0].values()) - 4_000) < 5 * 4_000**0.5 and max(runs[0].values()) > 2
+    assert sampling.bootstrap(df, 0.8, seed=1).count() != sampling.bootstrap(df, 0.8, seed=2).count()
+
+
+def test_negative_zero_is_zero(spark):
+    from deedscope.operators import profiling
+
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.5,), (None,)], "x double")
+    assert profiling.null_and_distinct(df).first()["distinct_count"] == 3
+
+
+def test_profile_of_every_number_type(spark):
+    from deedscope.operators import profiling
+
+    df = spark.sql(
+        "SELECT CAST(id AS BIGINT) AS b, CAST(id AS SMALLINT) AS s, CAST(id AS DECIMAL(10, 2)) AS d, CAST(id AS FLOAT) AS f, "
+        "CAST(NULL AS INT) AS n, CAST(id AS STRING) AS t, 7 AS one FROM range(10)"
+    )
+    by = {r["column_name"]: r for r in profiling.profile_columns(df, bins=3).collect()}
+    for c in "bsdf":
+        assert (by[c]["min_value"], by[c]["max_value"], by[c]["avg_value"]) == (0, 9, 4.5)
+        assert [h["num_rows"] for h in by[c]["histogram"]] == [3, 3, 4]
+        assert [h["left_edge"] for h in by[c]["histogram"]] == [0, 3, 6] and by[c]["histogram"][2]["right_edge"] == 9
+    assert by["n"]["histogram"] is None and by["t"]["histogram"] is None and by["n"]["min_value"] is None
+    assert sum(h["num_rows"] for h in by["one"]["histogram"]) == 10
+
+
 def test_boosted_and_combined_forecasts(spark):
     rows = [
         (s, datetime.date(2018 + m // 12, m % 12 + 1, 1), base + 2.0 * m)
@@ -337,6 +416,10 @@ def test_encode_table(spark):
     got = features.encode_table(df, label_above=2)
     assert got.columns == ["w_a", "w_b", "n_x", "n_y_z"]
     assert sorted(map(tuple, got.collect())) == [(0, 0, 0, 0), (0, 1, 0, 1), (1, 0, 1, 0)]
+    many = spark.range(90).select(*[F.concat(F.lit(f"{c}-"), "id").alias(f"c{c}") for c in range(12)])
+    assert len(features.encode_table(many).columns) == 12 * 90  # wide as a table, narrow in each column
+    with pytest.raises(features.TooManyRows):
+        features.dummies(many, ["c0"], max_width=89)
     labelled = features.encode_table(df, ["w"], label_above=1)
     assert {r["n"]: r["w"] for r in labelled.collect()} == {None: 0, "x": 1, "y z": 2}
 
@@ -370,6 +453,8 @@ def test_forest_learns_a_rule(spark):
     model, scores = models.train_forest(df, label="label", categorical=["c"], numeric=["x"], trees=5)
     row = scores.first()
     assert row["train_auc"] > 0.97 and row["test_auc"] > 0.97
+    own = models.area_under_roc(models.scored_table(models.fit_forest(df, label="label", categorical=["c"], numeric=["x"], trees=5), df, [], "label"), "label", "probability")
+    assert own.first()["auc"] > 0.97
     scored = models.scored_table(model, df, ["id"], "label")
     assert scored.columns == ["id", "label", "prediction", "probability"]
     assert scored.filter("prediction != label").count() < 40

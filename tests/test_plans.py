@@ -180,3 +180,12 @@ def test_declared_schemas_are_those_of_the_files(spark, sf):
 def test_dates_survive(spark):
     df = spark.createDataFrame([(datetime.date(2024, 2, 29),)], "d date")
     assert profiling.profile_columns(df).first()["data_type"] == "date"
+
+
+@pytest.mark.parametrize(
+    "name, most", [("offshore_report", 0), ("most_expensive", 1), ("explore", 2), ("column_profile", 0), ("unscorable_anti", 1)]
+)
+def test_reports_read_the_ledger_seldom(spark, sf, name, most):
+    """Scans of orders in the plan that is left, besides the one that a kept copy took."""
+    plan = final_plan(QUERIES[name](spark, sf)).split("== Initial Plan ==")[0]
+    assert plan.count("orders.parquet") <= most + (1 if name == "offshore_report" else 0)
