@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deedscope.llm.common import extended
+from deedscope.llm.common import extended, parts
 from deedscope.plans.lineage import cut_lineage
 
 _LEAST = -(2**63)
@@ -43,37 +43,42 @@ def _join_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([first, second], axis=1)
 
 
-def named_runs(lines: list[bytes], least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and names of a document's shortest runs of ``least_words`` words.
+def named_runs(documents: list[list[bytes]], least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, starts, lengths and names of their shortest runs of ``least_words`` words.
 
-    For each line there is the run that starts and the run that ends with it.
+    For each line there is the run that starts and the run that ends with it. All documents' lines
+    are named as one sequence; runs that would cross from one document into the next are left out.
     """
+    sizes = np.array([len(x) for x in documents])
+    lines = [x for d in documents for x in d]
     n = len(lines)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
     words = np.concatenate([[0], np.cumsum([len(x.split()) for x in lines])])
-    if words[-1] < least_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
     at = np.arange(n)
     ends = np.searchsorted(words, words[:-1] + least_words, side="left")
-    starting = np.stack([at, ends], axis=1)[ends <= n]
+    starting = np.stack([at, ends], axis=1)[ends <= (first + sizes)[owner]]
     starts = np.searchsorted(words, words[1:] - least_words, side="right") - 1
-    ending = np.stack([starts, at + 1], axis=1)[starts >= 0]
-    runs = np.unique(np.concatenate([starting, ending]), axis=0)
-    start, length = runs[:, 0], runs[:, 1] - runs[:, 0]
+    ending = np.stack([starts, at + 1], axis=1)[(starts >= first[owner])]
+    runs = np.concatenate([starting, ending])
+    if not len(runs):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros((0, 2), np.uint64),)
+    start, length = np.divmod(np.unique(runs[:, 0] * (n + 1) + runs[:, 1] - runs[:, 0]), n + 1)
 
-    digests = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines)
+    digests = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in lines])
     level = np.frombuffer(digests, np.uint64).reshape(-1, 2)
-    names = np.zeros((len(runs), 2), np.uint64)
+    names = np.zeros((len(start), 2), np.uint64)
     order = np.frexp(length.astype(np.float64))[1] - 1  # floor of log2
     for k in range(int(order.max()) + 1):
         if k:
             half = 1 << (k - 1)
             level = _join_names(level[:-half], level[half:])
         of = order == k
-        s, m = start[of], length[of]
-        covered = _join_names(level[s], level[s + m - (1 << k)])
-        sized = np.repeat(m.astype(np.uint64)[:, None], 2, axis=1)
-        names[of] = _join_names(covered, sized)
-    return start, length, names
+        if of.any():
+            s, m = start[of], length[of]
+            covered = _join_names(level[s], level[s + m - (1 << k)])
+            names[of] = _join_names(covered, np.repeat(m.astype(np.uint64)[:, None], 2, axis=1))
+    return owner[start], start - first[owner[start]], length, names
 
 
 def _keys(id_column: str, text_column: str) -> list[Column]:
@@ -95,18 +100,16 @@ def later_copies(
     schema = "__doc long, __hash long, start int, length int, name0 long, name1 long, later boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in range(2)]
-            for doc, key, text in zip(*columns, batch.column(2).to_pylist()):
-                start, length, names = named_runs(text.encode().split(b"\n"), least_words)
-                if len(start):
-                    whole = [np.full(len(start), x, np.int64) for x in (doc, key)]
-                    parts.append((*whole, start, length, names[:, 0].view(np.int64), names[:, 1].view(np.int64)))
-        if not parts:
+        found: list[tuple] = []
+        for batch in parts(batches):
+            texts = [x.encode().split(b"\n") for x in batch.column(2).to_pylist()]
+            owner, start, length, names = named_runs(texts, least_words)
+            doc, key = (batch.column(k).to_numpy()[owner] for k in range(2))
+            found.append((doc, key, start, length, names[:, 0].view(np.int64), names[:, 1].view(np.int64)))
+        if not found:
             return
-        doc, key, start, length, name0, name1 = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
+        doc, key, start, length, name0, name1 = (np.concatenate(x) for x in zip(*found))
+        found.clear()
         order = np.lexsort((start, key, doc, name1, name0))
         doc, key, start, length, name0, name1 = (x[order] for x in (doc, key, start, length, name0, name1))
         same = np.zeros(len(doc), bool)
@@ -160,7 +163,7 @@ def deduplicate_lines(
     schema = extended(docs.select(*[F.col(f"`{c}`") for c in columns]).schema, "n_lines int, n_removed_lines int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, n_lines, n_removed = [], [], []
             places = [batch.column(len(columns) + k).to_pylist() for k in range(2)]
             for text, starts, lengths in zip(batch.column(at).to_pylist(), *places):
