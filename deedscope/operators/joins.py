@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deedscope.plans.sizing import bytes_of
 from deedscope.plans.skew import join_split_hot
 
 
@@ -70,7 +71,20 @@ def with_width_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def bucketed_left_join(
-    large: DataFrame, small: DataFrame, large_key: str, small_key: str, *, hot_share: float = 0.05
+    large: DataFrame, small: DataFrame, large_key: str, small_key: str, *, hot_share: float = 0.05,
+    broadcast_bytes: int = 0, order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """LEFT join of two tables bucketed alike: no exchange, and hot keys spread apart."""
+    """LEFT join of two tables bucketed alike: no exchange, and hot keys spread apart.
+
+    Filter a partitioned table before, so that only those partitions are read. A right side whose
+    columns' bytes, as counted, are at most ``broadcast_bytes`` is broadcast instead.
+    ``order_by`` sorts the result by columns of it.
+    """
+    joined = _bucketed(large, small, large_key, small_key, hot_share, broadcast_bytes)
+    return joined.orderBy(*order_by) if order_by else joined
+
+
+def _bucketed(large, small, large_key, small_key, hot_share, broadcast_bytes) -> DataFrame:
+    if broadcast_bytes and bytes_of(small) <= broadcast_bytes:
+        return large.join(F.broadcast(small), F.col(large_key) == F.col(small_key), "left")
     return join_split_hot(large, small, large_key, small_key, "left", share=hot_share)

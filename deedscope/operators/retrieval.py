@@ -115,11 +115,11 @@ def _meet_in_blocks(
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    # Blocks follow row positions, not ids, so repeated ids or vectors spread evenly too.
-    left = docs.withColumn("doc_block", spread_salt(doc_blocks)).withColumn(
+    # Blocks follow a hash of the row, which a task that is run again repeats.
+    left = docs.withColumn("doc_block", spread_salt(docs, doc_blocks)).withColumn(
         "query_block", every(query_blocks)
     )
-    right = queries.withColumn("query_block", spread_salt(query_blocks)).withColumn(
+    right = queries.withColumn("query_block", spread_salt(queries, query_blocks)).withColumn(
         "doc_block", every(doc_blocks)
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deedscope.functions.scalars import _let, word_chunks
+from deedscope.plans.sizing import broadcast_if_small
 
 # A small general lexicon of review words and their polarity.
 LEXICON = {
@@ -26,16 +27,35 @@ def split_documents(df: DataFrame, *, key: str, text: str, size: int = 512) -> D
 def polarity(text: Column | str, lexicon: Mapping[str, float] = LEXICON) -> Column:
     """The mean weight of a text's lexicon words, 0 without any, NULL for a NULL text.
 
-    The lexicon is a literal, and a text is scored in its own row: no explode, no shuffle.
+    The lexicon is a literal, and a text is scored in its own row: no explode, no shuffle. Each
+    token is looked for in the whole lexicon, so use :func:`polarity_join` for a long one.
     """
     column = F.col(text) if isinstance(text, str) else text
     weights = F.create_map(*[F.lit(x) for word, w in lexicon.items() for x in (word, float(w))])
     tokens = F.split(F.lower(column), r"[^\p{L}]+")
-    known = F.filter(tokens, lambda w: F.array_contains(F.map_keys(weights), w))
-    scored = F.transform(known, lambda w: F.try_element_at(weights, w))
+    scored = F.filter(F.transform(tokens, lambda w: F.try_element_at(weights, w)), lambda x: x.isNotNull())
 
     def mean(values: Column) -> Column:
         total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
         return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
 
     return F.when(column.isNotNull(), _let(scored, mean))
+
+
+def polarity_join(
+    df: DataFrame, lexicon: DataFrame, *, keys: list[str], text: str, max_broadcast_rows: int = 200_000
+) -> DataFrame:
+    """The polarity of each text with a lexicon of any length: rows of ``word`` and ``weight``.
+
+    Words are counted per text before they meet the lexicon, which is broadcast up to
+    ``max_broadcast_rows``, as counted. ``keys`` tell the texts apart; NULL texts score NULL.
+    """
+    tokens = F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")
+    counted = df.select(*keys, tokens).filter("word <> ''").groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    known = counted.join(broadcast_if_small(lexicon.select("word", "weight"), max_broadcast_rows), "word")
+    scored = known.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
+        (F.sum(F.col("n") * F.col("weight")) / F.sum("n")).alias("__mean")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    score = F.when(F.col(text).isNotNull(), F.coalesce("__mean", F.lit(0.0)))
+    return df.join(scored, same, "left").select(*keys, score.alias("polarity"))

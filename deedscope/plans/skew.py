@@ -27,9 +27,9 @@ def hot_keys(df: DataFrame, key: str, share: float) -> list:
     return [t["item"] for t in row["top"] if t["item"] is not None and t["count"] >= share * row["n"]]
 
 
-def spread_salt(salts: int) -> Column:
-    """A salt that spreads even identical rows: it follows a row's position in its split."""
-    return F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+def spread_salt(df: DataFrame, salts: int) -> Column:
+    """A salt by a hash of the whole row: a task that is run again deals its rows alike."""
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(salts)), F.lit(salts)).cast("int")
 
 
 def join_split_hot(
@@ -63,7 +63,7 @@ def join_split_hot(
         spread = left.filter(is_hot).join(small, condition, how)
     else:
         copies = hot_right.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = left.filter(is_hot).withColumn("__t", spread_salt(salts))
+        salted = left.filter(is_hot).withColumn("__t", spread_salt(left, salts))
         spread = salted.join(copies, condition & (F.col("__t") == F.col("__s")), how)
         spread = spread.drop("__t", "__s")
     return plain.unionByName(spread)

@@ -57,6 +57,12 @@ def create_text_table(spark: SparkSession, table: str, location: str) -> DataFra
     return spark.table(table)
 
 
+def buckets_for(df: DataFrame, *, bucket_rows: int = 5_000_000, tasks: int | None = None) -> int:
+    """As many buckets as keep each at ``bucket_rows`` rows, and all tasks of a shuffle at work."""
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(tasks, -(-df.count() // bucket_rows))
+
+
 def write_bucketed(
     df: DataFrame, table: str, *, key: str, buckets: int, partition_by: Sequence[str] = (),
     path: str | None = None, hot_share: float = 0.05, salts: int = 16,
@@ -71,7 +77,7 @@ def write_bucketed(
     if hot:
         from pyspark.sql import functions as F
 
-        salt = F.when(F.col(key).isin(hot), spread_salt(salts)).otherwise(F.lit(0))
+        salt = F.when(F.col(key).isin(hot), spread_salt(df, salts)).otherwise(F.lit(0))
         laid_out = df.withColumn("__salt", salt).repartition(buckets, key, "__salt").drop("__salt")
     else:
         laid_out = df.repartition(buckets, key)

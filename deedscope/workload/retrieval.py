@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from deedscope.operators import retrieval, text
 from deedscope.workload.registry import query
-from deedscope.workload.tables import read
+from deedscope.workload.tables import read, rounded
 
 @query(
     "knn_l2_top3",
@@ -93,3 +93,21 @@ def polarity_turns(spark, sf):
 @query("polarity_documents", _polarity_sql("doc_id", "documents"))
 def polarity_documents(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.round(text.polarity("text", WEIGHTS), 6).alias("polarity"))
+
+
+@query(
+    "polarity_lexicon",
+    """WITH counted AS (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS word FROM documents) GROUP BY word),
+      lexicon AS (SELECT word, (docs % 21 - 10) / 10.0::DOUBLE AS weight FROM counted WHERE word <> '' AND docs >= 3),
+      tokens AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS word FROM documents),
+      scored AS (SELECT doc_id, avg(weight) AS p FROM tokens JOIN lexicon USING (word) GROUP BY doc_id)
+    SELECT doc_id, round(coalesce(p, 0.0) + 1e-6, 4) + 0.0 AS polarity FROM documents LEFT JOIN scored USING (doc_id)""",
+)
+def polarity_lexicon(spark, sf):
+    """Texts scored with a lexicon of thousands of words, taken from the documents themselves."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).distinct()
+    seen = words.filter("word <> ''").groupBy("word").agg(F.count("*").alias("docs")).filter("docs >= 3")
+    lexicon = seen.select("word", ((F.col("docs") % 21 - 10) / 10).alias("weight"))
+    scored = text.polarity_join(docs, lexicon, keys=["doc_id"], text="text")
+    return scored.select("doc_id", (rounded("polarity", 4) + 0.0).alias("polarity"))

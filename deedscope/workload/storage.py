@@ -95,27 +95,56 @@ def created_table(spark, sf):
     return spark.table(table)
 
 
-def _bucketed_pair(spark, sf, buckets: int = 8) -> tuple[str, str]:
-    large, small = _table_name("bucketed_items"), _table_name("bucketed_orders")
-    items, orders = read(spark, sf, "lineitem"), read(spark, sf, "orders")
-    for name, df, key in ((large, items, "l_orderkey"), (small, orders.filter("o_totalprice > 250000"), "o_orderkey")):
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        catalog.write_bucketed(df, name, key=key, buckets=buckets, path=scratch_path(spark, name))
-    return large, small
+def _bucketed(spark, df, label: str, key: str, partition_by=()):
+    table = _table_name(label)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    catalog.write_bucketed(
+        df, table, key=key, buckets=catalog.buckets_for(df), partition_by=partition_by, path=scratch_path(spark, table)
+    )
+    return spark.table(table)
 
 
-@query(
-    "bucketed_left_join",
-    """SELECT l_orderkey, l_linenumber, l_extendedprice, o_orderkey, o_totalprice FROM lineitem
-    LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) ON l_orderkey = o_orderkey""",
-)
+_CUSTOMER_ORDERS = """SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer LEFT JOIN orders ON c_custkey = o_custkey"""
+
+
+def _bucketed_pair(spark, sf):
+    """Customers, some of them without an order, and all orders, in the same number of buckets."""
+    orders = read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    customers, buckets = read(spark, sf, "customer").select("c_custkey", "c_name"), catalog.buckets_for(orders)
+    tables = []
+    for label, df, key in (("bucketed_customers", customers, "c_custkey"), ("bucketed_orders", orders, "o_custkey")):
+        spark.sql(f"DROP TABLE IF EXISTS {_table_name(label)}")
+        catalog.write_bucketed(df, _table_name(label), key=key, buckets=buckets, path=scratch_path(spark, label))
+        tables.append(spark.table(_table_name(label)))
+    return tables
+
+
+@query("bucketed_left_join", _CUSTOMER_ORDERS)
 def bucketed_left_join(spark, sf):
-    large, small = _bucketed_pair(spark, sf)
-    return joins.bucketed_left_join(
-        spark.table(large).select("l_orderkey", "l_linenumber", "l_extendedprice"),
-        spark.table(small).select("o_orderkey", "o_totalprice"),
-        "l_orderkey", "o_orderkey",
+    return joins.bucketed_left_join(*_bucketed_pair(spark, sf), "c_custkey", "o_custkey").drop("o_custkey")
+
+
+@query("broadcast_left_join", _CUSTOMER_ORDERS)
+def broadcast_left_join(spark, sf):
+    customers, orders = _bucketed_pair(spark, sf)
+    joined = joins.bucketed_left_join(
+        customers, orders, "c_custkey", "o_custkey", broadcast_bytes=16 << 20, order_by=["c_custkey", "o_orderkey"]
     )
+    return joined.drop("o_custkey")
+
+
+@query(
+    "partitioned_left_join",
+    """SELECT l_orderkey, l_linenumber, l_returnflag, o_orderkey, o_totalprice FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
+    WHERE l_returnflag = 'R'""",
+)
+def partitioned_left_join(spark, sf):
+    """One partition of the larger table against the other, bucketed alike: the rest is not read."""
+    items = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    left = _bucketed(spark, items, "items_by_flag", "l_orderkey", ["l_returnflag"])
+    right = _bucketed(spark, orders, "orders_by_key", "o_orderkey")
+    return joins.bucketed_left_join(left.filter("l_returnflag = 'R'"), right, "l_orderkey", "o_orderkey")
 
 
 @query(
@@ -123,13 +152,8 @@ def bucketed_left_join(spark, sf):
     "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'",
 )
 def partitioned_buckets(spark, sf):
-    table = _table_name("bucketed_by_status")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
     orders = read(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    catalog.write_bucketed(
-        orders, table, key="o_orderkey", buckets=4, partition_by=["o_orderstatus"], path=scratch_path(spark, table)
-    )
-    return spark.table(table).filter("o_orderstatus = 'F'")
+    return _bucketed(spark, orders, "bucketed_by_status", "o_orderkey", ["o_orderstatus"]).filter("o_orderstatus = 'F'")
 
 
 @query(
@@ -180,3 +204,84 @@ def stream_square(spark, sf):
     return _streamed(spark, sf).select(
         "event_id", "event_type", F.col("value_squared").cast("bigint").alias("value_squared"), "prompt"
     )
+
+
+# --- files and views, each written from a given table and read back --------------------------------
+
+
+@query("delimited_round_trip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def delimited_round_trip(spark, sf):
+    path = scratch_path(spark, "delimited")
+    read(spark, sf, "customer").write.csv(path, sep="\t", header=True)
+    return files.read_delimited(spark, path, SCHEMAS["customer"])
+
+
+@query("inferred_round_trip", "SELECT s_suppkey::INT AS s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def inferred_round_trip(spark, sf):
+    path = scratch_path(spark, "inferred")
+    read(spark, sf, "supplier").write.csv(path, header=True)
+    return files.read_csv_inferred(spark, path)
+
+
+@query("lines_round_trip", "SELECT c_name AS value FROM customer")
+def lines_round_trip(spark, sf):
+    path = scratch_path(spark, "lines")
+    read(spark, sf, "customer").select(F.col("c_name").alias("value")).write.text(path)
+    return files.read_lines(spark, path)
+
+
+@query("parallel_arrays", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def parallel_arrays(spark, sf):
+    """Documents of parallel arrays, one for each hundred customers."""
+    path, columns = scratch_path(spark, "arrays"), {"c_custkey": "bigint", "c_name": "string", "c_acctbal": "double"}
+    rows = F.array_sort(F.collect_list(F.struct(*columns)))
+    documents = read(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("part")).agg(rows.alias("r"))
+    arrays = documents.select(*[F.col(f"r.{c}").alias(c) for c in columns])
+    arrays.write.option("maxRecordsPerFile", 1).json(path)
+    return files.read_parallel_arrays(spark, path, columns)
+
+
+@query("clean_names_table", "SELECT c_custkey AS Customer_Key, c_acctbal AS Balance_GBP FROM customer")
+def clean_names_table(spark, sf):
+    table = _table_name("clean_names")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    rows = read(spark, sf, "customer").select(F.col("c_custkey").alias("Customer Key"), F.col("c_acctbal").alias("Balance GBP"))
+    catalog.write_clean_table(rows, table)
+    return spark.table(table)
+
+
+@query("single_csv_report", "SELECT c_mktsegment, count(*)::INT AS num_rows FROM customer GROUP BY c_mktsegment")
+def single_csv_report(spark, sf):
+    path = scratch_path(spark, "report")
+    files.write_single_csv(read(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("num_rows")), path)
+    return files.read_csv_inferred(spark, path)
+
+
+@query("registered_view", "SELECT o_orderpriority, round(avg(o_totalprice), 2) AS mean_price FROM orders GROUP BY o_orderpriority")
+def registered_view(spark, sf):
+    catalog.register_views(ledger_view=read(spark, sf, "orders"))
+    return spark.sql("SELECT o_orderpriority, round(avg(o_totalprice), 2) AS mean_price FROM ledger_view GROUP BY o_orderpriority")
+
+
+@query("flag_column", "SELECT c_custkey, 1 AS is_fraud FROM customer")
+def flag_column(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey", F.lit(1).alias("is_fraud"))
+
+
+@query(
+    "columns_with_values",
+    with_views("SELECT title_number, price_paid, tenure, country FROM registry WHERE price_paid > 300000", "registry"),
+)
+def columns_with_values(spark, sf):
+    """Of the rows of a subset, the columns that have any value there."""
+    rows = registry(spark, sf).filter("price_paid > 300000").select("title_number", "price_paid", "tenure", "country")
+    from deedscope.operators.cleaning import drop_empty_columns
+
+    return drop_empty_columns(rows.withColumn("never", F.when(F.col("price_paid") < 0, 1)))
+
+
+@query("capped_rows", "SELECT least(count(*), 1000) AS num_rows FROM orders")
+def capped_rows(spark, sf):
+    from deedscope.operators.sampling import cap_rows
+
+    return cap_rows(read(spark, sf, "orders"), 1_000).agg(F.count("*").alias("num_rows"))
