@@ -1,8 +1,9 @@
 """Time every named query on ``$BENCH_SF_DIR`` with ``local[$BENCH_CPUS]``; prints one JSON line.
 
-Every query is run once, which warms it up and gives a time to fall back on. Then the queries
-are timed in ``$BENCH_RUNS`` further rounds while ``$BENCH_BUDGET`` seconds last; a query's time
-is the median of its warm runs. Results go to the ``noop`` sink, so all of each is computed and
+Every query is run once, which warms it up, and then in ``$BENCH_RUNS`` further rounds; a query's
+time is the median of its warm runs. ``$BENCH_BUDGET`` seconds end the rounds early, so that a slow
+machine still prints a line; ``warm_runs`` tells whether it did. The bucketed join is also timed
+apart from the writing of its tables, with and without a broadcast. Results go to the ``noop`` sink, so all of each is computed and
 none of it collected.
 """
 
@@ -12,6 +13,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from deedscope.session import build_session
@@ -49,6 +51,24 @@ def window_then_distinct(spark, sf_dir: str) -> None:
     ).distinct().write.format("noop").mode("overwrite").save()
 
 
+def join_times(spark, sf_dir: str, runs: int) -> dict[str, float]:
+    """The bucketed join over tables that are there already, by merge and by broadcast."""
+    from deedscope.operators import joins
+    from deedscope.workload import storage
+
+    tables = storage._bucketed_pair(spark, sf_dir)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def once(broadcast_bytes: int) -> float:
+        joined = joins.bucketed_left_join(*tables, "c_custkey", "o_custkey", broadcast_bytes=broadcast_bytes)
+        return seconds(lambda: joined.write.format("noop").mode("overwrite").save())
+
+    ways = {"merge": 0, "broadcast": 1 << 30}
+    found = {way: round(statistics.median([once(size) for _ in range(runs + 1)][1:]), 4) for way, size in ways.items()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return found
+
+
 PLAIN_FORMS = {"null_percentages": per_column_null_counts, "partition_max": window_then_distinct}
 
 
@@ -56,10 +76,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    budget = float(os.environ.get("BENCH_BUDGET", "600"))
+    budget = float(os.environ.get("BENCH_BUDGET", "1800"))
     memory = os.environ.get("BENCH_MEMORY", "16g")
     spark = build_session(
-        "bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus),
+        "bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus), checkpoint_dir=tempfile.mkdtemp(prefix="bench-"),
         conf={"spark.ui.enabled": "false", "spark.driver.memory": memory},
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -90,6 +110,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "plain_forms": plain,
+                "bucketed_join": join_times(spark, sf_dir, runs) if "bucketed_left_join" in names else {},
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
                 "driver_memory": memory,

@@ -22,10 +22,12 @@ class Store:
 
 def jdbc(
     url: str, table: str, user: str, password: str, driver: str, *, fetch_size: int | None = None,
-    split_column: str | None = None, bounds: tuple[int, int] | None = None, splits: int = 1,
+    split_column: str | None = None, bounds: tuple[int, int] | None = None, splits: int | None = None,
 ) -> Store:
-    """A JDBC table. Without a split column one task reads all of it, so give one for any table
-    that is not small; the bounds only place the splits, they drop no rows."""
+    """A JDBC table, read in ``splits`` parts of a column; the bounds place them and drop no rows.
+
+    Without a split column one task reads all of the table, which the reader must ask for.
+    """
     options = {"url": url, "dbtable": table, "user": user, "password": password, "driver": driver}
     if fetch_size is not None:
         options["fetchsize"] = str(fetch_size)
@@ -36,7 +38,7 @@ def jdbc(
             "partitionColumn": split_column,
             "lowerBound": str(bounds[0]),
             "upperBound": str(bounds[1]),
-            "numPartitions": str(splits),
+            "numPartitions": str(splits or 1),
         }
     return Store("jdbc", options)
 
@@ -52,7 +54,10 @@ def redis(table: str, key_column: str, *, infer_schema: bool = False) -> Store:
     return Store("org.apache.spark.sql.redis", options)
 
 
-def read_store(spark: SparkSession, store: Store) -> DataFrame:
+def read_store(spark: SparkSession, store: Store, *, one_task: bool = False) -> DataFrame:
+    """Read a store; a JDBC table without a split column only when ``one_task`` is asked for."""
+    if store.format == "jdbc" and "partitionColumn" not in store.options and not one_task:
+        raise ValueError("name a split column, or ask for one_task")
     return spark.read.format(store.format).options(**store.options).load()
 
 

@@ -59,12 +59,14 @@ def read_json_records(spark: SparkSession, path: str, schema: str | None = None)
     return reader.json(path, multiLine=True)
 
 
-def write_single_csv(df: DataFrame, path: str, *, max_rows: int = 100_000) -> None:
-    """One CSV file with a header, for a small report; a larger table is refused.
+def write_single_csv(df: DataFrame, path: str, *, max_rows: int | None = None) -> None:
+    """One CSV file with a header, for a report. One task writes it; nothing is left out.
+
+    With ``max_rows`` a larger table is refused instead, before anything is written.
 
     The shuffle before the single writer keeps the stages above it parallel.
     """
-    if not has_at_most(df, max_rows):
+    if max_rows is not None and not has_at_most(df, max_rows):
         raise TooManyRows(f"more than {max_rows} rows do not belong in one file")
     df.repartition(1).write.mode("overwrite").csv(path, header=True)
 

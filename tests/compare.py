@@ -9,6 +9,7 @@ import datetime
 import decimal
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -65,7 +66,7 @@ def main() -> int:
     from deedscope.session import build_session
 
     spark = build_session(
-        "compare", master="local[8]", shuffle_partitions=8,
+        "compare", master="local[8]", shuffle_partitions=8, checkpoint_dir=tempfile.mkdtemp(prefix="compare-"),
         conf={"spark.ui.enabled": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")

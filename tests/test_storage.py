@@ -147,7 +147,9 @@ def test_store_reader_and_writer_pass_the_options():
 
     store = connectors.jdbc("jdbc:x", "t", "u", "p", "D", fetch_size=10)
     reading, writing = Holder(), Holder()
-    connectors.read_store(reading, store)
+    with pytest.raises(ValueError):
+        connectors.read_store(reading, store)
+    connectors.read_store(reading, store, one_task=True)
     connectors.write_store(writing, store, "overwrite")
     assert [c[0] for c in reading.read.calls] == ["format", "options", "load"]
     assert reading.read.calls[1][2]["fetchsize"] == "10"
