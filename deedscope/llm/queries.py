@@ -71,6 +71,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+ORACLE_SQL["op8_mixing"] = """
+WITH counts AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source),
+rates AS (SELECT source, (SELECT sum(n) FROM counts) / (SELECT sum(weight) FROM counts) * weight / n AS rate FROM counts),
+means AS (SELECT source, draws, rate / draws AS mean FROM (SELECT *, greatest(1, ceil(rate / 32))::INT AS draws FROM rates)),
+terms AS (SELECT source, draws, k, exp(k * ln(mean) - lgamma(k + 1) - mean) AS term FROM means, (SELECT unnest(range(0, 131)) AS k)),
+steps AS (SELECT source, draws, list(total ORDER BY k) AS cdf FROM
+  (SELECT *, sum(term) OVER (PARTITION BY source ORDER BY k) AS total FROM terms) GROUP BY source, draws),
+uniforms AS (SELECT doc_id, draws, cdf, d.source, text, lang, n_chars, list_transform(range(1, draws + 1), lambda j:
+  ('0x' || substr(md5('42|count|' || coalesce(doc_id::VARCHAR, '') || '|' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) AS us
+  FROM documents d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source),
+drawn AS (SELECT * EXCLUDE (us, cdf, draws), list_sum(list_transform(us, lambda u: len(list_filter(cdf, lambda c: c < u))))::INT AS copies FROM uniforms)
+SELECT *, md5('42|order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy) AS shuffle_key
+FROM (SELECT *, unnest(range(1, copies + 1))::INT AS copy FROM drawn WHERE copies > 0)
+"""
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_measures(documents(spark, sf_dir))
