@@ -9,11 +9,16 @@ costs a few operations whatever the length, so a pre-token of a whole document i
 from __future__ import annotations
 
 import base64
+import hashlib
+import sys
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
+from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,20 +94,39 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Pre-token to ids, merged once while it stays in this bounded cache."""
+    """Pre-token to ids, merged once while it stays in this bounded cache.
+
+    Half of the ``entries`` are of the pre-tokens met since the last change of generation, half of
+    those met before; one that is met again moves on to the new generation.
+    """
 
     def __init__(self, ranks: dict[bytes, int], entries: int, piece_chars: int = 64) -> None:
         super().__init__()
-        self.ranks, self.entries, self.piece_chars = ranks, entries, piece_chars
+        self.ranks, self.half, self.piece_chars = ranks, max(1, entries // 2), piece_chars
+        self.older: dict[str, list[int]] = {}
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = merge(piece.encode(), self.ranks)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = merge(piece.encode(), self.ranks)
         if len(piece) <= self.piece_chars:
-            if len(self) >= self.entries:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    @classmethod
+    def of_worker(cls, rank_lines: bytes, entries: int) -> Pieces:
+        """The cache of this Python worker, which outlives the task: its next tasks find it filled."""
+        # Functions reach tasks by value, with globals that are new for each task; what the
+        # interpreter itself lists as a module stays with the process.
+        kept = sys.modules.setdefault("_byte_bpe_of_worker", ModuleType("_byte_bpe_of_worker")).__dict__
+        key = hashlib.sha256(rank_lines).digest(), entries
+        if kept.get("key") != key:
+            kept.update(key=key, pieces=cls(parse_ranks(rank_lines), entries))
+        return kept["pieces"]
+
 
 def parse_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines()) if token}
@@ -116,7 +140,7 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
 
 def encode(
     docs: DataFrame, rank_file: str, pattern: str, *, text_column: str = "text", ids_column: str = "ids",
-    cache_entries: int = 400_000,
+    cache_entries: int = 800_000,
 ) -> DataFrame:
     """``docs`` with its text replaced by the ids of its tokens, an array of int.
 
@@ -133,7 +157,7 @@ def encode(
         import regex
 
         find = regex.compile(pattern).findall
-        pieces = Pieces(parse_ranks(ranks.value), cache_entries)
+        pieces = Pieces.of_worker(ranks.value, cache_entries)
         for batch in parts(batches):
             ids = pa.array(
                 (list(chain.from_iterable(map(pieces.__getitem__, find(text)))) for text in batch.column(len(kept)).to_pylist()),
@@ -153,10 +177,21 @@ def decode(tokens: DataFrame, rank_file: str, *, ids_column: str = "ids", bytes_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed = parse_ranks(ranks.value)
-        vocabulary = dict(zip(parsed.values(), parsed)).__getitem__
+        tokens = [b""] * (max(parsed.values()) + 1)
+        for token, rank in parsed.items():
+            tokens[rank] = token
+        every = np.frombuffer(b"".join(tokens), np.uint8)
+        size = np.array([len(x) for x in tokens])
+        begin = np.cumsum(size) - size
         for batch in parts(batches):
             ids = batch.column(at)
-            texts = pa.array((b"".join(map(vocabulary, row)) if row else b"" for row in ids.to_pylist()), pa.binary())
+            held = ids.flatten().to_numpy()
+            rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+            ends = np.concatenate([[0], np.cumsum(size[held])])
+            # The place in ``every`` of each byte of the slice.
+            place = np.repeat(begin[held] - ends[:-1], size[held]) + np.arange(ends[-1])
+            offsets = pa.py_buffer(ends[rows].astype(np.int32).tobytes())
+            texts = pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets, pa.py_buffer(every[place].tobytes())])
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*names, bytes_column])
 
     return rows.mapInArrow(run, extended(rows.schema, f"`{bytes_column}` binary"))
