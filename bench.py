@@ -76,7 +76,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    budget = float(os.environ.get("BENCH_BUDGET", "1800"))
+    budget = float(os.environ.get("BENCH_BUDGET", "1200"))
     memory = os.environ.get("BENCH_MEMORY", "16g")
     spark = build_session(
         "bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus), checkpoint_dir=tempfile.mkdtemp(prefix="bench-"),
