@@ -209,12 +209,15 @@ def _sample(pairs: DataFrame, model: Model, sweeps: int, burn_in: int, seed: int
         return pd.DataFrame({"block": [int(group["block"].iloc[0])], "p": [p.tobytes()], "at": [(u.astype(np.int64) * width + group["w"].to_numpy()).tobytes()]})
 
     # What a context leaves to its parent; one that no training text has leaves all.
-    left = [(s.strength + s.discount * after)[:, None] * parent for _, _, after, parent in kept]
-    p = np.mean(left, axis=0) / (customers + s.strength)[:, None]
+    p = np.zeros((model.contexts + 1, width))
+    for _, _, after, parent in kept:
+        share = (s.strength + s.discount * after) / (customers + s.strength) / len(kept)
+        for u in range(len(p)):
+            p[u] += share[u] * parent
     flat = p.ravel()
     for row in pairs.groupBy("block").applyInPandas(averaged, "block int, p binary, at binary").collect():
         flat[np.frombuffer(row["at"], np.int64)] += np.frombuffer(row["p"], np.float64)
-    return np.log10(p).astype(np.float32)
+    return np.log10(p, out=p).astype(np.float32)
 
 
 def fit(
@@ -238,11 +241,12 @@ def fit(
         if fits > known:
             break
         least = row["size"]
-    chosen = counts.filter(size >= least).collect() if least is not None else []
-    chosen.sort(key=lambda r: (-r["n"], bytes(r["word"])))
+    # At most ``known`` rows, as columns: rows as objects would take ten times the memory.
+    table = counts.filter(size >= least if least is not None else F.lit(False)).toArrow()
+    chosen = sorted(zip((-n for n in table.column("n").to_pylist()), table.column("word").to_pylist()))
     model = Model(seating=seating or Seating())
-    model.words = {bytes(r["word"]): i for i, r in enumerate(chosen)}
-    model.counts = np.array([r["n"] for r in chosen], np.int64)
+    model.words = {word: i for i, (_, word) in enumerate(chosen)}
+    model.counts = np.array([-n for n, _ in chosen], np.int64)
     model.dishes, model.contexts = min(dishes, len(chosen)), min(contexts, len(chosen))
     model.tokens, model.types = sum(r["n"] or 0 for r in classes), sum(r["k"] for r in classes)
     model.rare_tokens = model.tokens - int(model.counts[: model.dishes].sum())
