@@ -11,9 +11,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import sys
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
 from types import ModuleType
 
 import numpy as np
@@ -100,15 +100,17 @@ class Pieces(dict):
     those met before; one that is met again moves on to the new generation.
     """
 
-    def __init__(self, ranks: dict[bytes, int], entries: int, piece_chars: int = 64) -> None:
+    def __init__(
+        self, ranks: dict[bytes, int], entries: int, piece_chars: int = 64, pack: Callable[[list[int]], object] = list
+    ) -> None:
         super().__init__()
-        self.ranks, self.half, self.piece_chars = ranks, max(1, entries // 2), piece_chars
-        self.older: dict[str, list[int]] = {}
+        self.ranks, self.half, self.piece_chars, self.pack = ranks, max(1, entries // 2), piece_chars, pack
+        self.older: dict[str, object] = {}
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str):
         ids = self.older.get(piece)
         if ids is None:
-            ids = merge(piece.encode(), self.ranks)
+            ids = self.pack(merge(piece.encode(), self.ranks))
         if len(piece) <= self.piece_chars:
             if len(self) >= self.half:
                 self.older = dict(self)
@@ -118,13 +120,16 @@ class Pieces(dict):
 
     @classmethod
     def of_worker(cls, rank_lines: bytes, entries: int) -> Pieces:
-        """The cache of this Python worker, which outlives the task: its next tasks find it filled."""
+        """The cache of this Python worker, which outlives the task: its next tasks find it filled.
+
+        Ids are packed as the bytes of 32-bit numbers, so that a text's are joined, not listed.
+        """
         # Functions reach tasks by value, with globals that are new for each task; what the
         # interpreter itself lists as a module stays with the process.
         kept = sys.modules.setdefault("_byte_bpe_of_worker", ModuleType("_byte_bpe_of_worker")).__dict__
         key = hashlib.sha256(rank_lines).digest(), entries
         if kept.get("key") != key:
-            kept.update(key=key, pieces=cls(parse_ranks(rank_lines), entries))
+            kept.update(key=key, pieces=cls(parse_ranks(rank_lines), entries, pack=lambda ids: array("i", ids).tobytes()))
         return kept["pieces"]
 
 
@@ -138,32 +143,58 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
         return file.read()
 
 
+class Decoder:
+    """Ids to bytes, all rows of an array column at a time."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.every = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(x) for x in tokens])
+        self.begin = np.cumsum(self.size) - self.size
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        held = ids.flatten().to_numpy()
+        rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+        ends = np.concatenate([[0], np.cumsum(self.size[held])])
+        # The place in ``every`` of each byte.
+        place = np.repeat(self.begin[held] - ends[:-1], self.size[held]) + np.arange(ends[-1])
+        offsets = pa.py_buffer(ends[rows].astype(np.int32).tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets, pa.py_buffer(self.every[place].tobytes())])
+
+
 def encode(
     docs: DataFrame, rank_file: str, pattern: str, *, text_column: str = "text", ids_column: str = "ids",
-    cache_entries: int = 800_000,
+    decoded_column: str | None = None, cache_entries: int = 300_000,
 ) -> DataFrame:
     """``docs`` with its text replaced by the ids of its tokens, an array of int.
 
     Each match of ``pattern`` is encoded by itself; characters that it matches nowhere are left
     out. NULL and empty texts have no ids. Texts are encoded whole. Columns other than the text
-    pass through as they are; a column that already bears the name of the ids is replaced.
+    pass through as they are; a column that already bears the name of the ids is replaced. With
+    ``decoded_column`` the ids are also decoded again, in the same task.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, rank_file))
-    kept = [c for c in docs.columns if c not in (text_column, ids_column)]
+    kept = [c for c in docs.columns if c not in (text_column, ids_column, decoded_column)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_column), F.lit("")).alias(ids_column))
-    schema = extended(rows.drop(ids_column).schema, f"`{ids_column}` array<int>")
+    added = f"`{ids_column}` array<int>" + (f", `{decoded_column}` binary" if decoded_column else "")
+    names = [*kept, ids_column] + ([decoded_column] if decoded_column else [])
+    schema = extended(rows.drop(ids_column).schema, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
         pieces = Pieces.of_worker(ranks.value, cache_entries)
+        decoder = Decoder(pieces.ranks) if decoded_column else None
         for batch in parts(batches):
-            ids = pa.array(
-                (list(chain.from_iterable(map(pieces.__getitem__, find(text)))) for text in batch.column(len(kept)).to_pylist()),
-                pa.list_(pa.int32()),
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], names=[*kept, ids_column])
+            packed = [b"".join(map(pieces.__getitem__, find(text))) for text in batch.column(len(kept)).to_pylist()]
+            ends = np.cumsum([0, *map(len, packed)]) // 4
+            values = pa.array(np.frombuffer(b"".join(packed), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            out = [*batch.columns[: len(kept)], ids] + ([decoder.decode(ids)] if decoder else [])
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -176,31 +207,17 @@ def decode(tokens: DataFrame, rank_file: str, *, ids_column: str = "ids", bytes_
     at = names.index(ids_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed = parse_ranks(ranks.value)
-        tokens = [b""] * (max(parsed.values()) + 1)
-        for token, rank in parsed.items():
-            tokens[rank] = token
-        every = np.frombuffer(b"".join(tokens), np.uint8)
-        size = np.array([len(x) for x in tokens])
-        begin = np.cumsum(size) - size
+        decoder = Decoder(parse_ranks(ranks.value))
         for batch in parts(batches):
-            ids = batch.column(at)
-            held = ids.flatten().to_numpy()
-            rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
-            ends = np.concatenate([[0], np.cumsum(size[held])])
-            # The place in ``every`` of each byte of the slice.
-            place = np.repeat(begin[held] - ends[:-1], size[held]) + np.arange(ends[-1])
-            offsets = pa.py_buffer(ends[rows].astype(np.int32).tobytes())
-            texts = pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets, pa.py_buffer(every[place].tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*names, bytes_column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoder.decode(batch.column(at))], names=[*names, bytes_column])
 
     return rows.mapInArrow(run, extended(rows.schema, f"`{bytes_column}` binary"))
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """Per document the number and digest of its ids, and the digest of what they decode to."""
-    tokens = encode(docs.select("doc_id", "text"), rank_file, pattern)
-    return decode(tokens, rank_file).select(
+    tokens = encode(docs.select("doc_id", "text"), rank_file, pattern, decoded_column="decoded")
+    return tokens.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "UTF-8"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
