@@ -245,8 +245,7 @@ def boosted_trend(
     """Boosted-tree forecast: one model over all series, from the key's mean and the month.
 
     A tree cannot use a key's name, so each key is described by its own mean price; the model
-    learns the price relative to it. Trees are added until the error on a fifth of the months,
-    chosen by hash, no longer falls, ``trees`` at most.
+    learns the price relative to it. All ``trees`` are fitted on all months of all series.
     """
     return _boosted(cut_lineage(_monthly(series, keys)), keys, horizon, first, trees, depth, seed)
 
@@ -265,16 +264,11 @@ def _boosted(
     ).withColumn("relative", F.col("price") / F.col("level"))
     season = F.month("date_taken").cast("double").alias("season")
     assembler = VectorAssembler(inputCols=["t", "season", "level"], outputCol="features")
-    checked = (F.pmod(F.xxhash64(*keys, "t", F.lit(seed)), F.lit(5)) == 0).alias("checked")
     # Read by every tree.
-    training = cut_lineage(assembler.transform(rows.select("t", season, "level", "relative", checked)))
-    boosting = GBTRegressor(
+    training = cut_lineage(assembler.transform(rows.select("t", season, "level", "relative")))
+    model = GBTRegressor(
         featuresCol="features", labelCol="relative", maxIter=trees, maxDepth=depth, seed=seed
-    )
-    kinds = training.agg(F.count_if("checked").alias("held"), F.count_if(~F.col("checked")).alias("used")).first()
-    if kinds["held"] and kinds["used"]:
-        boosting = boosting.setValidationIndicatorCol("checked")
-    model = boosting.fit(training)
+    ).fit(training)
     last = rows.groupBy(*keys).agg(F.max("date_taken").alias("last_date"), F.first("level").alias("level"))
     future = last.withColumn("date_taken", F.explode(_future(horizon, first))).withColumn(
         "t", _months(F.col("date_taken")).cast("double")

@@ -363,6 +363,27 @@ def test_boosted_and_combined_forecasts(spark):
         assert r["combined"] == pytest.approx((r["linear"] + r["boosted"] + r["seasonal"]) / 3)
 
 
+def test_boosted_trend_fits_all_trees_on_all_months(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    fitted, plain = [], GBTRegressor.fit
+
+    def fit(self, training):
+        fitted.append((self, training.count(), plain(self, training)))
+        return fitted[-1][2]
+
+    monkeypatch.setattr(GBTRegressor, "fit", fit)
+    # The first tree fits best by far: a check for little improvement would stop at once.
+    rows = [
+        (s, datetime.date(2018 + m // 12, m % 12 + 1, 1), base * (1 + (m >= 24)) + m % 3)
+        for s, base in (("a", 100.0), ("b", 1_000.0)) for m in range(48)
+    ]
+    df = spark.createDataFrame(rows, "s string, date_taken date, price double")
+    assert series.boosted_trend(df, ["s"], horizon=2, trees=30).count() == 4
+    [(boosting, n, model)] = fitted
+    assert n == 96 and not boosting.isSet("validationIndicatorCol") and model.getNumTrees == 30
+
+
 def test_gaps(spark):
     days = [datetime.date(2023, 10, 24), datetime.date(2023, 10, 26), datetime.date(2023, 10, 26)]
     df = spark.createDataFrame([(d, 70.0) for d in days], "day date, weight double")
