@@ -1,73 +1,55 @@
 """Global shuffle into shards: a two-pass external shuffle.
 
-Pass one scatters records uniformly into buckets that fit in memory, by a seeded hash. Pass two
-shuffles each bucket by Fisher-Yates (Spark's ``shuffle`` of an array) and lays the buckets end
-to end; the shards are equal cuts of that order.
+Pass one scatters whole records uniformly into buckets that fit in memory, by a seeded hash. Pass
+two shuffles each bucket by Fisher-Yates (Spark's ``shuffle`` of an array), writes it, and lays the
+buckets end to end; the shards are equal cuts of that order.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedscope.plans.lineage import cut_lineage
+from deedscope.plans.lineage import scratch_path
 from deedscope.plans.ordinal import with_running_totals
 
 
-def shuffle_into_shards(
-    docs: DataFrame,
-    *,
-    shards: int = 40,
-    seed: int = 42,
-    bucket_bytes: int = 8 << 20,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
-    """Place every record in a shard and a slot, after one random order of all records.
+def _size(text: Column) -> Column:
+    return (F.octet_length(F.coalesce(text, F.lit(""))) + 16).cast("long")
 
-    The law is ``rows``: shard sizes differ by one row at most. Returns one row per row of
-    ``docs``: ``doc_id``, ``size`` (UTF-8 bytes of the text, NULL none, plus 16),
-    ``text_crc32`` (NULL counts as empty), ``law``, ``shard``, ``slot`` (gapless from 0 within a
-    shard), ``grown_shard`` (NULL under this law). Other columns are not read. A bucket holds
-    about ``bucket_bytes`` of records; rows equal in id and text are counted first and their
-    copies scattered like other rows, so no bucket grows with them. The same seed and number of
-    buckets give the same order on any cluster. No rows give no rows.
-    """
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    records = docs.select(
-        F.col(id_column).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-    )
-    counted = cut_lineage(records.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")))
-    total = counted.agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("bytes")).first()
-    n, total_bytes = total["n"] or 0, total["bytes"] or 0
+
+def _placed(docs: DataFrame, shards: int, seed: int, bucket_bytes: int, text_column: str) -> DataFrame:
+    """``record`` (all columns of a row), ``shard`` and ``slot``, read from the written buckets."""
+    total = docs.agg(F.count("*").alias("n"), F.sum(_size(F.col(text_column))).alias("bytes")).first()
+    n, total_bytes = total["n"], total["bytes"] or 0
     buckets = max(1, math.ceil(total_bytes / bucket_bytes), math.ceil(n / 4096))
+    counted = docs.select(F.struct("*").alias("record")).groupBy("record").agg(F.count("*").alias("copies"))
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    scattered = copies.withColumn(
-        "bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", "copy"), F.lit(buckets))
-    )
+    # A hash tells records apart in a bucket; equal hashes fall back on the records themselves.
+    keyed = copies.withColumn("key", F.xxhash64(F.lit(seed), "record", "copy"))
+    scattered = keyed.withColumn("bucket", F.pmod("key", F.lit(buckets)))
     # A stated number of partitions is not changed at run time, so the draw of ``shuffle``, which
     # follows the partition and the rows' order in it, is the same in every run.
     tasks = min(buckets, 20_000)
     gathered = (
         scattered.repartition(tasks, "bucket")
         .groupBy("bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("doc_id", "text_crc32", "size", "copy"))).alias("records"))
+        .agg(F.sort_array(F.collect_list(F.struct("key", "copy", "record"))).alias("records"))
         .sortWithinPartitions("bucket")
         .select("bucket", F.shuffle("records", seed).alias("records"))
     )
-    shuffled = cut_lineage(
-        gathered.select("bucket", F.posexplode("records").alias("place", "r")).select(
-            "bucket", "place", "r.doc_id", "r.size", "r.text_crc32"
-        )
-    )
+    path = scratch_path(docs.sparkSession, "buckets")
+    shuffled = gathered.select("bucket", F.posexplode("records").alias("place", "r"))
+    shuffled.select("bucket", "place", "r.record").write.option("compression", "zstd").parquet(path)
+    written = docs.sparkSession.read.parquet(path)
     ends = with_running_totals(
-        shuffled.groupBy("bucket").agg(F.count("*").alias("held")), [F.col("bucket")], {"end": F.col("held")}
+        written.groupBy("bucket").agg(F.count("*").alias("held")), [F.col("bucket")], {"end": F.col("held")}
     )
     starts = ends.select("bucket", (F.col("end") - F.col("held")).alias("start"))
-    placed = shuffled.join(starts, "bucket").withColumn("at", F.col("start") + F.col("place"))
+    # One row per bucket of ``bucket_bytes``.
+    placed = written.join(F.broadcast(starts), "bucket").withColumn("at", F.col("start") + F.col("place"))
     # The first ``longer`` shards hold one row more.
     least, longer = divmod(n, shards)
     cut = longer * (least + 1)
@@ -75,22 +57,52 @@ def shuffle_into_shards(
         longer + F.floor((F.col("at") - cut) / F.lit(max(least, 1)))
     )
     first = F.col("shard") * least + F.least(F.col("shard"), F.lit(longer))
-    return placed.withColumn("shard", shard.cast("int")).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
-        (F.col("at") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    slot = (F.col("at") - first).cast("long").alias("slot")
+    return placed.withColumn("shard", shard.cast("int")).select("record", "shard", slot)
+
+
+def shuffle_into_shards(
+    docs: DataFrame,
+    *,
+    shards: int = 40,
+    seed: int = 42,
+    bucket_bytes: int = 8 << 20,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """Place every record in a shard and a slot, after one random order of all records.
+
+    The law is ``rows``: shard sizes differ by one row at most. Returns one row per row of
+    ``docs``: ``doc_id``, ``size`` (UTF-8 bytes of the text, NULL none, plus 16),
+    ``text_crc32`` (NULL counts as empty), ``law``, ``shard``, ``slot`` (gapless from 0 within a
+    shard), ``grown_shard`` (NULL under this law). Whole records move and are read back from the
+    written buckets, so all columns must be of types that can be grouped. A bucket holds
+    about ``bucket_bytes`` of records; equal rows are counted first and their copies scattered
+    like other rows, so no bucket grows with them. The same seed and number of buckets give the
+    same order on any cluster. No rows give no rows.
+    """
+    placed = _placed(docs, shards, seed, bucket_bytes, text_column)
+    text = F.col("record").getField(text_column)
+    return placed.select(
+        F.col("record").getField(id_column).alias("doc_id"), _size(text).alias("size"),
+        F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-def write_shards(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column: str = "text", **options) -> None:
+def write_shards(
+    docs: DataFrame, path: str, *, shards: int = 40, seed: int = 42, bucket_bytes: int = 8 << 20,
+    id_column: str = "doc_id", text_column: str = "text",
+) -> None:
     """Write the records of ``docs``, whole, into one folder per shard, each in its slots' order.
 
-    Ids must be unique and not NULL, since records are found again by them.
+    Shards and slots are those of :func:`shuffle_into_shards`. No id is needed: records carry
+    their places.
     """
-    placed = shuffle_into_shards(docs, id_column=id_column, text_column=text_column, **options)
-    keys = placed.select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    records = docs.join(keys, F.col(id_column) == F.col("__id")).drop("__id")
+    placed = _placed(docs, shards, seed, bucket_bytes, text_column)
     (
-        records.repartitionByRange("__shard", "__slot")
+        placed.select("record.*", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+        .repartitionByRange("__shard", "__slot")
         .sortWithinPartitions("__shard", "__slot")
         .write.mode("overwrite")
         .partitionBy("__shard")

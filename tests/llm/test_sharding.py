@@ -47,3 +47,28 @@ def test_written_shards_hold_whole_records(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in back.collect()) == rows
     assert {r["count"] for r in back.groupBy("__shard").count().collect()} == {25}
+
+
+def test_written_shards_keep_rows_without_an_id_and_repeated_ones(spark, tmp_path):
+    rows = odd_rows() + [(9, "ONE two three", "en", "a", 1)] * 40
+    docs = frame(spark, rows)
+    write_shards(docs, str(tmp_path / "out"), shards=3, bucket_bytes=2_000)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    names = ("doc_id", "text", "lang", "source", "n_chars")
+    assert Counter(tuple(r[c] for c in names) for r in back) == Counter(rows)
+    # Every record lies where the query says.
+    told = shuffle_into_shards(docs, shards=3, bucket_bytes=2_000).collect()
+    crc = lambda text: zlib.crc32((text or "").encode())
+    assert Counter((r["doc_id"], crc(r["text"]), r["__shard"], r["__slot"]) for r in back) == Counter(
+        (r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in told
+    )
+
+
+def test_buckets_hold_texts(spark, tmp_path):
+    """The bytes that bound a bucket lie in it."""
+    from deedscope.llm.sharding import _placed
+
+    rows = [(k, f"text {k} " * 50, "en", "a", k) for k in range(50)]
+    placed = _placed(frame(spark, rows), 4, 42, 2_000, "text")
+    assert sorted(tuple(r["record"]) for r in placed.collect()) == rows
+    assert all("buckets-" in f for f in placed.inputFiles()) and placed.inputFiles()
