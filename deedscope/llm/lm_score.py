@@ -1,5 +1,10 @@
 """LM scoring: a hierarchical Pitman-Yor model with seatings sampled by Gibbs.
 
+``score_documents`` has two models. The whole one, which is the default, has every word of the
+training texts as a context and as a dish: a token's context is the word right before it, and
+restaurants are rows of Spark (``fit_whole``). With ``contexts`` or ``dishes`` given, the model
+is a table of that size (``fit``), as follows.
+
 A token's context is the last frequent word before it. Every context is a Chinese restaurant
 whose dishes are the model's words and one dish that stands for all rarer words; all contexts
 share one parent restaurant, whose base is uniform. Each sweep seats the customers of every
@@ -17,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deedscope.llm.common import UPPER, extended, fold, parts
-from deedscope.plans.lineage import cut_lineage
+from deedscope.plans.lineage import cut_lineage, scratch_path
 
 END = b"\n"  # no word holds it
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -72,6 +78,43 @@ class Model:
         return self.rare_tokens + self.seating.rare_strength
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Splitmix64 of unsigned numbers."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Hashed:
+    """Binomial draws that depend on seed, sweep, context, dish and customers seated, on nothing else."""
+
+    def __init__(self, seed: int, sweep: int, u: np.ndarray, w: np.ndarray):
+        start = _mix(np.array([seed * 1_000 + sweep], np.int64).view(np.uint64))
+        self.key = _mix(_mix(u.astype(np.int64).view(np.uint64) ^ start) + w.astype(np.int64).view(np.uint64))
+
+    def __call__(self, left: np.ndarray, i: np.ndarray, step: np.ndarray, p: np.ndarray) -> np.ndarray:
+        key = _mix(self.key[left] ^ _mix(i.astype(np.int64).view(np.uint64)))
+        x = (key >> np.uint64(11)) * 2.0**-53
+        drawn = (x < p).astype(np.int64)
+        # Several at a time: the distribution inverted, or a generator where that takes long.
+        few = np.flatnonzero((step > 1) & (step * p <= 30))
+        n, odds, x = step[few], p[few] / np.maximum(1 - p[few], 1e-12), x[few]
+        term = (1 - p[few]) ** n
+        total, out = term.copy(), np.zeros(len(few), np.int64)
+        going = np.flatnonzero((x >= total) & (out < n))
+        while len(going):
+            k = out[going]
+            term[going] *= (n[going] - k) / (k + 1) * odds[going]
+            total[going] += term[going]
+            out[going] = k + 1
+            going = going[(x[going] >= total[going]) & (out[going] < n[going])]
+        drawn[few] = out
+        for at in np.flatnonzero((step > 1) & (step * p > 30)):
+            drawn[at] = np.random.default_rng(int(key[at])).binomial(step[at], p[at])
+        return drawn
+
+
 def seat(customers: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float, strength: float, rng) -> np.ndarray:
     """Tables of each dish when its customers are seated one by one.
 
@@ -88,7 +131,7 @@ def seat(customers: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float,
         i, t = seated[left], opened[left]
         step = np.minimum(np.maximum(1, i // 8), customers[left] - i)
         p = weight[left] / (weight[left] + i - d * t)
-        opened[left] = t + rng.binomial(step, p)
+        opened[left] = t + (rng(left, i, step, p) if isinstance(rng, Hashed) else rng.binomial(step, p))
         seated[left] = i + step
         left = left[seated[left] < customers[left]]
     return opened
@@ -220,17 +263,8 @@ def _sample(pairs: DataFrame, model: Model, sweeps: int, burn_in: int, seed: int
     return np.log10(p, out=p).astype(np.float32)
 
 
-def fit(
-    texts: DataFrame, *, known: int = 150_000, dishes: int = 16_383, contexts: int = 255, sweeps: int = 6, burn_in: int = 3,
-    seed: int = 42, seating: Seating | None = None,
-) -> tuple[Model, DataFrame]:
-    """The model of the rows' ``text``, and the counts of all their words.
-
-    ``known``, ``dishes`` and ``contexts`` are the model's size: how many of the most frequent
-    words have their counts broadcast, are dishes, are contexts. No rows give a model in which
-    every token has probability one.
-    """
-    counts = cut_lineage(word_counts(texts))
+def _most_frequent(counts: DataFrame, known: int) -> tuple[pa.Table, int, int]:
+    """The rows of at most ``known`` most frequent words, all tokens, all words."""
     # Counts fall into few classes of like size; the least class that still fits is the bound.
     size = F.floor(F.log2("n") * 32)
     classes = counts.groupBy(size.alias("size")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
@@ -243,12 +277,27 @@ def fit(
         least = row["size"]
     # At most ``known`` rows, as columns: rows as objects would take ten times the memory.
     table = counts.filter(size >= least if least is not None else F.lit(False)).toArrow()
+    return table, sum(r["n"] or 0 for r in classes), sum(r["k"] for r in classes)
+
+
+def fit(
+    texts: DataFrame, *, known: int = 150_000, dishes: int = 16_383, contexts: int = 255, sweeps: int = 6, burn_in: int = 3,
+    seed: int = 42, seating: Seating | None = None,
+) -> tuple[Model, DataFrame]:
+    """The model of the rows' ``text``, and the counts of all their words.
+
+    ``known``, ``dishes`` and ``contexts`` are the model's size: how many of the most frequent
+    words have their counts broadcast, are dishes, are contexts. No rows give a model in which
+    every token has probability one.
+    """
+    counts = cut_lineage(word_counts(texts))
+    table, tokens, types = _most_frequent(counts, known)
     chosen = sorted(zip((-n for n in table.column("n").to_pylist()), table.column("word").to_pylist()))
     model = Model(seating=seating or Seating())
     model.words = {word: i for i, (_, word) in enumerate(chosen)}
     model.counts = np.array([-n for n, _ in chosen], np.int64)
     model.dishes, model.contexts = min(dishes, len(chosen)), min(contexts, len(chosen))
-    model.tokens, model.types = sum(r["n"] or 0 for r in classes), sum(r["k"] for r in classes)
+    model.tokens, model.types = tokens, types
     model.rare_tokens = model.tokens - int(model.counts[: model.dishes].sum())
     model.rare_types = model.types - model.dishes
     if model.tokens:
@@ -308,6 +357,327 @@ def _unknown_words(texts: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "__doc long, __row long, word binary, times long")
 
 
+# --- every word a context and a dish ---------------------------------------------------------------
+
+
+def cold_id(word: bytes) -> int:
+    """The number, below zero, of a word that is not known to tasks."""
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True) | -(1 << 63)
+
+
+def _ids(text: str, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Numbers of a text's tokens, those of the words right before them (start: one past the known), tokens."""
+    tokens = words_of(text)
+    tokens.append(END)
+    ids = np.fromiter(map(words.get, tokens, repeat(-1)), np.int64, len(tokens))
+    for i in np.flatnonzero(ids < 0):
+        ids[i] = cold_id(tokens[i])
+    return ids, np.concatenate([[len(words)], ids[:-1]]), tokens
+
+
+@dataclass
+class Whole:
+    """The model of all contexts: arrays of the known words, rows of the others and of the pairs."""
+
+    words: dict[bytes, int]
+    counts: np.ndarray
+    tokens: int
+    types: int
+    customers: np.ndarray  # of known contexts, the start last
+    share: np.ndarray  # what these leave to the parent
+    p: np.ndarray  # the parent's probability of known words
+    unseen: float  # and of a word that no training text has
+    cold: DataFrame  # id, n, share, p
+    pairs: DataFrame  # u, w, own: a seen pair's part of its probability before the parent's
+    hot: np.ndarray  # numbers u x (known + 1) + w of the most frequent pairs, in order
+    hot_log: np.ndarray
+
+
+def _scratch(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _pair_counts(texts: DataFrame, words: dict[bytes, int]) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            found = [_ids(text, shared.value)[:2] for text in batch.column(0).to_pylist()]
+            columns = [pa.array(np.concatenate([x[k] for x in found])) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "w"])
+
+    return texts.select("text").mapInArrow(run, "u long, w long").groupBy("u", "w").agg(F.count("*").alias("c"))
+
+
+def _with_cold(rows: DataFrame, cold: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Left join of what ``cold`` knows of the number ``key``; known numbers meet nothing and are spread."""
+    at = F.when(F.col(key) < 0, F.col(key)).otherwise(F.xxhash64("u", "w").bitwiseAND(F.lit(2**63 - 1)))
+    facts = cold.select(F.col("id").alias("__at"), *[F.col(c).alias(f"{key}_{c}") for c in columns])
+    return rows.withColumn("__at", at).join(facts, "__at", "left").drop("__at")
+
+
+def _sides(rows: DataFrame, what) -> DataFrame:
+    """``id``, ``fu``, ``fw``: sums of ``what`` over the rows with the number as context, as dish."""
+    sides = rows.groupingSets([["u"], ["w"]], "u", "w").agg(what.cast("long").alias("k"))
+    return sides.select(
+        F.coalesce("u", "w").alias("id"), F.when(F.col("u").isNotNull(), F.col("k")).alias("fu"),
+        F.when(F.col("u").isNull(), F.col("k")).alias("fw"),
+    ).groupBy("id").agg(F.sum("fu").alias("fu"), F.sum("fw").alias("fw")).na.fill(0)
+
+
+def _known_sides(sides: DataFrame, known: int) -> tuple[np.ndarray, np.ndarray]:
+    found = sides.filter("id >= 0").toArrow()
+    out = np.zeros((2, known + 1))
+    for k, name in enumerate(("fu", "fw")):
+        out[k, found.column("id").to_numpy()] = found.column(name).to_numpy()
+    return out[0], out[1]
+
+
+def fit_whole(
+    texts: DataFrame, *, known: int = 150_000, hot: int = 4_000_000, sweeps: int = 6, burn_in: int = 3, seed: int = 42,
+    seating: Seating | None = None,
+) -> tuple[Whole, DataFrame]:
+    """The model whose contexts and dishes are all words of ``text``, and the counts of all words.
+
+    ``known`` words and ``hot`` pairs are broadcast; the others meet by joins, with the same
+    result. A pair seen once has one table whatever else is seated, so sweeps pass over the pairs
+    seen more often. The parent's base is uniform over all words and one that was never seen. The
+    averages over the sweeps from ``burn_in`` on are of a pair's tables, of what a context leaves
+    to the parent, and of the parent's probabilities.
+    """
+    s = seating or Seating()
+    counts = cut_lineage(word_counts(texts))
+    table, tokens, types = _most_frequent(counts, known)
+    chosen = sorted(zip((-n for n in table.column("n").to_pylist()), table.column("word").to_pylist()))
+    words = {word: i for i, (_, word) in enumerate(chosen)}
+    held = np.array([-n for n, _ in chosen], np.int64)
+    size, spark = len(words), texts.sparkSession
+    ends = counts.filter(F.col("word") == F.lit(END)).first()
+    customers = np.append(held, ends["n"] if ends else 0).astype(float)
+    shared_words = spark.sparkContext.broadcast(words)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(cold_id(w), n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in shared_words.value]
+            columns = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n"])
+
+    ids = _scratch(counts.select("word", "n").mapInArrow(number, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "words")
+    # A word seen once is one customer at one table, as context and as dish.
+    once = ids.filter("n = 1").count()
+    pairs = _scratch(_pair_counts(texts, words), "pairs")
+    single = _scratch(_sides(pairs.filter("c = 1"), F.count("*")), "sides")
+    su, sw = _known_sides(single, size)
+    cold = ids.filter("n > 1").join(single.select("id", F.col("fu").alias("su"), F.col("fw").alias("sw")), "id", "left").na.fill(0)
+    cold = cold.select("*", *[F.lit(0.0).alias(c) for c in ("share", "p")])
+    opened = pairs.filter("c > 1").select("u", "w", "c", F.lit(0).cast("long").alias("kept"), F.lit(1).cast("long").alias("t"))
+    base, parent_tables, kept_sweeps = 1.0 / (types + 1), float(types), 0
+    share, p, unseen = np.zeros(size + 1), np.zeros(size), 0.0
+
+    def seater(sweep: int, state, keep: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables, parent = state.value
+            for batch in batches:
+                u, w, c, kept = (batch.column(k).to_numpy() for k in range(4))
+                of_u, of_w = tables[np.maximum(u, -1)], parent[np.maximum(w, -1)]
+                if batch.num_columns > 4:
+                    of_u = np.where(u < 0, batch.column(4).to_numpy(zero_copy_only=False), of_u)
+                    of_w = np.where(w < 0, batch.column(5).to_numpy(zero_copy_only=False), of_w)
+                t = seat(c, of_w, of_u, s.discount, s.strength, Hashed(seed, sweep, u, w))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (u, w, c, kept + t * keep, t))], names=["u", "w", "c", "kept", "t"])
+
+        return run
+
+    def parent_seater(sweep: int, parent_tables: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                number, arrived = batch.column(0).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+                t = seat(arrived, np.full(len(arrived), base), np.full(len(arrived), parent_tables), s.parent_discount, s.parent_strength, Hashed(seed, -1 - sweep, number, number))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t)], names=[*batch.schema.names, "own"])
+
+        return run
+
+    for sweep in range(-1, sweeps if types else -1):
+        keep = sweep >= burn_in
+        if sweep >= 0:
+            # Of a context its tables, of a dish the parent's probability, as the last sweep left them.
+            state = spark.sparkContext.broadcast((np.append(tables, 0.0), np.append(parent, 0.0)))
+            both = (F.col("u") >= 0) & (F.col("w") >= 0)
+            near = opened.filter(both).select("u", "w", "c", "kept").mapInArrow(seater(sweep, state, keep), opened.schema)
+            now = cold.select("id", "tables", "parent")
+            far = _with_cold(_with_cold(opened.filter(~both).select("u", "w", "c", "kept"), now, "u", "tables"), now, "w", "parent")
+            far = far.select("u", "w", "c", "kept", F.col("u_tables").cast("double"), "w_parent")
+            opened = _scratch(near.union(far.mapInArrow(seater(sweep, state, keep), opened.schema)), "seated")
+        free = _scratch(_sides(opened, F.sum("t")), "sides")
+        fu, fw = _known_sides(free, size)
+        tables, arrived = su + fu, (sw + fw)[:size].astype(np.int64)
+        number = np.arange(size)
+        own = seat(arrived, np.full(size, base), np.full(size, parent_tables), s.parent_discount, s.parent_strength, Hashed(seed, -1 - sweep, number, number))
+        merged = cold.select("id", "n", "su", "sw", "share", "p").join(free, "id", "left").na.fill(0)
+        merged = merged.select(
+            "id", "n", "su", "sw", "share", "p", (F.col("su") + F.col("fu")).alias("tables"), (F.col("sw") + F.col("fw")).alias("arrived")
+        )
+        schema = extended(merged.schema, "own long")
+        cold = _scratch(merged.mapInArrow(parent_seater(sweep, parent_tables), schema), "contexts")
+        sums = cold.agg(F.sum("arrived").alias("c"), F.sum("own").alias("t")).first()
+        parent_tables = float(own.sum() + (sums["t"] or 0) + once)
+        total = float(arrived.sum() + (sums["c"] or 0) + once) + s.parent_strength
+        spare = (s.parent_strength + s.parent_discount * parent_tables) * base
+        parent = (arrived - s.parent_discount * own + spare) / total
+        single_p = (1 - s.parent_discount + spare) / total
+        cold = cold.withColumn("parent", (F.col("arrived") - s.parent_discount * F.col("own") + spare) / total)
+        if sweep < 0:
+            once_p = 0.0
+        if keep:
+            kept_sweeps += 1
+            share += (s.strength + s.discount * tables) / (customers + s.strength)
+            p += parent
+            unseen += spare / total
+            once_p += single_p
+            left = (s.strength + s.discount * F.col("tables")) / (F.col("n") + s.strength)
+            cold = cold.withColumn("share", F.col("share") + left).withColumn("p", F.col("p") + F.col("parent"))
+    if not kept_sweeps:  # no training text: every token has probability one
+        rows = pairs.select("u", "w", F.lit(0.0).alias("own"))
+        facts = ids.select("id", "n", F.lit(1.0).alias("share"), F.lit(1.0).alias("p"))
+        return Whole(words, held, tokens, types, customers, np.ones(size + 1), np.ones(size), 1.0, facts, rows, np.zeros(0, np.int64), np.zeros(0)), counts
+
+    share, p, unseen, once_p = (x / kept_sweeps for x in (share, p, unseen, once_p))
+    facts = cold.select("id", "n", (F.col("share") / kept_sweeps).alias("share"), (F.col("p") / kept_sweeps).alias("p"))
+    alone = F.lit((s.strength + s.discount) / (1 + s.strength))
+    facts = _scratch(facts.union(ids.filter("n = 1").select("id", "n", alone, F.lit(once_p))), "facts")
+    seen = pairs.filter("c = 1").select("u", "w", "c", F.lit(float(1 - s.discount)).alias("own")).union(
+        opened.select("u", "w", "c", F.col("c") - s.discount * F.col("kept") / kept_sweeps)
+    )
+    # The most frequent pairs of known words, as many classes of like counts as fit.
+    near = seen.filter("c > 1 AND u >= 0 AND w >= 0")
+    size_class = F.floor(F.log2("c") * 8)
+    classes = near.groupBy(size_class.alias("size")).agg(F.count("*").alias("k")).collect()
+    fits, least = 0, None
+    for row in sorted(classes, key=lambda r: -r["size"]):
+        fits += row["k"]
+        if fits > hot:
+            break
+        least = row["size"]
+    top = near.filter(size_class >= least if least is not None else F.lit(False)).select("u", "w", "own").toArrow()
+    u, w, own = (top.column(k).to_numpy() for k in range(3))
+    keys = u * (size + 1) + w
+    order = np.argsort(keys)
+    logs = np.log10(own / (customers[u] + s.strength) + share[u] * p[w]).astype(np.float32)[order]
+    return Whole(words, held, tokens, types, customers, share, p, unseen, facts, seen.select("u", "w", "own"), keys[order], logs), counts
+
+
+def _whole_sums(texts: DataFrame, shared) -> DataFrame:
+    """What a task can sum of each row by itself; ``open`` is how many distinct pairs it cannot look up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, hot, hot_log = shared.value
+        base_log = np.log10(counts + 0.5)
+        for batch in parts(batches):
+            rows = []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                w, u, tokens = _ids(text, words)
+                seen = w[w >= 0]
+                at, is_hot = _hot_places(u, w, hot, len(words))
+                unknown = len({tokens[i] for i in np.flatnonzero(w < 0)})
+                own = hot_log[at[is_hot]].sum(dtype=np.float64)
+                rows.append((len(w), len(seen), base_log[seen].sum(), own, unknown, len(set(zip(u[~is_hot].tolist(), w[~is_hot].tolist())))))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
+
+    names = ["n", "known", "base", "own", "unknown", "open"]
+    ddl = "n long, known long, base double, own double, unknown long, open long"
+    return texts.mapInArrow(run, extended(texts.drop("text").schema, ddl))
+
+
+def _hot_places(u: np.ndarray, w: np.ndarray, hot: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs in ``hot``, and which of the pairs are there."""
+    if not len(hot):
+        return np.zeros(len(u), np.int64), np.zeros(len(u), bool)
+    key = np.where((u >= 0) & (w >= 0), u * (known + 1) + w, -1)
+    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+    return at, hot[at] == key
+
+
+def _open_pairs(texts: DataFrame, shared) -> DataFrame:
+    """``__doc``, ``__row``, ``u``, ``w``, ``times`` of the pairs that tasks cannot look up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, _, hot, _ = shared.value
+        for batch in parts(batches):
+            found = []
+            for text in batch.column(2).to_pylist():
+                w, u, _ = _ids(text, words)
+                _, is_hot = _hot_places(u, w, hot, len(words))
+                found.append(Counter(zip(u[~is_hot].tolist(), w[~is_hot].tolist())))
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            columns = [pa.array([k[j] for x in found for k in x], pa.int64()) for j in (0, 1)]
+            times = pa.array([n for x in found for n in x.values()], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), *columns, times], names=["__doc", "__row", "u", "w", "times"]
+            )
+
+    rows = texts.select("__doc", "__row", "text")
+    return rows.mapInArrow(run, "__doc long, __row long, u long, w long, times long")
+
+
+def _open_sums(rows: DataFrame, model: Whole, shared, strength: float) -> DataFrame:
+    """``o_own``, ``o_rows`` of each row: the log10 probability of its open pairs, and their number."""
+    spark = rows.sparkSession
+    arrays = spark.sparkContext.broadcast((model.customers, model.share, model.p, model.unseen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        customers, share, p, unseen = arrays.value
+        for batch in batches:
+            u, w, times, own, of_n, of_share, of_p = (batch.column(k).to_numpy(zero_copy_only=False).astype(kind) for k, kind in zip(range(2, 9), (np.int64,) * 3 + (float,) * 4))
+            near_u, near_w = np.maximum(u, -1), np.maximum(w, -1)
+            # A context of no training text leaves all to the parent.
+            n = np.where(u < 0, np.nan_to_num(of_n), customers[near_u])
+            left = np.where(u < 0, np.where(np.isnan(of_share), 1.0, of_share), share[near_u])
+            parent = np.where(w < 0, np.where(np.isnan(of_p), unseen, of_p), np.append(p, 0.0)[near_w])
+            log = times * np.log10(np.nan_to_num(own) / (n + strength) + left * parent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log)], names=["__doc", "__row", "log"])
+
+    met = _open_pairs(rows, shared).join(model.pairs, ["u", "w"], "left").select("__doc", "__row", "u", "w", "times", "own")
+    near = (F.col("u") >= 0) & (F.col("w") >= 0)
+    far = _with_cold(_with_cold(met.filter(~near), model.cold, "u", "n", "share"), model.cold, "w", "p")
+    none = [F.lit(None).cast("double").alias(c) for c in ("u_n", "u_share", "w_p")]
+    columns = ["__doc", "__row", "u", "w", "times", "own"]
+    far = far.select(*columns, F.col("u_n").cast("double"), "u_share", "w_p")
+    logs = met.filter(near).select(*columns, *none).union(far).mapInArrow(run, "__doc long, __row long, log double")
+    return logs.groupBy("__doc", "__row").agg(F.sum("log").alias("o_own"), F.count("*").alias("o_rows"))
+
+
+def _score_whole(texts: DataFrame, held_out: int, options: dict) -> DataFrame:
+    strength = (options.get("seating") or Seating()).strength
+    model, counts = fit_whole(texts.filter(fold("doc_id") != held_out), **options)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    rows = texts.select("doc_id", doc.alias("__doc"), F.xxhash64("text").alias("__row"), "text")
+    shared = texts.sparkSession.sparkContext.broadcast((model.words, model.counts, model.hot, model.hot_log))
+    met = _unknown_words(rows, model).join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    c, times = F.coalesce("c", F.lit(0)), F.col("times")
+    per_row = met.groupBy("__doc", "__row").agg(
+        F.sum(times * F.log10(c + 0.5)).alias("t_base"),
+        F.sum(F.when(F.col("c").isNull(), 0).otherwise(times)).alias("t_known"), F.count("*").alias("t_rows"),
+    )
+    # Equal rows have met their words together: each takes its share.
+    share = F.col("unknown") / F.col("t_rows")
+    found = _whole_sums(rows, shared).join(per_row, ["__doc", "__row"], "left")
+    found = found.join(_open_sums(rows, model, shared, strength), ["__doc", "__row"], "left")
+    zero = lambda value: F.coalesce(value, F.lit(0.0))
+    base_size = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
+    out = found.select(
+        "doc_id", (fold("doc_id") == held_out).alias("held_out"), F.col("n").alias("n_tokens"),
+        (F.col("known") + F.coalesce(F.round(F.col("t_known") * share), F.lit(0))).cast("long").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + zero(F.col("t_base") * share) - F.col("n") * base_size).alias("base_score"),
+        (F.col("own") + zero(F.col("o_own") * F.col("open") / F.col("o_rows"))).alias("score"),
+    )
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
 def score_documents(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", held_out: int = 1, **options
 ) -> DataFrame:
@@ -316,9 +686,12 @@ def score_documents(
     Learns from rows whose crc32(id) modulo 5 is not ``held_out``. Returns ``doc_id``,
     ``held_out``, ``n_tokens`` (words and one end), ``n_known`` (tokens seen in training),
     ``train_tokens``, ``base_score``, ``score``, ``perplexity``. NULL and empty texts are one end.
-    Rows equal in id and text have equal results. Other columns are not read.
+    Rows equal in id and text have equal results. Other columns are not read. ``options`` are
+    those of :func:`fit_whole`, or with ``contexts`` or ``dishes`` among them those of :func:`fit`.
     """
     texts = _texts(docs, id_column, text_column)
+    if "contexts" not in options and "dishes" not in options:
+        return _score_whole(texts, held_out, options)
     model, counts = fit(texts.filter(fold("doc_id") != held_out), **options)
     # Rows of one id are told apart by their texts.
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deedscope.llm.lm_score import END, fit, score_documents, seat, words_of
+from deedscope.llm.lm_score import END, Hashed, cold_id, fit, fit_whole, score_documents, seat, words_of
 from tests.llm.fixtures import SCHEMA, clashing, frame, odd_rows, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -132,3 +132,48 @@ def test_empty_tables(spark):
     only_held = [(k, "a b", "en", "s", 1) for k in range(200) if held(k)][:3]
     got = score_documents(frame(spark, only_held)).collect()
     assert [(r["n_known"], r["train_tokens"], r["score"]) for r in got] == [(0, 0, 0.0)] * 3
+
+
+def test_every_word_is_a_context(spark):
+    """A rare word tells the next one, between words that are far more frequent."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(400, 700):
+        pair = rng.randrange(300)
+        rows.append((k, " ".join(f"{w} a{pair} b{pair}" for w in rng.choices("pqrstuvw", k=6)), "en", "s", 1))
+    p = {}
+    for name, options in (("whole", {}), ("table", {"contexts": 8, "dishes": 16_383})):
+        got = score_documents(frame(spark, rows), sweeps=3, burn_in=1, held_out=9, **options).collect()
+        p[name] = sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got)
+    assert p["whole"] > p["table"] + 0.3
+
+
+@pytest.mark.parametrize("options", [{}, {"known": 12}, {"known": 0}, {"known": 30, "hot": 20}])
+def test_whole_model_sums_to_one_and_score_is_its_product(spark, options):
+    rows = corpus()[:60]
+    texts = frame(spark, rows).select("doc_id", "text")
+    model, counts = fit_whole(texts, sweeps=3, burn_in=1, **options)
+    names = [bytes(r["word"]) for r in counts.collect()]
+    number = {w: model.words.get(w, cold_id(w)) for w in names}
+    cold = {r["id"]: r for r in model.cold.collect()}
+    own = {(r["u"], r["w"]): r["own"] for r in model.pairs.collect()}
+
+    def of(u, w):
+        n, share = (model.customers[u], model.share[u]) if u >= 0 else (cold[u]["n"], cold[u]["share"])
+        return own.get((u, w), 0) / (n + 1.0) + share * (model.p[w] if w >= 0 else cold[w]["p"])
+
+    for u in [len(model.words), *[number[w] for w in names if w != END][::7]]:
+        share = model.share[u] if u >= 0 else cold[u]["share"]
+        assert sum(of(u, number[w]) for w in names) + share * model.unseen == pytest.approx(1)
+    got = {r["doc_id"]: r["score"] for r in score_documents(frame(spark, rows), held_out=9, sweeps=3, burn_in=1, **options).collect()}
+    for doc, text, *_ in rows:
+        ids = [len(model.words), *[number[t] for t in words_of(text) + [END]]]
+        assert got[doc] == pytest.approx(sum(math.log10(of(u, w)) for u, w in zip(ids, ids[1:])), rel=1e-5)
+
+
+def test_hashed_draws_have_the_law_of_the_generator():
+    n, c = 4000, 300
+    args = np.full(n, c), np.full(n, 0.1), np.full(n, 20.0), 0.5, 1.0
+    by_hash = seat(*args, Hashed(1, 2, np.arange(n), -np.arange(n)))
+    drawn = seat(*args, np.random.default_rng(0))
+    assert by_hash.mean() == pytest.approx(drawn.mean(), rel=0.03) and by_hash.std() == pytest.approx(drawn.std(), rel=0.1)
