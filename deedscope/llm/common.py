@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,6 +38,19 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
+def text_parts(
+    batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 21, rows: int = 4096
+) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of text, so that long texts don't add up in a task."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < batch.num_rows:
+            fit = int(np.searchsorted(np.cumsum(lengths[at : at + rows]), size, side="right"))
+            yield batch.slice(at, max(1, fit))
+            at += max(1, fit)
+
+
 def fold(doc_id: Column | str, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; NULL ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(folds))

@@ -16,6 +16,9 @@ from deedscope.llm.mixing import mix
 from deedscope.llm.ngram_join import near_duplicates
 from deedscope.llm.quality_rules import judged_measures
 from deedscope.llm.sharding import shuffle_into_shards
+from deedscope.llm.token_alignment import score_links
+from deedscope.llm.url_filter import filter_pages
+from deedscope.workload.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,3 +145,46 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
 FROM texts WINDOW same AS (PARTITION BY norm)
 """
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return score_links(documents(spark, sf_dir), first, second, public_tokenizers.PATTERN)
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_pages(read(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op13_url_filter"] = r"""
+WITH parsed AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+),
+named AS (
+  SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS canonical,
+    regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') AS listed,
+    CASE
+      WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/'
+    END AS rule
+  FROM parsed
+),
+judged AS (
+  SELECT *, CASE WHEN rule IS NULL AND canonical IN (SELECT canonical FROM named WHERE listed) THEN canonical END AS listed_url
+  FROM named
+)
+SELECT page_id, host, path, rule, listed_url,
+  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR listed_url IS NOT NULL THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM judged
+"""
