@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from deedscope.llm import boosted_quality, toxicity
 from deedscope.llm.byte_bpe import round_trip
+from deedscope.llm.collocations import mine
 from deedscope.llm.common import documents, labels
 from deedscope.llm.exact_dedup import exact_duplicates
 from deedscope.llm.line_dedup import deduplicate_lines
@@ -155,6 +156,44 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_links(documents(spark, sf_dir), first, second, public_tokenizers.PATTERN)
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(documents(spark, sf_dir))
+
+
+ORACLE_SQL["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS size)),
+counted AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE size = 1 GROUP BY lang),
+parts AS (SELECT lang, phrase, size, f, string_split(phrase, ' ') AS p FROM counted WHERE f >= 100),
+cuts AS (SELECT lang, phrase, size, f AS a, p, unnest(range(1, size)) AS k FROM parts WHERE size > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.size, a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts c JOIN totals t ON c.lang = t.lang
+  JOIN parts l ON c.lang = l.lang AND l.phrase = array_to_string(c.p[1:k], ' ')
+  JOIN parts r ON c.lang = r.lang AND r.phrase = array_to_string(c.p[k + 1:], ' ')
+),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+spans AS (SELECT lang, p, size, f, unnest(range(2, size)) AS len FROM parts WHERE size > 2),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(p[i:i + len - 1], ' ') AS phrase, f
+  FROM (SELECT *, unnest(range(1, size - len + 2)) AS i FROM spans)
+),
+kept AS (
+  SELECT * FROM weakest w WHERE NOT EXISTS
+    (SELECT 1 FROM inside i WHERE i.lang = w.lang AND i.phrase = w.phrase AND 100 * i.f >= 100 * w.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 @query
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_pages(read(spark, sf_dir, "pages"))
