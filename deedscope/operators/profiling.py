@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deedscope.operators.cleaning import numeric_columns, string_columns
+from deedscope.operators.gram import pairwise_correlations
 from deedscope.operators.quantiles import exact_quantiles
 from deedscope.plans.lineage import cut_lineage
 
@@ -307,25 +308,15 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The Pearson correlation of every pair of columns, from one aggregate."""
+    """The Pearson correlation of every pair of columns, over the rows that have both.
+
+    Sums of products are matrices per task, so a table of hundreds of columns is no problem. NULL
+    where fewer than two rows have both columns.
+    """
     columns = list(columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    one_row = df.agg(
-        *[
-            F.corr(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")).alias(f"r_{i}_{j}")
-            for i, j in pairs
-        ]
-    )
-    cells = [
-        F.struct(
-            F.lit(a).alias("column_a"),
-            F.lit(b).alias("column_b"),
-            F.col(f"r_{min(i, j)}_{max(i, j)}").alias("correlation"),
-        )
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-    ]
-    return one_row.select(F.inline(F.array(*cells)))
+    found = pairwise_correlations(df, columns)
+    cells = [(a, b, None if found.mask[i, j] else float(found.data[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(cells, "column_a string, column_b string, correlation double")
 
 
 def measure_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:

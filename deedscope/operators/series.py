@@ -238,6 +238,124 @@ def _seasonal(months: DataFrame, keys: Sequence[str], horizon: int, period: int
     )
 
 
+# The smoothing weights tried for level, trend and season; the first of equal ones is taken.
+LEVEL_WEIGHTS = [0.05, 0.2, 0.5, 0.8]
+TREND_WEIGHTS = [0.0, 0.05, 0.2]
+SEASON_WEIGHTS = [0.0, 0.1, 0.4]
+SMOOTHING_GRID = [(a, b, c) for a in LEVEL_WEIGHTS for b in TREND_WEIGHTS for c in SEASON_WEIGHTS]
+# Series of a block, times its months and the weights tried.
+_BLOCK_CELLS = 1 << 20
+_SMOOTHED = "level double, trend double, seasons array<double>, alpha double, beta double, gamma double, sse double, errors bigint"
+
+
+def _smooth(prices: np.ndarray, first_t: np.ndarray, period: int) -> list[np.ndarray]:
+    """The last level, trend and seasons of each row of monthly prices, by the weights of least error.
+
+    A row begins with its series' first month; months without a price are NaN, and after the last
+    month all are. The first two periods give the start; one-step errors count from the second on.
+    """
+    n, months = prices.shape
+    alpha, beta, gamma = (np.array(w) for w in zip(*SMOOTHING_GRID, strict=True))
+    rows, known = np.arange(n), ~np.isnan(prices)
+    length = months - known[:, ::-1].argmax(axis=1)
+    begin = [prices[:, :period], prices[:, period : 2 * period]]
+    many = [(~np.isnan(part)).sum(axis=1) for part in begin]
+    means = [np.nansum(part, axis=1) / np.maximum(count, 1) for part, count in zip(begin, many, strict=True)]
+    slope = np.where(many[1] > 0, (means[1] - means[0]) / period, 0.0)
+    # The first period's mean is the level at its middle.
+    half = (period - 1) / 2
+    level = np.repeat((means[0] + half * slope)[:, None], len(alpha), axis=1)
+    trend = np.repeat(slope[:, None], len(alpha), axis=1)
+    seasons = np.zeros((n, len(alpha), period))
+    for step in range(min(period, months)):
+        gap = prices[:, step] - (means[0] + (step - half) * slope)
+        seasons[rows, :, (first_t + step) % period] = np.where(np.isnan(gap), 0.0, gap)[:, None]
+    sse, errors = np.zeros_like(level), np.zeros(n, np.int64)
+    for step in range(period, months):
+        season = (first_t + step) % period
+        of_season = seasons[rows, :, season]
+        price, seen = prices[:, step, None], known[:, step]
+        error = price - (level + trend + of_season)
+        risen = alpha * (price - of_season) + (1 - alpha) * (level + trend)
+        turned = beta * (risen - level) + (1 - beta) * trend
+        shifted = gamma * (price - risen) + (1 - gamma) * of_season
+        going = (step < length)[:, None]
+        level = np.where(seen[:, None], risen, np.where(going, level + trend, level))
+        trend = np.where(seen[:, None], turned, trend)
+        seasons[rows, :, season] = np.where(seen[:, None], shifted, of_season)
+        sse += np.where(seen[:, None], error * error, 0.0)
+        errors += seen
+    best = sse.argmin(axis=1)
+    return [level[rows, best], trend[rows, best], seasons[rows, best], alpha[best], beta[best], gamma[best], sse[rows, best], errors]
+
+
+def _smooth_batch(ts: pd.Series, prices: pd.Series, period: int) -> pd.DataFrame:
+    """All series of a batch, those of like length together."""
+    spans = np.array([t[-1] - t[0] + 1 for t in ts])
+    first = np.array([t[0] for t in ts])
+    parts, order, at = [], np.argsort(spans, kind="stable"), 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * spans[order[to]] * len(SMOOTHING_GRID) <= _BLOCK_CELLS:
+            to += 1
+        some = order[at:to]
+        block = np.full((len(some), int(spans[order[to - 1]])), np.nan)
+        for i, row in enumerate(some):
+            block[i, np.asarray(ts.iloc[row]) - first[row]] = prices.iloc[row]
+        parts.append(_smooth(block, first[some], period))
+        at = to
+    names = [c.split()[0] for c in _SMOOTHED.split(", ")]
+    back = np.argsort(order, kind="stable")
+    return pd.DataFrame({name: [v for part in parts for v in part[i]] for i, name in enumerate(names)}).iloc[back]
+
+
+def smoothed_models(series: DataFrame, keys: Sequence[str], *, period: int = 12) -> DataFrame:
+    """Level, trend and seasons of each series after its last month, with the weights they were found by.
+
+    Exponential smoothing with an additive trend and season: a recursion over the ordered months
+    of a key, run for every combination of the smoothing weights, of which the one with the
+    smallest sum of squared one-step errors stays. A month without a price moves the level along
+    the trend. ``sse`` and ``errors`` tell the errors' sum of squares and number.
+    """
+    return _smoothed(_monthly(series, keys), keys, period)
+
+
+def _smoothed(months: DataFrame, keys: Sequence[str], period: int = 12) -> DataFrame:
+    def fit(ts: pd.Series, prices: pd.Series) -> pd.DataFrame:
+        return _smooth_batch(ts, prices, period)
+
+    fit.__annotations__ = {"ts": pd.Series, "prices": pd.Series, "return": pd.DataFrame}
+    arrays = months.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("t", "price"))).alias("points"), F.max("date_taken").alias("last_date")
+    )
+    model = F.pandas_udf(fit, _SMOOTHED)(F.col("points.t"), F.col("points.price"))
+    return arrays.withColumn("model", model).select(*keys, "last_date", "model.*")
+
+
+def smoothed_forecast(
+    series: DataFrame, keys: Sequence[str], *, horizon: int = 12, period: int = 12, z: float = 1.96
+) -> DataFrame:
+    """The forecast of :func:`smoothed_models` for each of ``horizon`` months after the key's last.
+
+    The interval is that of the one-step errors, widened by what the level takes over from them;
+    it is NULL where a series is too short to have any.
+    """
+    return _smoothed_ahead(_monthly(series, keys), keys, horizon, period, z)
+
+
+def _smoothed_ahead(months: DataFrame, keys: Sequence[str], horizon: int, period: int = 12, z: float = 1.96) -> DataFrame:
+    steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
+    future = _smoothed(months, keys, period).select("*", steps)
+    season = F.element_at("seasons", (_months(F.col("last_date")) + F.col("step")) % period + 1)
+    forecast = F.col("level") + F.col("step") * F.col("trend") + season
+    spread = F.when(F.col("errors") > 0, F.sqrt(F.col("sse") / F.col("errors")))
+    reach = z * spread * F.sqrt(1 + (F.col("step") - 1) * F.col("alpha") * F.col("alpha"))
+    return future.select(
+        *keys, F.expr("add_months(trunc(last_date, 'month'), step)").alias("date_taken"),
+        forecast.alias("forecast"), (forecast - reach).alias("lower"), (forecast + reach).alias("upper"),
+    )
+
+
 def boosted_trend(
     series: DataFrame, keys: Sequence[str], *, horizon: int = 12, first: datetime.date | None = None,
     trees: int = 100, depth: int = 3, seed: int = 42,
@@ -281,14 +399,14 @@ def combined_forecast(series: DataFrame, keys: Sequence[str], *, horizon: int =
     """Linear, boosted and seasonal forecasts side by side with the mean of those that are known.
 
     Every key has a row for each of the ``horizon`` months after its last. The monthly table is
-    computed once and handed to all three.
+    computed once and handed to all three. The seasonal one is fitted by smoothing.
     """
     on = [*keys, "date_taken"]
     months = cut_lineage(_monthly(series, keys))
     last = months.groupBy(*keys).agg(F.max("date_taken").alias("last_date"))
     calendar = last.select(*keys, F.explode(_future(horizon, None)).alias("date_taken"))
     kinds = ["linear", "boosted", "seasonal"]
-    parts = (_linear(months, keys, horizon, None), _boosted(months, keys, horizon), _seasonal(months, keys, horizon))
+    parts = (_linear(months, keys, horizon, None), _boosted(months, keys, horizon), _smoothed_ahead(months, keys, horizon))
     joined = calendar
     for name, part in zip(kinds, parts):
         joined = joined.join(part.select(*on, F.col("forecast").alias(name)), on, "left")

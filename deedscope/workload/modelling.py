@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from deedscope.functions.scalars import hashed_unit
 from deedscope.operators import cleaning, features, impute, models, profiling, reports, sampling
+from deedscope.operators.gram import rank_correlations
 from deedscope.plans.lineage import cut_lineage
 from deedscope.workload.ledger import _OWNER_RULE, owner_labelled
 from deedscope.workload.profiles import NUMBERS
@@ -237,6 +238,58 @@ def imputed_ledger_facts(spark, sf):
     )
 
 
+@query(
+    "reconstruct_facts",
+    f"""SELECT count(*) AS num_rows, count(*) FILTER (NOT kept) AS blanked, true AS below_means, true AS below_one_pass, true AS unchanged
+    FROM (SELECT {_unit_sql("l_orderkey || '-' || l_linenumber")} >= 0.1 AS kept FROM lineitem)""",
+)
+def reconstruct_facts(spark, sf):
+    """Known cells are blanked and filled: the rounds err less than column means and than one pass."""
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    rows = read(spark, sf, "lineitem").select("*", F.col("l_extendedprice").alias("was"), (hashed_unit(F.lit(42), key) >= 0.1).alias("kept"))
+    gaps = cut_lineage(cleaning.blank_share(rows, "l_extendedprice", key, 0.1))
+    off = F.col("l_extendedprice") - F.col("was")
+    error = F.sum(F.when(~F.col("kept"), off * off)).alias("error")
+    means = cleaning.fill_means(gaps.withColumn("l_extendedprice", F.col("l_extendedprice").cast("double")), ["l_extendedprice"])
+    plain, once = (filled.agg(error).first()["error"] for filled in (means, impute.reconstruct_missing(gaps, NUMBERS)))
+    return impute.reconstruct_iterated(gaps, NUMBERS).agg(
+        F.count("*").alias("num_rows"), F.count_if(~F.col("kept")).alias("blanked"), (error < plain).alias("below_means"),
+        (error < once).alias("below_one_pass"), F.every(~F.col("kept") | (off == 0)).alias("unchanged"),
+    )
+
+
+@query(
+    "latent_facts",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count({c}) AS num_rows, min({c}) AS low, max({c}) AS high, true AS inside, true AS quartiles_near,
+        true AS ranks_near FROM lineitem""" for c in NUMBERS
+    ),
+)
+def latent_facts(spark, sf):
+    """Drawn beside given rows: values inside the column's range, quartiles within 3 % of it, rank correlations within 0.08."""
+    rows = read(spark, sf, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in NUMBERS])
+    drawn = cut_lineage(impute.draw_rows(rows, NUMBERS, rows.count()))
+    apart = abs(rank_correlations(rows, NUMBERS) - rank_correlations(drawn, NUMBERS)).max(axis=1)
+
+    def facts(df):
+        parts = [F.struct(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"),
+            F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias("q")).alias(c) for c in NUMBERS]
+        return df.agg(*parts).first()
+
+    given, made = facts(rows), facts(drawn)
+    found = [
+        (
+            c, made[c].n, given[c].low, given[c].high, given[c].low <= made[c].low and made[c].high <= given[c].high,
+            max(abs(x - y) for x, y in zip(given[c].q, made[c].q, strict=True)) <= 0.03 * (given[c].high - given[c].low),
+            bool(apart[i] <= 0.08),
+        )
+        for i, c in enumerate(NUMBERS)
+    ]
+    return spark.createDataFrame(
+        found, "column_name string, num_rows long, low double, high double, inside boolean, quartiles_near boolean, ranks_near boolean"
+    )
+
+
 @query("latent_samples")
 def latent_samples(spark, sf):
     rows = read(spark, sf, "lineitem").select(*NUMBERS)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime
 from itertools import permutations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from deedscope.functions import scalars
 from deedscope.operators import lorentz, series
+from deedscope.plans.lineage import cut_lineage
 from deedscope.workload.profiles import MEASURES
 from deedscope.workload.registry import query
 from deedscope.workload.tables import price_index, read, rounded, rounded_sql, with_views
@@ -90,9 +92,10 @@ def months_between(spark, sf):
 @query(
     "percent_change",
     _with_long(
-        """SELECT a.region_name, a.measure, year(a.date_taken) * 100 + month(a.date_taken) AS year_month,
-          round((a.price / b.price - 1) * 100, 6) AS percent_change FROM long a
-        JOIN long b ON a.region_name = b.region_name AND a.measure = b.measure AND a.t = b.t + 1"""
+        """SELECT region_name, measure, year(date_taken) * 100 + month(date_taken) AS year_month,
+          round((price / before - 1) * 100, 6) AS percent_change
+        FROM (SELECT *, lag(price) OVER w AS before, lag(t) OVER w AS before_t FROM long
+          WINDOW w AS (PARTITION BY region_name, measure ORDER BY t)) WHERE before_t = t - 1"""
     ),
 )
 def percent_change(spark, sf):
@@ -186,6 +189,78 @@ def seasonal_naive(spark, sf):
     return _money(series.seasonal_forecast(long_series(spark, sf), KEYS), "forecast", "lower", "upper")
 
 
+def _smoothing_sql() -> str:
+    """The smoothing recursion, for every series and combination of weights, month by month."""
+    grid = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(series.SMOOTHING_GRID))
+    return f"""grid(g, alpha, beta, gamma) AS (VALUES {grid}),
+      spans AS (SELECT region_name, measure, min(t) AS t0, max(t) AS t1, max(date_taken) AS last_date FROM long GROUP BY 1, 2),
+      starts AS (SELECT region_name, measure, t0, t1, last_date, avg(price) FILTER (t < t0 + 12) AS m0,
+          avg(price) FILTER (t >= t0 + 12 AND t < t0 + 24) AS m1, count(*) FILTER (t >= t0 + 12) AS errors
+        FROM long JOIN spans USING (region_name, measure) GROUP BY ALL),
+      firsts AS (SELECT region_name, measure, list(coalesce(price - (m0 + (y.t - t0 - 5.5::DOUBLE) * coalesce((m1 - m0) / 12, 0)), 0) ORDER BY s) AS seasons FROM
+        (SELECT s.*, m.s FROM starts s, (SELECT unnest(range(12)) AS s) m) x
+        LEFT JOIN (SELECT l.region_name, l.measure, l.t % 12 AS s, l.t, price FROM long l JOIN spans p USING (region_name, measure) WHERE l.t < t0 + 12) y
+          USING (region_name, measure, s) GROUP BY 1, 2),
+      run AS (
+        SELECT region_name, measure, g, alpha, beta, gamma, t0 + 11 AS t, t1, m0 + 5.5::DOUBLE * coalesce((m1 - m0) / 12, 0) AS level, coalesce((m1 - m0) / 12, 0) AS trend, seasons, 0.0::DOUBLE AS sse
+        FROM starts JOIN firsts USING (region_name, measure), grid
+        UNION ALL
+        SELECT region_name, measure, g, alpha, beta, gamma, t, t1,
+          CASE WHEN price IS NULL THEN level + trend ELSE risen END,
+          CASE WHEN price IS NULL THEN trend ELSE beta * (risen - level) + (1 - beta) * trend END,
+          CASE WHEN price IS NULL THEN seasons ELSE list_concat(seasons[1:t % 12], [gamma * (price - risen) + (1 - gamma) * season], seasons[t % 12 + 2:]) END,
+          CASE WHEN price IS NULL THEN sse ELSE sse + (price - (level + trend + season)) * (price - (level + trend + season)) END
+        FROM (SELECT r.* EXCLUDE (t), r.t + 1 AS t, l.price, seasons[(r.t + 1) % 12 + 1] AS season,
+            alpha * (l.price - seasons[(r.t + 1) % 12 + 1]) + (1 - alpha) * (level + trend) AS risen
+          FROM run r LEFT JOIN long l ON l.region_name = r.region_name AND l.measure = r.measure AND l.t = r.t + 1 WHERE r.t < r.t1)),
+      fitted AS (SELECT region_name, measure, last_date, errors, arg_min(struct_pack(level, trend, seasons, alpha, sse), (sse, g)) AS m
+        FROM run JOIN starts USING (region_name, measure) WHERE run.t >= run.t1 GROUP BY 1, 2, 3, 4)"""
+
+
+def _with_recursion(body: str) -> str:
+    return _with_long(_smoothing_sql() + body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "smoothed_forecast",
+    _with_recursion(
+        f""" SELECT region_name, measure, CAST(last_date + INTERVAL (step) MONTH AS DATE) AS date_taken, {rounded_sql("f")} AS forecast,
+          {rounded_sql("f - reach")} AS lower, {rounded_sql("f + reach")} AS upper
+        FROM (SELECT *, m.level + step * m.trend + m.seasons[(year(last_date) * 12 + month(last_date) - 1 + step) % 12 + 1] AS f,
+            1.96 * CASE WHEN errors > 0 THEN sqrt(m.sse / errors) END * sqrt(1 + (step - 1) * m.alpha * m.alpha) AS reach
+          FROM (SELECT *, unnest(range(1, 13)) AS step FROM fitted))"""
+    ),
+)
+def smoothed_forecast(spark, sf):
+    return _money(series.smoothed_forecast(long_series(spark, sf), KEYS), "forecast", "lower", "upper")
+
+
+@query(
+    "seasonal_errors",
+    _with_recursion(
+        """, rule AS (SELECT region_name, measure, sqrt(avg(off * off)) AS rule_error FROM
+          (SELECT region_name, measure, change - avg(change) OVER (PARTITION BY region_name, measure) AS off FROM
+            (SELECT a.region_name, a.measure, a.price - b.price AS change FROM long a JOIN long b
+              ON a.region_name = b.region_name AND a.measure = b.measure AND a.t = b.t + 12)) GROUP BY 1, 2)
+        SELECT measure, count(*) AS num_series, round(avg(sqrt(m.sse / errors)), 2) AS smoothed_error, round(avg(rule_error), 2) AS rule_error,
+          true AS smaller FROM fitted LEFT JOIN rule USING (region_name, measure) GROUP BY measure"""
+    ),
+)
+def seasonal_errors(spark, sf):
+    """One-step errors of the fitted model beside those of last year's value and the mean change."""
+    rows = cut_lineage(long_series(spark, sf))
+    models = series.smoothed_models(rows, KEYS)
+    months = series._monthly(rows, KEYS)
+    before = Window.partitionBy(*KEYS).orderBy("t").rangeBetween(-12, -12)
+    changes = months.withColumn("change", F.col("price") - F.first("price").over(before)).filter("change IS NOT NULL")
+    rule = changes.groupBy(*KEYS).agg(F.stddev_pop("change").alias("rule_error"))
+    both = models.join(rule, KEYS, "left").withColumn("error", F.sqrt(F.col("sse") / F.when(F.col("errors") > 0, F.col("errors"))))
+    return both.groupBy("measure").agg(
+        F.count("*").alias("num_series"), F.round(F.avg("error"), 2).alias("smoothed_error"),
+        F.round(F.avg("rule_error"), 2).alias("rule_error"), (F.avg("error") < F.avg("rule_error")).alias("smaller"),
+    )
+
+
 @query("gbt_trend")
 def gbt_trend(spark, sf):
     return series.boosted_trend(long_series(spark, sf), KEYS)
@@ -281,6 +356,36 @@ def lorentz_fit(spark, sf):
     return lorentz.fit_lorentzian(points, ["region_name"], "month_no", "average_price")
 
 
+@query(
+    "lorentz_facts",
+    with_views(
+        """SELECT region_name, count(DISTINCT date_taken) AS num_points, true AS stationary, true AS below_start, true AS below_mean
+        FROM price_index WHERE average_price IS NOT NULL GROUP BY region_name""",
+        "price_index",
+    ),
+)
+def lorentz_facts(spark, sf):
+    """What a least-squares fit must be, computed from the points and the fitted curve alone.
+
+    At the solution the normal equations vanish: the curve's slope by each parameter stands at a
+    right angle to the residuals, but for a centre or width that its bound holds. The error is below that of the first guess, and not above that
+    of the mean, to which a curve of great width comes as near as one likes.
+    """
+    points = cut_lineage(_index_points(spark, sf).select("region_name", "month_no", F.col("average_price").alias("y")))
+    fits = lorentz.fit_lorentzian(points, ["region_name"], "month_no", "y")
+    h, w, d = F.col("height"), F.col("half_width"), F.col("month_no") - F.col("centre")
+    q = d * d + w * w
+    residual = F.col("y") - h * w * w / q
+    slopes = [w * w / q, 2 * h * w * w * d / (q * q), 2 * h * w * d * d / (q * q)]
+    cosine = [F.abs(F.sum(g * residual)) / F.sqrt(F.sum(g * g) * F.sum(residual * residual)) for g in slopes]
+    return points.filter("y IS NOT NULL").join(fits, "region_name").groupBy("region_name").agg(
+        F.count("*").alias("num_points"),
+        ((cosine[0] < 1e-5) & ((F.greatest(*cosine) < 1e-5) | F.first("at_bound"))).alias("stationary"),
+        (F.sum(residual * residual) <= F.first("start_error")).alias("below_start"),
+        (F.sum(residual * residual) <= 1.001 * F.var_pop("y") * F.count("*")).alias("below_mean"),
+    )
+
+
 @query("lorentz_curve")
 def lorentz_curve(spark, sf):
     points = _index_points(spark, sf).select("region_name", "month_no", "average_price")

@@ -396,22 +396,38 @@ def test_gaps(spark):
     assert series.calendar_gaps(df, "day", days[1], days[1]).count() == 0
 
 
-@pytest.mark.parametrize("broadcast_keys", [100, 1])
-def test_lorentzian_parameters_are_recovered(spark, broadcast_keys):
+@pytest.mark.parametrize("max_points", [200_000, 79])
+def test_lorentzian_parameters_are_recovered(spark, max_points):
     truth = {0: (3.0, 10.0, 2.0), 1: (5.5, 14.0, 1.2), 2: (1.0, 6.0, 3.5)}
     rows = [
         (k, x / 4, h * w * w / ((x / 4 - c) ** 2 + w * w))
         for k, (h, c, w) in truth.items() for x in range(80) for _ in range(3 if k == 1 else 1)
     ]
     df = spark.createDataFrame(rows, "k int, x double, y double")
-    fits = lorentz.fit_lorentzian(df, ["k"], "x", "y", iterations=18, broadcast_keys=broadcast_keys)
+    fits = lorentz.fit_lorentzian(df, ["k"], "x", "y", max_points=max_points)
     for r in fits.collect():
         assert (r["height"], r["centre"], r["half_width"]) == pytest.approx(truth[r["k"]], rel=1e-6)
         assert r["amplitude"] == pytest.approx(math.pi * r["height"] * r["half_width"])
+        assert r["squared_error"] < 1e-9 < r["start_error"] and not r["at_bound"]
     curve = lorentz.fitted_values(df, fits, ["k"], "x")
     assert curve.agg(F.max(F.abs(F.col("y") - F.col("best_fit")))).first()[0] < 1e-6
 
 
+def test_lorentzian_of_odd_series(spark):
+    """One point, one x, flat points, a peak beyond the points, missing cells, a NULL key."""
+    peak = [(float(x), 5e6 / ((x - 400) ** 2 + 100)) for x in range(50)]
+    rows = [("one", 3.0, 2.0), ("same", 1.0, 2.0), ("same", 1.0, 4.0), ("gap", None, 1.0), ("gap", 1.0, None)]
+    rows += [("flat", float(x), 7.0) for x in range(20)] + [("far", *p) for p in peak]
+    rows += [(None, x / 4, 12 / ((x / 4 - 9) ** 2 + 4)) for x in range(80)]
+    fits = {r["k"]: r for r in lorentz.fit_lorentzian(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert fits.keys() == {"one", "same", "flat", "far", None}
+    assert (fits["one"]["height"], fits["one"]["centre"]) == (2.0, 3.0) and fits["same"]["height"] == 3.0
+    assert fits["same"]["squared_error"] == pytest.approx(0)
+    assert (fits[None]["height"], fits[None]["centre"], fits[None]["half_width"]) == pytest.approx((3, 9, 2), rel=1e-6)
+    assert fits["far"]["at_bound"] and fits["far"]["centre"] == pytest.approx(24.5 + 49)
+    assert fits["flat"]["at_bound"] and fits["flat"]["height"] == pytest.approx(7, rel=1e-2)
+
+
 # --- features and models ------------------------------------------------------------------------------------
 
 
@@ -503,11 +519,75 @@ def test_reconstruction_improves_with_components(spark):
     assert limited.join(gaps.filter("a is null").select("id"), "id").filter("a > 1 or a < 0").count() == 0
 
 
+def test_rounds_fill_better_than_one_pass(spark):
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(800, 2))
+    x = z @ rng.normal(size=(2, 5)) * 3 + 40 + rng.normal(size=(800, 5)) * 0.1
+    gone = rng.random(x.shape) < 0.2
+    columns = list("abcde")
+    cells = [[None if g else float(v) for v, g in zip(r, h)] for r, h in zip(x, gone)]
+    schema = "id int, " + ", ".join(f"{c} double" for c in columns)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(cells)], schema).repartition(3)
+    error = {}
+    for name, done in {
+        "zero": impute.reconstruct_missing(df, columns), "mean": impute.reconstruct_missing(df, columns, initial="mean"),
+        "rounds": impute.reconstruct_iterated(df, columns),
+    }.items():
+        got = np.array([r[1:] for r in done.orderBy("id").collect()], float)
+        assert (got[~gone] == x[~gone]).all()
+        error[name] = ((got - x)[gone] ** 2).mean()
+    assert error["rounds"] < error["mean"] / 5 and error["rounds"] < error["zero"] / 5
+    odd = spark.createDataFrame([(None, None, 1.0), (None, 2.0, 1.0), (None, None, 1.0), (None, 4.0, None)], "a double, b double, c double")
+    assert sorted(map(tuple, impute.reconstruct_iterated(odd, ["a", "b", "c"], bounds={"a": (5, 6)}).collect())) == [
+        (5.0, 2.0, 1.0), (5.0, pytest.approx(3.0), 1.0), (5.0, pytest.approx(3.0), 1.0), (5.0, 4.0, pytest.approx(1.0)),
+    ]
+    assert impute.reconstruct_iterated(odd.limit(0), ["a", "b"]).collect() == []
+
+
+def test_correlations_of_a_wide_table_with_gaps(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 80)) + rng.normal(size=(300, 1)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 3], x[1:, 4] = 5.0, np.nan
+    columns = [f"c.{i}" for i in range(80)]
+    cells = [[None if np.isnan(v) else float(v) for v in r] for r in x]
+    df = spark.createDataFrame(cells, ", ".join(f"`{c}` double" for c in columns)).repartition(4)
+    found = {(r.column_a, r.column_b): r.correlation for r in profiling.correlations(df, columns).collect()}
+    want = pd.DataFrame(x, columns=columns).corr(min_periods=2)
+    assert len(found) == 6_400
+    for (a, b), r in found.items():
+        if "c.4" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-9, nan_ok=True), (a, b)
+
+
+def test_smoothing_of_odd_series(spark):
+    month = lambda i: datetime.date(2000 + i // 12, i % 12 + 1, 15)
+    rows = [("season", month(i), 100.0 + 2 * i + 10 * (i % 12 == 5)) for i in range(60)]
+    rows += [("gap", month(i), 50.0 + (i % 12)) for i in range(60) if i not in (7, 20, 33, 34)]
+    rows += [("twice", month(i), v) for i in range(30) for v in (1.0, 3.0)]
+    rows += [("one", month(3), 7.0), ("short", month(1), 4.0), ("short", month(4), 6.0), (None, month(2), 9.0), ("none", month(2), None)]
+    df = spark.createDataFrame(rows, "k string, date_taken date, price double").repartition(3)
+    found = {}
+    for r in series.smoothed_forecast(df, ["k"]).orderBy("k", "date_taken").collect():
+        found.setdefault(r["k"], []).append(r)
+    assert found.keys() == {"season", "gap", "twice", "one", "short", None} and {len(v) for v in found.values()} == {12}
+    assert [r["forecast"] for r in found["season"]] == pytest.approx([100 + 2 * i + 10 * (i % 12 == 5) for i in range(60, 72)], abs=2)
+    assert [r["forecast"] for r in found["gap"]] == pytest.approx([50 + i % 12 for i in range(60, 72)], abs=2)
+    assert [r["forecast"] for r in found["twice"]] == pytest.approx([2.0] * 12)
+    assert found["one"][0]["lower"] is None and {r["forecast"] for r in found[None]} == {9.0}
+    assert found["short"][0]["forecast"] == 5.0 and found["short"][0]["date_taken"] == datetime.date(2000, 6, 1)
+    assert {r["alpha"] for r in series.smoothed_models(df, ["k"]).collect()} <= set(series.LEVEL_WEIGHTS)
+
+
 def test_impute_table_fills_text_too(spark):
     rows = [(i, float(i % 2) * 10 + i % 3, "hi" if i % 2 else "lo", f"name{i % 2}{i % 7}") for i in range(200)]
     rows += [(900, 11.0, None, "name10"), (901, None, "lo", "name00"), (902, 0.0, "lo", None)]
     df = spark.createDataFrame(rows, "id int, x double, level string, name string")
-    done = impute.impute_table(df, numeric=["x"], text=["level", "name"], label_above=5, initial="mean")
+    done = impute.impute_table(df, numeric=["x"], text=["level", "name"], label_above=5)
     got = {r["id"]: r for r in done.collect()}
     assert done.columns == df.columns and len(got) == 203
     assert all(tuple(got[r[0]]) == r for r in rows[:200])
@@ -520,6 +600,13 @@ def test_drawn_rows_keep_the_moments(spark):
     x = rng.normal(size=(500, 1)) * [4.0, -2.0, 1.0] + [10.0, 20.0, 30.0]
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
     drawn = impute.draw_rows(df, ["a", "b", "c"], 4_000, k=1)
+    low, high = df.agg(F.min("a"), F.max("a")).first()
+    assert drawn.filter((F.col("a") < low) | (F.col("a") > high)).count() == 0
+    few = df.select(F.round(F.col("a") / 10).alias("a"), "b")
+    values = {r["a"] for r in few.collect()}
+    assert {r["a"] for r in impute.draw_rows(few, ["a", "b"], 500).collect()} <= values
+    with pytest.raises(ValueError):
+        impute.draw_rows(df.limit(0), ["a"], 3)
     stats = drawn.agg(F.avg("a"), F.stddev("a"), F.corr("a", "b")).first()
     assert stats[0] == pytest.approx(x[:, 0].mean(), abs=0.4)
     assert stats[1] == pytest.approx(x[:, 0].std(), rel=0.1)
