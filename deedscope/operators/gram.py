@@ -22,7 +22,7 @@ def doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
 
 
-def matrix_of(batch: pa.RecordBatch, at: Sequence[int] | None = None) -> np.ndarray:
+def matrix_of(batch: pa.RecordBatch | pa.Table, at: Sequence[int] | None = None) -> np.ndarray:
     """The columns of a batch side by side; NULL becomes NaN."""
     columns = [batch.column(i) for i in (range(batch.num_columns) if at is None else at)]
     out = np.empty((batch.num_rows, len(columns)))
@@ -68,6 +68,12 @@ def _pieces(items) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), lists], names=["piece", "v"])
 
 
+def near_values(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """A value of each column: taken off, it keeps squares small, and any value gives the same result."""
+    first = matrix_of(doubles(df, columns).limit(100).toArrow().combine_chunks())
+    return np.array([next((v for v in column if np.isfinite(v)), 0.0) for column in first.T])
+
+
 def means_of(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Mean and population standard deviation of each column's finite values; 0 and 0 without any."""
     n = len(columns)
@@ -80,9 +86,7 @@ def means_of(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndar
 
         return step
 
-    # A first value of each column keeps squares small; the exact mean follows from the sums.
-    first = df.select(*[F.col(f"`{c}`").cast("double") for c in columns]).limit(100).toPandas().to_numpy(float)
-    shift = np.array([next((v for v in first[:, i] if np.isfinite(v)), 0.0) for i in range(n)])
+    shift = near_values(df, columns)
     count, total, squares = np.split(sum_of_tasks(df, columns, moments(shift), 3 * n), 3)
     count = np.maximum(count, 1)
     return shift + total / count, np.sqrt(np.maximum(squares / count - (total / count) ** 2, 0.0))
@@ -95,7 +99,7 @@ def pairwise_correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     in the table made of it) where no more than one row has both.
     """
     n = len(columns)
-    centre, _ = means_of(df, columns)
+    centre = near_values(df, columns)
 
     def step(values: np.ndarray, nulls: np.ndarray) -> np.ndarray:
         there = (~nulls & np.isfinite(values)).astype(float)

@@ -101,7 +101,7 @@ class Latent:
         return done
 
 
-def fit_latent(df: DataFrame, columns: Sequence[str], *, k: int = 2, rounds: int = 50, tolerance: float = 1e-3) -> Latent:
+def fit_latent(df: DataFrame, columns: Sequence[str], *, k: int = 2, rounds: int = 50, tolerance: float = 1e-2) -> Latent:
     """Components of a table with gaps, in rounds until the filled cells stand still.
 
     The first round fills means. Each further one is one pass: every gap is filled by the newest
@@ -145,7 +145,7 @@ def _filled_sums(now: Latent, before: Latent | None):
 
 
 def reconstruct_iterated(
-    df: DataFrame, columns: Sequence[str], *, k: int = 2, rounds: int = 50, tolerance: float = 1e-3,
+    df: DataFrame, columns: Sequence[str], *, k: int = 2, rounds: int = 50, tolerance: float = 1e-2,
     bounds: dict[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
     """Replace missing numbers by their reconstruction from :func:`fit_latent`'s ``k`` components.

@@ -84,6 +84,22 @@ def bucketed_left_join(
     return joined.orderBy(*order_by) if order_by else joined
 
 
+def unequal_buckets_join(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, *, ratio: int, how: str = "left"
+) -> DataFrame:
+    """Join of two bucketed tables of which one has a multiple of the other's buckets: no exchange.
+
+    Several buckets of the finer table are read as one of the coarser. Where it has more than
+    ``ratio`` times as many, one task would read too much, and the coarser table is shuffled
+    instead. The session keeps the setting, which the plan is made with when the result is read.
+    """
+    conf = left.sparkSession.conf
+    conf.set("spark.sql.bucketing.coalesceBucketsInJoin.enabled", "true")
+    conf.set("spark.sql.bucketing.coalesceBucketsInJoin.maxBucketRatio", str(ratio))
+    # A broadcast would not read by bucket.
+    return left.join(right.hint("merge"), F.col(left_key) == F.col(right_key), how)
+
+
 def _bucketed(large, small, large_key, small_key, hot_share, broadcast_bytes) -> DataFrame:
     if broadcast_bytes and bytes_of(small) <= broadcast_bytes:
         return large.join(F.broadcast(small), F.col(large_key) == F.col(small_key), "left")

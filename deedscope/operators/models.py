@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deedscope.operators.features import categories
+from deedscope.operators.features import categories, label_positions, string_index
 from deedscope.plans.lineage import cut_lineage
 from deedscope.plans.ordinal import with_running_totals
 
@@ -41,6 +41,37 @@ def feature_stages(
     return stages
 
 
+def wide_features(
+    df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], *, output: str = "features", drop_last: bool = True
+) -> DataFrame:
+    """Sparse feature vectors with a place for each label of columns of any width.
+
+    Labels are numbered by falling frequency in a distributed sort and joined to the rows, so none
+    of them is on the driver; a vector holds one place per column. Rows with a NULL label or number
+    are dropped. As in ``feature_stages``, the rarest label of a column has no place of its own.
+    """
+    indexed, encoded = [f"__{c}_index" for c in categorical], [f"__{c}_vec" for c in categorical]
+    rows = df
+    for column, index in zip(categorical, indexed, strict=True):
+        rows = string_index(rows, column, output=index, positions=cut_lineage(label_positions(df, column)))
+    if categorical:
+        # The encoder reads how many labels there are from the indices; rows are read twice.
+        rows = cut_lineage(rows)
+        rows = OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=drop_last).fit(rows).transform(rows)
+    assembler = VectorAssembler(inputCols=[*encoded, *numeric], outputCol=output, handleInvalid="skip")
+    return assembler.transform(rows).drop(*indexed, *encoded)
+
+
+def vector_cells(df: DataFrame, keys: Sequence[str], vector: str = "features") -> DataFrame:
+    """The non-zero places of sparse vectors as rows: keys, position from 0, value."""
+    inner = F.unwrap_udt(vector)
+    cells = F.arrays_zip(inner["indices"].alias("position"), inner["values"].alias("value"))
+    dense = F.transform(inner["values"], lambda v, i: F.struct(i.alias("position"), v.alias("value")))
+    each = F.explode(F.when(inner["type"] == 0, cells).otherwise(dense)).alias("cell")
+    rows = df.select(*keys, each)
+    return rows.select(*keys, F.col("cell.position").alias("position"), F.col("cell.value").alias("value")).filter("value <> 0")
+
+
 def fit_forest(
     df: DataFrame, *, label: str, categorical: Sequence[str], numeric: Sequence[str],
     trees: int = 100, depth: int = 5, seed: int = 42, max_categories: int = 1_000,

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedscope.functions.scalars import hashed_unit
+from deedscope.functions.scalars import _let, hashed_unit
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
@@ -17,14 +17,17 @@ def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def poisson_count(unit: Column, mean: float) -> Column:
-    """The Poisson number of a mean at a number in [0, 1), by inverting the distribution."""
+    """The Poisson number of a mean at a number in [0, 1), by inverting the distribution.
+
+    ``unit`` may be costly: it is evaluated once, not at each step.
+    """
     term = total = math.exp(-mean)
     steps = [total]
     while len(steps) < mean + 12 * math.sqrt(mean) + 20:
         term *= mean / len(steps)
         total += term
         steps.append(total)
-    return F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda c: c < unit))
+    return _let(unit, lambda u: F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda c: c < u)))
 
 
 def bootstrap(df: DataFrame, fraction: float, seed: int = 42, *, key: Sequence[str] | None = None) -> DataFrame:
@@ -34,9 +37,10 @@ def bootstrap(df: DataFrame, fraction: float, seed: int = 42, *, key: Sequence[s
     only, so partitions and reruns don't change the sample. Rows of equal key are drawn alike.
     """
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in key or df.columns]
-    drawn = df.withColumn("__n", poisson_count(hashed_unit(F.lit(seed), *parts), fraction))
-    copies = F.explode(F.sequence(F.lit(1), F.col("__n")))
-    return drawn.filter("__n > 0").select(*[F.col(f"`{c}`") for c in df.columns], copies.alias("__copy")).drop("__copy")
+    # Rows that are not drawn are told by the first step alone.
+    drawn = df.withColumn("__u", hashed_unit(F.lit(seed), *parts)).filter(F.col("__u") > math.exp(-fraction))
+    copies = F.explode(F.sequence(F.lit(1), poisson_count(F.col("__u"), fraction)))
+    return drawn.select(*[F.col(f"`{c}`") for c in df.columns], copies.alias("__copy")).drop("__copy")
 
 
 def augment(df: DataFrame, fraction: float, seed: int = 42, *, key: Sequence[str] | None = None) -> DataFrame:

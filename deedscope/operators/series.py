@@ -65,7 +65,7 @@ def in_months(df: DataFrame, start: int, end: int, column: str = "year_month") -
 
 def percent_change(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Percentage change from the calendar month before."""
-    months = _monthly(series, keys)
+    months = monthly(series, keys)
     before = Window.partitionBy(*keys).orderBy("t").rangeBetween(-1, -1)
     previous = F.first("price").over(before)
     return months.select(
@@ -82,7 +82,7 @@ def _months(date: Column) -> Column:
     return F.year(date) * 12 + F.month(date) - 1
 
 
-def _monthly(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+def monthly(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key and month: ``t``, weight ``n``, mean ``price``, and the month's first day."""
     first_day = F.trunc("date_taken", "month")
     return (
@@ -116,7 +116,7 @@ def linear_trend(
     Scaling the axis before the fit would not change the line, so none is done. A key with one
     month has no line and forecasts NULL.
     """
-    return _linear(_monthly(series, keys), keys, horizon, first, axis)
+    return _linear(monthly(series, keys), keys, horizon, first, axis)
 
 
 def _line(months: DataFrame, keys: Sequence[str], axis: str = "month") -> DataFrame:
@@ -164,7 +164,7 @@ def polynomial_trend(
     Time is centred and scaled per key to [-1, 1] before the power sums are taken, which keeps
     the small systems well conditioned.
     """
-    months = _monthly(series, keys)
+    months = monthly(series, keys)
     per_key = Window.partitionBy(*keys)
     low, high = F.min("t").over(per_key), F.max("t").over(per_key)
     scaled = months.select(
@@ -207,7 +207,7 @@ def seasonal_forecast(
     interval widens with the square root of the periods passed; it is NULL while no change over
     a period is known twice.
     """
-    return _seasonal(_monthly(series, keys), keys, horizon, period, z)
+    return _seasonal(monthly(series, keys), keys, horizon, period, z)
 
 
 def _seasonal(months: DataFrame, keys: Sequence[str], horizon: int, period: int = 12, z: float = 1.96) -> DataFrame:
@@ -317,7 +317,7 @@ def smoothed_models(series: DataFrame, keys: Sequence[str], *, period: int = 12)
     smallest sum of squared one-step errors stays. A month without a price moves the level along
     the trend. ``sse`` and ``errors`` tell the errors' sum of squares and number.
     """
-    return _smoothed(_monthly(series, keys), keys, period)
+    return _smoothed(monthly(series, keys), keys, period)
 
 
 def _smoothed(months: DataFrame, keys: Sequence[str], period: int = 12) -> DataFrame:
@@ -340,7 +340,7 @@ def smoothed_forecast(
     The interval is that of the one-step errors, widened by what the level takes over from them;
     it is NULL where a series is too short to have any.
     """
-    return _smoothed_ahead(_monthly(series, keys), keys, horizon, period, z)
+    return _smoothed_ahead(monthly(series, keys), keys, horizon, period, z)
 
 
 def _smoothed_ahead(months: DataFrame, keys: Sequence[str], horizon: int, period: int = 12, z: float = 1.96) -> DataFrame:
@@ -365,7 +365,7 @@ def boosted_trend(
     A tree cannot use a key's name, so each key is described by its own mean price; the model
     learns the price relative to it. All ``trees`` are fitted on all months of all series.
     """
-    return _boosted(cut_lineage(_monthly(series, keys)), keys, horizon, first, trees, depth, seed)
+    return _boosted(cut_lineage(monthly(series, keys)), keys, horizon, first, trees, depth, seed)
 
 
 def _boosted(
@@ -402,7 +402,7 @@ def combined_forecast(series: DataFrame, keys: Sequence[str], *, horizon: int =
     computed once and handed to all three. The seasonal one is fitted by smoothing.
     """
     on = [*keys, "date_taken"]
-    months = cut_lineage(_monthly(series, keys))
+    months = cut_lineage(monthly(series, keys))
     last = months.groupBy(*keys).agg(F.max("date_taken").alias("last_date"))
     calendar = last.select(*keys, F.explode(_future(horizon, None)).alias("date_taken"))
     kinds = ["linear", "boosted", "seasonal"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deedscope.functions.scalars import _let, word_chunks
-from deedscope.plans.sizing import broadcast_if_small
+from deedscope.plans.sizing import has_at_most
 
 # A small general lexicon of review words and their polarity.
 LEXICON = {
@@ -42,17 +42,63 @@ def polarity(text: Column | str, lexicon: Mapping[str, float] = LEXICON) -> Colu
     return F.when(column.isNotNull(), _let(scored, mean))
 
 
+# Words that change the weight of what follows them; a negation turns and halves it.
+MODIFIERS = {
+    "no": -0.5, "not": -0.5, "never": -0.5, "hardly": -0.5, "without": -0.5, "very": 1.3, "really": 1.3,
+    "extremely": 1.5, "absolutely": 1.5, "so": 1.2, "quite": 1.1, "rather": 0.9, "somewhat": 0.7, "slightly": 0.5,
+}
+
+
+def polarity_modified(
+    text: Column | str, lexicon: Mapping[str, float] = LEXICON, modifiers: Mapping[str, float] = MODIFIERS, *, reach: int = 2
+) -> Column:
+    """The mean weight of a text's lexicon words, each changed by the modifiers right before it.
+
+    Of the ``reach`` words before a lexicon word every modifier multiplies its weight, which stays
+    between -1 and 1: "not very good" is a little bad. 0 without a lexicon word, NULL for a NULL text.
+    """
+    column = F.col(text) if isinstance(text, str) else text
+
+    def table(words: Mapping[str, float]) -> Column:
+        return F.create_map(*[F.lit(x) for word, w in words.items() for x in (word, float(w))])
+
+    weights, factors = table(lexicon), table(modifiers)
+
+    def scored(tokens: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.map_contains_key(weights, F.element_at(tokens, i)))
+
+        def changed(i: Column) -> Column:
+            begin = F.greatest(i - reach, F.lit(1))
+            before = F.slice(tokens, begin, i - begin)
+            factor = F.aggregate(before, F.lit(1.0), lambda f, w: f * F.coalesce(F.try_element_at(factors, w), F.lit(1.0)))
+            return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.element_at(weights, F.element_at(tokens, i)) * factor))
+
+        return F.transform(places, changed)
+
+    def mean(values: Column) -> Column:
+        total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+        return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
+
+    tokens = F.filter(F.split(F.lower(column), r"[^\p{L}]+"), lambda w: w != "")
+    found = _let(tokens, lambda words: F.when(F.size(words) > 0, scored(words)).otherwise(F.array().cast("array<double>")))
+    return F.when(column.isNotNull(), _let(found, mean))
+
+
 def polarity_join(
     df: DataFrame, lexicon: DataFrame, *, keys: list[str], text: str, max_broadcast_rows: int = 200_000
 ) -> DataFrame:
     """The polarity of each text with a lexicon of any length: rows of ``word`` and ``weight``.
 
-    Words are counted per text before they meet the lexicon, which is broadcast up to
-    ``max_broadcast_rows``, as counted. ``keys`` tell the texts apart; NULL texts score NULL.
+    A lexicon of up to ``max_broadcast_rows`` words, as counted, is broadcast and meets the words
+    before anything is shuffled; for a longer one words are counted per text first. ``keys`` tell
+    the texts apart; NULL texts score NULL.
     """
     tokens = F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")
-    counted = df.select(*keys, tokens).filter("word <> ''").groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    known = counted.join(broadcast_if_small(lexicon.select("word", "weight"), max_broadcast_rows), "word")
+    words, listed = df.select(*keys, tokens).filter("word <> ''"), lexicon.select("word", "weight")
+    if has_at_most(listed, max_broadcast_rows):
+        known = words.join(F.broadcast(listed), "word").withColumn("n", F.lit(1))
+    else:
+        known = words.groupBy(*keys, "word").agg(F.count("*").alias("n")).join(listed, "word")
     scored = known.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
         (F.sum(F.col("n") * F.col("weight")) / F.sum("n")).alias("__mean")
     )

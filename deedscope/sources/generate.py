@@ -13,6 +13,17 @@ def rate_stream(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
 
 
+def numbered_stream(spark: SparkSession, rows_per_batch: int, *, partitions: int | None = None, start_ms: int = 0) -> DataFrame:
+    """A stream of consecutive numbers, ``rows_per_batch`` in each micro-batch, with timestamps from ``start_ms``.
+
+    Which numbers a batch holds depends on the batch alone, so a restart repeats none and misses none.
+    """
+    reader = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).option("startTimestamp", start_ms)
+    if partitions:
+        reader = reader.option("numPartitions", partitions)
+    return reader.load()
+
+
 def hourly_columns(position: Column, start: str = "2024-01-01 00:00:00") -> list[Column]:
     """``dt`` and ``hr`` of the hour at a zero-based position.
 

@@ -30,6 +30,11 @@ def with_square(stream: DataFrame, value: str, output: str = "value_squared") ->
     return stream.withColumn(output, square(value))
 
 
+def looked_up(stream: DataFrame, table: DataFrame, stream_key: str, table_key: str, *, how: str = "inner") -> DataFrame:
+    """A stream's rows with those of a static table of the same key; the table is read anew for each batch."""
+    return stream.join(table, F.col(stream_key) == F.col(table_key), how)
+
+
 # Fixed value: the wording of the question.
 PROMPT = (
     "The value is %s and its square is %s. "

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deedscope.operators import cleaning, profiling, reports
+from deedscope.plans.lineage import scratch_path
 from deedscope.workload.ledger import histogram_sql
 from deedscope.workload.registry import query
 from deedscope.workload.tables import HIGH_PRICE, PROPERTY_TYPES, price_index, read, registry, with_views
@@ -138,6 +139,33 @@ def hll_profile(spark, sf):
     return profiling.profile_columns(registry(spark, sf), approximate=True)
 
 
+@query(
+    "merged_profiles",
+    """SELECT year(o_orderdate)::INT AS year, count(*) AS num_rows, count(*) FILTER (o_totalprice IS NULL) AS o_totalprice_nulls,
+      count(DISTINCT o_custkey) AS exact, true AS distinct_near, true AS quartiles_near FROM orders GROUP BY 1""",
+)
+def merged_profiles(spark, sf):
+    """Profiles kept per month and merged per year, beside the exact ones: within four standard errors."""
+    orders = read(spark, sf, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    path = scratch_path(spark, "profiles")
+    profiling.sketch_columns(orders, ["month"], distinct=["o_custkey"], numbers=["o_totalprice"]).write.parquet(path)
+    kept = spark.read.parquet(path).withColumn("year", F.substring("month", 1, 4).cast("int"))
+    merged = profiling.read_sketches(profiling.merge_sketches(kept, ["year"]), [0.25, 0.5, 0.75]).alias("m")
+    price, q = F.col("o_totalprice"), F.col("m.o_totalprice_quantiles")
+    exact = orders.select(F.year("o_orderdate").alias("year"), "o_custkey", "o_totalprice")
+    counted = exact.groupBy("year").agg(F.count_distinct("o_custkey").alias("exact"))
+    # The rank at which a sketched quartile really stands.
+    ranks = exact.join(F.broadcast(merged), "year").groupBy("year").agg(
+        *[(F.count_if(price <= F.element_at(q, i)) / F.count(price) - i / 4).alias(f"off{i}") for i in (1, 2, 3)]
+    )
+    near = F.greatest(*[F.abs(f"off{i}") for i in (1, 2, 3)]) < 4 * 0.0175
+    return merged.join(counted, "year").join(ranks, "year").select(
+        "year", "num_rows", "o_totalprice_nulls", "exact",
+        (F.abs(F.col("o_custkey_distinct") - F.col("exact")) <= 4 * 0.016 * F.col("exact")).alias("distinct_near"),
+        near.alias("quartiles_near"),
+    )
+
+
 @query(
     "profile_as_json",
     with_views(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deedscope.operators import retrieval, text
+from deedscope.plans.lineage import cut_lineage
 from deedscope.workload.registry import query
 from deedscope.workload.tables import read, rounded
 
@@ -95,6 +96,26 @@ def polarity_documents(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.round(text.polarity("text", WEIGHTS), 6).alias("polarity"))
 
 
+# Function words that play negations and intensifiers, for the same reason.
+CHANGES = {"a": 1.5, "and": -0.5, "de": 0.5, "en": -0.5, "in": 1.25, "les": 2.0}
+
+
+@query(
+    "polarity_modified",
+    f"""WITH tokens AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') AS w FROM documents),
+      places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM tokens),
+      changed AS (SELECT doc_id, i, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, map({list(WEIGHTS)}, {list(WEIGHTS.values())}::DOUBLE[])[w[i]]
+          * coalesce(map({list(CHANGES)}, {list(CHANGES.values())}::DOUBLE[])[CASE WHEN i > 2 THEN w[i - 2] END], 1)
+          * coalesce(map({list(CHANGES)}, {list(CHANGES.values())}::DOUBLE[])[CASE WHEN i > 1 THEN w[i - 1] END], 1))) AS weight
+        FROM places WHERE list_contains({list(WEIGHTS)}, w[i])),
+      means AS (SELECT doc_id, avg(weight) AS p FROM changed GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN round(coalesce(p, 0) + 1e-7, 5) + 0.0 END AS polarity FROM documents LEFT JOIN means USING (doc_id)""",
+)
+def polarity_modified(spark, sf):
+    scored = text.polarity_modified("text", WEIGHTS, CHANGES)
+    return read(spark, sf, "documents").select("doc_id", (F.round(scored + 1e-7, 5) + 0.0).alias("polarity"))
+
+
 @query(
     "polarity_lexicon",
     """WITH counted AS (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS word FROM documents) GROUP BY word),
@@ -109,5 +130,6 @@ def polarity_lexicon(spark, sf):
     words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).distinct()
     seen = words.filter("word <> ''").groupBy("word").agg(F.count("*").alias("docs")).filter("docs >= 3")
     lexicon = seen.select("word", ((F.col("docs") % 21 - 10) / 10).alias("weight"))
-    scored = text.polarity_join(docs, lexicon, keys=["doc_id"], text="text")
+    # Counted before it is joined: kept once.
+    scored = text.polarity_join(docs, cut_lineage(lexicon), keys=["doc_id"], text="text")
     return scored.select("doc_id", (rounded("polarity", 4) + 0.0).alias("polarity"))

@@ -238,27 +238,33 @@ def smoothed_forecast(spark, sf):
 @query(
     "seasonal_errors",
     _with_recursion(
-        """, rule AS (SELECT region_name, measure, sqrt(avg(off * off)) AS rule_error FROM
-          (SELECT region_name, measure, change - avg(change) OVER (PARTITION BY region_name, measure) AS off FROM
-            (SELECT a.region_name, a.measure, a.price - b.price AS change FROM long a JOIN long b
-              ON a.region_name = b.region_name AND a.measure = b.measure AND a.t = b.t + 12)) GROUP BY 1, 2)
-        SELECT measure, count(*) AS num_series, round(avg(sqrt(m.sse / errors)), 2) AS smoothed_error, round(avg(rule_error), 2) AS rule_error,
-          true AS smaller FROM fitted LEFT JOIN rule USING (region_name, measure) GROUP BY measure"""
+        """, changes AS (SELECT a.region_name, a.measure, a.t, a.price - b.price AS change FROM long a JOIN long b
+            ON a.region_name = b.region_name AND a.measure = b.measure AND a.t = b.t + 12),
+          off AS (SELECT measure, change - coalesce(avg(change) OVER (PARTITION BY region_name, measure ORDER BY t
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM changes),
+          rule AS (SELECT measure, sqrt(avg(e * e)) AS rule_error FROM off GROUP BY 1)
+        SELECT measure, count(*) AS num_series, round(sqrt(sum(m.sse) / sum(errors)), 2) AS smoothed_error, round(any_value(rule_error), 2) AS rule_error,
+          true AS smaller FROM fitted JOIN rule USING (measure) GROUP BY measure"""
     ),
 )
 def seasonal_errors(spark, sf):
-    """One-step errors of the fitted model beside those of last year's value and the mean change."""
+    """One-step errors of the fitted model, beside those of last year's value and the mean change until then."""
     rows = cut_lineage(long_series(spark, sf))
-    models = series.smoothed_models(rows, KEYS)
-    months = series._monthly(rows, KEYS)
-    before = Window.partitionBy(*KEYS).orderBy("t").rangeBetween(-12, -12)
-    changes = months.withColumn("change", F.col("price") - F.first("price").over(before)).filter("change IS NOT NULL")
-    rule = changes.groupBy(*KEYS).agg(F.stddev_pop("change").alias("rule_error"))
-    both = models.join(rule, KEYS, "left").withColumn("error", F.sqrt(F.col("sse") / F.when(F.col("errors") > 0, F.col("errors"))))
-    return both.groupBy("measure").agg(
-        F.count("*").alias("num_series"), F.round(F.avg("error"), 2).alias("smoothed_error"),
-        F.round(F.avg("rule_error"), 2).alias("rule_error"), (F.avg("error") < F.avg("rule_error")).alias("smaller"),
-    )
+    ordered = Window.partitionBy(*KEYS).orderBy("t")
+    # A price twelve months before is a row with t moved on by twelve.
+    months = series.monthly(rows, KEYS).select(*KEYS, "t", "price")
+    earlier = months.select(*KEYS, (F.col("t") + 12).alias("t"), F.col("price").alias("before"))
+    changes = months.join(earlier, [*KEYS, "t"]).withColumn("change", F.col("price") - F.col("before"))
+    until = F.coalesce(F.avg("change").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    off = changes.select("measure", (F.col("change") - until).alias("e"))
+    rule = off.groupBy("measure").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rule_error"))
+    fitted = series.smoothed_models(rows, KEYS).groupBy("measure").agg(
+        F.count("*").alias("num_series"), F.sqrt(F.sum("sse") / F.sum("errors")).alias("smoothed_error")
+    )
+    return fitted.join(rule, "measure").select(
+        "measure", "num_series", F.round("smoothed_error", 2).alias("smoothed_error"), F.round("rule_error", 2).alias("rule_error"),
+        (F.col("smoothed_error") < F.col("rule_error")).alias("smaller"),
+    )
 
 
 @query("gbt_trend")

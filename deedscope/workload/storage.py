@@ -124,6 +124,20 @@ def bucketed_left_join(spark, sf):
     return joins.bucketed_left_join(*_bucketed_pair(spark, sf), "c_custkey", "o_custkey").drop("o_custkey")
 
 
+@query("unequal_buckets_join", _CUSTOMER_ORDERS)
+def unequal_buckets_join(spark, sf):
+    """Four buckets of customers against sixteen of orders: four of those are read as one."""
+    tables = []
+    for table, columns, key, buckets in (
+        ("customer", ["c_custkey", "c_name"], "c_custkey", 4), ("orders", ["o_custkey", "o_orderkey", "o_totalprice"], "o_custkey", 16),
+    ):
+        name = f"{table}_in_{buckets}"
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        catalog.write_bucketed(read(spark, sf, table).select(*columns), name, key=key, buckets=buckets, path=scratch_path(spark, name))
+        tables.append(spark.table(name))
+    return joins.unequal_buckets_join(*tables, "c_custkey", "o_custkey", ratio=4).drop("o_custkey")
+
+
 @query("broadcast_left_join", _CUSTOMER_ORDERS)
 def broadcast_left_join(spark, sf):
     customers, orders = _bucketed_pair(spark, sf)
@@ -206,6 +220,24 @@ def stream_square(spark, sf):
     )
 
 
+_BATCH_ROWS, _BATCHES = 150, 3
+
+
+@query(
+    "stream_lookup",
+    f"SELECT event_id AS value, event_type, user_id FROM events WHERE event_id < {_BATCH_ROWS * _BATCHES}",
+)
+def stream_lookup(spark, sf):
+    """A numbered stream joined to the events, a batch at a start: each start goes on where the last one ended."""
+    output, checkpoint = scratch_path(spark, "lookup"), scratch_path(spark, "lookup-checkpoint")
+    events = read(spark, sf, "events").select("event_id", "event_type", "user_id")
+    for _ in range(_BATCHES):
+        numbers = generate.numbered_stream(spark, _BATCH_ROWS, partitions=2).select("value")
+        found = microbatch.looked_up(numbers, events, "value", "event_id")
+        microbatch.run_enrichment(found, lambda batch: batch, output=output, checkpoint=checkpoint).awaitTermination()
+    return spark.read.parquet(output).select("value", "event_type", "user_id")
+
+
 # --- files and views, each written from a given table and read back --------------------------------
 
 

@@ -613,6 +613,63 @@ def test_drawn_rows_keep_the_moments(spark):
     assert stats[2] == pytest.approx(-1.0, abs=0.01)
 
 
+def test_kept_sketches_merge_to_those_of_all_rows(spark):
+    rows = spark.range(20_000).selectExpr("id % 7 AS day", "IF(id % 10 = 0, NULL, id % 3000) AS user", "double(id) AS x")
+    merged = profiling.read_sketches(profiling.merge_sketches(profiling.sketch_columns(rows, ["day"], distinct=["user"], numbers=["x"])), [0.1, 0.5])
+    row = merged.first()
+    assert (row["num_rows"], row["user_nulls"], row["x_nulls"]) == (20_000, 2_000, 0)
+    assert row["user_distinct"] == pytest.approx(2_700, rel=0.05)
+    assert row["x_quantiles"] == pytest.approx([2_000, 10_000], abs=20_000 * 0.05)
+
+
+def test_poisson_counts_follow_the_distribution(spark):
+    units = spark.range(4_000).select((F.col("id") / 4_000).alias("u"))
+    for mean in (0.2, 3.0):
+        counts = [r[0] for r in units.select(sampling.poisson_count(F.col("u"), mean)).collect()]
+        share = [math.exp(-mean) * mean**k / math.factorial(k) for k in range(6)]
+        assert [counts.count(k) / 4_000 for k in range(6)] == pytest.approx(share, abs=0.001)
+    df = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(3_000)], "k int, v string")
+    drawn = sampling.bootstrap(df, 0.5, key=["k"])
+    assert drawn.count() == pytest.approx(1_500, rel=0.1) and drawn.columns == ["k", "v"]
+    assert sorted(map(str, drawn.collect())) == sorted(map(str, sampling.bootstrap(df.repartition(7), 0.5, key=["k"]).collect()))
+
+
+def plain_polarity(value, reach):
+    if value is None:
+        return None
+    import regex
+
+    words = [w for w in regex.split(r"[^\p{L}]+", value.lower()) if w]
+    found = []
+    for i, word in enumerate(words):
+        if word in text.LEXICON:
+            factor = math.prod(text.MODIFIERS.get(w, 1.0) for w in words[max(0, i - reach) : i])
+            found.append(max(-1.0, min(1.0, text.LEXICON[word] * factor)))
+    return sum(found) / len(found) if found else 0.0
+
+
+@pytest.mark.parametrize("reach", [1, 2, 4])
+def test_modified_polarity(spark, reach):
+    rng = np.random.default_rng(7)
+    words = [*text.LEXICON, *text.MODIFIERS, "the", "Überall", "x"]
+    values = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(60)]
+    values += [None, "", "!?", "NOT good", "not very good", "good not", "never, ever: great!", "very " * 50 + "best"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    found = {r[0]: r[1] for r in df.select("i", text.polarity_modified("t", reach=reach)).collect()}
+    for i, value in enumerate(values):
+        want = plain_polarity(value, reach)
+        assert found[i] == (want if want is None else pytest.approx(want)), value
+    assert text.LEXICON["good"] * -0.5 == pytest.approx(found[63])
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_polarity_join_with_and_without_broadcast(spark, bound):
+    df = spark.createDataFrame([(1, "good bad good"), (2, "x"), (3, None), (None, "great")], "k int, t string")
+    lexicon = spark.createDataFrame(list(text.LEXICON.items()), "word string, weight double")
+    found = {r[0]: r[1] for r in text.polarity_join(df, lexicon, keys=["k"], text="t", max_broadcast_rows=bound).collect()}
+    assert found == {1: pytest.approx(0.7 / 3), 2: 0.0, 3: None, None: 0.8}
+
+
 # --- retrieval and text ----------------------------------------------------------------------------------------
 
 

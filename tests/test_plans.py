@@ -135,14 +135,16 @@ def test_exact_quantiles_of_nothing(spark):
     assert exact_quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == [None]
 
 
-@pytest.mark.parametrize("name", ["null_percentages", "hll_profile", "describe_numeric", "correlation_matrix"])
+@pytest.mark.parametrize("name", ["null_percentages", "hll_profile", "describe_numeric"])
 def test_profiles_read_the_table_once(spark, sf, name):
     plan = final_plan(QUERIES[name](spark, sf)).split("== Initial Plan ==")[0]
     assert plan.count("orders.parquet") + plan.count("lineitem.parquet") == 1
 
 
-PYTHON_ALLOWED = {"knn_l2_top3", "retrieve_context", "cubic_trend"}
-COSTLY = {"lorentz_fit", "lorentz_curve", "combined_forecast", "gbt_trend", "forest_auc", "forest_scores"}
+PYTHON_ALLOWED = {
+    "knn_l2_top3", "retrieve_context", "cubic_trend", "smoothed_forecast", "seasonal_errors", "lorentz_fit", "lorentz_curve", "lorentz_facts",
+}
+COSTLY = {"combined_forecast", "gbt_trend", "forest_auc", "forest_scores"}
 
 
 def test_plans_hold_no_cross_join_and_no_python(spark, sf):
@@ -155,6 +157,43 @@ def test_plans_hold_no_cross_join_and_no_python(spark, sf):
             assert "EvalPython" not in plan and "InPandas" not in plan, name
 
 
+def test_unequal_buckets_meet_without_an_exchange(spark, tmp_path):
+    from deedscope.sources import catalog
+
+    rows = spark.range(2_000).selectExpr("id % 300 AS k", "id AS v").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) k, -1L v"))
+    for buckets in (4, 16):
+        catalog.write_bucketed(rows.withColumnRenamed("k", f"k{buckets}"), f"in_{buckets}", key=f"k{buckets}", buckets=buckets, path=str(tmp_path / str(buckets)))
+    few, many = spark.table("in_4"), spark.table("in_16").drop("v")
+    want = rows.alias("a").join(rows.alias("b"), F.col("a.k") == F.col("b.k"), "left").count()
+    for ratio, exchanges in ((4, 0), (2, 1)):
+        joined = joins.unequal_buckets_join(few, many, "k4", "k16", ratio=ratio)
+        plan = final_plan(joined).split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == exchanges and joined.count() == want
+    spark.conf.unset("spark.sql.bucketing.coalesceBucketsInJoin.enabled")
+    spark.sql("DROP TABLE in_4")
+    spark.sql("DROP TABLE in_16")
+
+
+def test_wide_features_keep_labels_off_the_driver(spark):
+    from deedscope.operators import models
+
+    rows = spark.range(3_000).selectExpr("id", "concat('label ', id % 1500) AS name", "IF(id % 7 = 0, NULL, id % 3) AS few", "double(id % 5) AS x")
+    done = models.wide_features(rows, ["name", "few"], ["x"])
+    cells = models.vector_cells(done, ["id"])
+    assert done.count() == rows.filter("few IS NOT NULL").count()
+    assert {r.size for r in done.select(F.unwrap_udt("features")["size"].alias("size")).distinct().collect()} == {1_499 + 2 + 1}
+    got = {r["id"]: sorted(map(tuple, r["c"])) for r in cells.groupBy("id").agg(F.collect_list(F.struct("position", "value")).alias("c")).collect()}
+    assert max(map(len, got.values())) == 3
+    # Labels of two rows each are numbered by name; of the three values the one with fewest rows has no place.
+    names = sorted(f"label {i}" for i in range(1_500))
+    place = {name: i for i, name in enumerate(names)}
+    for i, found in list(got.items())[:200]:
+        positions = [p for p, _ in found]
+        if place[f"label {i % 1500}"] < 1_499:
+            assert place[f"label {i % 1500}"] in positions
+        assert ((1_501, float(i % 5)) in found) == (i % 5 > 0)
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = final_plan(QUERIES["keyword_products"](spark, sf))
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string>" in plan

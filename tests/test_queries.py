@@ -7,15 +7,12 @@ from deedscope.workload import ORACLE_SQL, QUERIES
 from tests.compare import duck, mismatch
 from tests.conftest import SF
 
-SLOW = {"lorentz_fit", "lorentz_curve", "combined_forecast", "forest_scores"}
-
-
 @pytest.fixture(scope="module")
 def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     assert mismatch(spark, con, name, SF) is None
 
@@ -27,7 +24,7 @@ TYPES = {
 }
 
 
-@pytest.mark.parametrize("name", [n for n in ORACLE_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_types(spark, con, name):
     want = {row[0]: row[1] for row in con.execute(f"DESCRIBE {ORACLE_SQL[name]}").fetchall()}
     assert {c: TYPES[t] for c, t in QUERIES[name](spark, SF).dtypes} == want

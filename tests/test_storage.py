@@ -199,6 +199,17 @@ def test_stream_restart_adds_no_duplicates(spark, tmp_path):
     assert rows[12]["prompt"].startswith("The value is 12 and its square is 144.")
 
 
+def test_numbered_stream_goes_on_after_a_restart(spark, tmp_path):
+    table = spark.createDataFrame([(i, f"e{i}") for i in range(0, 60, 2)], "k long, name string")
+    for start in range(4):
+        stream = microbatch.looked_up(generate.numbered_stream(spark, 10, partitions=2), table, "value", "k", how="left")
+        query = microbatch.run_enrichment(stream, lambda b: b, output=str(tmp_path / "out"), checkpoint=str(tmp_path / "check"))
+        query.awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        assert sorted(r["value"] for r in rows) == list(range(10 * (start + 1)))
+        assert all(r["name"] == (f"e{r['value']}" if r["value"] % 2 == 0 else None) for r in rows)
+
+
 def test_console(spark, tmp_path):
     job = microbatch.to_console(generate.rate_stream(spark), checkpoint=str(tmp_path / "cp"))
     job.stop()
