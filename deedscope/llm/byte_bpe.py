@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-The bytes of a pre-token form a linked list. Adjacent parts whose joined bytes have a rank wait in
-that rank's bucket, a heap of list positions. A two-level bitmap of the non-empty buckets gives
-the least rank by find-first-set; entries that a merge has made stale are skipped. Each merge
-costs a few operations whatever the length, so a pre-token of a whole document is no problem.
+The bytes of all new pre-tokens of a batch are laid end to end as one linked list with borders.
+Adjacent parts that make a token wait in the bucket of its rank, a list of positions. A two-level
+bitmap of the non-empty buckets gives the least rank by find-first-set; entries that a merge has
+made stale are skipped. Each merge costs a few operations whatever the length, so a pre-token of a
+whole document is no problem, and what a queue costs at all is shared by thousands of short ones.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import hashlib
 import sys
 from array import array
 from collections.abc import Callable, Iterator
-from heapq import heappop, heappush
 from types import ModuleType
 
 import numpy as np
@@ -22,75 +22,134 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deedscope.llm.common import extended, parts
+from deedscope.llm.common import extended, parts, text_parts
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: the least rank is merged first, the leftmost of equal ones.
+class Vocabulary:
+    """Ranks of tokens, and of pairs of neighbouring tokens as far as they were met.
+
+    ``first`` has the rank of every pair of bytes (-1: none), ``pairs`` that of (left id, right id).
+    """
+
+    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 2_000_000) -> None:
+        self.ranks, self.most_pairs = ranks, most_pairs
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.first = np.full(1 << 16, -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.first[token[0] << 8 | token[1]] = rank
+        self.pairs: dict[int, int] = {}
+
+    def pair(self, key: int) -> int:
+        """The rank of a pair that is not in ``pairs`` yet."""
+        if len(self.pairs) >= self.most_pairs:
+            self.pairs.clear()
+        rank = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
+        self.pairs[key] = rank
+        return rank
+
 
-    ``buckets`` holds the positions of each waiting rank as a heap, ``low`` a bit for each waiting
-    rank of a group of 256, ``top`` a bit for each group that has one.
+def merge_all(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
+    """Token ids of each pre-token: the least rank is merged first, the leftmost of equal ones.
+
+    No pair crosses a border, so pre-tokens don't touch each other and one queue serves them all.
+    ``low`` holds a bit for each waiting rank of a group of 256, ``top`` one for each group that
+    has any. A rank's whole bucket is merged at once, unless a merge makes a lower rank wait.
     """
-    find = ranks.get
-    whole = find(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    wanted = [find(piece[i : i + 2], -1) for i in range(n)]
-    wanted[-1] = -1
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    buckets: dict[int, list[int]] = {}
-    low: dict[int, int] = {}
-    top = 0
-    for i, rank in enumerate(wanted):
-        if rank < 0:
-            continue
-        if rank in buckets:
-            buckets[rank].append(i)  # ascending, so a heap
-        else:
-            buckets[rank] = [i]
-            low[rank >> 8] = low.get(rank >> 8, 0) | 1 << (rank & 255)
-            top |= 1 << (rank >> 8)
+    whole = [vocabulary.ranks.get(piece) for piece in pieces]
+    held = [piece for piece, rank in zip(pieces, whole, strict=True) if rank is None and piece]
+    data = np.frombuffer(b"".join(held), np.uint8)
+    n = len(data)
+    ends = np.cumsum([0, *map(len, held)])
+    start = np.full(n, -1, np.int64)
+    if n > 1:
+        start[:-1] = vocabulary.first[data[:-1].astype(np.int64) << 8 | data[1:]]
+        start[ends[1:] - 1] = -1
+    following, preceding = np.arange(1, n + 1), np.arange(-1, n - 1)
+    following[ends[1:] - 1] = -1
+    preceding[ends[:-1][ends[:-1] < n]] = -1
+    ids, wanted = vocabulary.single[data].tolist(), start.tolist()
+    after, before = following.tolist(), preceding.tolist()
+    waiting = np.flatnonzero(start >= 0)
+    waiting = waiting[np.argsort(start[waiting], kind="stable")]
+    at = np.flatnonzero(np.diff(start[waiting], prepend=-1))
+    places, cuts = waiting.tolist(), [*at.tolist(), len(waiting)]
+    buckets, low, top = {}, {}, 0
+    for rank, x, y in zip(start[waiting[at]].tolist(), cuts[:-1], cuts[1:], strict=True):
+        buckets[rank] = places[x:y]
+        low[rank >> 8] = low.get(rank >> 8, 0) | 1 << (rank & 255)
+        top |= 1 << (rank >> 8)
+    known, look_up = vocabulary.pairs, vocabulary.pair
     while top:
         group = (top & -top).bit_length() - 1
         bits = low[group]
         rank = group << 8 | (bits & -bits).bit_length() - 1
-        bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
-            del buckets[rank]
-            low[group] = bits = bits & (bits - 1)
-            if not bits:
-                top &= top - 1
-        if wanted[i] != rank:
-            continue  # stale: a neighbour has been merged since
-        gone = after[i]
-        wanted[gone] = -1
-        stop = after[i] = after[gone]
-        if stop < n:
-            before[stop] = i
-            changed = ((before[i], stop), (i, after[stop]))
-        else:
-            wanted[i] = -1
-            changed = ((before[i], stop),)
-        for j, end in changed:
-            if j < 0:
-                continue
-            wanted[j] = rank = find(piece[j:end], -1)
-            if rank < 0:
-                continue
-            if rank in buckets:
-                heappush(buckets[rank], j)
+        low[group] = bits = bits & (bits - 1)
+        if not bits:
+            top &= top - 1
+        bucket = buckets.pop(rank)
+        bucket.sort()
+        for done, i in enumerate(bucket, 1):
+            if wanted[i] != rank:
+                continue  # stale: a neighbour has been merged since
+            ids[i] = rank
+            gone = after[i]
+            wanted[gone] = -1
+            stop = after[i] = after[gone]
+            least = rank
+            if stop >= 0:
+                before[stop] = i
+                key = rank << 32 | ids[stop]
+                found = known.get(key)
+                if found is None:
+                    found = look_up(key)
+                wanted[i] = found
+                if found >= 0:
+                    if found in buckets:
+                        buckets[found].append(i)
+                    else:
+                        buckets[found] = [i]
+                        low[found >> 8] = low.get(found >> 8, 0) | 1 << (found & 255)
+                        top |= 1 << (found >> 8)
+                    least = min(least, found)
             else:
-                buckets[rank] = [j]
-                low[rank >> 8] = low.get(rank >> 8, 0) | 1 << (rank & 255)
-                top |= 1 << (rank >> 8)
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return ids
+                wanted[i] = -1
+            j = before[i]
+            if j >= 0:
+                key = ids[j] << 32 | rank
+                found = known.get(key)
+                if found is None:
+                    found = look_up(key)
+                wanted[j] = found
+                if found >= 0:
+                    if found in buckets:
+                        buckets[found].append(j)
+                    else:
+                        buckets[found] = [j]
+                        low[found >> 8] = low.get(found >> 8, 0) | 1 << (found & 255)
+                        top |= 1 << (found >> 8)
+                    least = min(least, found)
+            if least < rank and done < len(bucket):
+                # The rest of the bucket waits until that lower rank is merged.
+                buckets[rank] = buckets.get(rank, []) + bucket[done:]
+                low[group] = low.get(group, 0) | 1 << (rank & 255)
+                top |= 1 << group
+                break
+    out = []
+    for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        found, i = [], x
+        while 0 <= i < y:
+            found.append(ids[i])
+            i = after[i]
+        out.append(found)
+    rest = iter(out)
+    return [[] if not piece else [rank] if rank is not None else next(rest) for piece, rank in zip(pieces, whole, strict=True)]
+
+
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of one pre-token."""
+    return merge_all([piece], Vocabulary(ranks))[0]
 
 
 class Pieces(dict):
@@ -105,12 +164,24 @@ class Pieces(dict):
     ) -> None:
         super().__init__()
         self.ranks, self.half, self.piece_chars, self.pack = ranks, max(1, entries // 2), piece_chars, pack
+        self.vocabulary = Vocabulary(ranks)
         self.older: dict[str, object] = {}
+        # Of the texts at hand, what the cache is too small for or does not keep.
+        self.loose: dict[str, object] = {}
+
+    def prepare(self, rows: list[list[str]]) -> None:
+        """Merge all pre-tokens of ``rows`` that are not known yet, in one queue."""
+        self.loose = {}
+        new = [p for p in set().union(*rows) if p not in self and p not in self.older]
+        for piece, ids in zip(new, merge_all([p.encode() for p in new], self.vocabulary), strict=True):
+            self.loose[piece] = self.pack(ids)
 
     def __missing__(self, piece: str):
-        ids = self.older.get(piece)
+        ids = self.loose.get(piece)
+        if ids is None:
+            ids = self.older.get(piece)
         if ids is None:
-            ids = self.pack(merge(piece.encode(), self.ranks))
+            ids = self.pack(merge_all([piece.encode()], self.vocabulary)[0])
         if len(piece) <= self.piece_chars:
             if len(self) >= self.half:
                 self.older = dict(self)
@@ -188,8 +259,10 @@ def encode(
         find = regex.compile(pattern).findall
         pieces = Pieces.of_worker(ranks.value, cache_entries)
         decoder = Decoder(pieces.ranks) if decoded_column else None
-        for batch in parts(batches):
-            packed = [b"".join(map(pieces.__getitem__, find(text))) for text in batch.column(len(kept)).to_pylist()]
+        for batch in text_parts(batches, len(kept), size=1 << 20):
+            rows = [find(text) for text in batch.column(len(kept)).to_pylist()]
+            pieces.prepare(rows)
+            packed = [b"".join(map(pieces.__getitem__, row)) for row in rows]
             ends = np.cumsum([0, *map(len, packed)]) // 4
             values = pa.array(np.frombuffer(b"".join(packed), np.int32))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deedscope.functions.scalars import _let
 from deedscope.plans.lineage import cut_lineage
 from deedscope.plans.sizing import has_at_most
 
@@ -96,18 +97,21 @@ def mix(
         spread = distributions.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         salted = rows.withColumn("__at", F.pmod(F.xxhash64("__key"), F.lit(salts)).cast("int"))
         found = salted.join(spread, same & (F.col("__at") == F.col("__salt")))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("__draws")),
-        F.lit(0),
-        lambda n, j: n + F.size(F.filter("__cdf", lambda c: c < F.element_at(F.col("__u"), j))),
-    )
     uniforms = F.transform(
         F.sequence(F.lit(1), F.col("__draws")), lambda j: uniform(F.lit(seed), F.lit("count"), F.col("__key"), j)
     )
-    counted = found.withColumn("__u", uniforms).withColumn("__n", drawn).filter("__n > 0")
+
+    def passed(us: Column) -> Column:
+        below = lambda u: F.size(F.filter("__cdf", lambda c: c < u))
+        return F.aggregate(us, F.lit(0), lambda n, u: n + below(u))
+
+    # Each number is hashed once: it is bound before the steps are compared with it, and no filter
+    # repeats the draw where the rows are joined.
+    counted = found.withColumn("__n", _let(uniforms, passed))
+    copies = F.explode_outer(F.when(F.col("__n") > 0, F.sequence(F.lit(1), F.col("__n"))))
     copied = counted.select(
-        *[F.col(f"`{c}`") for c in columns], "__key", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"), F.col("__n").alias("copies")
-    )
+        *[F.col(f"`{c}`") for c in columns], "__key", copies.alias("copy"), F.col("__n").alias("copies")
+    ).filter("copy IS NOT NULL")
     order = F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), "__key", F.col("copy").cast("string")), "UTF-8"))
     keyed = copied.withColumn("shuffle_key", order).drop("__key")
     # The key is a hash already: any partition holds a uniform sample, in an order of its own.
