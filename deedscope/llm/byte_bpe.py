@@ -10,6 +10,7 @@ whole document is no problem, and what a queue costs at all is shared by thousan
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import sys
 from array import array
@@ -26,28 +27,25 @@ from deedscope.llm.common import extended, parts, text_parts
 
 
 class Vocabulary:
-    """Ranks of tokens, and of pairs of neighbouring tokens as far as they were met.
+    """Ranks of tokens, and of all pairs of tokens that make one.
 
-    ``first`` has the rank of every pair of bytes (-1: none), ``pairs`` that of (left id, right id).
+    ``first`` has the rank of every pair of bytes (-1: none), ``pairs`` that of (left id, right id):
+    a token of n bytes is cut in n - 1 ways, so there are few.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 2_000_000) -> None:
-        self.ranks, self.most_pairs = ranks, most_pairs
-        self.tokens = {rank: token for token, rank in ranks.items()}
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         self.first = np.full(1 << 16, -1, np.int64)
+        self.pairs: dict[int, int] = {}
+        find = ranks.get
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.first[token[0] << 8 | token[1]] = rank
-        self.pairs: dict[int, int] = {}
-
-    def pair(self, key: int) -> int:
-        """The rank of a pair that is not in ``pairs`` yet."""
-        if len(self.pairs) >= self.most_pairs:
-            self.pairs.clear()
-        rank = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
-        self.pairs[key] = rank
-        return rank
+            for cut in range(1, len(token)):
+                left, right = find(token[:cut]), find(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
 
 
 def merge_all(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
@@ -80,7 +78,7 @@ def merge_all(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
         buckets[rank] = places[x:y]
         low[rank >> 8] = low.get(rank >> 8, 0) | 1 << (rank & 255)
         top |= 1 << (rank >> 8)
-    known, look_up = vocabulary.pairs, vocabulary.pair
+    pair, waiting_at = vocabulary.pairs.get, buckets.get
     while top:
         group = (top & -top).bit_length() - 1
         bits = low[group]
@@ -89,7 +87,9 @@ def merge_all(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
         if not bits:
             top &= top - 1
         bucket = buckets.pop(rank)
-        bucket.sort()
+        if len(bucket) > 1:
+            bucket.sort()
+        least = rank
         for done, i in enumerate(bucket, 1):
             if wanted[i] != rank:
                 continue  # stale: a neighbour has been merged since
@@ -97,39 +97,34 @@ def merge_all(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
             gone = after[i]
             wanted[gone] = -1
             stop = after[i] = after[gone]
-            least = rank
             if stop >= 0:
                 before[stop] = i
-                key = rank << 32 | ids[stop]
-                found = known.get(key)
-                if found is None:
-                    found = look_up(key)
-                wanted[i] = found
+                wanted[i] = found = pair(rank << 32 | ids[stop], -1)
                 if found >= 0:
-                    if found in buckets:
-                        buckets[found].append(i)
-                    else:
+                    place = waiting_at(found)
+                    if place is None:
                         buckets[found] = [i]
                         low[found >> 8] = low.get(found >> 8, 0) | 1 << (found & 255)
                         top |= 1 << (found >> 8)
-                    least = min(least, found)
+                    else:
+                        place.append(i)
+                    if found < least:
+                        least = found
             else:
                 wanted[i] = -1
             j = before[i]
             if j >= 0:
-                key = ids[j] << 32 | rank
-                found = known.get(key)
-                if found is None:
-                    found = look_up(key)
-                wanted[j] = found
+                wanted[j] = found = pair(ids[j] << 32 | rank, -1)
                 if found >= 0:
-                    if found in buckets:
-                        buckets[found].append(j)
-                    else:
+                    place = waiting_at(found)
+                    if place is None:
                         buckets[found] = [j]
                         low[found >> 8] = low.get(found >> 8, 0) | 1 << (found & 255)
                         top |= 1 << (found >> 8)
-                    least = min(least, found)
+                    else:
+                        place.append(j)
+                    if found < least:
+                        least = found
             if least < rank and done < len(bucket):
                 # The rest of the bucket waits until that lower rank is merged.
                 buckets[rank] = buckets.get(rank, []) + bucket[done:]
@@ -166,28 +161,37 @@ class Pieces(dict):
         self.ranks, self.half, self.piece_chars, self.pack = ranks, max(1, entries // 2), piece_chars, pack
         self.vocabulary = Vocabulary(ranks)
         self.older: dict[str, object] = {}
-        # Of the texts at hand, what the cache is too small for or does not keep.
-        self.loose: dict[str, object] = {}
-
-    def prepare(self, rows: list[list[str]]) -> None:
-        """Merge all pre-tokens of ``rows`` that are not known yet, in one queue."""
-        self.loose = {}
-        new = [p for p in set().union(*rows) if p not in self and p not in self.older]
-        for piece, ids in zip(new, merge_all([p.encode() for p in new], self.vocabulary), strict=True):
-            self.loose[piece] = self.pack(ids)
-
-    def __missing__(self, piece: str):
-        ids = self.loose.get(piece)
-        if ids is None:
-            ids = self.older.get(piece)
-        if ids is None:
-            ids = self.pack(merge_all([piece.encode()], self.vocabulary)[0])
+
+    def of(self, rows: list[list[str]], together: int = 500) -> dict[str, object]:
+        """The ids of all pre-tokens of ``rows``. Those not known yet are merged, ``together`` in a queue."""
+        table, new = {}, []
+        for piece in set().union(*rows):
+            ids = self.get(piece)
+            if ids is None:
+                ids = self.older.get(piece)
+                if ids is None:
+                    new.append(piece)
+                    continue
+                self.keep(piece, ids)
+            table[piece] = ids
+        # The queue's lists hold no cycles; looking for some takes an eighth of the time.
+        collecting = gc.isenabled()
+        gc.disable()
+        for at in range(0, len(new), together):
+            some = new[at : at + together]
+            for piece, ids in zip(some, merge_all([p.encode() for p in some], self.vocabulary), strict=True):
+                table[piece] = packed = self.pack(ids)
+                self.keep(piece, packed)
+        if collecting:
+            gc.enable()
+        return table
+
+    def keep(self, piece: str, ids: object) -> None:
         if len(piece) <= self.piece_chars:
             if len(self) >= self.half:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
-        return ids
 
     @classmethod
     def of_worker(cls, rank_lines: bytes, entries: int) -> Pieces:
@@ -237,7 +241,7 @@ class Decoder:
 
 def encode(
     docs: DataFrame, rank_file: str, pattern: str, *, text_column: str = "text", ids_column: str = "ids",
-    decoded_column: str | None = None, cache_entries: int = 300_000,
+    decoded_column: str | None = None, cache_entries: int = 500_000,
 ) -> DataFrame:
     """``docs`` with its text replaced by the ids of its tokens, an array of int.
 
@@ -261,8 +265,8 @@ def encode(
         decoder = Decoder(pieces.ranks) if decoded_column else None
         for batch in text_parts(batches, len(kept), size=1 << 20):
             rows = [find(text) for text in batch.column(len(kept)).to_pylist()]
-            pieces.prepare(rows)
-            packed = [b"".join(map(pieces.__getitem__, row)) for row in rows]
+            table = pieces.of(rows)
+            packed = [b"".join(map(table.__getitem__, row)) for row in rows]
             ends = np.cumsum([0, *map(len, packed)]) // 4
             values = pa.array(np.frombuffer(b"".join(packed), np.int32))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)

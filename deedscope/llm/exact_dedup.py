@@ -79,7 +79,21 @@ def exact_duplicates(
 
 
 def deduplicate(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs, id_column=id_column, text_column=text_column).filter("kept")
-    ids = kept.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(ids, F.col(id_column).eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts.
+
+    It is the row of the largest id; a NULL id is below all others. Rows equal in id and
+    normalised text are copies: one of them stays, and which of their other columns is not said.
+    A losing text that shares its id with a winner goes. No rows give no rows.
+    """
+    own = {"__id": F.col(f"`{id_column}`"), "__norm": lower_ascii(F.col(f"`{text_column}`"))}
+    rows = docs.withColumns(own).withColumn("__digest", sha256(F.col("__norm")))
+    facts = exact_duplicates(docs, id_column=id_column, text_column=text_column).filter("kept")
+    # Per id and digest how many rows stay; more than one are copies, or texts of one digest.
+    winners = cut_lineage(facts.groupBy(F.col("doc_id").alias("__win"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__n")))
+    same = F.col("__id").eqNullSafe(F.col("__win")) & (F.col("__digest") == F.col("__sha"))
+    once = rows.join(winners.filter("__n = 1"), same, "left_semi")
+    copies = winners.filter("__n > 1")
+    if not copies.isEmpty():
+        # Partial aggregates leave one row of a key in each task before anything is shuffled.
+        once = once.unionByName(rows.join(copies, same, "left_semi").dropDuplicates(["__id", "__norm"]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -122,7 +122,7 @@ def sampled_labels(labels: DataFrame, label: str, max_labelled: int) -> DataFram
 
 
 def fit_lexicon(
-    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_labelled: int = 200_000, max_terms: int = 20_000,
+    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_labelled: int = 200_000,
     least_z: float = 3.0, least_odds: float = 1.0, prior_weight: float = 500.0, least_prior: float = 0.5,
     known_documents: int = 8, drift: float = 1.0,
 ) -> Lexicon:
@@ -133,7 +133,8 @@ def fit_lexicon(
     ``least_prior``. A word in ``known_documents`` or more stands for itself, not its beginning.
 
     ``max_labelled`` bounds the labelled rows that the classifier is fitted on (their ids are
-    broadcast), ``max_terms`` the terms that it has, those of the greatest z first. Without
+    broadcast), and with them the terms: all whose z is at least ``least_z``, and all known plain
+    words that begin like one of them, which keeps their beginning's score from them. Without
     toxic rows the lexicon is empty and every text scores the smoothed share of toxic rows.
     """
     chosen = sampled_labels(labels, label, max_labelled)
@@ -142,12 +143,20 @@ def fit_lexicon(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            tokens = list(seen[0].keys() | seen[1].keys())
+            columns = [pa.array(tokens, pa.string()), *[pa.array([c[t] for t in tokens], pa.int64()) for c in seen]]
+            return pa.RecordBatch.from_arrays(columns, names=["token", "other", "toxic"])
+
         for batch in parts(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[toxic].update(terms_of(set(re.findall(TOKEN, text.lower()))))
-        tokens = list(seen[0].keys() | seen[1].keys())
-        columns = [pa.array(tokens, pa.string()), *[pa.array([c[t] for t in tokens], pa.int64()) for c in seen]]
-        yield pa.RecordBatch.from_arrays(columns, names=["token", "other", "toxic"])
+            # A task holds so many terms at a time; the sums are added up later anyway.
+            if len(seen[0]) + len(seen[1]) > 1_000_000:
+                yield counted()
+                seen = Counter(), Counter()
+        yield counted()
 
     counts = cut_lineage(
         train.mapInArrow(count, "token string, other long, toxic long")
@@ -170,8 +179,6 @@ def fit_lexicon(
         counts.withColumn("delta", delta)
         .withColumn("z", F.col("delta") / spread)
         .filter((F.col("z") >= least_z) & (F.col("delta") >= least_odds))
-        .orderBy(F.desc("z"), "token")
-        .limit(max_terms)
         .collect()
     )
     if not terms:
@@ -181,8 +188,7 @@ def fit_lexicon(
     if starts:
         own = F.col("toxic") + F.col("other") >= known_documents
         begins = [F.substring("token", 1, n).isin([x for x in starts if len(x) == n]) for n in BEGINNINGS]
-        plain = counts.filter(own & reduce(or_, begins)).orderBy(F.desc(F.col("toxic") + F.col("other")), "token")
-        for row in plain.select("token").limit(max_terms).collect():
+        for row in counts.filter(own & reduce(or_, begins)).select("token").collect():
             lexicon.scores.setdefault(row["token"], 0.0)
 
     # lambda: the positive root of sum p(w) exp(lambda s(w)) = 1 over ordinary tokens.

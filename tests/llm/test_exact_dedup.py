@@ -46,6 +46,17 @@ def test_rows_that_stay(spark):
     assert "doc" in kept.columns
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(9, "A"), (9, "B"), (10, "b"), (11, "C"), (11, "C"), (None, "D"), (None, "d"), (None, "A"), (12, None), (3, "")]
+    docs = clashing(frame(spark, [(i, t, "en", "s", 1) for i, t in rows]), "__own", "keep_id")
+    kept = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in deduplicate(docs).collect()), key=str)
+    assert kept == sorted([(9, "a"), (10, "b"), (11, "c"), (None, "d"), (12, "")], key=str)
+    odd = odd_rows()
+    stay = deduplicate(frame(spark, odd)).collect()
+    assert len(stay) == len({(t or "").lower() if (t or "").isascii() else t for _, t, *_ in odd})
+    assert deduplicate(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
 def test_salts_do_not_change_the_result(spark):
     rows = [(k, f"t{k % 5}", "en", "s", 1) for k in range(200)]
     one, many = (exact_duplicates(frame(spark, rows), salts=n).collect() for n in (1, 62))
