@@ -143,6 +143,7 @@ def test_profiles_read_the_table_once(spark, sf, name):
 
 PYTHON_ALLOWED = {
     "knn_l2_top3", "retrieve_context", "cubic_trend", "smoothed_forecast", "seasonal_errors", "lorentz_fit", "lorentz_curve", "lorentz_facts",
+    "forecast_months",
 }
 COSTLY = {"combined_forecast", "gbt_trend", "forest_auc", "forest_scores"}
 
