@@ -70,7 +70,7 @@ def test_run_and_registration(spark, folder):
     names = driver.queries()
     assert {**QUERIES, "pipeline": corpus_pipeline.run}.items() <= names.items()
     assert ORACLE_SQL.items() <= driver.oracle_sql().items()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_empty_table(spark, tmp_path):
