@@ -62,17 +62,20 @@ def lower_ascii(text: Column) -> Column:
 
 
 def with_group_facts(
-    rows: DataFrame, keys: Sequence[str], value: str, best: str, first: str, size: str, salts: int = 32
+    rows: DataFrame, keys: Sequence[str], value: str, best: str, first: str, size: str, salts: int = 32, combined: bool = True
 ) -> DataFrame:
     """Add to each row the least or greatest ``value`` of its group and the group's size.
 
     Groups are combined in three steps: within each input partition and salt, over the salts,
     and back on (keys, salt). So no task gets more than about 1/``salts`` of a hot group, and a
     hot group's rows meet nowhere. The salt is a hash of ``value``, which a rerun repeats. Keys
-    must not be NULL. ``best`` is ``min`` or ``max``.
+    must not be NULL. ``best`` is ``min`` or ``max``. With ``combined`` false, rows are dealt by key
+    and salt once, for the facts and for the join; that saves a shuffle where most groups are small.
     """
     pick = {"min": F.min, "max": F.max}[best]
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
+    if not combined:
+        salted = salted.repartition(*keys, "__salt")
     local = salted.groupBy(*keys, "__salt").agg(pick(value).alias(first), F.count("*").alias(size))
     whole = local.groupBy(*keys).agg(
         pick(first).alias(first),
