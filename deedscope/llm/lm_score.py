@@ -1,4 +1,7 @@
-"""LM scoring: a hierarchical Pitman-Yor model with seatings sampled by Gibbs.
+"""LM scoring: a hierarchical Pitman-Yor model with seatings drawn anew in sweeps.
+
+This is not a Gibbs sampler: no customer is taken out and seated again given the others. A sweep draws
+all seatings forward, with the totals that the sweep before left.
 
 ``score_documents`` has two models. The whole one, which is the default, has every word of the
 training texts as a context and as a dish: a token's context is the word right before it, and
