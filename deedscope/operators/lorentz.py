@@ -65,6 +65,8 @@ def _step(best: Column, damping: Column) -> Column:
 
 # Series of a block of the fold, times the points of its longest one.
 _BLOCK_CELLS = 1 << 20
+# Tenfold widenings of the width's bound, from ten ranges to a million.
+_WIDENINGS = 5
 
 
 def _normal(x: np.ndarray, n: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,6 +87,8 @@ def _fold(x: np.ndarray, n: np.ndarray, y: np.ndarray, iterations: int, toleranc
     ``n`` is 0 where a series has no further points. A series goes on until no slope is left along
     its residuals, as a cosine of ``tolerance`` or less. The centre stays within ``reach`` ranges of
     the points' middle and the width below ten of them; a parameter that would leave is held there.
+    A series held by the width's bound goes on from there with ten times the width, again and again
+    while that lowers its error: points that dip in the middle have the mean as their limit.
     """
     used = n > 0
     low, high = np.where(used, x, np.inf).min(axis=1), np.where(used, x, -np.inf).max(axis=1)
@@ -94,8 +98,31 @@ def _fold(x: np.ndarray, n: np.ndarray, y: np.ndarray, iterations: int, toleranc
     top = np.where(used, y, -np.inf).argmax(axis=1)
     rows = np.arange(len(x))
     best = np.stack([y[rows, top], x[rows, top], np.where(high > low, span / 6, 1.0)], axis=1)
+    start = _normal(x, n, y, best)[0]
+    error = _descend(x, n, y, best, least, most, iterations, tolerance)
+    wider = rows
+    for _ in range(_WIDENINGS):
+        wider = wider[(np.abs(best[wider, 2]) >= most[wider, 2]) & (error[wider] > 0)]
+        if not len(wider):
+            break
+        least[wider, 2] *= 10
+        most[wider, 2] *= 10
+        moved = best[wider]
+        found = _descend(x[wider], n[wider], y[wider], moved, least[wider], most[wider], iterations, tolerance)
+        gain = error[wider] - found
+        best[wider], error[wider] = moved, found
+        # A curve ten times as wide bends a hundredth as much: what is left to gain is less still.
+        wider = wider[gain > 1e-6 * found]
+    inside = (best[:, 1:] > least[:, 1:]) & (best[:, 1:] < most[:, 1:])
+    return np.column_stack([best, error, start, ~inside.all(axis=1)])
+
+
+def _descend(
+    x: np.ndarray, n: np.ndarray, y: np.ndarray, best: np.ndarray, least: np.ndarray, most: np.ndarray, iterations: int, tolerance: float
+) -> np.ndarray:
+    """Move ``best`` (height, centre, width of each series) down to the least error within bounds; returns the errors."""
     error, along, products = _normal(x, n, y, best)
-    start, damping, going = error.copy(), np.full(len(x), 0.01), rows
+    damping, going = np.full(len(x), 0.01), np.arange(len(x))
     for _ in range(iterations):
         at, pull = best[going], along[going]
         held = ((at <= least[going]) & (pull < 0)) | ((at >= most[going]) & (pull > 0))
@@ -118,8 +145,7 @@ def _fold(x: np.ndarray, n: np.ndarray, y: np.ndarray, iterations: int, toleranc
         kept = going[better]
         best[kept], error[kept], along[kept], products[kept] = trial[better], *[part[better] for part in found]
         damping[going] = np.where(better, np.maximum(damping[going] / 5, 1e-9), damping[going] * 4)
-    inside = (best[:, 1:] > least[:, 1:]) & (best[:, 1:] < most[:, 1:])
-    return np.column_stack([best, error, start, ~inside.all(axis=1)])
+    return error
 
 
 def _fit_batch(xs: pd.Series, ns: pd.Series, ys: pd.Series, iterations: int, tolerance: float, reach: float) -> np.ndarray:
@@ -150,7 +176,8 @@ def fit_lorentzian(
 
     ``start_error`` is that of the first guess: the highest point, a third of the range wide. Points
     without a peak would push its centre or width to infinity: the centre stays within ``reach``
-    ranges of their middle, the half width within ten, and ``at_bound`` tells where that decided.
+    ranges of their middle, the half width within ten, or as many more (to a million) as lower the
+    error, and ``at_bound`` tells where that decided.
     Series of more than ``max_points`` distinct x values, if there are any, are fitted in rounds.
     Points without x or y count for nothing; a key without points has no row.
     """

@@ -428,6 +428,17 @@ def test_lorentzian_of_odd_series(spark):
     assert fits["flat"]["at_bound"] and fits["flat"]["height"] == pytest.approx(7, rel=1e-2)
 
 
+def test_lorentzian_of_points_that_dip_comes_near_their_mean(spark):
+    """Without a peak the widest curve is best; one held at ten ranges errs by more than the mean does."""
+    rows = [(k, float(x), 250_000 + size * (x - 39.5) ** 2) for k, size in enumerate((1.0, 0.01, -30.0)) for x in range(80)]
+    fits = {r["k"]: r for r in lorentz.fit_lorentzian(spark.createDataFrame(rows, "k int, x double, y double"), ["k"], "x", "y").collect()}
+    for k in (0, 1):
+        y = [v for i, _, v in rows if i == k]
+        around = sum((v - sum(y) / 80) ** 2 for v in y)
+        assert fits[k]["squared_error"] <= 1.00001 * around and fits[k]["at_bound"]
+    assert fits[2]["centre"] == pytest.approx(39.5) and not fits[2]["at_bound"]
+
+
 # --- features and models ------------------------------------------------------------------------------------
 
 
