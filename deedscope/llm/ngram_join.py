@@ -3,20 +3,20 @@
 Equal sets form a class first; one set of each class goes on. A set is split over the tokens of
 its min-hash sketch: at every node of a random tree a token is chosen with probability
 1 / (branching share x sketch size), by a hash of node and token, so that two sets choose the same
-tokens among those they share. In a small node the sets are compared by sketch, in one
-fixed order of all sets: each is linked to the few most alike of those groups before it that look
-similar, and becomes a representative itself unless one of them is similar for certain. A larger node is dealt into
-small parts, whose representatives meet in turn; only while they are too many the node is split
-again, so a dense group shrinks at once and no row is repeated for it. Enough independent trees are
-run for the target recall. Every link is then checked on the whole sets.
+tokens among those they share. In a small node all sets are compared by sketch; a node that a
+further token hardly splits is dealt into parts, and what the parts leave apart meets in blocks,
+any two sets of it. Enough independent trees are run for the target recall. Those that look similar
+make components, which keep few links of many: any two sets that meet and look similar are in one.
+In a component every two sets are then compared once, on the whole sets, and only each set's number
+of links and its group leave the task.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +32,6 @@ from deedscope.plans.sizing import broadcast_if_small
 _LEAST = -(2**63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = 128
-# Links to a group that are checked on the whole sets: the most alike by sketch may not be similar.
-LINKS_EACH = 4
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
@@ -220,146 +218,155 @@ def _agreement(s: np.ndarray) -> np.ndarray:
     return found
 
 
-def _led(agree: np.ndarray, least: int, sure: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Representatives among the members of a part, in their order, and (member, representative) links.
+def _forest(alike: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Groups that begin as ``group`` joined where members are alike, and a link for each joining."""
+    group, links = group.copy(), []
+    for i in np.flatnonzero(np.tril(alike, -1).any(axis=1)):
+        near = np.flatnonzero(alike[i, :i])
+        met, at = np.unique(group[near], return_index=True)
+        other = met != group[i]
+        if other.any():
+            links += [(int(i), int(near[k])) for k in at[other]]
+            group[np.isin(group, met[other])] = group[i]
+    return group, links
 
-    A member is linked to the few most alike of each group of linked ones before it, of those that
-    agree in ``least`` places; it is a representative itself unless it agrees with one in ``sure`` places.
-    """
-    linked = np.tril(agree >= least, -1)
-    links: set[tuple[int, int]] = set()
-    led, group = np.zeros(len(agree), bool), np.arange(len(agree))
-    for i in np.flatnonzero(linked.any(axis=1)):
-        near = np.flatnonzero(linked[i])
-        leaders = near[~led[near]]
-        led[i] = bool((agree[i, leaders] >= sure).any())
-        met: Counter = Counter()
-        for j in near[np.argsort(-agree[i, near], kind="stable")]:
-            met[group[j]] += 1
-            if met[group[j]] <= LINKS_EACH:
-                links.add((int(i), int(j)))
-        group[np.isin(group, list(met))] = i
-        group[i] = i
-    return np.flatnonzero(~led).tolist(), sorted(links)
-
-
-def _lead(rows: DataFrame, least: int, sure: int) -> DataFrame:
-    """Of each part (path, chunk) its links (u to representative v), and its representatives (v is NULL).
-
-    Members come in the order of a hash of their own, the same in all paths, so that a group of
-    similar sets has the same representatives wherever it meets.
+
+def _met(rows: DataFrame, least: int) -> DataFrame:
+    """Of each part (path, chunk) links (u, v) that join its sets, alike in ``least`` places, to groups.
+
+    Rows have path, chunk, node, brief and root, the group that a set is known to be of.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _groups(batches, 2):
-            path, nodes = (table.column(c).to_numpy() for c in ("path", "node"))
-            several = table.column("chunks").to_numpy() > 1
+            nodes, roots = (table.column(c).to_numpy() for c in ("node", "root"))
             briefs = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            u, v, none = [], [], []
+            u, v = [], []
             for a, b in zip(starts[:-1], starts[1:]):
-                if b - a == 1:
-                    leaders, links = [0], []
-                else:
-                    leaders, links = _led(_agreement(briefs[a:b]), least, sure)
-                u += [a + i for i, _ in links]
-                v += [a + j for _, j in links]
-                # A node that is one part is done with.
-                none += [a + i for i in leaders] if several[a] else []
-            at = np.array([*u, *none], np.int64)
-            to = pa.array([*nodes[np.array(v, np.int64)].tolist(), *[None] * len(none)], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(path[at]), pa.array(nodes[at]), to], names=["path", "u", "v"])
-
-    dealt = rows.select("path", "chunk", "chunks", "node", "brief", F.xxhash64("node", F.lit(7)).alias("turn"))
-    dealt = dealt.repartition("path", "chunk").sortWithinPartitions("path", "chunk", "turn", "node")
-    return dealt.mapInArrow(run, "path long, u long, v long")
-
-
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows (path, node, blocks) dealt to the pairs of their path's blocks, so that any two meet."""
+                group = np.unique(roots[a:b], return_inverse=True)[1].ravel()
+                if group.max() > 0:
+                    links = _forest(_agreement(briefs[a:b]) >= least, group)[1]
+                    u += [a + i for i, _ in links]
+                    v += [a + j for _, j in links]
+            at, to = np.array(u, np.int64), np.array(v, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[to])], names=["u", "v"])
+
+    dealt = rows.select("path", "chunk", "node", "root", "brief").repartition("path", "chunk")
+    return dealt.sortWithinPartitions("path", "chunk", "node").mapInArrow(run, "u long, v long").distinct()
+
+
+def _in_blocks(rows: DataFrame, part: str) -> DataFrame:
+    """Rows (node, blocks) dealt to the pairs of their ``part``'s blocks: any two meet in the ``chunk`` of their own blocks."""
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
-    each = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    each = rows.withColumn("own", own).withColumn("other", every)
     pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    return each.select("path", "node", pair.alias("chunk"), F.lit(1).alias("chunks"))
+    return each.select(part, pair.alias("chunk"), *[c for c in rows.columns if c != part], "own").drop("other")
 
 
 def candidate_edges(sets: DataFrame, similarity: float, recall: float, share: float, bucket: int, depth: int, seed: int) -> DataFrame:
-    """Links (u, v) of sets to representatives that the trees find similar by sketch."""
-    runs = runs_for(recall, similarity, share)
-    # A sketch that is a little above the similarity leaves few doubts.
-    least, sure = least_alike(recall, similarity, share), math.ceil((similarity + (1 - similarity) / 5) * SKETCH)
-    rows, found, unsplit = _children(sets, share, [seed * 1_000 + r for r in range(runs)]), None, None
+    """Links (u, v) that join to components what the trees bring together and is similar by sketch."""
+    runs, least = runs_for(recall, similarity, share), least_alike(recall, similarity, share)
+    briefs = sets.select("node", "brief")
+    rows, small, dense = _children(sets, share, [seed * 1_000 + r for r in range(runs)]), [], []
     for level in range(1, depth + 1):
         sized = with_group_facts(rows, ["path"], "node", "min", "first", "members", combined=False).filter("members > 1")
-        chunks = F.ceil(F.col("members") / bucket)
-        dealt = sized.select("path", "node", "parent", "members", chunks.alias("chunks")).withColumn(
-            "chunk", F.pmod(F.xxhash64("node", F.lit(level)), F.col("chunks"))
-        )
-        dealt = cut_lineage(dealt)
-        led = cut_lineage(_lead(dealt.join(sets.select("node", "brief"), "node"), least, sure))
-        edges = led.filter("v IS NOT NULL").select("u", "v").distinct()
-        found = edges if found is None else found.union(edges)
-        left = led.filter("v IS NULL").select("path", F.col("u").alias("node"))
-        if left.isEmpty():
+        # A token of near copies is in nearly all of them, one of a shared passage in fewer.
+        unsplit = (F.col("members") / F.col("parent") >= 0.75) | F.lit(level >= depth)
+        way = F.when(F.col("members") <= bucket, "small").when(unsplit, "dense").otherwise("split")
+        sized = cut_lineage(sized.select("path", "node", "parent", "members", "first", way.alias("way")))
+        ways = {r["way"] for r in sized.select("way").distinct().collect()}
+        if "small" in ways:
+            small.append(sized.filter("way = 'small'").select("path", "node", F.lit(0).cast("long").alias("chunk")))
+        if "dense" in ways:
+            dense.append(sized.filter("way = 'dense'").select("path", "node", "members", "first"))
+        if "split" not in ways:
             break
-        before = dealt.filter("chunks > 1").groupBy("path").agg(F.max("members").alias("before"), F.max("parent").alias("parent"))
-        leaders = left.groupBy("path").agg(F.count("*").alias("members")).join(before, "path")
-        # Representatives that fit a part, or that shrank to half, meet again as they are. Those that
-        # a further token hardly splits, or that the last level leaves, wait for the end.
-        again = (F.col("members") <= bucket) | (2 * F.col("members") <= F.col("before")) & F.lit(level < depth)
-        dense = (2 * F.col("before") >= F.col("parent")) | F.lit(level >= depth)
-        way = F.when(again, "again").when(dense, "blocks").otherwise("split")
-        left = cut_lineage(left.join(leaders.select("path", "members", "parent", way.alias("way")), "path"))
-        waiting = left.filter("way = 'blocks'").select("node")
-        unsplit = waiting if unsplit is None else unsplit.union(waiting)
-        split = left.filter("way = 'split'").join(sets.select("node", "sketch"), "node")
-        rows = left.filter("way = 'again'").select("path", "node", "parent").union(_children(split, share))
-        if level == depth:
-            # Those that fit a part by now.
-            last = left.filter("way = 'again'").select("path", "node", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"))
-            met = _lead(last.join(sets.select("node", "brief"), "node"), least, sure)
-            found = found.union(cut_lineage(met.filter("v IS NOT NULL").select("u", "v").distinct()))
-    found = cut_lineage(found.distinct())
-    if unsplit is None or (unsplit := cut_lineage(unsplit.distinct())).isEmpty():
+        rows = _children(sized.filter("way = 'split'").join(sets.select("node", "sketch"), "node"), share)
+    if not small and not dense:
+        return sets.sparkSession.createDataFrame([], "u long, v long")
+    if dense:
+        # Parts of a dense node hang together by its first set, if that is of the same group.
+        dense = functools.reduce(DataFrame.union, dense)
+        chunks = F.ceil(F.col("members") / bucket)
+        dealt = dense.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), chunks))
+        hung = dealt.select("path", F.col("first").alias("node"), "chunk").union(dealt.select("path", "node", "chunk")).distinct()
+        small.append(hung)
+    rows = functools.reduce(DataFrame.union, small).withColumn("root", F.col("node"))
+    found = cut_lineage(_met(rows.join(briefs, "node"), least))
+    if not isinstance(dense, DataFrame):
         return found
-    # A dense group meets in many paths. The links found there tell which representatives are of one
-    # group; any two of those are compared once.
-    of = unsplit.join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("path"))
-    sized = cut_lineage(with_group_facts(of, ["path"], "node", "min", "first", "members", combined=False).filter("members > 1"))
-    blocks = sized.select("path", "node", F.ceil(F.col("members") / max(1, bucket // 2)).alias("blocks"))
-    met = _lead(_in_blocks(blocks).join(sets.select("node", "brief"), "node"), least, sure)
-    return cut_lineage(found.union(met.filter("v IS NOT NULL").select("u", "v")).distinct())
+    # What is of one group by now needs no further link; any two of a node that are not meet in a block.
+    known = dense.select("path", "node", "members").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = known.groupBy("path").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart").select("path")
+    left = cut_lineage(known.join(apart, "path", "left_semi"))
+    blocks = left.select("path", "node", "root", F.ceil(F.col("members") / max(1, bucket // 2)).alias("blocks"))
+    return cut_lineage(found.union(_met(_in_blocks(blocks, "path").join(briefs, "node"), least)))
+
 
+def _compared(members: DataFrame, tokens: DataFrame, similarity: tuple[int, int], least: int, part: int = 256) -> DataFrame:
+    """Every two sets of a component compared once: ``node``, ``links``, ``root`` of those with a link.
 
-def _checked(edges: DataFrame, tokens: DataFrame, similarity: tuple[int, int], part: int = 256) -> DataFrame:
-    """The links whose whole sets are similar. A representative's members are dealt to parts of ``part``."""
+    ``members`` has root (the component), node, size, copies and brief. A component is dealt to
+    blocks of about ``part`` sets, of at most 4,000,000 tokens or so; two blocks meet in a task.
+    ``links`` counts the rows of the similar sets; ``root`` is the least set of those linked by chains.
+    """
     p, q = similarity  # similar at p / q or more
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, of = None, None
-        for batch in batches:
-            names = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            u, v = [], []
-            for (leader, node, is_leader), held in zip(names, batch.column(4)):
-                mine = np.frombuffer(held.as_buffer(), np.uint64)
-                if is_leader:
-                    base, of = mine, leader
+    def judged(own: np.ndarray, sizes: np.ndarray, held: list[np.ndarray], briefs: np.ndarray) -> np.ndarray:
+        """Which pairs are similar: of one block, or, where two meet, of different ones."""
+        alike = np.tril(_agreement(briefs) >= least, -1)
+        if own.min() < own.max():
+            alike &= own[:, None] != own[None, :]
+        for i in np.flatnonzero(alike.any(axis=1)):
+            mine, near = held[i], np.flatnonzero(alike[i])
+            # Sizes alone rule some out; the rest go through in slices of bounded length.
+            near_sizes = sizes[near]
+            possible = np.minimum(near_sizes, len(mine)) * (p + q) >= p * (near_sizes + len(mine))
+            alike[i, near[~possible]] = False
+            near = near[possible]
+            ends = np.cumsum(sizes[near])
+            for some in np.split(near, np.searchsorted(ends, np.arange(1 << 20, ends[-1], 1 << 20)) if len(ends) else []):
+                if not len(some):
                     continue
-                assert of == leader
-                at = np.searchsorted(base, mine)
-                shared = int((base[np.minimum(at, len(base) - 1)] == mine).sum())
+                others = np.concatenate([held[j] for j in some])
+                at = np.minimum(np.searchsorted(mine, others), len(mine) - 1)
+                shared = np.add.reduceat(mine[at] == others, np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
                 # I / (x + y - I) >= p / q, in whole numbers.
-                if shared * (p + q) >= p * (len(base) + len(mine)):
-                    u.append(node)
-                    v.append(leader)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                alike[i, some] = shared * (p + q) >= p * (sizes[some] + len(mine))
+        return alike
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _groups(batches, 2):
+            nodes, copies, own, blocks = (table.column(c).to_numpy() for c in ("node", "copies", "own", "blocks"))
+            briefs = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
+            sizes = np.array([len(x) for x in held], np.int64)
+            out = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                alike = judged(own[a:b], sizes[a:b], held[a:b], briefs[a:b])
+                both = alike | alike.T
+                links, group = both @ copies[a:b], _forest(alike, np.arange(b - a))[0]
+                for i in np.flatnonzero(links):
+                    out.append((nodes[a + i], links[i], nodes[a:b][group == group[i]].min(), blocks[a + i] == 1))
+            columns = list(zip(*out)) if out else [[]] * 4
+            types = [pa.int64()] * 3 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], names=["node", "links", "root", "whole"]
+            )
 
-    parts_of = edges.groupBy("v").agg(F.ceil(F.count("*") / part).alias("parts"))
-    dealt = cut_lineage(edges.join(parts_of, "v").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts"))).drop("parts"))
-    members = dealt.select("v", "part", F.col("u").alias("node"), F.lit(False).alias("is_leader"))
-    leaders = dealt.select("v", "part", F.col("v").alias("node"), F.lit(True).alias("is_leader")).distinct()
-    rows = members.union(leaders).join(tokens, "node").select("v", "part", "node", "is_leader", "tokens")
-    rows = rows.repartition("v", "part").sortWithinPartitions("v", "part", F.desc("is_leader"))
-    return rows.mapInArrow(run, "u long, v long")
+    facts = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / 4_000_000)).alias("blocks"))
+    dealt = _in_blocks(salted_left_join(members.drop("size"), facts, "root", "node"), "root").join(tokens, "node")
+    dealt = dealt.select("root", "chunk", "node", "copies", "own", "blocks", "brief", "tokens")
+    dealt = dealt.repartition("root", "chunk").sortWithinPartitions("root", "chunk", "node")
+    found = cut_lineage(dealt.mapInArrow(run, "node long, links long, root long, whole boolean"))
+    whole = found.filter("whole").select("node", "links", "root")
+    parted = found.filter("NOT whole")
+    if parted.isEmpty():
+        return whole
+    linked = parted.groupBy("node").agg(F.sum("links").alias("links"))
+    # The least set of a part's group stands for it: links to it join the parts.
+    return whole.union(linked.join(components(parted.select(F.col("node").alias("u"), F.col("root").alias("v"))), "node"))
 
 
 def _grouped_rows(
@@ -375,14 +382,10 @@ def _grouped_rows(
     sets = cut_lineage(firsts.join(sketches, ["node", "doc"]))
     p, q = similarity
     edges = candidate_edges(sets, p / q, recall, share, bucket, depth, seed)
-    ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = cut_lineage(ends.join(sets.select("node", "doc", "copies"), "node"))
-    tokens = cut_lineage(_tokens_of(docs, wanted, width, id_column, text_column, max_broadcast_rows))
-    links = cut_lineage(_checked(edges, tokens, similarity))
-    both = links.union(links.select("v", "u"))
-    weights = wanted.select(F.col("node").alias("v"), "copies")
-    linked = both.join(weights, "v").groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("links"))
-    facts = linked.join(components(links), "node", "left")
+    facts = sets.select("node", "doc", "size", "copies", "brief")
+    wanted = cut_lineage(components(edges).join(facts, "node"))
+    tokens = _tokens_of(docs, wanted, width, id_column, text_column, max_broadcast_rows)
+    facts = _compared(wanted.drop("doc"), tokens, similarity, least_alike(recall, p / q, share))
     columns = grouped.select("doc", "digest", "node", "size", "class_doc", "copies")
     return cut_lineage(salted_left_join(columns, facts, "node", "doc").withColumn("root", F.coalesce("root", "node")))
 
@@ -396,12 +399,10 @@ def near_duplicates(
 
     Returns one row per row of ``docs``: ``doc_id``; ``class_id``, the least id of the documents
     with the same set; ``class_size``; ``n_links``, the number of other documents it was found
-    similar to, copies and representatives; ``group_id``, the least id of those linked by a chain of
-    similar pairs. Every link is checked on the whole sets; a pair meets with probability
-    ``recall`` at least. Links run between sets and representatives: two members of a group that
-    share one are not compared with each other, so a group's rows and links grow with its members,
-    not with their pairs. Only of a group of more than ``bucket`` sets that look alike without being
-    similar, representatives are compared pair by pair, in blocks.
+    similar to, copies too; ``group_id``, the least id of those linked by a chain of similar pairs.
+    A pair meets with probability ``recall`` at least, and no pair that meets is left out: every two
+    sets of a component are compared on the whole sets. A component's rows grow with its members, or,
+    above 256 of them, with its pairs of blocks; its comparisons grow with its pairs.
 
     Texts of fewer than ``width`` words have one run, all their words; texts without a word, NULL
     ones too, are similar to nothing. NULL ids are one id below all others in ``class_id`` and

@@ -99,6 +99,24 @@ def test_a_large_group_of_near_copies(spark, options):
     assert {r["group_id"] for r in got} == {0} and min(r["n_links"] for r in got) > 0
 
 
+@pytest.mark.parametrize("options", [{}, {"bucket": 2, "max_broadcast_rows": 0}, {"bucket": 5, "depth": 2}, {"bucket": 5}])
+def test_no_link_is_left_out(spark, options):
+    """All links of all pairs, however small the parts: of near copies in groups of up to forty, and of chains."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(500)]
+    chain = [(900 + k, " ".join(words[6 * k : 6 * k + 100]), "en", "s", 1) for k in range(20)]
+    rows = near_copies(3, groups=4, singles=5) + large_group(40, edits=2) + chain + [(950, chain[3][1], "en", "s", 1)]
+    got = sorted((tuple(r) for r in near_duplicates(frame(spark, rows), **options).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_components_of_more_than_a_block(spark):
+    """Links of a group that is dealt to several blocks: each pair is counted once."""
+    rows = large_group(300)
+    links = {r["doc_id"]: r["n_links"] for r in near_duplicates(frame(spark, rows)).collect()}
+    assert links == {r[0]: r[3] for r in brute(rows)}
+
+
 def test_rows_of_a_group_grow_in_proportion(spark):
     from deedscope.llm import ngram_join as nj
 
