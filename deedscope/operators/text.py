@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deedscope.functions.scalars import _let, word_chunks
-from deedscope.plans.sizing import has_at_most
+from deedscope.plans.lineage import cut_lineage
+from deedscope.plans.sizing import broadcast_if_small, has_at_most
 
 # A small general lexicon of review words and their polarity.
 LEXICON = {
@@ -84,24 +86,56 @@ def polarity_modified(
     return F.when(column.isNotNull(), _let(found, mean))
 
 
+def texts_with_word(df: DataFrame, *, keys: list[str], text: str) -> DataFrame:
+    """``word`` and in how many texts, as told apart by ``keys``, it is found: ``texts``.
+
+    A text's words are made distinct in its own row and counted before the shuffle. Only texts
+    whose keys another row has too are made distinct across rows.
+    """
+    tokens = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))
+    words = df.select(*keys, F.explode(tokens).alias("word")).filter("word <> ''")
+    again = df.groupBy(*keys).agg(F.count("*").alias("__rows")).filter("__rows > 1").select(*[F.col(k).alias(f"__{k}") for k in keys])
+    again = cut_lineage(again)
+    if again.isEmpty():
+        return words.groupBy("word").agg(F.count("*").alias("texts"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    side = broadcast_if_small(again)
+    once = words.join(side, same, "left_anti").select("word")
+    more = words.join(side, same, "left_semi").distinct().select("word")
+    return once.union(more).groupBy("word").agg(F.count("*").alias("texts"))
+
+
 def polarity_join(
-    df: DataFrame, lexicon: DataFrame, *, keys: list[str], text: str, max_broadcast_rows: int = 200_000
+    df: DataFrame, lexicon: DataFrame, *, keys: list[str], text: str, max_broadcast_rows: int = 200_000, frequency: str | None = None
 ) -> DataFrame:
     """The polarity of each text with a lexicon of any length: rows of ``word`` and ``weight``.
 
     A lexicon of up to ``max_broadcast_rows`` words, as counted, is broadcast and meets the words
-    before anything is shuffled; for a longer one words are counted per text first. ``keys`` tell
-    the texts apart; NULL texts score NULL.
+    before anything is shuffled. Of a longer one the words that come first by the column
+    ``frequency``, if it is named, are broadcast; the words that are none of these are counted per
+    text and meet the rest of the lexicon by shuffle. ``keys`` tell the texts apart; NULL texts score NULL.
     """
     tokens = F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")
     words, listed = df.select(*keys, tokens).filter("word <> ''"), lexicon.select("word", "weight")
+
+    def summed(known: DataFrame, n: Column) -> DataFrame:
+        own = [F.col(k).alias(f"__{k}") for k in keys]
+        return known.groupBy(*own).agg(F.sum(n * F.col("weight")).alias("__sum"), F.sum(n).alias("__n"))
+
     if has_at_most(listed, max_broadcast_rows):
-        known = words.join(F.broadcast(listed), "word").withColumn("n", F.lit(1))
+        scored = summed(words.join(F.broadcast(listed), "word"), F.lit(1))
     else:
-        known = words.groupBy(*keys, "word").agg(F.count("*").alias("n")).join(listed, "word")
-    scored = known.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
-        (F.sum(F.col("n") * F.col("weight")) / F.sum("n")).alias("__mean")
-    )
+        rare, parts = words, []
+        if frequency:
+            first = cut_lineage(lexicon.orderBy(F.desc(frequency), "word").limit(max_broadcast_rows).select("word", "weight"))
+            parts.append(summed(words.join(F.broadcast(first), "word"), F.lit(1)))
+            rare = words.join(F.broadcast(first), "word", "left_anti")
+        counted = rare.groupBy(*keys, "word").agg(F.count("*").alias("n"))
+        parts.append(summed(counted.join(listed, "word"), F.col("n")))
+        scored = functools.reduce(DataFrame.union, parts)
+    found = scored.groupBy(*[f"__{k}" for k in keys]).agg((F.sum("__sum") / F.sum("__n")).alias("__mean"))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    score = F.when(F.col(text).isNotNull(), F.coalesce("__mean", F.lit(0.0)))
-    return df.join(scored, same, "left").select(*keys, score.alias("polarity"))
+    # The texts themselves stay out of the join.
+    rows = df.select(*keys, F.col(text).isNotNull().alias("__there"))
+    score = F.when(F.col("__there"), F.coalesce("__mean", F.lit(0.0)))
+    return rows.join(found, same, "left").select(*keys, score.alias("polarity"))

@@ -42,3 +42,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def rewritten(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet to a fresh path of the shared folder and continue from the files.
+
+    For rounds that join a table with itself: a checkpoint keeps the estimated size of its plan, a
+    product over the joins, whose digits double at each and fill the driver after a few rounds.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -127,9 +127,8 @@ def polarity_modified(spark, sf):
 def polarity_lexicon(spark, sf):
     """Texts scored with a lexicon of thousands of words, taken from the documents themselves."""
     docs = read(spark, sf, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).distinct()
-    seen = words.filter("word <> ''").groupBy("word").agg(F.count("*").alias("docs")).filter("docs >= 3")
-    lexicon = seen.select("word", ((F.col("docs") % 21 - 10) / 10).alias("weight"))
+    seen = text.texts_with_word(docs, keys=["doc_id"], text="text").withColumnRenamed("texts", "docs").filter("docs >= 3")
+    lexicon = seen.select("word", ((F.col("docs") % 21 - 10) / 10).alias("weight"), "docs")
     # Counted before it is joined: kept once.
-    scored = text.polarity_join(docs, cut_lineage(lexicon), keys=["doc_id"], text="text")
+    scored = text.polarity_join(docs, cut_lineage(lexicon), keys=["doc_id"], text="text", frequency="docs")
     return scored.select("doc_id", (rounded("polarity", 4) + 0.0).alias("polarity"))

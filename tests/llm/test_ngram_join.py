@@ -183,3 +183,9 @@ def test_components(spark):
     got = components(spark.createDataFrame(pairs, "u long, v long")).collect()
     assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_rounds_of_components_keep_no_growing_estimate(spark):
+    """The plan's estimated size is that of files; over checkpoints it was a number of very many digits."""
+    found = components(spark.createDataFrame([(k, k + 1) for k in range(60)], "u long, v long"))
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 100

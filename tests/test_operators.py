@@ -681,6 +681,23 @@ def test_polarity_join_with_and_without_broadcast(spark, bound):
     assert found == {1: pytest.approx(0.7 / 3), 2: 0.0, 3: None, None: 0.8}
 
 
+def test_polarity_join_broadcasts_frequent_words_and_no_text_is_shuffled(spark):
+    rows = [(1, "good bad good x"), (2, "x"), (3, None), (None, "great bad"), (4, "Good"), (4, "awful good")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    seen = text.texts_with_word(df, keys=["k"], text="t")
+    assert {r["word"]: r["texts"] for r in seen.collect()} == {"good": 2, "bad": 2, "x": 2, "great": 1, "awful": 1}
+    lexicon = spark.createDataFrame([(w, x, i) for i, (w, x) in enumerate(text.LEXICON.items())], "word string, weight double, n int")
+    options = {"keys": ["k"], "text": "t"}
+    whole = sorted(text.polarity_join(df, lexicon, **options).collect(), key=str)
+    parted = text.polarity_join(df, lexicon, max_broadcast_rows=12, frequency="n", **options)
+    got = sorted(parted.collect(), key=str)
+    assert [r["k"] for r in got] == [r["k"] for r in whole]
+    assert [r["polarity"] for r in got] == [x if x is None else pytest.approx(x) for x in (r["polarity"] for r in whole)]
+    shuffled = [line for line in parted._jdf.queryExecution().toString().splitlines() if "Exchange hashpartitioning(t" in line]
+    joined = [n for n in parted._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in n and "isnotnull(t" in n]
+    assert not shuffled and joined
+
+
 # --- retrieval and text ----------------------------------------------------------------------------------------
 
 
