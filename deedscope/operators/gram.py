@@ -139,12 +139,23 @@ def places_in(quantiles: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.clip(places, 0, 2 * (quantiles.shape[1] - 1))
 
 
-def rank_correlations(df: DataFrame, columns: Sequence[str], *, levels: int = 1000) -> np.ndarray:
-    """Spearman's correlation of every two columns over the complete rows, with ranks to 1 in ``levels``."""
-    complete, n = doubles(df, columns), len(columns)
+def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles, in rows without NULL or NaN."""
+    complete = doubles(df, columns)
     for c in complete.columns:
         complete = complete.filter(F.col(c).isNotNull() & ~F.isnan(c))
-    grid = quantile_grid(complete, complete.columns, levels)
+    return complete
+
+
+def rank_correlations(
+    df: DataFrame, columns: Sequence[str], *, levels: int = 1000, grid: tuple[np.ndarray, np.ndarray] | None = None
+) -> np.ndarray:
+    """Spearman's correlation of every two columns over the complete rows, with ranks to 1 in ``levels``.
+
+    ``grid`` is the :func:`quantile_grid` of the complete rows, if it is known already.
+    """
+    complete, n = complete_rows(df, columns), len(columns)
+    grid = grid or quantile_grid(complete, complete.columns, levels)
     if grid is None:
         return np.full((n, n), np.nan)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from deedscope.operators.cleaning import fill_means
 from deedscope.operators.features import Scaling, categories, label_positions, widths_of
-from deedscope.operators.gram import doubles, matrix_of, means_of, places_in, quantile_grid, sum_of_tasks
+from deedscope.operators.gram import complete_rows, matrix_of, means_of, places_in, quantile_grid, sum_of_tasks
 from deedscope.operators.profiling import value_counts
 from deedscope.plans.lineage import cut_lineage
 from deedscope.plans.sizing import broadcast_if_small
@@ -229,20 +229,22 @@ def impute_table(
     return done.select(*df.columns)
 
 
-def draw_rows(df: DataFrame, columns: Sequence[str], n: int, *, k: int | None = None, seed: int = 42, levels: int = 1000) -> DataFrame:
+def draw_rows(
+    df: DataFrame, columns: Sequence[str], n: int, *, k: int | None = None, seed: int = 42, levels: int = 1000,
+    grid: tuple[np.ndarray, np.ndarray] | None = None,
+) -> DataFrame:
     """``n`` synthetic rows with the columns' own distributions and their rank correlations.
 
     Each value of the complete rows becomes a normal score by its place in its column. The scores'
     correlations, from ``k`` components or by default all, are those of the drawn scores, which
     the inverse of the column's distribution maps back: no value leaves its column's range. The
     distribution is known at ``levels`` quantiles; between them values are interpolated, but for
-    columns with no more distinct values than that. Returns id and the columns as double.
+    columns with no more distinct values than that. ``grid`` is the :func:`quantile_grid` of the
+    complete rows at ``levels``, if it is known already. Returns id and the columns as double.
     """
     columns, size = list(columns), len(columns)
-    complete = doubles(df, columns)
-    for c in complete.columns:
-        complete = complete.filter(F.col(c).isNotNull() & ~F.isnan(c))
-    grid = quantile_grid(complete, complete.columns, levels)
+    complete = complete_rows(df, columns)
+    grid = grid or quantile_grid(complete, complete.columns, levels)
     if grid is None:
         raise ValueError("no complete row to draw from")
     quantiles, distinct = grid

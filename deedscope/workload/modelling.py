@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from deedscope.functions.scalars import hashed_unit
 from deedscope.operators import cleaning, features, impute, models, profiling, reports, sampling
-from deedscope.operators.gram import rank_correlations
+from deedscope.operators.gram import complete_rows, quantile_grid, rank_correlations
 from deedscope.plans.lineage import cut_lineage
 from deedscope.workload.ledger import _OWNER_RULE, owner_labelled
 from deedscope.workload.profiles import MEASURES, NUMBERS
@@ -293,17 +293,19 @@ def latent_facts(spark, sf):
     """Drawn beside given rows: values inside the column's range, its quartiles passed by shares
     within 0.02, rank correlations within 0.08."""
     rows = read(spark, sf, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in NUMBERS])
-    drawn = cut_lineage(impute.draw_rows(rows, NUMBERS, rows.count()))
-    apart = abs(rank_correlations(rows, NUMBERS) - rank_correlations(drawn, NUMBERS)).max(axis=1)
-
-    def facts(df, quartiles=None):
-        parts = [F.struct(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"),
-            F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias("q")).alias(c) for c in NUMBERS]
-        shares = [F.avg((F.col(c) <= q).cast("int")).alias(f"{c}_{i}") for c, qs in (quartiles or {}).items() for i, q in enumerate(qs)]
+    # The quantiles of the given rows serve the drawing, the ranks and the quartiles.
+    complete = complete_rows(rows, NUMBERS)
+    grid = quantile_grid(complete, complete.columns, 1000)
+    drawn = cut_lineage(impute.draw_rows(rows, NUMBERS, rows.count(), grid=grid))
+    apart = abs(rank_correlations(rows, NUMBERS, grid=grid) - rank_correlations(drawn, NUMBERS)).max(axis=1)
+    quartiles = {c: [float(grid[0][i][q]) for q in (250, 500, 750)] for i, c in enumerate(NUMBERS)}
+
+    def facts(df):
+        parts = [F.struct(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in NUMBERS]
+        shares = [F.avg((F.col(c) <= q).cast("int")).alias(f"{c}_{i}") for c, qs in quartiles.items() for i, q in enumerate(qs)]
         return df.agg(*parts, *shares).first()
 
-    quartiles = {c: list(facts(rows)[c].q) for c in NUMBERS}
-    given, made = facts(rows, quartiles), facts(drawn, quartiles)
+    given, made = facts(rows), facts(drawn)
     found = [
         (
             c, made[c].n, given[c].low + 0.0, given[c].high, given[c].low <= made[c].low and made[c].high <= given[c].high,

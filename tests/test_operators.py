@@ -439,6 +439,20 @@ def test_lorentzian_of_points_that_dip_comes_near_their_mean(spark):
     assert fits[2]["centre"] == pytest.approx(39.5) and not fits[2]["at_bound"]
 
 
+def test_known_quantiles_serve_drawing_and_ranks(spark):
+    from deedscope.operators.gram import complete_rows, quantile_grid, rank_correlations
+
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(a + b), None if i % 50 == 0 else float(i % 7)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double").coalesce(1)
+    complete = complete_rows(df, ["a", "b", "c"])
+    grid = quantile_grid(complete, complete.columns, 1000)
+    assert grid[0].shape == (3, 1001)
+    drawn = [impute.draw_rows(df, ["a", "b", "c"], 200, **o).orderBy("id").collect() for o in ({}, {"grid": grid})]
+    assert drawn[0] == drawn[1]
+    assert rank_correlations(df, ["a", "b", "c"], grid=grid) == pytest.approx(rank_correlations(df, ["a", "b", "c"]))
+
+
 # --- features and models ------------------------------------------------------------------------------------
 
 
