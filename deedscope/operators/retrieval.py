@@ -13,28 +13,58 @@ from pyspark.sql import functions as F
 from deedscope.plans.sizing import has_at_most
 from deedscope.plans.skew import spread_salt
 
-_BLOCK_VALUES = 4_000_000
+# Distances held at a time: few enough to stay near the processor.
+_BLOCK_VALUES = 1 << 18
 
 
 def _closest(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int):
     """Candidates (query position, id, distance): the ``k`` nearest of each query, ties by id.
 
-    A matrix product gives all distances with a small rounding error. Rows within that error of
-    the k-th smallest are measured again by differences, so the choice is exact.
+    A matrix product gives all distances with a small rounding error. The rows go by in blocks: the
+    k-th smallest distance of a query so far bounds what a further block can add, so nearly all of it
+    falls out by one comparison. Rows within the error of the bound are measured again by
+    differences, so the choice is exact.
     """
-    squares = np.einsum("ij,ij->i", vectors, vectors)
-    chunk = max(1, _BLOCK_VALUES // max(len(vectors), 1))
+    squares, q_squares = np.einsum("ij,ij->i", vectors, vectors), np.einsum("ij,ij->i", queries, queries)
+    slack = 1e-10 * (squares.max() + q_squares) if len(vectors) else q_squares
+    rows = min(len(vectors), 1024)
+    step = max(1, _BLOCK_VALUES // max(rows, 1))
     found = []
-    for start in range(0, len(queries), chunk):
-        q = queries[start : start + chunk]
-        q_squares = np.einsum("ij,ij->i", q, q)
-        rough = squares[:, None] + q_squares[None, :] - 2.0 * vectors @ q.T
-        kth = np.partition(rough, min(k, len(vectors)) - 1, axis=0)[min(k, len(vectors)) - 1]
-        slack = 1e-10 * (squares.max() + q_squares)
-        rows, cols = np.nonzero(rough <= kth + slack)
-        exact = ((vectors[rows] - q[cols]) ** 2).sum(axis=1)
-        found.append(pd.DataFrame({"q": cols + start, "id": ids[rows], "distance": exact}))
-    return _keep(pd.concat(found), k)
+    for start in range(0, len(queries), step):
+        q = queries[start : start + step]
+        scaled = -2.0 * q
+        bound = np.full((len(q), 1), np.inf)
+        nearest = np.full((len(q), k), np.inf)
+        held, many = [], 0
+        for at in range(0, len(vectors), rows):
+            # Without the query's own square, which is the same in all of its distances.
+            rough = scaled @ vectors[at : at + rows].T
+            rough += squares[at : at + rows]
+            if at == 0:
+                first = np.partition(rough, min(k, rows) - 1, axis=1)[:, :k]
+                nearest[:, : first.shape[1]] = first
+                bound = nearest.max(axis=1, keepdims=True) + slack[start : start + step, None]
+            col, row = np.nonzero(rough <= bound)
+            if not len(col):
+                continue
+            if at:
+                # The k least of a query's new distances beside its nearest so far.
+                value = rough[col, row]
+                order = np.lexsort((value, col))
+                place = np.arange(len(col)) - np.searchsorted(col, col[order])
+                some = order[place < k]
+                fresh = np.full((len(q), k), np.inf)
+                fresh[col[some], place[place < k]] = value[some]
+                nearest = np.partition(np.concatenate([nearest, fresh], axis=1), k - 1, axis=1)[:, :k]
+                bound = nearest.max(axis=1, keepdims=True) + slack[start : start + step, None]
+            exact = ((vectors[row + at] - q[col]) ** 2).sum(axis=1)
+            held.append(pd.DataFrame({"q": col + start, "id": ids[row + at], "distance": exact}))
+            many += len(col)
+            if many > _BLOCK_VALUES:
+                # Many rows as near as the bound: copies, of which the least ids stay.
+                held, many = [_keep(pd.concat(held), k)], 0
+        found.append(_keep(pd.concat(held), k) if held else pd.DataFrame({"q": [], "id": [], "distance": []}))
+    return pd.concat(found)
 
 
 def _keep(candidates: pd.DataFrame, k: int) -> pd.DataFrame:

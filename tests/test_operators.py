@@ -723,6 +723,27 @@ def brute_force(vectors, queries, k):
     return found
 
 
+def test_nearest_holds_few_distances_at_a_time():
+    """Blocks of rows give the rows of all distances at once, with many copies too, in little memory."""
+    import tracemalloc
+
+    from deedscope.operators.retrieval import _closest
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(6_000, 8))
+    vectors[1_000:4_000] = vectors[7]
+    queries = np.concatenate([vectors[:40], rng.normal(size=(540, 8)), vectors[990:1_010]])
+    ids = rng.permutation(6_000)
+    tracemalloc.start()
+    got = _closest(ids, vectors, queries, 3).sort_values(["q", "distance", "id"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [ids[np.lexsort((ids, ((vectors - q) ** 2).sum(axis=1)))[:3]].tolist() for q in queries]
+    assert got.groupby("q")["id"].apply(list).tolist() == want
+    # All distances of a query chunk took several copies of 4,000,000 numbers before.
+    assert most < 40e6
+
+
 @pytest.mark.parametrize("batch_bytes", [1 << 20, 8 * 4 * 20])
 def test_nearest_equals_brute_force(spark, batch_bytes):
     rng = np.random.default_rng(1)
