@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deedscope.llm.common import with_group_facts
-from deedscope.plans.lineage import cut_lineage
+from deedscope.plans.lineage import rewritten
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -40,10 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has two long columns ``u`` and ``v``; loops and repeated edges do no harm, rows with
     a NULL are left out. Nodes without an edge to another node are not returned.
     """
-    edges = cut_lineage(edges.filter("u <> v").select("u", "v").distinct())
+    edges = rewritten(edges.filter("u <> v").select("u", "v").distinct(), "edges")
     before = _signature(edges)
     while before[0]:
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        edges = rewritten(_small_star(_large_star(edges)), "edges")
         after = _signature(edges)
         if after == before:
             break

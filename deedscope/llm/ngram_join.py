@@ -271,8 +271,8 @@ def candidate_edges(sets: DataFrame, similarity: float, recall: float, share: fl
     rows, small, dense = _children(sets, share, [seed * 1_000 + r for r in range(runs)]), [], []
     for level in range(1, depth + 1):
         sized = with_group_facts(rows, ["path"], "node", "min", "first", "members", combined=False).filter("members > 1")
-        # A token of near copies is in nearly all of them, one of a shared passage in fewer.
-        unsplit = (F.col("members") / F.col("parent") >= 0.75) | F.lit(level >= depth)
+        # A token of near copies is in most of them: each further level would repeat their rows.
+        unsplit = (F.col("members") / F.col("parent") >= 0.5) | F.lit(level >= depth)
         way = F.when(F.col("members") <= bucket, "small").when(unsplit, "dense").otherwise("split")
         sized = cut_lineage(sized.select("path", "node", "parent", "members", "first", way.alias("way")))
         ways = {r["way"] for r in sized.select("way").distinct().collect()}
