@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deedscope.llm.common import WORD, parts, salted_left_join, text_parts, with_group_facts
@@ -232,14 +232,14 @@ def _forest(alike: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tupl
 
 
 def _met(rows: DataFrame, least: int) -> DataFrame:
-    """Of each part (path, chunk) links (u, v) that join its sets, alike in ``least`` places, to groups.
+    """Of each part (path, chunk) links (path, u, v) that join its sets, alike in ``least`` places, to groups.
 
     Rows have path, chunk, node, brief and root, the group that a set is known to be of.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _groups(batches, 2):
-            nodes, roots = (table.column(c).to_numpy() for c in ("node", "root"))
+            paths, nodes, roots = (table.column(c).to_numpy() for c in ("path", "node", "root"))
             briefs = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, SKETCH)
             u, v = [], []
             for a, b in zip(starts[:-1], starts[1:]):
@@ -249,10 +249,11 @@ def _met(rows: DataFrame, least: int) -> DataFrame:
                     u += [a + i for i, _ in links]
                     v += [a + j for _, j in links]
             at, to = np.array(u, np.int64), np.array(v, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[to])], names=["u", "v"])
+            columns = [pa.array(paths[at]), pa.array(nodes[at]), pa.array(nodes[to])]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "u", "v"])
 
     dealt = rows.select("path", "chunk", "node", "root", "brief").repartition("path", "chunk")
-    return dealt.sortWithinPartitions("path", "chunk", "node").mapInArrow(run, "u long, v long").distinct()
+    return dealt.sortWithinPartitions("path", "chunk", "node").mapInArrow(run, "path long, u long, v long")
 
 
 def _in_blocks(rows: DataFrame, part: str) -> DataFrame:
@@ -264,11 +265,61 @@ def _in_blocks(rows: DataFrame, part: str) -> DataFrame:
     return each.select(part, pair.alias("chunk"), *[c for c in rows.columns if c != part], "own").drop("other")
 
 
+def _hung(large: DataFrame, bucket: int) -> DataFrame:
+    """Large nodes dealt to parts (``chunk``) of about ``bucket`` sets, each of which has the node's first set too."""
+    chunks = F.ceil(F.col("members") / bucket)
+    dealt = large.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), chunks))
+    return dealt.select("path", F.col("first").alias("node"), "chunk").union(dealt.select("path", "node", "chunk")).distinct()
+
+
+def _with_strays(large: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of large nodes with ``root``, the group that ``links`` make their set be of.
+
+    ``top`` is the group that most of the node are of, ``strays`` how many are not. Of one group
+    no two need a further link, so a node without strays is done and left out.
+    """
+    known = large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = known.groupBy("path", "root").agg(F.count("*").alias("n"))
+    tops = groups.groupBy("path").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    tops = tops.select("path", F.col("most.root").alias("top"), (F.col("all") - F.col("most.n")).alias("strays"))
+    return cut_lineage(known.join(tops.filter("strays > 0"), "path"))
+
+
+def _blocks(half: int) -> tuple[Column, Column]:
+    """Of how many blocks a node's strays are, and its top group."""
+    return F.ceil(F.col("strays") / half), F.ceil((F.col("members") - F.col("strays")) / half)
+
+
+def _repeats(half: int) -> Column:
+    """Rows that :func:`_across` makes of a node."""
+    of_strays, of_top = _blocks(half)
+    return F.col("members") * of_strays + F.col("strays") * of_top
+
+
+def _across(known: DataFrame, half: int) -> DataFrame:
+    """Rows of large nodes dealt to pairs of blocks of about ``half`` sets: any two not of one group meet.
+
+    Strays meet all; those of the node's top group meet the strays alone, not each other.
+    """
+    stray = F.col("root") != F.col("top")
+    of_strays, of_top = _blocks(half)
+    at = F.xxhash64("node", F.lit(1))
+    own = F.when(stray, F.pmod(at, of_strays)).otherwise(of_strays + F.pmod(at, of_top))
+    last = F.when(stray, of_strays + of_top).otherwise(of_strays) - 1
+    each = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    chunk = F.least("own", "other") * (of_strays + of_top) + F.greatest("own", "other")
+    return each.select("path", chunk.alias("chunk"), "node", "root")
+
+
 def candidate_edges(sets: DataFrame, similarity: float, recall: float, share: float, bucket: int, depth: int, seed: int) -> DataFrame:
     """Links (u, v) that join to components what the trees bring together and is similar by sketch."""
-    runs, least = runs_for(recall, similarity, share), least_alike(recall, similarity, share)
+    runs, least, half = runs_for(recall, similarity, share), least_alike(recall, similarity, share), max(1, bucket // 2)
     briefs = sets.select("node", "brief")
-    rows, small, dense = _children(sets, share, [seed * 1_000 + r for r in range(runs)]), [], []
+
+    def met(rows: DataFrame) -> DataFrame:
+        return _met(rows.join(briefs, "node"), least)
+
+    rows, small, parted, dense, found = _children(sets, share, [seed * 1_000 + r for r in range(runs)]), [], [], [], []
     for level in range(1, depth + 1):
         sized = with_group_facts(rows, ["path"], "node", "min", "first", "members", combined=False).filter("members > 1")
         # A token of near copies is in most of them: each further level would repeat their rows.
@@ -279,29 +330,34 @@ def candidate_edges(sets: DataFrame, similarity: float, recall: float, share: fl
         if "small" in ways:
             small.append(sized.filter("way = 'small'").select("path", "node", F.lit(0).cast("long").alias("chunk")))
         if "dense" in ways:
-            dense.append(sized.filter("way = 'dense'").select("path", "node", "members", "first"))
+            parted.append(sized.filter("way = 'dense'").select("path", "node", "members", "first"))
         if "split" not in ways:
             break
-        rows = _children(sized.filter("way = 'split'").join(sets.select("node", "sketch"), "node"), share)
-    if not small and not dense:
+        large = sized.filter("way = 'split'").select("path", "node", "members", "first")
+        if level == 1:
+            # No level before tells near copies here, but the links of a node's parts: half as many as sets, or not.
+            links = cut_lineage(met(_hung(large, bucket).withColumn("root", F.col("node"))))
+            close = links.groupBy("path").agg(F.count("*").alias("links"))
+            large = cut_lineage(large.join(close, "path", "left").withColumn("close", F.expr("coalesce(links >= members / 2, false)")))
+            found.append(links.select("u", "v").distinct())
+            dense.append(large.filter("close").select("path", "node", "members"))
+            large = large.filter("NOT close")
+        wide = large.select("node", "path", "members").join(sets.select("node", "sketch"), "node")
+        # Written once: the facts of groups and the rows they are joined to would each compute it.
+        rows = cut_lineage(_children(wide, share))
+    if parted:
+        parted = functools.reduce(DataFrame.union, parted)
+        small.append(_hung(parted, bucket))
+        dense.append(parted.select("path", "node", "members"))
+    if small:
+        found.append(cut_lineage(met(functools.reduce(DataFrame.union, small).withColumn("root", F.col("node"))).select("u", "v").distinct()))
+    if not found:
         return sets.sparkSession.createDataFrame([], "u long, v long")
-    if dense:
-        # Parts of a dense node hang together by its first set, if that is of the same group.
-        dense = functools.reduce(DataFrame.union, dense)
-        chunks = F.ceil(F.col("members") / bucket)
-        dealt = dense.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), chunks))
-        hung = dealt.select("path", F.col("first").alias("node"), "chunk").union(dealt.select("path", "node", "chunk")).distinct()
-        small.append(hung)
-    rows = functools.reduce(DataFrame.union, small).withColumn("root", F.col("node"))
-    found = cut_lineage(_met(rows.join(briefs, "node"), least))
-    if not isinstance(dense, DataFrame):
+    found = functools.reduce(DataFrame.union, found)
+    if not dense:
         return found
-    # What is of one group by now needs no further link; any two of a node that are not meet in a block.
-    known = dense.select("path", "node", "members").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = known.groupBy("path").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart").select("path")
-    left = cut_lineage(known.join(apart, "path", "left_semi"))
-    blocks = left.select("path", "node", "root", F.ceil(F.col("members") / max(1, bucket // 2)).alias("blocks"))
-    return cut_lineage(found.union(_met(_in_blocks(blocks, "path").join(briefs, "node"), least)))
+    known = _with_strays(functools.reduce(DataFrame.union, dense), found)
+    return cut_lineage(found.union(met(_across(known, half)).select("u", "v").distinct()))
 
 
 def _compared(members: DataFrame, tokens: DataFrame, similarity: tuple[int, int], least: int, part: int = 256) -> DataFrame:

@@ -127,6 +127,40 @@ def test_rows_of_a_group_grow_in_proportion(spark):
     assert many[1_200] < 2.8 * many[600]
 
 
+def test_near_copies_are_not_split_by_every_tree(spark, monkeypatch):
+    """A node that is nearly of one group goes no level deeper; what strays in it still meets all others."""
+    from deedscope.llm import ngram_join as nj
+
+    rng, rows, deeper, whole = random.Random(9), large_group(300), [], nj._children
+    # Beginnings of the group's text share tokens with it; pairs of them are near copies of each other alone.
+    for k in range(12):
+        words = rows[0][1].split()[:70] + [f"v{k // 2}w{i}" for i in range(70)]
+        words[rng.randrange(70, 140)] = f"z{k}"
+        rows.append((1_000 + k, " ".join(words), "en", "s", 1))
+
+    def children(rows, share, roots=None):
+        found = whole(rows, share, roots)
+        deeper.append(0 if roots else found.count())
+        return found
+
+    monkeypatch.setattr(nj, "_children", children)
+    got = nj.near_duplicates(frame(spark, rows), bucket=64).collect()
+    assert sum(deeper) < len(rows)
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("half", [1, 3, 50])
+def test_what_is_not_of_one_group_meets(spark, half):
+    from deedscope.llm import ngram_join as nj
+
+    roots = [0] * 23 + [100, 100, 101, 102, 103]
+    known = spark.createDataFrame([(7, n, r, len(roots), 0, 5) for n, r in enumerate(roots)], "path long, node long, root long, members long, top long, strays long")
+    dealt = [tuple(r) for r in nj._across(known, half).select("chunk", "node").collect()]
+    met = {(a, b) for c, a in dealt for d, b in dealt if c == d and a < b}
+    assert {(a, b) for a in range(28) for b in range(a + 1, 28) if roots[a] != roots[b]} <= met
+    assert len(dealt) == len(set(dealt)) == known.select(nj._repeats(half)).first()[0]
+
+
 def test_one_row_of_each_group_stays(spark):
     base = "one two three four five six seven eight nine ten eleven twelve"
     rows = [
