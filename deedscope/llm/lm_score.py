@@ -394,6 +394,7 @@ class Whole:
     pairs: DataFrame  # u, w, own: a seen pair's part of its probability before the parent's
     hot: np.ndarray  # numbers u x (known + 1) + w of the most frequent pairs, in order
     hot_log: np.ndarray
+    complete: bool = False  # whether these are all known pairs seen more than once
 
 
 def _scratch(df: DataFrame, label: str) -> DataFrame:
@@ -512,8 +513,10 @@ def fit_whole(
             now = cold.select("id", "tables", "parent")
             far = _with_cold(_with_cold(opened.filter(~both).select("u", "w", "c", "kept"), now, "u", "tables"), now, "w", "parent")
             far = far.select("u", "w", "c", "kept", F.col("u_tables").cast("double"), "w_parent")
-            opened = _scratch(near.union(far.mapInArrow(seater(sweep, state, keep), opened.schema)), "seated")
-        free = _scratch(_sides(opened, F.sum("t")), "sides")
+            seated = near.union(far.mapInArrow(seater(sweep, state, keep), opened.schema))
+            # Of a sweep that is not averaged nothing but the tables' sums goes on.
+            opened = _scratch(seated, "seated") if keep else opened
+        free = _scratch(_sides(opened if keep or sweep < 0 else seated, F.sum("t")), "sides")
         fu, fw = _known_sides(free, size)
         tables, arrived = su + fu, (sw + fw)[:size].astype(np.int64)
         number = np.arange(size)
@@ -568,24 +571,31 @@ def fit_whole(
     keys = u * (size + 1) + w
     order = np.argsort(keys)
     logs = np.log10(own / (customers[u] + s.strength) + share[u] * p[w]).astype(np.float32)[order]
-    return Whole(words, held, tokens, types, customers, share, p, unseen, facts, seen.select("u", "w", "own"), keys[order], logs), counts
+    seen = seen.select("u", "w", "own")
+    return Whole(words, held, tokens, types, customers, share, p, unseen, facts, seen, keys[order], logs, fits <= hot), counts
 
 
-def _whole_sums(texts: DataFrame, shared) -> DataFrame:
+def _whole_sums(texts: DataFrame, shared, arrays, seating: Seating) -> DataFrame:
     """What a task can sum of each row by itself; ``open`` is how many distinct pairs it cannot look up."""
+    single, strength = 1 - seating.discount, seating.strength
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, hot, hot_log = shared.value
+        words, counts, hot, hot_log, complete = shared.value
+        customers, share, p, _ = arrays.value
         base_log = np.log10(counts + 0.5)
         for batch in parts(batches):
             rows = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            learned = batch.column(batch.schema.get_field_index("__learned")).to_pylist()
+            for text, own_row in zip(batch.column(batch.num_columns - 1).to_pylist(), learned):
                 w, u, tokens = _ids(text, words)
                 seen = w[w >= 0]
                 at, is_hot = _hot_places(u, w, hot, len(words))
+                once = _seen_once(u, w, is_hot, own_row and complete)
                 unknown = len({tokens[i] for i in np.flatnonzero(w < 0)})
                 own = hot_log[at[is_hot]].sum(dtype=np.float64)
-                rows.append((len(w), len(seen), base_log[seen].sum(), own, unknown, len(set(zip(u[~is_hot].tolist(), w[~is_hot].tolist())))))
+                own += np.log10(single / (customers[u[once]] + strength) + share[u[once]] * p[w[once]]).sum()
+                left = ~(is_hot | once)
+                rows.append((len(w), len(seen), base_log[seen].sum(), own, unknown, len(set(zip(u[left].tolist(), w[left].tolist())))))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
@@ -595,6 +605,11 @@ def _whole_sums(texts: DataFrame, shared) -> DataFrame:
     return texts.mapInArrow(run, extended(texts.drop("text").schema, ddl))
 
 
+def _seen_once(u: np.ndarray, w: np.ndarray, is_hot: np.ndarray, sure: bool) -> np.ndarray:
+    """Which pairs training has seen once, in this very row: ``sure`` if it was learned from and hot pairs are complete."""
+    return ~is_hot & (u >= 0) & (w >= 0) if sure else np.zeros(len(u), bool)
+
+
 def _hot_places(u: np.ndarray, w: np.ndarray, hot: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs in ``hot``, and which of the pairs are there."""
     if not len(hot):
@@ -608,13 +623,14 @@ def _open_pairs(texts: DataFrame, shared) -> DataFrame:
     """``__doc``, ``__row``, ``u``, ``w``, ``times`` of the pairs that tasks cannot look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, _, hot, _ = shared.value
+        words, _, hot, _, complete = shared.value
         for batch in parts(batches):
             found = []
-            for text in batch.column(2).to_pylist():
+            for text, own_row in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 w, u, _ = _ids(text, words)
                 _, is_hot = _hot_places(u, w, hot, len(words))
-                found.append(Counter(zip(u[~is_hot].tolist(), w[~is_hot].tolist())))
+                left = ~(is_hot | _seen_once(u, w, is_hot, own_row and complete))
+                found.append(Counter(zip(u[left].tolist(), w[left].tolist())))
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             columns = [pa.array([k[j] for x in found for k in x], pa.int64()) for j in (0, 1)]
             times = pa.array([n for x in found for n in x.values()], pa.int64())
@@ -622,14 +638,12 @@ def _open_pairs(texts: DataFrame, shared) -> DataFrame:
                 [batch.column(0).take(at), batch.column(1).take(at), *columns, times], names=["__doc", "__row", "u", "w", "times"]
             )
 
-    rows = texts.select("__doc", "__row", "text")
+    rows = texts.select("__doc", "__row", "text", "__learned")
     return rows.mapInArrow(run, "__doc long, __row long, u long, w long, times long")
 
 
-def _open_sums(rows: DataFrame, model: Whole, shared, strength: float) -> DataFrame:
+def _open_sums(rows: DataFrame, model: Whole, shared, arrays, strength: float) -> DataFrame:
     """``o_own``, ``o_rows`` of each row: the log10 probability of its open pairs, and their number."""
-    spark = rows.sparkSession
-    arrays = spark.sparkContext.broadcast((model.customers, model.share, model.p, model.unseen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         customers, share, p, unseen = arrays.value
@@ -654,11 +668,13 @@ def _open_sums(rows: DataFrame, model: Whole, shared, strength: float) -> DataFr
 
 
 def _score_whole(texts: DataFrame, held_out: int, options: dict) -> DataFrame:
-    strength = (options.get("seating") or Seating()).strength
+    seating = options.get("seating") or Seating()
     model, counts = fit_whole(texts.filter(fold("doc_id") != held_out), **options)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = texts.select("doc_id", doc.alias("__doc"), F.xxhash64("text").alias("__row"), "text")
-    shared = texts.sparkSession.sparkContext.broadcast((model.words, model.counts, model.hot, model.hot_log))
+    learned = (fold("doc_id") != held_out).alias("__learned")
+    rows = texts.select("doc_id", doc.alias("__doc"), F.xxhash64("text").alias("__row"), learned, "text")
+    shared = texts.sparkSession.sparkContext.broadcast((model.words, model.counts, model.hot, model.hot_log, model.complete))
+    arrays = texts.sparkSession.sparkContext.broadcast((model.customers, model.share, model.p, model.unseen))
     met = _unknown_words(rows, model).join(counts.select("word", F.col("n").alias("c")), "word", "left")
     c, times = F.coalesce("c", F.lit(0)), F.col("times")
     per_row = met.groupBy("__doc", "__row").agg(
@@ -667,8 +683,8 @@ def _score_whole(texts: DataFrame, held_out: int, options: dict) -> DataFrame:
     )
     # Equal rows have met their words together: each takes its share.
     share = F.col("unknown") / F.col("t_rows")
-    found = _whole_sums(rows, shared).join(per_row, ["__doc", "__row"], "left")
-    found = found.join(_open_sums(rows, model, shared, strength), ["__doc", "__row"], "left")
+    found = _whole_sums(rows, shared, arrays, seating).join(per_row, ["__doc", "__row"], "left")
+    found = found.join(_open_sums(rows, model, shared, arrays, seating.strength), ["__doc", "__row"], "left")
     zero = lambda value: F.coalesce(value, F.lit(0.0))
     base_size = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
     out = found.select(

@@ -177,3 +177,32 @@ def test_hashed_draws_have_the_law_of_the_generator():
     by_hash = seat(*args, Hashed(1, 2, np.arange(n), -np.arange(n)))
     drawn = seat(*args, np.random.default_rng(0))
     assert by_hash.mean() == pytest.approx(drawn.mean(), rel=0.03) and by_hash.std() == pytest.approx(drawn.std(), rel=0.1)
+
+
+def test_pairs_seen_once_in_their_own_row_meet_no_join(spark, monkeypatch):
+    """All repeated pairs are known to tasks: what else a learned row has was seen once; held-out rows still ask."""
+    from deedscope.llm import lm_score as lm
+
+    rows, asked, whole = corpus(), [], lm._open_pairs
+
+    def open_pairs(texts, shared):
+        asked.append(whole(texts.filter("__learned"), shared).count())
+        asked.append(whole(texts.filter("NOT __learned"), shared).count())
+        return whole(texts, shared)
+
+    monkeypatch.setattr(lm, "_open_pairs", open_pairs)
+    got = {}
+    for name, options in (("all", {}), ("some", {"hot": 20})):
+        found = lm.score_documents(frame(spark, rows), sweeps=3, burn_in=1, **options).collect()
+        got[name] = [r["score"] for r in sorted(found, key=lambda r: r["doc_id"])]
+    assert asked[0] == 0 and min(asked[1:]) > 0
+    assert got["all"] == pytest.approx(got["some"], rel=1e-5)
+
+
+def test_sweeps_that_are_not_averaged_are_not_written(spark, monkeypatch):
+    from deedscope.llm import lm_score as lm
+
+    written, whole = [], lm._scratch
+    monkeypatch.setattr(lm, "_scratch", lambda df, label: written.append(label) or whole(df, label))
+    lm.fit_whole(frame(spark, corpus()[:20]).select("doc_id", "text"), sweeps=4, burn_in=3)
+    assert written.count("seated") == 1
