@@ -16,7 +16,7 @@ from deedscope.llm.common import documents, labels
 from deedscope.llm.line_dedup import deduplicate_lines
 from deedscope.llm.mixing import mix
 from deedscope.llm.ngram_join import drop_near_duplicates
-from deedscope.plans.lineage import scratch_path
+from deedscope.plans.lineage import scratch_path, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -72,7 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
-            path = scratch_path(spark, "pipeline")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = written(docs, scratch_path(spark, "pipeline"))
     return docs

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +35,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries planned and run inside leave no shuffle files behind.
+
+    Else these stay until the driver happens to collect its garbage, so that the disk holds those
+    of all steps of a job at once. Only for a DataFrame that is run once: a further run would
+    make them again.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the copy.
 
@@ -41,7 +60,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    with dropped_shuffles(spark):
+        # A plan of its own: a caller may have run, or go on with, the one of ``df``.
+        return df.select("*").checkpoint(eager=True)
+
+
+def written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to a fresh ``path`` and continue from the files."""
+    with dropped_shuffles(df.sparkSession):
+        df.select("*").write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rewritten(df: DataFrame, label: str) -> DataFrame:
@@ -50,6 +78,4 @@ def rewritten(df: DataFrame, label: str) -> DataFrame:
     For rounds that join a table with itself: a checkpoint keeps the estimated size of its plan, a
     product over the joins, whose digits double at each and fill the driver after a few rounds.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, scratch_path(df.sparkSession, label))

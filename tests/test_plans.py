@@ -1,6 +1,7 @@
 """Physical plan pieces: order, skew, size checks, and what plans must not hold."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,3 +230,27 @@ def test_reports_read_the_ledger_seldom(spark, sf, name, most):
     """Scans of orders in the plan that is left, besides the one that a kept copy took."""
     plan = final_plan(QUERIES[name](spark, sf)).split("== Initial Plan ==")[0]
     assert plan.count("orders.parquet") <= most + (1 if name == "offshore_report" else 0)
+
+
+def _shuffle_files(spark) -> int:
+    """Files of shuffles that the session's own process holds."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return files.toString().count("/shuffle_")
+
+
+def test_copies_leave_no_shuffle_files_behind(spark):
+    rows = spark.range(5_000).withColumn("k", F.col("id") % 50)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(setting)
+    for copy in (lineage.cut_lineage, lambda df: lineage.rewritten(df, "copies")):
+        grouped = rows.groupBy("k").agg(F.sum("id").alias("n"))
+        before = _shuffle_files(spark)
+        copied = copy(grouped)
+        for _ in range(50):  # files go a little later
+            if _shuffle_files(spark) <= before:
+                break
+            time.sleep(0.1)
+        assert _shuffle_files(spark) <= before
+        # Neither the copy nor what it was made of needs them.
+        assert copied.agg(F.sum("n")).first()[0] == grouped.agg(F.sum("n")).first()[0] == 4_999 * 2_500
+    assert spark.conf.get(setting) == own
