@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deedscope.llm.common import UPPER, extended, fold, parts
-from deedscope.plans.lineage import cut_lineage, scratch_path
+from deedscope.plans.lineage import cut_lineage, discard, scratch_path, written
 
 END = b"\n"  # no word holds it
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -395,12 +395,16 @@ class Whole:
     hot: np.ndarray  # numbers u x (known + 1) + w of the most frequent pairs, in order
     hot_log: np.ndarray
     complete: bool = False  # whether these are all known pairs seen more than once
+    warm: tuple = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0))  # id, n, share, p of the most frequent of ``cold``
+    all_warm: bool = False  # whether these are all of them seen more than once
+    once: tuple = (1.0, 1.0)  # share and p of a word seen once
+    far: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # _pair_key of the most frequent pairs that are not hot for their words
+    far_own: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    all_far: bool = False  # whether these are all such pairs seen more than once
 
 
 def _scratch(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return written(df, scratch_path(df.sparkSession, label), compression="zstd")
 
 
 def _pair_counts(texts: DataFrame, words: dict[bytes, int]) -> DataFrame:
@@ -439,13 +443,32 @@ def _known_sides(sides: DataFrame, known: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _most_counted(rows: DataFrame, count: str, limit: int) -> tuple[pa.Table, bool]:
+    """At most ``limit`` rows, as many classes of like counts as fit, and whether these are all."""
+    size_class = F.floor(F.log2(count) * 8)
+    classes = rows.groupBy(size_class.alias("size")).agg(F.count("*").alias("k")).collect()
+    fits, least = 0, None
+    for row in sorted(classes, key=lambda r: -r["size"]):
+        fits += row["k"]
+        if fits > limit:
+            break
+        least = row["size"]
+    return rows.filter(size_class >= least if least is not None else F.lit(False)).drop("c").toArrow(), fits <= limit
+
+
+def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of a pair of numbers."""
+    return _mix(_mix(u.astype(np.int64).view(np.uint64)) + w.astype(np.int64).view(np.uint64)).view(np.int64)
+
+
 def fit_whole(
-    texts: DataFrame, *, known: int = 150_000, hot: int = 4_000_000, sweeps: int = 6, burn_in: int = 3, seed: int = 42,
+    texts: DataFrame, *, known: int = 150_000, hot: int = 4_000_000, warm: int = 2_000_000, warm_pairs: int = 4_000_000, sweeps: int = 6, burn_in: int = 3, seed: int = 42,
     seating: Seating | None = None,
 ) -> tuple[Whole, DataFrame]:
     """The model whose contexts and dishes are all words of ``text``, and the counts of all words.
 
-    ``known`` words and ``hot`` pairs are broadcast; the others meet by joins, with the same
+    ``known`` words and ``hot`` pairs of them are broadcast, for scoring also ``warm`` further
+    words and ``warm_pairs`` pairs with a word that is not known; the others meet by joins, with the same
     result. A pair seen once has one table whatever else is seated, so sweeps pass over the pairs
     seen more often. The parent's base is uniform over all words and one that was never seen. The
     averages over the sweeps from ``burn_in`` on are of a pair's tables, of what a context leaves
@@ -479,6 +502,8 @@ def fit_whole(
     opened = pairs.filter("c > 1").select("u", "w", "c", F.lit(0).cast("long").alias("kept"), F.lit(1).cast("long").alias("t"))
     base, parent_tables, kept_sweeps = 1.0 / (types + 1), float(types), 0
     share, p, unseen = np.zeros(size + 1), np.zeros(size), 0.0
+    # Copies that the next of their kind replaces; the disk holds one of each.
+    used, last_seated = [single], None
 
     def seater(sweep: int, state, keep: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,7 +540,11 @@ def fit_whole(
             far = far.select("u", "w", "c", "kept", F.col("u_tables").cast("double"), "w_parent")
             seated = near.union(far.mapInArrow(seater(sweep, state, keep), opened.schema))
             # Of a sweep that is not averaged nothing but the tables' sums goes on.
-            opened = _scratch(seated, "seated") if keep else opened
+            if keep:
+                opened = _scratch(seated, "seated")
+                if last_seated is not None:
+                    discard(last_seated)
+                last_seated = opened
         free = _scratch(_sides(opened if keep or sweep < 0 else seated, F.sum("t")), "sides")
         fu, fw = _known_sides(free, size)
         tables, arrived = su + fu, (sw + fw)[:size].astype(np.int64)
@@ -527,6 +556,9 @@ def fit_whole(
         )
         schema = extended(merged.schema, "own long")
         cold = _scratch(merged.mapInArrow(parent_seater(sweep, parent_tables), schema), "contexts")
+        for copy in (free, *used):
+            discard(copy)
+        used = [cold]
         sums = cold.agg(F.sum("arrived").alias("c"), F.sum("own").alias("t")).first()
         parent_tables = float(own.sum() + (sums["t"] or 0) + once)
         total = float(arrived.sum() + (sums["c"] or 0) + once) + s.parent_strength
@@ -556,115 +588,203 @@ def fit_whole(
     seen = pairs.filter("c = 1").select("u", "w", "c", F.lit(float(1 - s.discount)).alias("own")).union(
         opened.select("u", "w", "c", F.col("c") - s.discount * F.col("kept") / kept_sweeps)
     )
-    # The most frequent pairs of known words, as many classes of like counts as fit.
-    near = seen.filter("c > 1 AND u >= 0 AND w >= 0")
-    size_class = F.floor(F.log2("c") * 8)
-    classes = near.groupBy(size_class.alias("size")).agg(F.count("*").alias("k")).collect()
-    fits, least = 0, None
-    for row in sorted(classes, key=lambda r: -r["size"]):
-        fits += row["k"]
-        if fits > hot:
-            break
-        least = row["size"]
-    top = near.filter(size_class >= least if least is not None else F.lit(False)).select("u", "w", "own").toArrow()
+    repeated = seen.filter("c > 1")
+    top, complete = _most_counted(repeated.filter("u >= 0 AND w >= 0"), "c", hot)
     u, w, own = (top.column(k).to_numpy() for k in range(3))
     keys = u * (size + 1) + w
     order = np.argsort(keys)
     logs = np.log10(own / (customers[u] + s.strength) + share[u] * p[w]).astype(np.float32)[order]
+    keys = keys[order]
+    top, all_far = _most_counted(repeated.filter("u < 0 OR w < 0"), "c", warm_pairs)
+    far_keys = _pair_key(top.column(0).to_numpy(), top.column(1).to_numpy())
+    order = np.argsort(far_keys)
+    far_keys, far_own = far_keys[order], top.column(2).to_numpy().astype(np.float32)[order]
+    top, all_warm = _most_counted(facts.filter("n > 1"), "n", warm)
+    order = np.argsort(top.column(0).to_numpy())
+    warm_facts = tuple(top.column(k).to_numpy()[order] for k in range(4))
     seen = seen.select("u", "w", "own")
-    return Whole(words, held, tokens, types, customers, share, p, unseen, facts, seen, keys[order], logs, fits <= hot), counts
+    once_share = (s.strength + s.discount) / (1 + s.strength)
+    return Whole(
+        words, held, tokens, types, customers, share, p, unseen, facts, seen, keys, logs, complete,
+        warm_facts, all_warm, (once_share, once_p), far_keys, far_own, all_far,
+    ), counts
+
+
+def _lookups(model: Whole, seating: Seating) -> dict:
+    """What tasks look up, as plain values; tables of values end with a spare one, for keys that are not found."""
+    spare = lambda x: np.append(x, x.dtype.type(0))
+    ids, *facts = model.warm
+    return {
+        "words": model.words, "counts": model.counts, "hot": model.hot, "hot_log": spare(model.hot_log), "complete": model.complete,
+        "warm": (ids, *map(spare, facts)), "all_warm": model.all_warm, "once": model.once,
+        "far": model.far, "far_own": spare(model.far_own), "all_far": model.all_far,
+        "customers": model.customers, "share": model.share, "p": np.append(model.p, 0.0), "unseen": model.unseen,
+        "single": 1 - seating.discount, "strength": seating.strength,
+    }
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in a sorted table, one past its end if they are not there, and which are."""
+    at = np.searchsorted(table, keys)
+    hit = np.zeros(len(keys), bool)
+    inside = at < len(table)
+    hit[inside] = table[at[inside]] == keys[inside]
+    return np.where(hit, at, len(table)), hit
+
+
+def _batch_ids(texts: list[str], words: dict[bytes, int]) -> tuple[np.ndarray, ...]:
+    """Of all tokens of the texts: their text's place, the number of the word before them, their own; and the tokens."""
+    tokens, lengths = [], []
+    for text in texts:
+        own = words_of(text)
+        tokens += own
+        tokens.append(END)
+        lengths.append(len(own) + 1)
+    w = np.fromiter(map(words.get, tokens, repeat(-1)), np.int64, len(tokens))
+    for i in np.flatnonzero(w < 0):
+        w[i] = cold_id(tokens[i])
+    u = np.concatenate([[len(words)], w[:-1]])
+    u[np.cumsum(lengths[:-1], dtype=np.int64)] = len(words)
+    return np.repeat(np.arange(len(texts)), lengths), u, w, tokens
+
+
+def _cold_facts(ids: np.ndarray, learned: np.ndarray, of: dict) -> tuple[np.ndarray, ...]:
+    """n, share, p of words that are not known, and for which this is sure.
+
+    If the warm words are all that were seen more than once, another word of a learned row was seen once, there.
+    """
+    table, n, share, p = of["warm"]
+    at, hit = _found(table, ids)
+    once_share, once_p = of["once"]
+    facts = np.where(hit, n[at], 1.0), np.where(hit, share[at], once_share), np.where(hit, p[at], once_p)
+    return *facts, hit | (learned & of["all_warm"])
 
 
-def _whole_sums(texts: DataFrame, shared, arrays, seating: Seating) -> DataFrame:
-    """What a task can sum of each row by itself; ``open`` is how many distinct pairs it cannot look up."""
-    single, strength = 1 - seating.discount, seating.strength
+def _judged(u: np.ndarray, w: np.ndarray, learned: np.ndarray, of: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Log10 probabilities of the pairs, and which of them a task cannot look up (there they are 0).
+
+    ``learned``: the pair is of a row that was learned from, so training has seen it once at least.
+    If the tables have all pairs seen more often, the others of such a row were seen once.
+    """
+    log, left, single, strength = np.zeros(len(u)), np.ones(len(u), bool), of["single"], of["strength"]
+    is_near = (u >= 0) & (w >= 0)
+    near = np.flatnonzero(is_near)
+    at, hit = _found(of["hot"], u[near] * (len(of["words"]) + 1) + w[near])
+    log[near] = of["hot_log"][at]
+    left[near] = ~hit
+    if of["complete"]:
+        once = near[~hit & learned[near]]
+        log[once] = np.log10(single / (of["customers"][u[once]] + strength) + of["share"][u[once]] * of["p"][w[once]])
+        left[once] = False
+    far = np.flatnonzero(~is_near)
+    u, w, learned = u[far], w[far], learned[far]
+    at, hit = _found(of["far"], _pair_key(u, w))
+    own, sure = np.where(hit, of["far_own"][at], single), hit | (learned & of["all_far"])
+    n, share, p = of["customers"][np.maximum(u, 0)], of["share"][np.maximum(u, 0)], of["p"][np.maximum(w, -1)]
+    cold = np.flatnonzero(u < 0)
+    n[cold], share[cold], _, known = _cold_facts(u[cold], learned[cold], of)
+    sure[cold] &= known
+    cold = np.flatnonzero(w < 0)
+    _, _, p[cold], known = _cold_facts(w[cold], learned[cold], of)
+    sure[cold] &= known
+    log[far[sure]] = np.log10(own[sure] / (n[sure] + strength) + share[sure] * p[sure])
+    left[far[sure]] = False
+    return log, left
+
+
+def _whole_sums(texts: DataFrame, shared) -> DataFrame:
+    """What a task can sum of each row by itself; ``unknown`` distinct words and ``open`` pairs it cannot look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, hot, hot_log, complete = shared.value
-        customers, share, p, _ = arrays.value
-        base_log = np.log10(counts + 0.5)
+        of = shared.value
+        base_log = np.log10(of["counts"] + 0.5)
         for batch in parts(batches):
-            rows = []
-            learned = batch.column(batch.schema.get_field_index("__learned")).to_pylist()
-            for text, own_row in zip(batch.column(batch.num_columns - 1).to_pylist(), learned):
-                w, u, tokens = _ids(text, words)
-                seen = w[w >= 0]
-                at, is_hot = _hot_places(u, w, hot, len(words))
-                once = _seen_once(u, w, is_hot, own_row and complete)
-                unknown = len({tokens[i] for i in np.flatnonzero(w < 0)})
-                own = hot_log[at[is_hot]].sum(dtype=np.float64)
-                own += np.log10(single / (customers[u[once]] + strength) + share[u[once]] * p[w[once]]).sum()
-                left = ~(is_hot | once)
-                rows.append((len(w), len(seen), base_log[seen].sum(), own, unknown, len(set(zip(u[left].tolist(), w[left].tolist())))))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
+            rows = batch.num_rows
+            row, u, w, _ = _batch_ids(batch.column(batch.num_columns - 1).to_pylist(), of["words"])
+            learned = batch.column(batch.schema.get_field_index("__learned")).to_numpy(zero_copy_only=False)[row]
+            log, left = _judged(u, w, learned, of)
+            near, cold = np.flatnonzero(w >= 0), np.flatnonzero(w < 0)
+            n, _, _, known = _cold_facts(w[cold], learned[cold], of)
+            base = np.bincount(row[near], base_log[w[near]], rows).astype(float)  # none gives whole numbers
+            base += np.bincount(row[cold[known]], np.log10(n[known] + 0.5), rows)
+            seen = np.bincount(row[near], minlength=rows) + np.bincount(row[cold[known]], minlength=rows)
+            asked = np.stack([row[cold[~known]], w[cold[~known]]], axis=1)
+            unknown = np.bincount(np.unique(asked, axis=0)[:, 0], minlength=rows)
+            sums = [np.bincount(row, minlength=rows), seen, base, np.bincount(row, log, rows), unknown, np.bincount(row[left], minlength=rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, sums)], names=[*batch.schema.names[:-1], *names])
 
     names = ["n", "known", "base", "own", "unknown", "open"]
     ddl = "n long, known long, base double, own double, unknown long, open long"
     return texts.mapInArrow(run, extended(texts.drop("text").schema, ddl))
 
 
-def _seen_once(u: np.ndarray, w: np.ndarray, is_hot: np.ndarray, sure: bool) -> np.ndarray:
-    """Which pairs training has seen once, in this very row: ``sure`` if it was learned from and hot pairs are complete."""
-    return ~is_hot & (u >= 0) & (w >= 0) if sure else np.zeros(len(u), bool)
+def _open_words(texts: DataFrame, shared) -> DataFrame:
+    """``__doc``, ``__row``, ``word``, ``times`` of the words that tasks cannot look up."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for batch in parts(batches):
+            row, _, w, tokens = _batch_ids(batch.column(2).to_pylist(), of["words"])
+            cold = np.flatnonzero(w < 0)
+            learned = batch.column(3).to_numpy(zero_copy_only=False)[row[cold]]
+            cold = cold[~_cold_facts(w[cold], learned, of)[3]]
+            found = Counter((int(row[i]), tokens[i]) for i in cold)
+            at = pa.array([k for k, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array([x for _, x in found], pa.binary()), pa.array(list(found.values()), pa.int64())],
+                names=["__doc", "__row", "word", "times"],
+            )
 
-def _hot_places(u: np.ndarray, w: np.ndarray, hot: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs in ``hot``, and which of the pairs are there."""
-    if not len(hot):
-        return np.zeros(len(u), np.int64), np.zeros(len(u), bool)
-    key = np.where((u >= 0) & (w >= 0), u * (known + 1) + w, -1)
-    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-    return at, hot[at] == key
+    rows = texts.select("__doc", "__row", "text", "__learned")
+    return rows.mapInArrow(run, "__doc long, __row long, word binary, times long")
 
 
 def _open_pairs(texts: DataFrame, shared) -> DataFrame:
-    """``__doc``, ``__row``, ``u``, ``w``, ``times`` of the pairs that tasks cannot look up."""
+    """``__doc``, ``__row``, ``u``, ``w`` of the pairs that tasks cannot look up, as often as they are in a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, _, hot, _, complete = shared.value
+        of = shared.value
         for batch in parts(batches):
-            found = []
-            for text, own_row in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                w, u, _ = _ids(text, words)
-                _, is_hot = _hot_places(u, w, hot, len(words))
-                left = ~(is_hot | _seen_once(u, w, is_hot, own_row and complete))
-                found.append(Counter(zip(u[left].tolist(), w[left].tolist())))
-            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            columns = [pa.array([k[j] for x in found for k in x], pa.int64()) for j in (0, 1)]
-            times = pa.array([n for x in found for n in x.values()], pa.int64())
+            row, u, w, _ = _batch_ids(batch.column(2).to_pylist(), of["words"])
+            left = np.flatnonzero(_judged(u, w, batch.column(3).to_numpy(zero_copy_only=False)[row], of)[1])
+            at = pa.array(row[left])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), *columns, times], names=["__doc", "__row", "u", "w", "times"]
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(u[left]), pa.array(w[left])],
+                names=["__doc", "__row", "u", "w"],
             )
 
     rows = texts.select("__doc", "__row", "text", "__learned")
-    return rows.mapInArrow(run, "__doc long, __row long, u long, w long, times long")
+    return rows.mapInArrow(run, "__doc long, __row long, u long, w long")
 
 
-def _open_sums(rows: DataFrame, model: Whole, shared, arrays, strength: float) -> DataFrame:
+def _open_sums(rows: DataFrame, model: Whole, shared) -> DataFrame:
     """``o_own``, ``o_rows`` of each row: the log10 probability of its open pairs, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        customers, share, p, unseen = arrays.value
+        customers, share, p, unseen, strength = (shared.value[k] for k in ("customers", "share", "p", "unseen", "strength"))
         for batch in batches:
-            u, w, times, own, of_n, of_share, of_p = (batch.column(k).to_numpy(zero_copy_only=False).astype(kind) for k, kind in zip(range(2, 9), (np.int64,) * 3 + (float,) * 4))
+            u, w, own, of_n, of_share, of_p = (batch.column(k).to_numpy(zero_copy_only=False).astype(kind) for k, kind in zip(range(2, 8), (np.int64,) * 2 + (float,) * 4))
             near_u, near_w = np.maximum(u, -1), np.maximum(w, -1)
             # A context of no training text leaves all to the parent.
             n = np.where(u < 0, np.nan_to_num(of_n), customers[near_u])
             left = np.where(u < 0, np.where(np.isnan(of_share), 1.0, of_share), share[near_u])
-            parent = np.where(w < 0, np.where(np.isnan(of_p), unseen, of_p), np.append(p, 0.0)[near_w])
-            log = times * np.log10(np.nan_to_num(own) / (n + strength) + left * parent)
+            parent = np.where(w < 0, np.where(np.isnan(of_p), unseen, of_p), p[near_w])
+            log = np.log10(np.nan_to_num(own) / (n + strength) + left * parent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log)], names=["__doc", "__row", "log"])
 
-    met = _open_pairs(rows, shared).join(model.pairs, ["u", "w"], "left").select("__doc", "__row", "u", "w", "times", "own")
+    # Written once: near and far pairs would each read and split all texts.
+    asked = _scratch(_open_pairs(rows, shared), "open")
     near = (F.col("u") >= 0) & (F.col("w") >= 0)
-    far = _with_cold(_with_cold(met.filter(~near), model.cold, "u", "n", "share"), model.cold, "w", "p")
+    met, far = (asked.filter(side).join(model.pairs.filter(side), ["u", "w"], "left") for side in (near, ~near))
+    far = _with_cold(_with_cold(far, model.cold, "u", "n", "share"), model.cold, "w", "p")
     none = [F.lit(None).cast("double").alias(c) for c in ("u_n", "u_share", "w_p")]
-    columns = ["__doc", "__row", "u", "w", "times", "own"]
-    far = far.select(*columns, F.col("u_n").cast("double"), "u_share", "w_p")
-    logs = met.filter(near).select(*columns, *none).union(far).mapInArrow(run, "__doc long, __row long, log double")
-    return logs.groupBy("__doc", "__row").agg(F.sum("log").alias("o_own"), F.count("*").alias("o_rows"))
+    columns = ["__doc", "__row", "u", "w", "own"]
+    sides = [met.select(*columns, *none), far.select(*columns, F.col("u_n").cast("double"), "u_share", "w_p")]
+    # One after the other: the disk holds what one of the two shuffles.
+    logs = [side.mapInArrow(run, "__doc long, __row long, log double").groupBy("__doc", "__row") for side in sides]
+    logs = [_scratch(side.agg(F.sum("log").alias("log"), F.count("*").alias("n")), "sums") for side in logs]
+    discard(asked)
+    return logs[0].union(logs[1]).groupBy("__doc", "__row").agg(F.sum("log").alias("o_own"), F.sum("n").alias("o_rows"))
 
 
 def _score_whole(texts: DataFrame, held_out: int, options: dict) -> DataFrame:
@@ -673,9 +793,10 @@ def _score_whole(texts: DataFrame, held_out: int, options: dict) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     learned = (fold("doc_id") != held_out).alias("__learned")
     rows = texts.select("doc_id", doc.alias("__doc"), F.xxhash64("text").alias("__row"), learned, "text")
-    shared = texts.sparkSession.sparkContext.broadcast((model.words, model.counts, model.hot, model.hot_log, model.complete))
-    arrays = texts.sparkSession.sparkContext.broadcast((model.customers, model.share, model.p, model.unseen))
-    met = _unknown_words(rows, model).join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    shared = texts.sparkSession.sparkContext.broadcast(_lookups(model, seating))
+    # Where the tables have all that was seen more than once, tasks know all of a learned row.
+    asking = rows.filter("NOT __learned") if model.complete and model.all_warm and model.all_far else rows
+    met = _open_words(asking, shared).join(counts.select("word", F.col("n").alias("c")), "word", "left")
     c, times = F.coalesce("c", F.lit(0)), F.col("times")
     per_row = met.groupBy("__doc", "__row").agg(
         F.sum(times * F.log10(c + 0.5)).alias("t_base"),
@@ -683,8 +804,8 @@ def _score_whole(texts: DataFrame, held_out: int, options: dict) -> DataFrame:
     )
     # Equal rows have met their words together: each takes its share.
     share = F.col("unknown") / F.col("t_rows")
-    found = _whole_sums(rows, shared, arrays, seating).join(per_row, ["__doc", "__row"], "left")
-    found = found.join(_open_sums(rows, model, shared, arrays, seating.strength), ["__doc", "__row"], "left")
+    found = _whole_sums(rows, shared).join(per_row, ["__doc", "__row"], "left")
+    found = found.join(_open_sums(asking, model, shared), ["__doc", "__row"], "left")
     zero = lambda value: F.coalesce(value, F.lit(0.0))
     base_size = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
     out = found.select(

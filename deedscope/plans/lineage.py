@@ -79,3 +79,11 @@ def rewritten(df: DataFrame, label: str) -> DataFrame:
     product over the joins, whose digits double at each and fill the driver after a few rounds.
     """
     return written(df, scratch_path(df.sparkSession, label))
+
+
+def discard(copy: DataFrame) -> None:
+    """Delete the files of a copy that :func:`written` made, once nothing is read from it any more."""
+    spark = copy.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in copy.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -206,3 +206,32 @@ def test_sweeps_that_are_not_averaged_are_not_written(spark, monkeypatch):
     monkeypatch.setattr(lm, "_scratch", lambda df, label: written.append(label) or whole(df, label))
     lm.fit_whole(frame(spark, corpus()[:20]).select("doc_id", "text"), sweeps=4, burn_in=3)
     assert written.count("seated") == 1
+
+
+@pytest.mark.parametrize("options", [{}, {"known": 12}, {"known": 0}, {"known": 30, "hot": 20}, {"known": 12, "warm": 3, "warm_pairs": 9}])
+def test_what_tasks_look_up_does_not_change_scores(spark, monkeypatch, options):
+    """Learned rows ask for nothing where the tables have all that was seen twice; copies that were replaced are gone."""
+    import os
+
+    from deedscope.llm import lm_score as lm
+
+    asked, whole, written, copy = [], lm._open_pairs, [], lm._scratch
+
+    def open_pairs(texts, shared):
+        asked.append(whole(texts, shared).count())
+        return whole(texts, shared)
+
+    def scratch(df, label):
+        written.append((label, copy(df, label)))
+        return written[-1][1]
+
+    monkeypatch.setattr(lm, "_open_pairs", open_pairs)
+    monkeypatch.setattr(lm, "_scratch", scratch)
+    rows, got = corpus()[:60], []
+    for more in ({}, {"hot": 0, "warm": 0, "warm_pairs": 0}):
+        found = lm.score_documents(frame(spark, rows), held_out=9, sweeps=4, burn_in=1, **{**options, **more}).collect()
+        got.append(sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 4)) for r in found))
+    assert got[0] == got[1]
+    assert asked[1] > 0 and (asked[0] == 0) == ("hot" not in options and "warm" not in options)
+    left = [label for label, df in written if all(os.path.exists(f.removeprefix("file:")) for f in df.inputFiles())]
+    assert sorted(left) == sorted(2 * ["words", "pairs", "seated", "contexts", "facts", "sums", "sums"])
