@@ -393,13 +393,13 @@ class Whole:
     cold: DataFrame  # id, n, share, p
     pairs: DataFrame  # u, w, own: a seen pair's part of its probability before the parent's
     hot: np.ndarray  # numbers u x (known + 1) + w of the most frequent pairs, in order
-    hot_log: np.ndarray
+    hot_log: np.ndarray  # values of tables end with a spare one, for keys that are not found
     complete: bool = False  # whether these are all known pairs seen more than once
-    warm: tuple = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0))  # id, n, share, p of the most frequent of ``cold``
+    warm: tuple = (np.zeros(0, np.int64), np.zeros(1), np.zeros(1), np.zeros(1))  # id, n, share, p of the most frequent of ``cold``
     all_warm: bool = False  # whether these are all of them seen more than once
     once: tuple = (1.0, 1.0)  # share and p of a word seen once
     far: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # _pair_key of the most frequent pairs that are not hot for their words
-    far_own: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    far_own: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
     all_far: bool = False  # whether these are all such pairs seen more than once
 
 
@@ -443,8 +443,8 @@ def _known_sides(sides: DataFrame, known: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _most_counted(rows: DataFrame, count: str, limit: int) -> tuple[pa.Table, bool]:
-    """At most ``limit`` rows, as many classes of like counts as fit, and whether these are all."""
+def _most_counted(rows: DataFrame, count: str, limit: int) -> tuple[DataFrame, int, bool]:
+    """At most ``limit`` rows, as many classes of like counts as fit, how many, and whether these are all."""
     size_class = F.floor(F.log2(count) * 8)
     classes = rows.groupBy(size_class.alias("size")).agg(F.count("*").alias("k")).collect()
     fits, least = 0, None
@@ -453,7 +453,31 @@ def _most_counted(rows: DataFrame, count: str, limit: int) -> tuple[pa.Table, bo
         if fits > limit:
             break
         least = row["size"]
-    return rows.filter(size_class >= least if least is not None else F.lit(False)).drop("c").toArrow(), fits <= limit
+    chosen = rows.filter(size_class >= least if least is not None else F.lit(False))
+    return chosen, sum(r["k"] for r in classes if least is not None and r["size"] >= least), fits <= limit
+
+
+def _gathered(rows: DataFrame, n: int, slice_rows: int = 1_000_000) -> tuple[np.ndarray, ...]:
+    """The columns of the ``n`` rows as arrays, ascending by the first; the others end with a spare 0, for keys that are not found.
+
+    The driver fetches a slice at a time, so that beside the arrays it holds no second copy of them.
+    """
+    key, *names = rows.columns
+    slices = -(-n // slice_rows)
+    copy = _scratch(rows.withColumn("__slice", F.pmod(F.xxhash64(key), F.lit(max(slices, 1))).cast("int")), "gathered")
+    kinds = {"bigint": np.int64, "float": np.float32, "double": np.float64}
+    keys, values = np.empty(n, np.int64), [np.zeros(n + 1, kinds[kind]) for _, kind in rows.dtypes[1:]]
+    at = 0
+    for part in range(slices):
+        for batch in copy.filter(F.col("__slice") == part).select(key, *names).toArrow().to_batches():
+            for column, out in zip(batch.columns, (keys, *values), strict=True):
+                out[at : at + batch.num_rows] = column.to_numpy()
+            at += batch.num_rows
+    discard(copy)
+    order = np.argsort(keys)
+    for value in values:
+        value[:-1] = value[order]
+    return keys[order], *values
 
 
 def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -579,7 +603,7 @@ def fit_whole(
     if not kept_sweeps:  # no training text: every token has probability one
         rows = pairs.select("u", "w", F.lit(0.0).alias("own"))
         facts = ids.select("id", "n", F.lit(1.0).alias("share"), F.lit(1.0).alias("p"))
-        return Whole(words, held, tokens, types, customers, np.ones(size + 1), np.ones(size), 1.0, facts, rows, np.zeros(0, np.int64), np.zeros(0)), counts
+        return Whole(words, held, tokens, types, customers, np.ones(size + 1), np.ones(size), 1.0, facts, rows, np.zeros(0, np.int64), np.zeros(1)), counts
 
     share, p, unseen, once_p = (x / kept_sweeps for x in (share, p, unseen, once_p))
     facts = cold.select("id", "n", (F.col("share") / kept_sweeps).alias("share"), (F.col("p") / kept_sweeps).alias("p"))
@@ -589,19 +613,26 @@ def fit_whole(
         opened.select("u", "w", "c", F.col("c") - s.discount * F.col("kept") / kept_sweeps)
     )
     repeated = seen.filter("c > 1")
-    top, complete = _most_counted(repeated.filter("u >= 0 AND w >= 0"), "c", hot)
-    u, w, own = (top.column(k).to_numpy() for k in range(3))
-    keys = u * (size + 1) + w
-    order = np.argsort(keys)
-    logs = np.log10(own / (customers[u] + s.strength) + share[u] * p[w]).astype(np.float32)[order]
-    keys = keys[order]
-    top, all_far = _most_counted(repeated.filter("u < 0 OR w < 0"), "c", warm_pairs)
-    far_keys = _pair_key(top.column(0).to_numpy(), top.column(1).to_numpy())
-    order = np.argsort(far_keys)
-    far_keys, far_own = far_keys[order], top.column(2).to_numpy().astype(np.float32)[order]
-    top, all_warm = _most_counted(facts.filter("n > 1"), "n", warm)
-    order = np.argsort(top.column(0).to_numpy())
-    warm_facts = tuple(top.column(k).to_numpy()[order] for k in range(4))
+    known_facts = spark.sparkContext.broadcast((customers, share, p))
+
+    def near_logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        customers, share, p = known_facts.value
+        for batch in batches:
+            u, w, own = (batch.column(k).to_numpy() for k in range(3))
+            log = np.log10(own / (customers[u] + s.strength) + share[u] * p[w]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(u * (size + 1) + w), pa.array(log)], names=["key", "log"])
+
+    def far_owns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w, own = (batch.column(k).to_numpy() for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(_pair_key(u, w)), pa.array(own.astype(np.float32))], names=["key", "own"])
+
+    top, n, complete = _most_counted(repeated.filter("u >= 0 AND w >= 0"), "c", hot)
+    keys, logs = _gathered(top.select("u", "w", "own").mapInArrow(near_logs, "key long, log float"), n)
+    top, n, all_far = _most_counted(repeated.filter("u < 0 OR w < 0"), "c", warm_pairs)
+    far_keys, far_own = _gathered(top.select("u", "w", "own").mapInArrow(far_owns, "key long, own float"), n)
+    top, n, all_warm = _most_counted(facts.filter("n > 1"), "n", warm)
+    warm_facts = _gathered(top, n)
     seen = seen.select("u", "w", "own")
     once_share = (s.strength + s.discount) / (1 + s.strength)
     return Whole(
@@ -611,13 +642,11 @@ def fit_whole(
 
 
 def _lookups(model: Whole, seating: Seating) -> dict:
-    """What tasks look up, as plain values; tables of values end with a spare one, for keys that are not found."""
-    spare = lambda x: np.append(x, x.dtype.type(0))
-    ids, *facts = model.warm
+    """What tasks look up, as plain values, none of them a copy of a table."""
     return {
-        "words": model.words, "counts": model.counts, "hot": model.hot, "hot_log": spare(model.hot_log), "complete": model.complete,
-        "warm": (ids, *map(spare, facts)), "all_warm": model.all_warm, "once": model.once,
-        "far": model.far, "far_own": spare(model.far_own), "all_far": model.all_far,
+        "words": model.words, "counts": model.counts, "hot": model.hot, "hot_log": model.hot_log, "complete": model.complete,
+        "warm": model.warm, "all_warm": model.all_warm, "once": model.once,
+        "far": model.far, "far_own": model.far_own, "all_far": model.all_far,
         "customers": model.customers, "share": model.share, "p": np.append(model.p, 0.0), "unseen": model.unseen,
         "single": 1 - seating.discount, "strength": seating.strength,
     }

@@ -235,3 +235,31 @@ def test_what_tasks_look_up_does_not_change_scores(spark, monkeypatch, options):
     assert asked[1] > 0 and (asked[0] == 0) == ("hot" not in options and "warm" not in options)
     left = [label for label, df in written if all(os.path.exists(f.removeprefix("file:")) for f in df.inputFiles())]
     assert sorted(left) == sorted(2 * ["words", "pairs", "seated", "contexts", "facts", "sums", "sums"])
+
+
+def test_the_driver_fetches_the_tables_of_tasks_in_slices(spark, monkeypatch):
+    from functools import partial
+
+    from deedscope.llm import lm_score as lm
+
+    texts, fetched = frame(spark, corpus()).select("doc_id", "text"), []
+    kind = type(texts)
+    whole, gathered = kind.toArrow, lm._gathered
+
+    def to_arrow(df):
+        fetched.append(whole(df))
+        return fetched[-1]
+
+    monkeypatch.setattr(kind, "toArrow", to_arrow)
+    monkeypatch.setattr(lm, "_gathered", partial(gathered, slice_rows=50))
+    options = {"known": 12, "sweeps": 2, "burn_in": 1}
+    model, _ = lm.fit_whole(texts, **options)
+    near, far, warm = len(model.hot), len(model.far), len(model.warm[0])
+    assert far > 1_000 and near > 10 and warm > 50
+    assert max(x.num_rows for x in fetched) < 150 and sum(x.num_rows for x in fetched) >= near + far + warm
+    pairs, facts = model.pairs.collect(), {r["id"]: r for r in model.cold.collect()}
+    for keys, *values in ((model.hot, model.hot_log), (model.far, model.far_own), model.warm):
+        assert (np.diff(keys) > 0).all() and all(len(x) == len(keys) + 1 and x[-1] == 0 for x in values)
+    own = {int(lm._pair_key(np.array([r["u"]]), np.array([r["w"]]))[0]): r["own"] for r in pairs}
+    assert [own[k] for k in model.far.tolist()] == pytest.approx(model.far_own[:-1].tolist())
+    assert [tuple(facts[k][c] for c in ("n", "share", "p")) for k in model.warm[0].tolist()] == list(zip(*(x[:-1].tolist() for x in model.warm[1:])))
