@@ -33,9 +33,11 @@ def _placed(docs: DataFrame, shards: int, seed: int, bucket_bytes: int, text_col
     # A stated number of partitions is not changed at run time, so the draw of ``shuffle``, which
     # follows the partition and the rows' order in it, is the same in every run.
     tasks = min(buckets, 20_000)
+    # The bucket's number is the partition: by a hash of it some tasks would hold several buckets, others none.
     gathered = (
-        scattered.repartition(tasks, "bucket")
-        .groupBy("bucket")
+        scattered.withColumn("task", F.pmod("bucket", F.lit(tasks)).cast("int"))
+        .repartitionById(tasks, F.col("task"))
+        .groupBy("task", "bucket")
         .agg(F.sort_array(F.collect_list(F.struct("key", "copy", "record"))).alias("records"))
         .sortWithinPartitions("bucket")
         .select("bucket", F.shuffle("records", seed).alias("records"))

@@ -72,3 +72,13 @@ def test_buckets_hold_texts(spark, tmp_path):
     placed = _placed(frame(spark, rows), 4, 42, 2_000, "text")
     assert sorted(tuple(r["record"]) for r in placed.collect()) == rows
     assert all("buckets-" in f for f in placed.inputFiles()) and placed.inputFiles()
+
+
+def test_a_task_holds_one_bucket(spark):
+    from deedscope.llm.sharding import _placed
+
+    rows = [(k, f"text {k} " * 50, "en", "a", k) for k in range(400)]
+    files = _placed(frame(spark, rows), 4, 42, 8_000, "text").inputFiles()
+    held = [spark.read.parquet(f).select("bucket").distinct().count() for f in files]
+    assert len(held) > 20 and set(held) == {1}
+    assert spark.read.parquet(*files).select("bucket").distinct().count() == len(files)
