@@ -11,15 +11,17 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deedscope.llm.common import extended, parts, text_parts
-from deedscope.plans.lineage import scratch_path
+from deedscope.plans.lineage import scratch_path, written
 
 SPACE_MARK = "▁"
 FANOUT = 8
@@ -126,8 +128,12 @@ class ByteBpe(Tokens):
     def __init__(self, config: str, pattern: str) -> None:
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_str(config)
-        self.slow.encode_special_tokens = True
+        def slow() -> Tokenizer:
+            made = Tokenizer.from_str(config)
+            made.encode_special_tokens = True
+            return made
+
+        self.slow = cache(slow)  # made when a text needs it: most tasks never do
         read = json.loads(config)
         special = {x["content"] for x in read.get("added_tokens", [])}
         letters = letter_bytes()
@@ -155,7 +161,7 @@ class ByteBpe(Tokens):
                     raise
                 ids = None
             if ids is None:
-                ids = np.array(self.slow.encode(" " + text, add_special_tokens=False).ids)
+                ids = np.array(self.slow().encode(" " + text, add_special_tokens=False).ids)
             out.append(ids.astype(np.int64))
         return out
 
@@ -337,6 +343,20 @@ def pair_counts(linked: DataFrame) -> DataFrame:
     return counts.join(most, "a").select("pair", "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """What runs inside sends Python at most ``rows`` rows at a time: texts and pair lists are wide."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def score_links(
     docs: DataFrame, first_file: str, second_file: str, pattern: str, *, max_broadcast_pairs: int = 4_000_000
 ) -> DataFrame:
@@ -346,19 +366,22 @@ def score_links(
     the best one of its A id), count_sum (documents of its pair, over all links), groups_sha256.
     Each text is encoded once: its pairs are written to the shared folder, counted, and met by the
     counts, which are sent to the workers up to ``max_broadcast_pairs`` of them and joined by
-    shuffle beyond. NULL, empty and unaligned texts have zeros and ''; rows are not told apart by
+    shuffle beyond. The result is written there, too, in small batches. NULL, empty and unaligned texts have zeros and ''; rows are not told apart by
     their id, so repeated and NULL ids keep a row each; further columns are not read. An empty
     table gives no rows.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "linked-pairs")
-    linked_pairs(docs, first_file, second_file, pattern).write.parquet(path)
+    with small_batches(spark):
+        linked_pairs(docs, first_file, second_file, pattern).write.parquet(path)
     linked = spark.read.parquet(path)
     counted = scratch_path(spark, "pair-counts")
     pair_counts(linked).write.parquet(counted)
     counts = spark.read.parquet(counted)
     known = counts.count()
-    return _met_by_broadcast(linked, counts) if known <= max_broadcast_pairs else _met_by_join(linked, counts)
+    met = _met_by_broadcast(linked, counts) if known <= max_broadcast_pairs else _met_by_join(linked, counts)
+    with small_batches(spark):
+        return written(met, scratch_path(spark, "scored-links"))
 
 
 KEPT = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]

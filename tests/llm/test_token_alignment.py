@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -134,3 +135,25 @@ def test_ranks_and_format_encode_alike():
 def test_gallop_counts_what_lies_below(one, other):
     one, other = np.array(sorted(one), np.int64), np.array(sorted(other), np.int64)
     assert ta.gallop(one, other).tolist() == np.searchsorted(other, one).tolist()
+
+
+def test_python_gets_wide_rows_in_small_batches(spark, monkeypatch):
+    from deedscope.llm import token_alignment as ta
+
+    def sizes(docs, *_):
+        def run(batches):
+            for batch in batches:
+                n = [batch.num_rows] * batch.num_rows
+                yield pa.RecordBatch.from_pylist(
+                    [{**dict.fromkeys(("doc_id", "n_a", "n_b", "n_groups", "n_links"), k), "groups_sha256": "", "pairs": [1], "times": [1]} for k in n],
+                    pa.schema([*[(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]),
+                )
+
+        schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
+        return docs.mapInArrow(run, schema)
+
+    monkeypatch.setattr(ta, "linked_pairs", sizes)
+    before = spark.conf.get(ta._BATCH)
+    found = ta.score_links(spark.range(3_000).repartition(1), "", "", "").collect()
+    assert len(found) == 3_000 and max(r["n_a"] for r in found) <= 1024 and {r["count_sum"] for r in found} == {3_000}
+    assert spark.conf.get(ta._BATCH) == before
